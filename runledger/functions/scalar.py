@@ -37,8 +37,8 @@ def state_index(state) -> Column:
 
 
 def nanos_to_ts(ns) -> Column:
-    """unix nanoseconds -> timestamp (microsecond precision)."""
-    return F.timestamp_micros(F.floor(_c(ns) / 1000).cast("bigint"))
+    """unix nanoseconds -> timestamp_ntz in UTC (microsecond precision)."""
+    return F.timestamp_micros(F.floor(_c(ns) / 1000).cast("bigint")).cast("timestamp_ntz")
 
 
 def le_uint(b, offset: int, width: int) -> Column:

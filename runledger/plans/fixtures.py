@@ -122,13 +122,30 @@ SQL: dict[str, str] = {
                l_returnflag = 'R' as hit
         from lineitem""",
     "job_events": """
-        select l_orderkey * 8 + l_linenumber as id, l_orderkey as job_id,
+        select l_orderkey * 8 + l_linenumber as id, l_partkey as id_part, l_suppkey as id_supp,
+               l_orderkey as job_id,
                case when l_linenumber = 1 then 'created'
                     when l_returnflag = 'R' then 'checkpoint' else 'transition' end as event_type,
                l_shipdate as recorded_at,
-               l_linenumber, l_quantity, l_linestatus
+               l_linenumber, l_quantity, l_linestatus, l_suppkey
         from lineitem""",
 }
+SQL["ledger_rows"] = f"""
+        select cast(o_orderkey as varchar) as id, 'jobctl/worker:latest' as image,
+               '/usr/local/bin/jobworker' as command,
+               to_json(['--worker', o_orderpriority, '--limit', cast(o_custkey as varchar)]) as args_json,
+               state, ns as created_at,
+               case when state <> 'pending' then ns + 3600000000000 end as started_at,
+               case when state in ('completed', 'failed', 'cancelled') then ns + 7200000000000 end as finished_at,
+               case when state = 'completed' then 0 when state = 'failed' then 1 end::bigint as exit_code,
+               case when has_checkpoint then ns + 1800000000000 end as last_checkpoint_at,
+               case when has_checkpoint then '/state/' || cast(o_orderkey as varchar) || '.bin' end as last_checkpoint_path,
+               case when has_checkpoint then o_orderkey % 10 end as last_checkpoint_epoch,
+               case when has_checkpoint then cast(floor(o_totalprice) as bigint) end as last_checkpoint_found,
+               null::varchar as container_id, null::bigint as controller_pid,
+               null::varchar as state_volume_path, null::varchar as assigned_controller_id
+        from (select *, epoch_us(o_orderdate) * 1000 as ns, {_jobs_state_sql()} as state,
+                     o_orderkey % 3 <> 0 as has_checkpoint from orders)"""
 
 
 # ---------------------------------------------------------------------------
@@ -313,7 +330,9 @@ def ordered_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Append-only event log keyed like `jobs` (job_id = order key).
 
-    The payload is JSON text, as the ledger stores it.
+    The payload is JSON text, as the ledger stores it.  Line numbers repeat
+    inside an order in the driver's data, so the total order of the log is
+    ``(id, id_part, id_supp)``.
     """
     li = table(spark, sf_dir, "lineitem")
     etype = (
@@ -338,13 +357,20 @@ def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.struct(
                     F.when(F.col("l_linestatus") == "O", "pending").otherwise("running").alias("from"),
                     F.when(F.col("l_linestatus") == "O", "running").otherwise("completed").alias("to"),
-                    F.create_map(F.lit("state"), F.when(F.col("l_linestatus") == "O", "running").otherwise("completed")).alias("updates"),
+                    F.create_map(
+                        F.lit("state"), F.when(F.col("l_linestatus") == "O", "running").otherwise("completed"),
+                        F.lit("controller_pid"), F.col("l_suppkey").cast("string"),
+                        F.lit("container_id"), F.concat(F.lit("c-"), F.col("l_orderkey").cast("string")),
+                        F.lit("last_checkpoint_epoch"), F.col("l_linenumber").cast("string"),
+                    ).alias("updates"),
                 )
             )
         )
     )
     return li.select(
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"),
+        F.col("l_partkey").alias("id_part"),
+        F.col("l_suppkey").alias("id_supp"),
         F.col("l_orderkey").alias("job_id"),
         etype.alias("event_type"),
         payload.alias("payload"),

@@ -1,3 +1,4 @@
 """Imports every query module so their @register calls run."""
 
 from runledger.plans import q_lifecycle  # noqa: F401
+from runledger.plans import q_listing  # noqa: F401
