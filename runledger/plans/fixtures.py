@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runledger.schemas import LABEL_CONTROLLER_PID, LABEL_CREATED_AT, LABEL_JOB_ID
 from runledger.sources.tables import table
 
 # ---------------------------------------------------------------------------
@@ -24,9 +25,6 @@ REGISTRY_ROWS = [
     ("1-URGENT", "jobctl/worker:urgent", "/usr/local/bin/jobworker", 500, 1),
     ("2-HIGH", "", "", 0, 1),
 ]
-LABEL_JOB_ID = "com.jobctl.job_id"
-LABEL_CONTROLLER_PID = "com.jobctl.controller_pid"
-LABEL_CREATED_AT = "com.jobctl.created_at"
 LEASE_TTL_SECONDS = 24 * 3600
 CADENCE_K = 10
 # ---------------------------------------------------------------------------
@@ -130,6 +128,13 @@ SQL: dict[str, str] = {
                l_linenumber, l_quantity, l_linestatus, l_suppkey
         from lineitem""",
 }
+SQL["registry_rows"] = """
+        select p_partkey as line,
+               case when p_size % 17 = 0 then '' else p_brand end as worker_name,
+               case when p_size % 10 = 0 then '' else 'img/' || replace(lower(p_type), ' ', '-') end as image,
+               case when p_size % 13 = 0 then '' else '/usr/local/bin/' || lower(p_brand) end as command,
+               p_size * 100 as checkpoint_interval, 1 as schema_version
+        from part"""
 SQL["ledger_rows"] = f"""
         select cast(o_orderkey as varchar) as id, 'jobctl/worker:latest' as image,
                '/usr/local/bin/jobworker' as command,
@@ -409,3 +414,22 @@ def ledger_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("string").alias("state_volume_path"),
         F.lit(None).cast("string").alias("assigned_controller_id"),
     )
+
+
+def registry_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registry file rows in load order (line), some malformed or repeated."""
+    p = table(spark, sf_dir, "part")
+    size = F.col("p_size")
+    return p.select(
+        F.col("p_partkey").alias("line"),
+        F.when(size % 17 == 0, "").otherwise(F.col("p_brand")).alias("worker_name"),
+        F.when(size % 10 == 0, "").otherwise(F.concat(F.lit("img/"), F.replace(F.lower("p_type"), F.lit(" "), F.lit("-")))).alias("image"),
+        F.when(size % 13 == 0, "").otherwise(F.concat(F.lit("/usr/local/bin/"), F.lower("p_brand"))).alias("command"),
+        (size * 100).alias("checkpoint_interval"),
+        F.lit(1).alias("schema_version"),
+    )
+
+
+def alive_pids(spark: SparkSession) -> DataFrame:
+    """Process table of the controller host: pid 1 is the controller itself, 2 another live one."""
+    return spark.createDataFrame([(1,), (2,)], "pid int")
