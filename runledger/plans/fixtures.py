@@ -128,6 +128,9 @@ SQL: dict[str, str] = {
                l_linenumber, l_quantity, l_linestatus, l_suppkey
         from lineitem""",
 }
+SQL["lease_starts"] = """
+        select event_id as seq, event_type as lease_key, user_id as starter, ts
+        from events where value > 100"""
 SQL["registry_rows"] = """
         select p_partkey as line,
                case when p_size % 17 = 0 then '' else p_brand end as worker_name,
@@ -433,3 +436,14 @@ def registry_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def alive_pids(spark: SparkSession) -> DataFrame:
     """Process table of the controller host: pid 1 is the controller itself, 2 another live one."""
     return spark.createDataFrame([(1,), (2,)], "pid int")
+
+
+def lease_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Job starts claimed under a lease: touches with value > 100, by their toucher."""
+    ev = table(spark, sf_dir, "events")
+    return ev.filter(F.col("value") > 100).select(
+        F.col("event_id").alias("seq"),
+        F.col("event_type").alias("lease_key"),
+        F.col("user_id").alias("starter"),
+        F.col("ts"),
+    )
