@@ -201,7 +201,7 @@ def worker_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def worker_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def worker_lines(spark: SparkSession, sf_dir: str, embed_seq: bool = False) -> DataFrame:
     """worker_log as NDJSON text (`value`) plus its arrival order (`seq`).
 
     Every tenth event becomes a junk line: a comment, a cut JSON object or a
@@ -210,6 +210,7 @@ def worker_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     wl = worker_log(spark, sf_dir)
     payload = F.to_json(
         F.struct(
+            *([F.col("seq")] if embed_seq else []),
             F.col("type"),
             F.col("job_id"),
             F.col("epoch"),

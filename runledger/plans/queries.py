@@ -6,3 +6,4 @@ from runledger.plans import q_reconcile  # noqa: F401
 from runledger.plans import q_aggregate  # noqa: F401
 from runledger.plans import q_runs  # noqa: F401
 from runledger.plans import q_audit  # noqa: F401
+from runledger.plans import q_stream  # noqa: F401

@@ -138,9 +138,11 @@ JOB_EVENTS_SCHEMA = T.StructType(
     ]
 )
 
-# One NDJSON line of worker output; `found` is unsigned 64-bit.
+# One NDJSON line of worker output; `found` is unsigned 64-bit.  `seq` (the
+# arrival order) is optional: batch readers may supply it as a column.
 LOG_LINE_SCHEMA = T.StructType(
     [
+        T.StructField("seq", T.LongType()),
         T.StructField("type", T.StringType()),
         T.StructField("job_id", T.StringType()),
         T.StructField("worker", T.StringType()),

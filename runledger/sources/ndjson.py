@@ -21,16 +21,17 @@ INT64_MAX = 9223372036854775807
 def read_log(lines: DataFrame, order: str | None = "seq", strict_int64: bool = False, value: str = "value") -> DataFrame:
     """Parse a DataFrame of text lines (``value``) into typed events.
 
-    ``order`` names the arrival-order column; when None one is made with
-    ``monotonically_increasing_id`` (line order within each file split).
+    ``order`` names the arrival-order column of ``lines``; when None the
+    order is the line's own ``seq`` member.  Works on batch and streaming
+    DataFrames alike.
     """
-    df = lines if order is not None else lines.withColumn("seq", F.monotonically_increasing_id())
-    order = order or "seq"
+    keep = [order] if order else []
     line = F.trim(F.col(value))
-    parsed = df.select(order, line.alias("_line")).filter(F.col("_line").startswith("{")).select(
-        order, F.from_json(F.col("_line"), LOG_LINE_SCHEMA, {"mode": "PERMISSIVE"}).alias("e")
+    parsed = lines.select(*keep, line.alias("_line")).filter(F.col("_line").startswith("{")).select(
+        *keep, F.from_json(F.col("_line"), LOG_LINE_SCHEMA, {"mode": "PERMISSIVE"}).alias("e")
     )
-    ev = parsed.filter(F.col("e.type").isin(*KNOWN_TYPES)).select(order, "e.*")
+    fields = [F.col(f"e.{f.name}") for f in LOG_LINE_SCHEMA.fields if not (order and f.name == "seq")]
+    ev = parsed.filter(F.col("e.type").isin(*KNOWN_TYPES)).select(*keep, *fields)
     if strict_int64:
         big = F.lit(INT64_MAX).cast("decimal(20,0)")
         fits = F.coalesce(F.col("found") <= big, F.lit(True)) & F.coalesce(F.col("next") <= big, F.lit(True))
@@ -39,6 +40,8 @@ def read_log(lines: DataFrame, order: str | None = "seq", strict_int64: bool = F
 
 
 def read_log_files(spark: SparkSession, path: str, strict_int64: bool = False) -> DataFrame:
-    """Batch read of NDJSON log files; arrival order = file then line order."""
-    lines = spark.read.text(path).withColumn("file", F.col("_metadata.file_path"))
-    return read_log(lines, order=None, strict_int64=strict_int64)
+    """Batch read of NDJSON log files.  Lines without a ``seq`` member get
+    ``monotonically_increasing_id`` (line order within a file split)."""
+    lines = spark.read.text(path).withColumn("_mono", F.monotonically_increasing_id())
+    ev = read_log(lines, order="_mono", strict_int64=strict_int64)
+    return ev.withColumnRenamed("_mono", "seq")
