@@ -139,7 +139,7 @@ def walk_pages(jobs: DataFrame, n_pages: int, limit: int, faithful: bool = False
     spark = jobs.sparkSession
     pages, cursor = [], None
     for i in range(n_pages):
-        cur_df = None if cursor is None else spark.createDataFrame([(cursor,)], f"cursor_id {jobs.schema[id_col].dataType.simpleString()}")
+        cur_df = None if cursor is None else spark.range(1).select(F.lit(cursor).cast(jobs.schema[id_col].dataType).alias("cursor_id"))
         page = jobs_page(jobs, limit, cursor=cur_df, faithful=faithful, id_col=id_col).withColumn("page_no", F.lit(i + 1))
         page = page.cache()
         pages.append(page)

@@ -33,25 +33,32 @@ def running_sums(
 ) -> DataFrame:
     """Add running sums ``sum(v) over (partition by keys order by order)``.
 
-    ``inclusive=False`` gives the sum over strictly earlier rows.
+    ``inclusive=False`` gives the sum over strictly earlier rows.  The bucket
+    totals are read off the last row of each bucket of the first window, so
+    the input is scanned and shuffled once.
     """
     df = df.withColumn(_B, bucket)
-    w = Window.partitionBy(*keys, _B).orderBy(*_cols(order)).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow if inclusive else -1
-    )
+    w = Window.partitionBy(*keys, _B).orderBy(*_cols(order))
+    frame = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = df.select(
         "*",
-        *[F.coalesce(F.sum(v).over(w), F.lit(0)).alias(f"_l_{n}") for n, v in values.items()],
+        *[F.coalesce(F.sum(v).over(frame), F.lit(0)).alias(f"_l_{n}") for n, v in values.items()],
+        *([v.alias(f"_v_{n}") for n, v in values.items()] if not inclusive else []),
+        F.lead(F.lit(1)).over(w).isNull().alias("_last"),
     )
-    totals = df.groupBy(*keys, _B).agg(*[F.sum(v).alias(f"_t_{n}") for n, v in values.items()])
+    totals = local.filter(F.col("_last")).select(*keys, _B, *[F.col(f"_l_{n}").alias(f"_t_{n}") for n in values])
     wb = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *keys, _B, *[F.coalesce(F.sum(f"_t_{n}").over(wb), F.lit(0)).alias(f"_o_{n}") for n in values]
     )
     out = local.join(offsets, [*keys, _B], "inner")
     for n in values:
-        out = out.withColumn(n, F.col(f"_l_{n}") + F.col(f"_o_{n}"))
-    return out.drop(_B, *[f"_l_{n}" for n in values], *[f"_o_{n}" for n in values])
+        own = F.lit(0) if inclusive else F.coalesce(F.col(f"_v_{n}"), F.lit(0))
+        out = out.withColumn(n, F.col(f"_l_{n}") + F.col(f"_o_{n}") - own)
+    drop = [_B, "_last", *[f"_l_{n}" for n in values], *[f"_o_{n}" for n in values]]
+    if not inclusive:
+        drop += [f"_v_{n}" for n in values]
+    return out.drop(*drop)
 
 
 def shifted(
@@ -63,26 +70,32 @@ def shifted(
     prefix: str,
     direction: str = "lag",
 ) -> DataFrame:
-    """Add ``lag(c)`` (or ``lead(c)``) for each column, named ``prefix + c``."""
+    """Add ``lag(c)`` (or ``lead(c)``) for each column, named ``prefix + c``.
+
+    Rows at a bucket edge take the value from the neighbouring non-empty
+    bucket: the last row of the previous bucket (lag) or the first row of the
+    next one (lead), found with a window over one row per bucket.
+    """
     if direction not in ("lag", "lead"):
         raise ValueError(direction)
     order_c = _cols(order)
     df = df.withColumn(_B, bucket)
     w = Window.partitionBy(*keys, _B).orderBy(*order_c)
     shift = F.lag if direction == "lag" else F.lead
-    edge = F.row_number().over(
-        w if direction == "lag" else Window.partitionBy(*keys, _B).orderBy(*[c.desc() for c in order_c])
+    local = df.select(
+        "*",
+        *[shift(c).over(w).alias(f"_s_{c}") for c in cols],
+        shift(F.lit(1)).over(w).isNull().alias("_edge"),
+        (F.lead if direction == "lag" else F.lag)(F.lit(1)).over(w).isNull().alias("_far"),
     )
-    local = df.select("*", *[shift(c).over(w).alias(f"_s_{c}") for c in cols], edge.alias("_edge"))
-    pick = F.max_by if direction == "lag" else F.min_by
-    ordkey = F.struct(*order_c)
-    ends = df.groupBy(*keys, _B).agg(pick(F.struct(*cols), ordkey).alias("_end"))
+    # The row a neighbouring bucket needs: last row (lag) / first row (lead).
+    ends = local.filter(F.col("_far")).select(*keys, _B, F.struct(*cols).alias("_end"))
     wb = Window.partitionBy(*keys).orderBy(_B)
     border = ends.select(*keys, _B, shift("_end").over(wb).alias("_nb"))
     out = local.join(border, [*keys, _B], "inner")
     for c in cols:
-        out = out.withColumn(prefix + c, F.when(F.col("_edge") == 1, F.col(f"_nb.{c}")).otherwise(F.col(f"_s_{c}")))
-    return out.drop(_B, "_edge", "_nb", *[f"_s_{c}" for c in cols])
+        out = out.withColumn(prefix + c, F.when(F.col("_edge"), F.col(f"_nb.{c}")).otherwise(F.col(f"_s_{c}")))
+    return out.drop(_B, "_edge", "_far", "_nb", *[f"_s_{c}" for c in cols])
 
 
 def bucket_of(col, width) -> Column:

@@ -299,8 +299,9 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registry(spark: SparkSession) -> DataFrame:
     from runledger.schemas import REGISTRY_SCHEMA
+    from runledger.sources.dims import literal_frame
 
-    return spark.createDataFrame(REGISTRY_ROWS, REGISTRY_SCHEMA)
+    return literal_frame(spark, REGISTRY_ROWS, REGISTRY_SCHEMA)
 
 
 def lease_touches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -436,7 +437,11 @@ def registry_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def alive_pids(spark: SparkSession) -> DataFrame:
     """Process table of the controller host: pid 1 is the controller itself, 2 another live one."""
-    return spark.createDataFrame([(1,), (2,)], "pid int")
+    from pyspark.sql import types as T
+
+    from runledger.sources.dims import literal_frame
+
+    return literal_frame(spark, [(1,), (2,)], T.StructType([T.StructField("pid", T.IntegerType())]))
 
 
 def lease_starts(spark: SparkSession, sf_dir: str) -> DataFrame:

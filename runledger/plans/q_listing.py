@@ -136,8 +136,7 @@ def jobs_page_state(spark, sf_dir):
 )
 def page_seek(spark, sf_dir):
     """J4, faithful seek: strict created_at < cursor's created_at."""
-    spark_ = spark
-    cur = spark_.createDataFrame([(7,)], "cursor_id bigint")
+    cur = spark.range(1).select(F.lit(7).cast("bigint").alias("cursor_id"))
     return LS.jobs_page(fx.jobs(spark, sf_dir), 50, cursor=cur, faithful=True)
 
 

@@ -4,6 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def literal_frame(spark, rows: list[tuple], schema: "T.StructType") -> DataFrame:
+    """A small literal table built inside the JVM (no Python worker at run time)."""
+    structs = [
+        F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, schema.fields)])
+        for row in rows
+    ]
+    if not structs:
+        return spark.createDataFrame([], schema)
+    return spark.range(1).select(F.inline(F.array(*structs)))
 
 
 def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
