@@ -112,7 +112,7 @@ def fault_triage(
     """
     cp = checkpoints if fault_ts is None else checkpoints.filter(F.col(ts) <= F.lit(fault_ts))
     last = cp.groupBy(F.col(job_id).alias("_j")).agg(
-        F.max_by(F.struct(*[F.col(c) for c in order], F.col(ts)), F.struct(*[F.col(c) for c in order])).alias("c")
+        F.max_by(F.struct(*[F.col(c) for c in order], F.col(ts)), F.struct(*[F.col(c) for c in order], F.col(ts))).alias("c")
     )
     nt = jobs.filter(~F.col("state").isin(*TERMINAL_STATES))
     j = nt.join(last, nt[job_id] == last["_j"], "left")

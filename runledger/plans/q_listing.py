@@ -140,8 +140,10 @@ def page_seek(spark, sf_dir):
     return LS.jobs_page(fx.jobs(spark, sf_dir), 50, cursor=cur, faithful=True)
 
 
-_EV_ORDER = ("id", "id_part", "id_supp")
-_EV_ORDER_SQL = "id desc, id_part desc, id_supp desc"
+# Line numbers repeat in the driver's lineitem, so the log's total order
+# spells out every column that reaches the output.
+_EV_ORDER = ("id", "id_part", "id_supp", "recorded_at", "event_type")
+_EV_ORDER_SQL = "id desc, id_part desc, id_supp desc, recorded_at desc, event_type desc"
 
 
 @register(

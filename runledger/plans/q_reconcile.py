@@ -77,7 +77,7 @@ def orphans(spark, sf_dir):
     with_ctes(
         "select j.job_id, j.state, c.id as checkpoint_id, c.id_part as checkpoint_id_part, c.id_supp as checkpoint_id_supp, "
         "c.recorded_at as checkpoint_at, case when c.id is not null then 'interrupted_resumable' else 'interrupted_unresumable' end as verdict "
-        "from jobs j left join (select * from (select *, row_number() over (partition by job_id order by id desc, id_part desc, id_supp desc) as rn "
+        "from jobs j left join (select * from (select *, row_number() over (partition by job_id order by id desc, id_part desc, id_supp desc, recorded_at desc) as rn "
         f"from job_events where event_type = 'checkpoint' and recorded_at <= timestamp '{FAULT_TS}') where rn = 1) c on j.job_id = c.job_id "
         "where j.state not in ('completed', 'failed', 'cancelled', 'interrupted_unresumable')",
         "jobs",
