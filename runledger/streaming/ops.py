@@ -4,8 +4,9 @@
 * ST2 ``stream_latest_checkpoint``: ``max_by`` per job in a stateful
   aggregation, emitted in update mode.
 * ST3 ``stream_replay_state``: guarded replay with keyed state
-  (``applyInPandasWithState``): the state is the job's current state and its
-  counts; each batch's requests of a job are walked in ``seq`` order.
+  (``applyInPandasWithState``): the state is the job's current state, its
+  counts and a buffer of requests above the event-time watermark; requests
+  are applied in ``seq`` order once the watermark passes them.
 * ST4 ``stream_resumable_count``: word count whose result after a restart on
   the same checkpoint equals an uninterrupted run.
 * ST5 ``stream_lease_sessions``: holds as event-time session windows (gap =
@@ -66,39 +67,75 @@ _REPLAY_OUT = T.StructType(
     ]
 )
 _REPLAY_STATE = T.StructType(
-    [T.StructField("cur", T.IntegerType()), T.StructField("applied", T.LongType()), T.StructField("rejected", T.LongType())]
+    [
+        T.StructField("cur", T.IntegerType()),
+        T.StructField("applied", T.LongType()),
+        T.StructField("rejected", T.LongType()),
+        T.StructField("buf_seq", T.ArrayType(T.LongType())),
+        T.StructField("buf_to", T.ArrayType(T.StringType())),
+        T.StructField("buf_ms", T.ArrayType(T.LongType())),
+    ]
 )
 
 
-def stream_replay_state(requests: DataFrame, key: str = "job_id", seq: str = "seq", to: str = "to_state") -> DataFrame:
+def stream_replay_state(
+    requests: DataFrame,
+    key: str = "job_id",
+    seq: str = "seq",
+    to: str = "to_state",
+    ts: str = "recorded_at",
+    delay: str = "0 seconds",
+) -> DataFrame:
     """ST3: per request its from-state and whether it was accepted (append mode).
 
-    Requests of a job must arrive in ``seq`` order across micro-batches;
-    inside a batch they are sorted by ``seq``.
+    Requests may arrive out of order by up to the watermark ``delay``: each
+    job buffers its requests in state and applies, in ``seq`` order, only
+    those at or below the event-time watermark; an event-time timeout wakes
+    the job when the watermark passes its oldest buffered request.  The
+    buffer holds at most the requests of one delay window.
     """
     legal = transition_matrix()
     index = {s: i for i, s in enumerate(STATES)}
+    timed = requests.withColumn("_et", F.col(ts).cast("timestamp")).withWatermark("_et", delay)
+    timed = timed.withColumn("_ms", (F.unix_micros("_et") / 1000).cast("bigint"))
 
     def step(k: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        cur, applied, rejected = state.get if state.exists else (0, 0, 0)
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(seq, kind="stable")
-        froms, oks = [], []
-        for t in pdf[to].tolist():
+        if state.exists:
+            cur, applied, rejected, bseq, bto, bms = state.get
+            bseq, bto, bms = list(bseq or []), list(bto or []), list(bms or [])
+        else:
+            cur, applied, rejected, bseq, bto, bms = 0, 0, 0, [], [], []
+        for pdf in pdfs:
+            bseq += pdf[seq].astype("int64").tolist()
+            bto += pdf[to].tolist()
+            bms += pdf["_ms"].astype("int64").tolist()
+        wm = state.getCurrentWatermarkMs()
+        rows = sorted(zip(bseq, bto, bms), key=lambda r: r[0])
+        ready = [r for r in rows if r[2] <= wm]
+        rest = [r for r in rows if r[2] > wm]
+        out_seq, out_to, froms, oks = [], [], [], []
+        for sq, t, _ in ready:
             froms.append(STATES[cur])
             ti = index.get(t, -1)
             ok = ti >= 0 and legal[cur][ti]
             oks.append(ok)
+            out_seq.append(sq)
+            out_to.append(t)
             if ok:
                 cur, applied = ti, applied + 1
             else:
                 rejected += 1
-        state.update((cur, applied, rejected))
-        yield pd.DataFrame(
-            {"job_id": pdf[key].astype(str), "seq": pdf[seq].astype("int64"), "to_state": pdf[to], "from_state": froms, "accepted": oks}
-        )
-
-    return requests.groupBy(key).applyInPandasWithState(
-        step, _REPLAY_OUT, _REPLAY_STATE, "append", GroupStateTimeout.NoTimeout
+        state.update((cur, applied, rejected, [r[0] for r in rest], [r[1] for r in rest], [r[2] for r in rest]))
+        if rest:
+            # Fires once the watermark reaches the oldest buffered request.
+            state.setTimeoutTimestamp(max(min(r[2] for r in rest) - 1, wm))
+        if out_seq:
+            yield pd.DataFrame(
+                {"job_id": [str(k[0])] * len(out_seq), "seq": out_seq, "to_state": out_to, "from_state": froms, "accepted": oks}
+            )
+
+    return timed.groupBy(key).applyInPandasWithState(
+        step, _REPLAY_OUT, _REPLAY_STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
