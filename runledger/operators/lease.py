@@ -96,17 +96,26 @@ def coverage(
     instant), -1 at end (after them), running sum per key along time.
     """
     t = "_t"
-    pid_type = probes.schema["_probe_id"].dataType
-    no_id = F.lit(None).cast(pid_type).alias("_probe_id")
-    opens = intervals.select(*keys, F.col(start).alias(t), F.lit(0).alias("_o"), F.lit(1).cast("bigint").alias("_d"), no_id)
-    closes = intervals.select(*keys, F.col(end).alias(t), F.lit(2).alias("_o"), F.lit(-1).cast("bigint").alias("_d"), no_id)
-    pts = probes.select(*keys, F.col(at).alias(t), F.lit(1).alias("_o"), F.lit(0).cast("bigint").alias("_d"), F.col("_probe_id"))
-    events = opens.unionByName(closes).unionByName(pts)
+    payload_t = probes.schema
+    no_payload = F.lit(None).cast(payload_t)
+    # One pass over the intervals yields both the +1 (open) and -1 (close) rows.
+    edges = F.explode(
+        F.array(
+            F.struct(F.col(start).alias(t), F.lit(0).alias("_o"), F.lit(1).cast("bigint").alias("_d")),
+            F.struct(F.col(end).alias(t), F.lit(2).alias("_o"), F.lit(-1).cast("bigint").alias("_d")),
+        )
+    ).alias("_e")
+    marks = intervals.select(*keys, edges).select(*keys, "_e.*", no_payload.alias("_p"))
+    # Probes travel through the sweep whole, so no join back is needed.
+    pts = probes.select(
+        *keys, F.col(at).alias(t), F.lit(1).alias("_o"), F.lit(0).cast("bigint").alias("_d"),
+        F.struct(*[F.col(c) for c in probes.columns]).alias("_p"),
+    )
+    events = marks.unionByName(pts)
     run = ordered.running_sums(
-        events, list(keys), [t, "_o", "_probe_id"], ordered.time_bucket(t, bucket_seconds), {"n_cover": F.col("_d")}
+        events, list(keys), [t, "_o", F.col("_p._probe_id")], ordered.time_bucket(t, bucket_seconds), {"n_cover": F.col("_d")}
     )
-    counts = run.filter(F.col("_o") == 1).select("_probe_id", "n_cover")
-    return probes.join(counts, "_probe_id", "inner")
+    return run.filter(F.col("_o") == 1).select("_p.*", "n_cover")
 
 
 def start_by_holder(

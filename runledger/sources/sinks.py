@@ -7,9 +7,13 @@ lost executor's task is simply retried.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_RUN_TS = re.compile(r"/run_ts=([^/]+)/")
+
 
 def publish_snapshot(df: DataFrame, path: str, run_ts: str) -> None:
     """SNK1: write one time-stamped result; earlier snapshots stay readable."""
@@ -24,12 +28,14 @@ def publish_snapshot(df: DataFrame, path: str, run_ts: str) -> None:
 def latest_snapshot(spark: SparkSession, path: str) -> DataFrame:
     """SNK1: the `latest` pointer = the partition with the largest run_ts.
 
-    The max is found from partition values only (a metadata-level aggregate
-    over the partition column), then the scan prunes to that partition.
+    The newest run is found from the file listing alone (partition values in
+    the paths, no data read); the scan is then pruned to that partition.
     """
     snaps = spark.read.parquet(path)
-    latest = snaps.agg(F.max("run_ts").alias("m")).first()["m"]
-    return snaps.filter(F.col("run_ts") == F.lit(latest)).drop("run_ts")
+    runs = {m.group(1) for f in snaps.inputFiles() if (m := _RUN_TS.search(f))}
+    if not runs:
+        return snaps.limit(0).drop("run_ts")
+    return snaps.filter(F.col("run_ts") == F.lit(max(runs))).drop("run_ts")
 
 
 def append_events(events: DataFrame, path: str, payload_cols: list[str], key: str = "job_id", event_type: str = "event_type") -> None:
