@@ -56,6 +56,15 @@ def jobs_in_states(spark, sf_dir):
     return LS.jobs_in_states(fx.jobs(spark, sf_dir))
 
 
+@register(
+    "oldest_first",
+    with_ctes(f"select * from jobs where state in {_REC} order by created_at, job_id limit 100", "jobs"),
+)
+def oldest_first(spark, sf_dir):
+    """L3: the recovery scan's order, oldest first; the report keeps the 100 oldest."""
+    return LS.jobs_in_states(fx.jobs(spark, sf_dir)).orderBy("created_at", "job_id").limit(100)
+
+
 @register(
     "terminal_flag",
     with_ctes(f"select *, coalesce(state in {TERMINAL_LIST}, false) as terminal from jobs", "jobs"),

@@ -92,7 +92,7 @@ def fault_triage(spark, sf_dir):
 
 
 @register(
-    "registry_audit",
+    "registry_dim",
     with_ctes(
         "select r.*, coalesce(case when trim(worker_name) = '' then 'missing_worker_name' "
         "when trim(image) = '' then 'missing_image' when trim(command) = '' then 'missing_command' end, "
