@@ -36,9 +36,37 @@ def state_index(state) -> Column:
     return (F.coalesce(F.array_position(arr, _c(state)), F.lit(0)) - 1).cast("int")
 
 
+_EPOCH_NTZ = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+
+
+def epoch_micros(ts) -> Column:
+    """Microseconds since the epoch of a timestamp_ntz read as UTC.
+
+    Zone-free: no dependence on the session time zone, so it is monotone in
+    the wall-clock value (no DST gaps) and equal to DuckDB's epoch_us.
+    A timestamp (with zone) input is an instant already: unix_micros.
+    """
+    return F.timestamp_diff("MICROSECOND", F.expr(_EPOCH_NTZ), _c(ts))
+
+
+def ntz_from_micros(us) -> Column:
+    """timestamp_ntz of epoch microseconds (UTC wall clock), zone-free."""
+    return F.expr(_EPOCH_NTZ) + F.make_dt_interval(secs=(_c(us) / F.lit(1_000_000)).cast("decimal(18,6)"))
+
+
+def utc_instant(ts) -> Column:
+    """timestamp (instant) of a timestamp_ntz read as UTC; for watermarks."""
+    return F.timestamp_micros(epoch_micros(ts))
+
+
+def seconds_between(a, b) -> Column:
+    """b - a in seconds (double) for timestamp_ntz columns, zone-free."""
+    return (epoch_micros(b) - epoch_micros(a)) / 1e6
+
+
 def nanos_to_ts(ns) -> Column:
     """unix nanoseconds -> timestamp_ntz in UTC (microsecond precision)."""
-    return F.timestamp_micros(F.floor(_c(ns) / 1000).cast("bigint")).cast("timestamp_ntz")
+    return ntz_from_micros(F.floor(_c(ns) / 1000).cast("bigint"))
 
 
 def le_uint(b, offset: int, width: int) -> Column:

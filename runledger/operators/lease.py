@@ -19,13 +19,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from runledger.functions.scalar import seconds_between
 from runledger.operators import ordered
 
 DAY = 86400
 
 
 def _secs(a, b) -> F.Column:
-    return (F.unix_micros(F.col(b).cast("timestamp")) - F.unix_micros(F.col(a).cast("timestamp"))) / 1e6
+    return seconds_between(a, b)
 
 
 def lease_holds(

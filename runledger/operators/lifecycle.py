@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runledger.functions.scalar import is_terminal, is_valid_transition, state_index
+from runledger.functions.scalar import is_terminal, is_valid_transition, seconds_between, state_index
 from runledger.operators import ordered
 from runledger.schemas import STATES, TERMINAL_STATES, transition_matrix
 
@@ -270,7 +270,7 @@ def state_durations(
         F.max(F.when(acc & (F.col(to) == "running"), F.col(ts))).alias("started_at"),
         F.max(F.when(acc & is_terminal(F.col(to)), F.col(ts))).alias("finished_at"),
     )
-    secs = lambda a, b: (F.unix_micros(F.col(b).cast("timestamp")) - F.unix_micros(F.col(a).cast("timestamp"))) / 1e6
+    secs = seconds_between
     return agg.select(
         key, "created_at", "started_at", "finished_at",
         F.round(secs("created_at", "started_at"), 6).alias("queue_wait_s"),

@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from runledger.functions.scalar import epoch_micros
+
 _B = "_bucket"
 
 
@@ -107,4 +109,4 @@ def bucket_of(col, width) -> Column:
 def time_bucket(col, seconds: int) -> Column:
     """Integer bucket of a timestamp (or timestamp_ntz) ordering column."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.floor(F.unix_micros(c.cast("timestamp")) / F.lit(seconds * 1_000_000)).cast("bigint")
+    return F.floor(epoch_micros(c) / F.lit(seconds * 1_000_000)).cast("bigint")

@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runledger.functions.scalar import seconds_between
+
 QUANTILES = (0.5, 0.95, 0.99)
 
 
@@ -52,7 +54,7 @@ def run_summary(
     agg = g.agg(
         F.count_if(ok).alias("successes"),
         F.count_if(F.col(err)).alias("failures"),
-        ((F.unix_micros(F.max(ts).cast("timestamp")) - F.unix_micros(F.min(ts).cast("timestamp"))) / 1e6).alias("wall_s"),
+        seconds_between(F.min(ts), F.max(ts)).alias("wall_s"),
         _pcts(lat_ok, QUANTILES, approx).alias("_p"),
         F.max(lat_ok).alias("_max"),
         F.avg(lat_ok).alias("_mean"),

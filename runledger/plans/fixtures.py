@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runledger.functions.scalar import epoch_micros
 from runledger.schemas import LABEL_CONTROLLER_PID, LABEL_CREATED_AT, LABEL_JOB_ID
 from runledger.sources.tables import table
 
@@ -393,7 +394,7 @@ def ledger_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     j = jobs(spark, sf_dir)
     k = F.col("o_orderkey")
-    ns = (F.unix_micros(F.col("o_orderdate").cast("timestamp")) * 1000)
+    ns = epoch_micros("o_orderdate") * 1000
     base = o.select(
         k.cast("string").alias("id"),
         F.lit("jobctl/worker:latest").alias("image"),

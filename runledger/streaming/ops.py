@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from runledger.functions.scalar import epoch_micros, ntz_from_micros, utc_instant
 from runledger.operators import aggregate as A
 from runledger.schemas import STATES, transition_matrix
 from runledger.sources.ndjson import read_log
@@ -96,8 +97,8 @@ def stream_replay_state(
     """
     legal = transition_matrix()
     index = {s: i for i, s in enumerate(STATES)}
-    timed = requests.withColumn("_et", F.col(ts).cast("timestamp")).withWatermark("_et", delay)
-    timed = timed.withColumn("_ms", (F.unix_micros("_et") / 1000).cast("bigint"))
+    timed = requests.withColumn("_et", utc_instant(ts)).withWatermark("_et", delay)
+    timed = timed.withColumn("_ms", F.floor(epoch_micros(ts) / 1000).cast("bigint"))
 
     def step(k: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.exists:
@@ -144,8 +145,13 @@ def stream_word_count(docs: DataFrame) -> DataFrame:
     return A.word_count(A.tokenize(docs))
 
 
+def _ntz(instant) -> F.Column:
+    """timestamp -> timestamp_ntz as UTC wall clock (zone-free)."""
+    return ntz_from_micros(F.unix_micros(instant))
+
+
 def with_event_time(df: DataFrame, ts: str = "ts", out: str = "event_time") -> DataFrame:
-    return df.withColumn(out, F.col(ts).cast("timestamp"))
+    return df.withColumn(out, utc_instant(ts))
 
 
 def stream_lease_sessions(
@@ -156,7 +162,7 @@ def stream_lease_sessions(
     g = t.groupBy(key, holder, F.session_window("event_time", f"{ttl_seconds} seconds").alias("s")).agg(
         F.min(ts).alias("from_ts"), F.max(ts).alias("last_touch"), F.count(F.lit(1)).alias("touches")
     )
-    return g.select(key, holder, "from_ts", "last_touch", F.col("s.end").cast("timestamp_ntz").alias("until_ts"), "touches")
+    return g.select(key, holder, "from_ts", "last_touch", _ntz(F.col("s.end")).alias("until_ts"), "touches")
 
 
 def stream_dedupe(events: DataFrame, keys: list[str], ts: str = "ts", delay: str = "30 days") -> DataFrame:
@@ -182,8 +188,8 @@ def stream_cadence_counts(events: DataFrame, every: str = "1 day", ts: str = "ts
         F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).alias("total_value")
     )
     return g.select(
-        F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-        F.col("w.end").cast("timestamp_ntz").alias("window_end"),
+        _ntz(F.col("w.start")).alias("window_start"),
+        _ntz(F.col("w.end")).alias("window_end"),
         by,
         "n",
         "total_value",
