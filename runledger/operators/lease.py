@@ -37,17 +37,33 @@ def lease_holds(
     ts: str = "ts",
     bucket_seconds: int = DAY,
 ) -> DataFrame:
-    """Holds (key, holder, hold_no, from_ts, last_touch, until_ts, touches)."""
+    """Holds (key, holder, hold_no, from_ts, last_touch, until_ts, touches).
+
+    With an ``op`` column, a ``release`` touch ends its hold at once (until =
+    the release time) and the holder's next touch opens a new hold.
+    """
     b = ordered.time_bucket(ts, bucket_seconds)
-    lagged = ordered.shifted(touches.select(key, holder, ts), [key, holder], [ts], b, [ts], "prev_")
-    new = F.when(F.col("prev_" + ts).isNull() | (_secs("prev_" + ts, ts) > ttl_seconds), 1).otherwise(0)
+    has_op = "op" in touches.columns
+    cols = [key, holder, ts] + (["op"] if has_op else [])
+    lagged = ordered.shifted(touches.select(*cols), [key, holder], [ts], b, [ts] + (["op"] if has_op else []), "prev_")
+    new = F.col("prev_" + ts).isNull() | (_secs("prev_" + ts, ts) > ttl_seconds)
+    if has_op:
+        new = new | F.coalesce(F.col("prev_op") == "release", F.lit(False))
     numbered = ordered.running_sums(
-        lagged.withColumn("_new", new.cast("bigint")), [key, holder], [ts], ordered.time_bucket(ts, bucket_seconds), {"hold_no": F.col("_new")}
-    )
-    holds = numbered.groupBy(key, holder, "hold_no").agg(
-        F.min(ts).alias("from_ts"), F.max(ts).alias("last_touch"), F.count(F.lit(1)).alias("touches")
+        lagged.withColumn("_new", F.when(new, 1).otherwise(0).cast("bigint")),
+        [key, holder],
+        [ts],
+        ordered.time_bucket(ts, bucket_seconds),
+        {"hold_no": F.col("_new")},
     )
-    return holds.withColumn("until_ts", (F.col("last_touch") + F.make_dt_interval(secs=F.lit(ttl_seconds))).cast(touches.schema[ts].dataType))
+    aggs = [F.min(ts).alias("from_ts"), F.max(ts).alias("last_touch"), F.count(F.lit(1)).alias("touches")]
+    if has_op:
+        aggs.append(F.max_by(F.col("op") == "release", F.col(ts)).alias("_released"))
+    holds = numbered.groupBy(key, holder, "hold_no").agg(*aggs)
+    until = F.col("last_touch") + F.make_dt_interval(secs=F.lit(ttl_seconds))
+    if has_op:
+        until = F.when(F.coalesce(F.col("_released"), F.lit(False)), F.col("last_touch")).otherwise(until)
+    return holds.withColumn("until_ts", until.cast(touches.schema[ts].dataType)).drop("_released")
 
 
 def failover_gap(

@@ -71,6 +71,7 @@ def build_args(resolved: DataFrame) -> DataFrame:
         flag("--limit", "limit"),
         flag("--checkpoint-every", "checkpoint_every"),
         flag("--seed", "seed"),
+        *([flag("--sleep-per-checkpoint-ms", "sleep_per_checkpoint_ms")] if "sleep_per_checkpoint_ms" in resolved.columns else []),
     )
     return resolved.withColumn("argv", args)
 

@@ -51,3 +51,12 @@ def test_registry_audit(spark):
     df = spark.createDataFrame(rows, "line long, worker_name string, image string, command string")
     got = {r.line: r.verdict for r in registry_audit(df).collect()}
     assert got == {1: "ok", 2: "ok", 3: "duplicate_worker_name", 4: "missing_image", 5: "missing_worker_name", 6: "missing_command"}
+
+
+def test_sleep_flag_only_when_positive(spark):
+    df = spark.createDataFrame(
+        [(1, "primes", [], 0, 0, 0, 250), (2, "primes", [], 0, 0, 0, 0)],
+        "req_id long, resolved_worker string, args array<string>, limit long, seed long, checkpoint_every int, sleep_per_checkpoint_ms int",
+    )
+    got = {r.req_id: r.argv for r in Q.build_args(df).collect()}
+    assert got == {1: ["--worker", "primes", "--sleep-per-checkpoint-ms", "250"], 2: ["--worker", "primes"]}

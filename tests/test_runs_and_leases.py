@@ -99,3 +99,11 @@ def test_overlap_and_starts(spark):
     )
     got = {r.seq: (r.n_covering, r.own_hold, r.violation) for r in LE.start_by_holder(starts, holds).collect()}
     assert got == {1: (1, True, False), 2: (0, False, True), 3: (1, True, False)}
+
+
+def test_release_cuts_the_hold(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("k", "A", t0, "acquire"), ("k", "A", t0 + dt.timedelta(seconds=10), "release"), ("k", "A", t0 + dt.timedelta(seconds=15), "acquire")]
+    t = spark.createDataFrame(rows, "lease_key string, holder string, ts timestamp_ntz, op string")
+    holds = sorted(LE.lease_holds(t, 30).collect(), key=lambda h: h.from_ts)
+    assert [(h.touches, (h.until_ts - h.from_ts).total_seconds()) for h in holds] == [(2, 10.0), (1, 30.0)]
