@@ -194,3 +194,56 @@ def stream_cadence_counts(events: DataFrame, every: str = "1 day", ts: str = "ts
         "n",
         "total_value",
     )
+
+
+_ALERT_OUT = T.StructType(
+    [
+        T.StructField("job_id", T.StringType()),
+        T.StructField("last_checkpoint_ms", T.LongType()),
+        T.StructField("stale_since_ms", T.LongType()),
+    ]
+)
+_ALERT_STATE = T.StructType([T.StructField("last_ms", T.LongType())])
+
+
+def stream_stale_alerts(
+    events: DataFrame, bound_seconds: int, key: str = "job_id", ts: str = "ts", delay: str = "0 seconds"
+) -> DataFrame:
+    """ST7 with event-time timers: one alert each time a job goes longer than
+    ``bound_seconds`` (event time) without a checkpoint.
+
+    State per job is the time of its newest checkpoint; a timer at
+    ``last + bound`` fires once the watermark passes it.  A checkpoint that
+    arrives after the timer should have fired still raises the alert for the
+    gap before it is applied.  When alerts fire depends on the watermark, so
+    the batch twin is ``stale_jobs`` at the final watermark.
+    """
+    bound_ms = bound_seconds * 1000
+    timed = (
+        events.filter(F.col("type") == "checkpoint")
+        .withColumn("_et", utc_instant(ts))
+        .withWatermark("_et", delay)
+        .withColumn("_ms", F.floor(epoch_micros(ts) / 1000).cast("bigint"))
+    )
+
+    def step(k: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        alerts = []
+        if state.hasTimedOut:
+            (last,) = state.get
+            alerts.append((str(k[0]), last, last + bound_ms))
+            state.remove()
+        else:
+            wm = state.getCurrentWatermarkMs()
+            last = state.get[0] if state.exists else None
+            for ms in sorted(int(x) for pdf in pdfs for x in pdf["_ms"].tolist()):
+                if last is not None and ms - last > bound_ms and last + bound_ms < wm:
+                    alerts.append((str(k[0]), last, last + bound_ms))
+                last = ms if last is None else max(last, ms)
+            state.update((last,))
+            state.setTimeoutTimestamp(max(last + bound_ms, wm))
+        if alerts:
+            yield pd.DataFrame(alerts, columns=["job_id", "last_checkpoint_ms", "stale_since_ms"])
+
+    return timed.groupBy(key).applyInPandasWithState(
+        step, _ALERT_OUT, _ALERT_STATE, "append", GroupStateTimeout.EventTimeTimeout
+    )

@@ -34,3 +34,26 @@ def test_restart_on_same_checkpoint_equals_fresh_run(spark):
     got = {(r.word, r.n) for r in C.read_latest(spark, out, ["word"]).collect()}
     want = {(r.word, r.n) for r in A.word_count(A.tokenize(docs)).collect()}
     assert got == want
+
+
+def test_stale_alert_timers(spark):
+    import datetime as dt
+
+    src, out, ck = C.paths(spark, "t-st7")
+    t0 = dt.datetime(2024, 1, 1)
+    schema = "job_id string, seq long, ts timestamp_ntz, type string"
+    batches = [
+        [("a", 1, t0, "checkpoint"), ("b", 2, t0, "checkpoint")],
+        [("b", 3, t0 + dt.timedelta(seconds=100), "checkpoint")],
+        [("b", 4, t0 + dt.timedelta(seconds=120), "checkpoint")],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+    sdf = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    C.run_available_now(S.stream_stale_alerts(sdf, 50), out, ck)
+    got = sorted((r.job_id, r.stale_since_ms) for r in spark.read.parquet(out).collect())
+    base = int(t0.replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
+    # a: silent after t0, its timer (t0 + 50 s) fires once the watermark passes it.
+    # b: the 100 s gap is seen when the second checkpoint arrives, as the
+    #    watermark (t0) has not passed t0 + 50 s yet, so no alert for b.
+    assert got == [("a", base + 50_000)]
