@@ -1,11 +1,16 @@
 """Run statistics and the regression gate: A2 A3 J10.
 
-Percentiles are exact by default (``percentile``: linear interpolation at
-rank p*(n-1), the same rule as the bench's own).  Its per-group state is a
-map from distinct value to count, merged map-side, so memory follows the
-number of distinct latencies in a group, not its rows.  ``approx=True`` uses
-``percentile_approx`` (a bounded sketch) for groups with unbounded distinct
-values.
+Percentiles are exact: linear interpolation at rank p*(n-1), the bench's own
+rule.  Three methods:
+
+* ``"rank"`` (default): distributed rank selection.  Values are counted per
+  (group, value) with map-side combine, cumulative counts come from the
+  bucketed running sums of ``ordered`` (buckets = value ranges), and the rows
+  whose count interval holds a target rank are picked by a filter.  No task
+  ever holds a whole group, however hot.
+* ``"map"``: Spark's ``percentile`` (a value->count map per group, merged in
+  one task per group); fine when distinct values per group are few.
+* ``"approx"``: ``percentile_approx`` (bounded sketch, approximate).
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runledger.functions.scalar import seconds_between
+from runledger.operators import ordered
 
 QUANTILES = (0.5, 0.95, 0.99)
 
@@ -38,13 +44,78 @@ def _pcts(x: Column, qs: Sequence[float], approx: bool) -> Column:
     return F.percentile_approx(x, arr, 10000) if approx else F.percentile(x, arr)
 
 
+VALUE_BUCKETS = 1 << 16
+
+
+def rank_percentiles(df: DataFrame, by: Sequence[str], value: str, qs: Sequence[float]) -> DataFrame:
+    """Exact percentiles per group by distributed rank selection.
+
+    Returns ``by`` + one column ``_q{i}`` per quantile (null for an empty
+    group).  The value range is cut into at most VALUE_BUCKETS buckets from
+    one global min/max, which bounds the per-group bucket window.
+    """
+    by = list(by)
+    if not by:
+        # One group: give it a constant key so every step stays an equi-join.
+        out = rank_percentiles(df.withColumn("_all", F.lit(1)), ["_all"], value, qs)
+        return out.drop("_all")
+    vals = df.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    counts = vals.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    lo, hi = vals.agg(F.min("_v"), F.max("_v")).first()
+    if lo is None:
+        return counts.groupBy(*by).agg(*[F.lit(None).cast("double").alias(f"_q{i}") for i in range(len(qs))])
+    width = max((hi - lo) / VALUE_BUCKETS, 1e-300)
+    bucket = F.floor((F.col("_v") - F.lit(lo)) / F.lit(width)).cast("bigint")
+    run = ordered.running_sums(counts, by, ["_v"], bucket, {"_cum": F.col("_c")})
+    n = counts.groupBy(*by).agg(F.sum("_c").alias("_n"))
+    run = run.join(n, by, "inner")
+    picks, outs = [], []
+    for i, q in enumerate(qs):
+        rank = F.lit(q) * (F.col("_n") - 1)
+        r_lo, r_hi = F.floor(rank), F.ceil(rank)
+        prev = F.col("_cum") - F.col("_c")
+        in_lo = (prev <= r_lo) & (r_lo < F.col("_cum"))
+        in_hi = (prev <= r_hi) & (r_hi < F.col("_cum"))
+        picks.append(in_lo | in_hi)
+        outs += [
+            F.max(F.when(in_lo, F.col("_v"))).alias(f"_lo{i}"),
+            F.max(F.when(in_hi, F.col("_v"))).alias(f"_hi{i}"),
+            F.max(rank - r_lo).alias(f"_f{i}"),
+        ]
+    cond = picks[0]
+    for c in picks[1:]:
+        cond = cond | c
+    sel = run.filter(cond).groupBy(*by).agg(*outs)
+    res = sel.select(
+        *by,
+        *[
+            (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_f{i}")).alias(f"_q{i}")
+            for i in range(len(qs))
+        ],
+    )
+    return res
+
+
+def _stats(runs: DataFrame, by: Sequence[str], latency: str, err: str, qs: Sequence[float], method: str) -> DataFrame:
+    """Percentiles of successful latencies per group as columns _q0.. (null if none)."""
+    lat_ok = F.when(~F.col(err), F.col(latency))
+    if method == "rank":
+        ok = runs.filter(~F.col(err)).select(*by, F.col(latency))
+        got = rank_percentiles(ok, by, latency, qs)
+        keys = runs.select(*by).distinct() if by else None
+        return keys.join(got, list(by), "left") if by else got
+    g = runs.groupBy(*by) if by else runs.groupBy()
+    agg = g.agg(_pcts(lat_ok, qs, method == "approx").alias("_p"))
+    return agg.select(*by, *[F.col("_p")[i].alias(f"_q{i}") for i in range(len(qs))])
+
+
 def run_summary(
     runs: DataFrame,
     by: Sequence[str] = (),
     latency: str = "latency_ms",
     err: str = "err",
     ts: str = "ts",
-    approx: bool = False,
+    method: str = "rank",
 ) -> DataFrame:
     """A2: successes, failures, wall seconds, jobs/s and latency stats over
     successes only; a group without successes reports 0 for each stat."""
@@ -55,10 +126,11 @@ def run_summary(
         F.count_if(ok).alias("successes"),
         F.count_if(F.col(err)).alias("failures"),
         seconds_between(F.min(ts), F.max(ts)).alias("wall_s"),
-        _pcts(lat_ok, QUANTILES, approx).alias("_p"),
         F.max(lat_ok).alias("_max"),
         F.avg(lat_ok).alias("_mean"),
     )
+    p = _stats(runs, by, latency, err, QUANTILES, method)
+    agg = agg.join(p, list(by), "left") if by else _one_row_join(agg, p)
     z = F.lit(0.0)
     return agg.select(
         *by,
@@ -66,22 +138,32 @@ def run_summary(
         "failures",
         F.col("wall_s"),
         F.when(F.col("wall_s") > 0, F.col("successes") / F.col("wall_s")).otherwise(z).alias("jobs_per_sec"),
-        F.round(F.coalesce(F.col("_p")[0], z), 6).alias("p50_ms"),
-        F.round(F.coalesce(F.col("_p")[1], z), 6).alias("p95_ms"),
-        F.round(F.coalesce(F.col("_p")[2], z), 6).alias("p99_ms"),
+        F.round(F.coalesce(F.col("_q0"), z), 6).alias("p50_ms"),
+        F.round(F.coalesce(F.col("_q1"), z), 6).alias("p95_ms"),
+        F.round(F.coalesce(F.col("_q2"), z), 6).alias("p99_ms"),
         F.coalesce(F.col("_max"), z).alias("max_ms"),
         F.round(F.coalesce(F.col("_mean"), z), 6).alias("mean_ms"),
     )
 
 
+def _one_row_join(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Join two one-row (or empty) aggregates side by side on a constant key."""
+    k = "_one"
+    return a.withColumn(k, F.lit(1)).join(b.withColumn(k, F.lit(1)), k, "left").drop(k)
+
+
 def latency_percentiles(
-    runs: DataFrame, by: Sequence[str], qs: Sequence[float], latency: str = "latency_ms", err: str = "err", approx: bool = False
+    runs: DataFrame,
+    by: Sequence[str],
+    qs: Sequence[float],
+    latency: str = "latency_ms",
+    err: str = "err",
+    method: str = "rank",
 ) -> DataFrame:
     """A3: exact percentiles of successful latencies per group (empty -> 0)."""
-    lat_ok = F.when(~F.col(err), F.col(latency))
-    agg = runs.groupBy(*by).agg(_pcts(lat_ok, qs, approx).alias("_p"))
-    cols = [F.round(F.coalesce(F.col("_p")[i], F.lit(0.0)), 6).alias(f"p{_label(q)}") for i, q in enumerate(qs)]
-    return agg.select(*by, *cols)
+    p = _stats(runs, by, latency, err, qs, method)
+    cols = [F.round(F.coalesce(F.col(f"_q{i}"), F.lit(0.0)), 6).alias(f"p{_label(q)}") for i, q in enumerate(qs)]
+    return p.select(*by, *cols)
 
 
 def _label(q: float) -> str:

@@ -107,3 +107,16 @@ def test_release_cuts_the_hold(spark):
     t = spark.createDataFrame(rows, "lease_key string, holder string, ts timestamp_ntz, op string")
     holds = sorted(LE.lease_holds(t, 30).collect(), key=lambda h: h.from_ts)
     assert [(h.touches, (h.until_ts - h.from_ts).total_seconds()) for h in holds] == [(2, 10.0), (1, 30.0)]
+
+
+def test_rank_percentiles_equal_spark_percentile(spark):
+    import random
+
+    rnd = random.Random(11)
+    rows = [(rnd.choice(["hot"] * 6 + ["a", "b"]), float(rnd.choice([rnd.randint(0, 50), 7, 7, 7])), rnd.random() < 0.1) for _ in range(3000)]
+    rows += [("only_err", 5.0, True)]
+    df = spark.createDataFrame(rows, "g string, latency_ms double, err boolean")
+    qs = (0.0, 0.25, 0.5, 0.95, 0.99, 1.0)
+    a = {r.g: tuple(r[1:]) for r in RS.latency_percentiles(df, ["g"], qs, method="rank").collect()}
+    b = {r.g: tuple(r[1:]) for r in RS.latency_percentiles(df, ["g"], qs, method="map").collect()}
+    assert a == b and a["only_err"] == (0.0,) * len(qs)
