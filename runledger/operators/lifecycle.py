@@ -177,10 +177,12 @@ def replay_steps(
     levels = _levels(log, seq, bucket_width, fanout)
     tables = transition_tables(log, key, seq, to, bucket_width)
     starts = bucket_start_states(tables, key, levels, fanout)
+    # Hash the log by (key, b) once; the join with the (small) start table
+    # keeps that partitioning, so each bucket is contiguous after the sort.
     rows = (
         log.withColumn("b", ordered.bucket_of(seq, bucket_width))
-        .join(starts, [key, "b"], "inner")
         .repartition(key, "b")
+        .join(starts, [key, "b"], "inner")
         .sortWithinPartitions(key, "b", seq)
     )
     legal = transition_matrix()
