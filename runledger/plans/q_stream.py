@@ -84,8 +84,8 @@ def stream_resumable_count(spark, sf_dir):
     mid = docs.approxQuantile("doc_id", [0.5], 0.001)[0]
     first, rest = docs.filter(F.col("doc_id") <= mid), docs.filter(F.col("doc_id") > mid)
     for part in (first, rest):
-        C.stage_chunks(part, src, "doc_id", 2, FILES)
-        q = S.stream_word_count(_stream_parquet(spark, src, docs.schema))
+        C.stage_chunks(part, src, "doc_id", 1, FILES)
+        q = S.stream_word_count(spark.readStream.schema(docs.schema).parquet(src))
         C.run_available_now(q, out, ck, output_mode="update", foreach_batch=C.upsert_batches(out))
     return C.read_latest(spark, out, ["word"])
 
