@@ -153,3 +153,35 @@ def last_found(wlog: DataFrame, key: str = "job_id", seq: str = "seq") -> DataFr
     return wlog.groupBy(key).agg(
         F.coalesce(F.max_by(F.when(reports, F.col("found")), F.when(reports, F.col(seq))), F.lit(0)).cast("bigint").alias("last_found")
     )
+
+
+def global_cadence(rows: DataFrame, order: Sequence[str], k: int, hit: str = "hit") -> DataFrame:
+    """W4 for one global order: a snapshot at every k-th hit plus a final one.
+
+    Positions come from ``ordered.global_running_sums`` (range partitions and
+    per-partition offsets), never from an unpartitioned window.
+    """
+    run = ordered.global_running_sums(
+        rows, order, {"pos": F.lit(1), "hits": F.col(hit).cast("bigint")}
+    )
+    tot = rows.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col(hit)).alias("total_hits"))
+    t = tot.first()
+    total, total_hits = int(t["total"]), int(t["total_hits"])
+    snaps = run.filter(F.col(hit) & (F.col("hits") % k == 0)).select(
+        *order,
+        (F.col("hits") / k).cast("bigint").alias("epoch"),
+        F.col("pos").alias("cursor"),
+        F.col("hits").alias("found"),
+        _progress(F.col("pos"), F.lit(total)).alias("progress"),
+        F.lit(False).alias("final"),
+    )
+    spark = rows.sparkSession
+    final = spark.range(1).select(
+        *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in order],
+        F.lit(total_hits // k + 1).cast("bigint").alias("epoch"),
+        F.lit(total).cast("bigint").alias("cursor"),
+        F.lit(total_hits).cast("bigint").alias("found"),
+        F.lit(1.0).alias("progress"),
+        F.lit(True).alias("final"),
+    )
+    return snaps.unionByName(final)

@@ -110,3 +110,60 @@ def time_bucket(col, seconds: int) -> Column:
     """Integer bucket of a timestamp (or timestamp_ntz) ordering column."""
     c = F.col(col) if isinstance(col, str) else col
     return F.floor(epoch_micros(c) / F.lit(seconds * 1_000_000)).cast("bigint")
+
+
+def global_running_sums(df: DataFrame, order: Sequence[str], values: dict[str, Column], partitions: int | None = None) -> DataFrame:
+    """Running sums along one global order, without an unpartitioned window.
+
+    Two passes over one range partitioning of the order:
+    1. per range partition, the totals of each value (one small aggregate,
+       n rows for n partitions, collected as scalars);
+    2. inside each partition, rows sorted by the order get a cumulative sum
+       (vectorised, ``mapInPandas``) plus the totals of all earlier
+       partitions.
+    Range bounds are sampled per job, so the range-partitioned, sorted data
+    is written once with ``checkpoint()`` to the shared checkpoint folder:
+    both passes read the same partitions, and a lost executor re-reads them
+    instead of re-sampling.  ``order`` must be a total order (ties would make
+    the running value depend on the order of tied rows).
+    """
+    import numpy as np
+    from pyspark.sql import types as T
+
+    from runledger.session import ensure_checkpoint_dir
+
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = list(values)
+    base = df.select(*df.columns, *[values[k].cast("bigint").alias(f"_v_{k}") for k in names])
+    fixed = base.repartitionByRange(n, *order).sortWithinPartitions(*order).checkpoint(eager=True)
+    ranged = fixed.withColumn("_pid", F.spark_partition_id())
+    rows = ranged.groupBy("_pid").agg(*[F.sum(f"_v_{k}").alias(k) for k in names]).collect()
+    totals = {r["_pid"]: [int(r[k] or 0) for k in names] for r in rows}
+    offsets, acc = {}, [0] * len(names)
+    for pid in range(n):
+        offsets[pid] = list(acc)
+        acc = [a + b for a, b in zip(acc, totals.get(pid, [0] * len(names)))]
+    schema = T.StructType(
+        [f for f in ranged.schema.fields if not f.name.startswith("_v_") and f.name != "_pid"]
+        + [T.StructField(k, T.LongType()) for k in names]
+    )
+    keep = [f.name for f in schema.fields if f.name not in names]
+
+    def cumulate(batches):
+        # One range partition arrives sorted; batches continue its running sums.
+        run = None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            if run is None:
+                run = np.array(offsets[int(pdf["_pid"].iloc[0])], dtype="int64")
+            out = pdf[keep].copy()
+            for i, k in enumerate(names):
+                cs = pdf[f"_v_{k}"].fillna(0).astype("int64").to_numpy().cumsum() + run[i]
+                out[k] = cs
+                run[i] = cs[-1]
+            yield out
+
+    return ranged.mapInPandas(cumulate, schema)

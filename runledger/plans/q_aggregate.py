@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from runledger.operators import aggregate as A
 from runledger.operators import ordered
 from runledger.plans import fixtures as fx
 from runledger.plans.catalog import register, with_ctes
 from runledger.plans.fixtures import CADENCE_K
+from runledger.sources.tables import table
 
 U64 = "18446744073709551616"
 _FP = "cast(('0x' || substr(md5({x}), 1, 15)) as bigint)"
@@ -136,3 +139,26 @@ def tail_ring(spark, sf_dir):
 )
 def last_found(spark, sf_dir):
     return A.last_found(fx.worker_log(spark, sf_dir))
+
+
+_GORDER = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+_GORDER_SQL = ", ".join(_GORDER)
+GLOBAL_K = 1000
+
+
+@register(
+    "global_cadence",
+    f"""with g as (select {_GORDER_SQL}, l_returnflag = 'R' as hit,
+                count(*) over w as pos, count(*) filter (where l_returnflag = 'R') over w as hits,
+                count(*) over () as total
+         from lineitem window w as (order by {_GORDER_SQL} rows between unbounded preceding and current row))
+    select {_GORDER_SQL}, cast(hits / {GLOBAL_K} as bigint) as epoch, pos as cursor, hits as found,
+           least(1.0, pos / total) as progress, false as final
+    from g where hit and hits % {GLOBAL_K} = 0
+    union all
+    select {", ".join(f"null as {c}" for c in _GORDER)}, cast(floor(count(*) filter (where l_returnflag = 'R') / {GLOBAL_K}) + 1 as bigint),
+           count(*), count(*) filter (where l_returnflag = 'R'), 1.0, true from lineitem""",
+)
+def global_cadence(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select(*_GORDER, (F.col("l_returnflag") == "R").alias("hit"))
+    return A.global_cadence(li, _GORDER, GLOBAL_K)

@@ -40,3 +40,11 @@ def test_same_result_for_any_partitioning(spark, data):
     a = ordered.running_sums(data.repartition(1), ["k"], ["s"], ordered.bucket_of("s", 50), {"x": F.col("v")})
     b = ordered.running_sums(data.repartition(9, "v"), ["k"], ["s"], ordered.bucket_of("s", 50), {"x": F.col("v")})
     assert sorted(a.collect()) == sorted(b.collect())
+
+
+@pytest.mark.parametrize("parts", [1, 3, 16])
+def test_global_running_sums_match_window(spark, data, parts):
+    w = Window.orderBy("s", "k").rowsBetween(Window.unboundedPreceding, 0)
+    want = {(r.k, r.s): r.x for r in data.select("k", "s", F.sum("v").over(w).alias("x")).collect()}
+    got = ordered.global_running_sums(data, ["s", "k"], {"x": F.col("v")}, partitions=parts)
+    assert {(r.k, r.s): r.x for r in got.collect()} == want
