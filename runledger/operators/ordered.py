@@ -25,6 +25,9 @@ def _cols(xs) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
 
+BORDER_FANOUT = 4096
+
+
 def running_sums(
     df: DataFrame,
     keys: Sequence[str],
@@ -32,6 +35,7 @@ def running_sums(
     bucket: Column,
     values: dict[str, Column],
     inclusive: bool = True,
+    levels: int = 1,
 ) -> DataFrame:
     """Add running sums ``sum(v) over (partition by keys order by order)``.
 
@@ -49,10 +53,20 @@ def running_sums(
         F.lead(F.lit(1)).over(w).isNull().alias("_last"),
     )
     totals = local.filter(F.col("_last")).select(*keys, _B, *[F.col(f"_l_{n}").alias(f"_t_{n}") for n in values])
-    wb = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *keys, _B, *[F.coalesce(F.sum(f"_t_{n}").over(wb), F.lit(0)).alias(f"_o_{n}") for n in values]
-    )
+    if levels > 0:
+        # The bucket totals are themselves summed in buckets of buckets, so a
+        # key spanning very many buckets is still split over tasks.
+        tb = totals.withColumnRenamed(_B, "_bb")
+        off = running_sums(
+            tb, keys, ["_bb"], bucket_of("_bb", BORDER_FANOUT),
+            {f"_o_{n}": F.col(f"_t_{n}") for n in values}, inclusive=False, levels=levels - 1,
+        )
+        offsets = off.select(*keys, F.col("_bb").alias(_B), *[f"_o_{n}" for n in values])
+    else:
+        wb = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
+        offsets = totals.select(
+            *keys, _B, *[F.coalesce(F.sum(f"_t_{n}").over(wb), F.lit(0)).alias(f"_o_{n}") for n in values]
+        )
     out = local.join(offsets, [*keys, _B], "inner")
     for n in values:
         own = F.lit(0) if inclusive else F.coalesce(F.col(f"_v_{n}"), F.lit(0))
@@ -71,6 +85,7 @@ def shifted(
     cols: Sequence[str],
     prefix: str,
     direction: str = "lag",
+    levels: int = 1,
 ) -> DataFrame:
     """Add ``lag(c)`` (or ``lead(c)``) for each column, named ``prefix + c``.
 
@@ -92,8 +107,14 @@ def shifted(
     )
     # The row a neighbouring bucket needs: last row (lag) / first row (lead).
     ends = local.filter(F.col("_far")).select(*keys, _B, F.struct(*cols).alias("_end"))
-    wb = Window.partitionBy(*keys).orderBy(_B)
-    border = ends.select(*keys, _B, shift("_end").over(wb).alias("_nb"))
+    if levels > 0:
+        # Neighbouring buckets found the same way, one level up.
+        eb = ends.withColumnRenamed(_B, "_bb")
+        nb = shifted(eb, keys, ["_bb"], bucket_of("_bb", BORDER_FANOUT), ["_end"], "_n", direction, levels - 1)
+        border = nb.select(*keys, F.col("_bb").alias(_B), F.col("_n_end").alias("_nb"))
+    else:
+        wb = Window.partitionBy(*keys).orderBy(_B)
+        border = ends.select(*keys, _B, shift("_end").over(wb).alias("_nb"))
     out = local.join(border, [*keys, _B], "inner")
     for c in cols:
         out = out.withColumn(prefix + c, F.when(F.col("_edge"), F.col(f"_nb.{c}")).otherwise(F.col(f"_s_{c}")))

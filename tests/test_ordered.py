@@ -48,3 +48,15 @@ def test_global_running_sums_match_window(spark, data, parts):
     want = {(r.k, r.s): r.x for r in data.select("k", "s", F.sum("v").over(w).alias("x")).collect()}
     got = ordered.global_running_sums(data, ["s", "k"], {"x": F.col("v")}, partitions=parts)
     assert {(r.k, r.s): r.x for r in got.collect()} == want
+
+
+def test_bucket_levels_with_tiny_fanout(spark, data, monkeypatch):
+    monkeypatch.setattr(ordered, "BORDER_FANOUT", 3)
+    w = Window.partitionBy("k").orderBy("s")
+    want_sum = {(r.k, r.s): r.x for r in data.select("k", "s", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("x")).collect()}
+    want_lag = {(r.k, r.s): r.p for r in data.select("k", "s", F.lag("v").over(w).alias("p")).collect()}
+    for levels in (0, 1, 3):
+        got = ordered.running_sums(data, ["k"], ["s"], ordered.bucket_of("s", 5), {"x": F.col("v")}, levels=levels)
+        assert {(r.k, r.s): r.x for r in got.collect()} == want_sum
+        sh = ordered.shifted(data, ["k"], ["s"], ordered.bucket_of("s", 5), ["v"], "p_", levels=levels)
+        assert {(r.k, r.s): r.p_v for r in sh.collect()} == want_lag
