@@ -87,6 +87,7 @@ def _positions(rows: DataFrame, key: str, order: Sequence[str], bucket: F.Column
         order,
         bucket,
         {"pos": F.lit(1).cast("bigint"), "hits": F.col(hit).cast("bigint")},
+        levels=0,  # callers bucket by time: one border row per (key, period)
     )
     totals = rows.groupBy(F.col(key).alias("_k")).agg(
         F.count(F.lit(1)).alias("total"), F.count_if(F.col(hit)).alias("total_hits")

@@ -45,7 +45,8 @@ def lease_holds(
     b = ordered.time_bucket(ts, bucket_seconds)
     has_op = "op" in touches.columns
     cols = [key, holder, ts] + (["op"] if has_op else [])
-    lagged = ordered.shifted(touches.select(*cols), [key, holder], [ts], b, [ts] + (["op"] if has_op else []), "prev_")
+    # Day buckets: one border row per (key, holder, day), so no further level is needed.
+    lagged = ordered.shifted(touches.select(*cols), [key, holder], [ts], b, [ts] + (["op"] if has_op else []), "prev_", levels=0)
     new = F.col("prev_" + ts).isNull() | (_secs("prev_" + ts, ts) > ttl_seconds)
     if has_op:
         new = new | F.coalesce(F.col("prev_op") == "release", F.lit(False))
@@ -55,6 +56,7 @@ def lease_holds(
         [ts],
         ordered.time_bucket(ts, bucket_seconds),
         {"hold_no": F.col("_new")},
+        levels=0,
     )
     aggs = [F.min(ts).alias("from_ts"), F.max(ts).alias("last_touch"), F.count(F.lit(1)).alias("touches")]
     if has_op:
@@ -81,7 +83,7 @@ def failover_gap(
     none are dropped.
     """
     b = ordered.time_bucket("from_ts", bucket_seconds)
-    nxt = ordered.shifted(holds, [key], ["from_ts", holder], b, [holder, "from_ts"], "next_", direction="lead")
+    nxt = ordered.shifted(holds, [key], ["from_ts", holder], b, [holder, "from_ts"], "next_", direction="lead", levels=0)
     sla = float(ttl_seconds) + float(poll_seconds)
     out = nxt.filter(F.col("next_" + holder).isNotNull() & (F.col("next_" + holder) != F.col(holder)))
     return out.select(
@@ -130,7 +132,8 @@ def coverage(
     )
     events = marks.unionByName(pts)
     run = ordered.running_sums(
-        events, list(keys), [t, "_o", F.col("_p._probe_id")], ordered.time_bucket(t, bucket_seconds), {"n_cover": F.col("_d")}
+        events, list(keys), [t, "_o", F.col("_p._probe_id")], ordered.time_bucket(t, bucket_seconds), {"n_cover": F.col("_d")},
+        levels=0,
     )
     return run.filter(F.col("_o") == 1).select("_p.*", "n_cover")
 

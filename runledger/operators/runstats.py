@@ -66,7 +66,8 @@ def rank_percentiles(df: DataFrame, by: Sequence[str], value: str, qs: Sequence[
         return counts.groupBy(*by).agg(*[F.lit(None).cast("double").alias(f"_q{i}") for i in range(len(qs))])
     width = max((hi - lo) / VALUE_BUCKETS, 1e-300)
     bucket = F.floor((F.col("_v") - F.lit(lo)) / F.lit(width)).cast("bigint")
-    run = ordered.running_sums(counts, by, ["_v"], bucket, {"_cum": F.col("_c")})
+    # At most VALUE_BUCKETS buckets per group, so the bucket level is small.
+    run = ordered.running_sums(counts, by, ["_v"], bucket, {"_cum": F.col("_c")}, levels=0)
     n = counts.groupBy(*by).agg(F.sum("_c").alias("_n"))
     run = run.join(n, by, "inner")
     picks, outs = [], []
