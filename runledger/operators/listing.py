@@ -68,31 +68,30 @@ def jobs_page(
     jobs: DataFrame,
     limit: int | None = None,
     state: str | None = None,
-    cursor: DataFrame | None = None,
+    cursor=None,
     faithful: bool = False,
     id_col: str = "job_id",
     created: str = "created_at",
 ) -> DataFrame:
     """L1 (+J4): one page newest first, with ``next_cursor`` on every row.
 
-    ``cursor`` is a one-row DataFrame ``(cursor_id)``; the seek key is looked
-    up as a scalar subquery (a one-row broadcast).  Default mode seeks on
-    ``(created, id)`` so ties never drop rows; ``faithful=True`` seeks on
-    ``created`` alone, as the ledger does (rows that tie with the cursor row
-    are skipped, an unknown cursor yields an empty page).
+    ``cursor`` is the id of the last row of the previous page.  Its seek key
+    is a scalar subquery, run once and pushed into the scan as a filter.
+    Default mode seeks on ``(created, id)``, so ties never drop rows.
+    ``faithful=True`` seeks on ``created`` alone, as the ledger does: rows
+    that tie with the cursor row are skipped.  An unknown cursor yields an
+    empty page in both modes.
     """
     n = clamp_limit(limit, DEFAULT_PAGE_LIMIT)
     df = jobs_by_state(jobs, state)
     if cursor is not None:
-        key = jobs.join(F.broadcast(cursor.limit(1)), F.col(id_col) == F.col("cursor_id"), "inner").select(
-            F.col(created).alias("_cc"), F.col(id_col).alias("_ci")
-        )
-        df = df.join(F.broadcast(key), how="inner")
+        row = jobs.filter(F.col(id_col) == F.lit(cursor))
+        cc = row.select(created).scalar()
         if faithful:
-            df = df.filter(F.col(created) < F.col("_cc"))
+            df = df.filter(F.col(created) < cc)
         else:
-            df = df.filter((F.col(created) < F.col("_cc")) | ((F.col(created) == F.col("_cc")) & (F.col(id_col) < F.col("_ci"))))
-        df = df.drop("_cc", "_ci")
+            ci = row.select(id_col).scalar()
+            df = df.filter((F.col(created) < cc) | ((F.col(created) == cc) & (F.col(id_col) < ci)))
     top = df.orderBy(F.col(created).desc(), F.col(id_col).desc()).limit(n + 1)
     w = Window.orderBy(F.col(created).desc(), F.col(id_col).desc())
     # At most n + 1 rows here, so the unpartitioned window is over a bounded set.
@@ -136,11 +135,9 @@ def page_union(pages: list[DataFrame], id_col: str = "job_id") -> DataFrame:
 
 def walk_pages(jobs: DataFrame, n_pages: int, limit: int, faithful: bool = False, id_col: str = "job_id") -> list[DataFrame]:
     """Pages 1..n_pages; each cursor is the previous page's next_cursor (one tiny action per page)."""
-    spark = jobs.sparkSession
     pages, cursor = [], None
     for i in range(n_pages):
-        cur_df = None if cursor is None else spark.range(1).select(F.lit(cursor).cast(jobs.schema[id_col].dataType).alias("cursor_id"))
-        page = jobs_page(jobs, limit, cursor=cur_df, faithful=faithful, id_col=id_col).withColumn("page_no", F.lit(i + 1))
+        page = jobs_page(jobs, limit, cursor=cursor, faithful=faithful, id_col=id_col).withColumn("page_no", F.lit(i + 1))
         page = page.cache()
         pages.append(page)
         row = page.select("next_cursor").first()
