@@ -36,11 +36,22 @@ def register(name: str, oracle: str | None):
     return deco
 
 
-def with_ctes(body: str, *names: str, recursive: bool = False, extra: dict[str, str] | None = None) -> str:
-    """Prefix ``body`` with the CTEs of the named derived relations."""
+def with_ctes(
+    body: str,
+    *names: str,
+    recursive: bool = False,
+    extra: dict[str, str] | None = None,
+    raw: tuple[str, ...] = (),
+) -> str:
+    """Prefix ``body`` with the CTEs of the named derived relations.
+
+    ``extra`` maps more CTE names to bodies; ``raw`` items are complete
+    ``name as (...)`` definitions (several, comma separated, allowed).
+    """
     parts = [f"{n} as ({SQL[n]})" for n in names]
     for k, v in (extra or {}).items():
         parts.append(f"{k} as ({v})")
+    parts += [r.strip() for r in raw]
     head = "with recursive " if recursive else "with "
     return head + ",\n".join(parts) + "\n" + body
 

@@ -21,8 +21,8 @@ _REPLAY_FINAL = (
         "select job_id, final_state, applied, rejected from final",
         "job_log",
         recursive=True,
-        extra={"_": "select 1"},
-    ).replace("_ as (select 1)", REPLAY_WALK.strip() + ",\n" + _REPLAY_FINAL),
+        raw=(REPLAY_WALK.strip() + ",\n" + _REPLAY_FINAL,),
+    ),
 )
 def replay_state(spark, sf_dir):
     return L.replay_state(fx.job_log(spark, sf_dir))
@@ -34,8 +34,8 @@ def replay_state(spark, sf_dir):
         "select final_state as state, count(*) as n_jobs from final group by final_state",
         "job_log",
         recursive=True,
-        extra={"_": "select 1"},
-    ).replace("_ as (select 1)", REPLAY_WALK.strip() + ",\n" + _REPLAY_FINAL),
+        raw=(REPLAY_WALK.strip() + ",\n" + _REPLAY_FINAL,),
+    ),
 )
 def state_counts(spark, sf_dir):
     return L.state_counts(L.replay_state(fx.job_log(spark, sf_dir)))
@@ -48,8 +48,8 @@ def state_counts(spark, sf_dir):
         "join (select job_id, seq, found from job_log) j using (job_id, seq) where rn > 0",
         "job_log",
         recursive=True,
-        extra={"_": "select 1"},
-    ).replace("_ as (select 1)", REPLAY_WALK.strip()),
+        raw=(REPLAY_WALK.strip(),),
+    ),
 )
 def replay_steps(spark, sf_dir):
     return L.replay_steps(fx.job_log(spark, sf_dir))
@@ -78,9 +78,7 @@ _ATTEMPTS = (
 
 @register(
     "attempts",
-    with_ctes("select * from attempts", "worker_log", extra={"_": "select 1"}).replace(
-        "_ as (select 1)", _ATTEMPTS
-    ),
+    with_ctes("select * from attempts", "worker_log", raw=(_ATTEMPTS,)),
 )
 def attempts(spark, sf_dir):
     return L.attempts(fx.worker_log(spark, sf_dir))
@@ -93,8 +91,8 @@ def attempts(spark, sf_dir):
         "from (select *, lag(epoch) over (partition by job_id, attempt order by seq) as prev_epoch "
         "from attempts where type in ('checkpoint', 'completed'))",
         "worker_log",
-        extra={"_": "select 1"},
-    ).replace("_ as (select 1)", _ATTEMPTS),
+        raw=(_ATTEMPTS,),
+    ),
 )
 def epoch_monotonic(spark, sf_dir):
     return L.epoch_monotonic(fx.worker_log(spark, sf_dir))
@@ -112,8 +110,8 @@ def epoch_monotonic(spark, sf_dir):
               from walk where rn > 0 group by job_id)""",
         "job_log",
         recursive=True,
-        extra={"_": "select 1"},
-    ).replace("_ as (select 1)", REPLAY_WALK.strip()),
+        raw=(REPLAY_WALK.strip(),),
+    ),
 )
 def state_durations(spark, sf_dir):
     return L.state_durations(L.replay_steps(fx.job_log(spark, sf_dir)))
@@ -140,8 +138,8 @@ def latest_checkpoint(spark, sf_dir):
         "from (select job_id, attempt, arg_max(epoch, seq) % 3 as exit_code, "
         "bool_or(type = 'completed') as saw_completed from attempts group by job_id, attempt)",
         "worker_log",
-        extra={"_": "select 1"},
-    ).replace("_ as (select 1)", _ATTEMPTS),
+        raw=(_ATTEMPTS,),
+    ),
 )
 def exit_outcome(spark, sf_dir):
     return L.exit_outcome(L.attempts(fx.worker_log(spark, sf_dir)))

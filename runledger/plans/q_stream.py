@@ -63,8 +63,8 @@ def stream_latest_checkpoint(spark, sf_dir):
         "select job_id, seq, to_state, from_state, accepted from walk where rn > 0",
         "job_log",
         recursive=True,
-        extra={"_": "select 1"},
-    ).replace("_ as (select 1)", REPLAY_WALK.strip()),
+        raw=(REPLAY_WALK.strip(),),
+    ),
 )
 def stream_replay_state(spark, sf_dir):
     src, out, ck = C.paths(spark, "st3")
