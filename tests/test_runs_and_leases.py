@@ -120,3 +120,24 @@ def test_rank_percentiles_equal_spark_percentile(spark):
     a = {r.g: tuple(r[1:]) for r in RS.latency_percentiles(df, ["g"], qs, method="rank").collect()}
     b = {r.g: tuple(r[1:]) for r in RS.latency_percentiles(df, ["g"], qs, method="map").collect()}
     assert a == b and a["only_err"] == (0.0,) * len(qs)
+
+
+def test_read_log_files_keeps_line_order(spark, tmp_path):
+    from runledger.sources.ndjson import read_log_files
+
+    lines = [
+        "# comment",
+        '{"type":"started","job_id":"a","limit":100}',
+        '{"type":"checkpoint","job_id":"a","epoch":1,"found":3,"state_path":"/s"}',
+        "",
+        '{"type":"checkpoint","job_id":"a","epoch":2,"found":7,"state_path":"/s"}',
+        '{"type":"mystery","job_id":"a"}',
+        '{"type":"completed","job_id":"a","found":9,"epoch":3}',
+    ]
+    (tmp_path / "w.log").write_text("\n".join(lines) + "\n")
+    ev = read_log_files(spark, str(tmp_path / "w.log")).orderBy("seq").collect()
+    assert [(r.type, r.epoch) for r in ev] == [("started", None), ("checkpoint", 1), ("checkpoint", 2), ("completed", 3)]
+    assert int(ev[0].limit) == 100
+    assert A.last_found(
+        read_log_files(spark, str(tmp_path / "w.log")).withColumn("found", F.col("found").cast("bigint")).withColumn("job_id", F.col("job_id"))
+    ).first().last_found == 9
