@@ -36,7 +36,7 @@ def _stream_parquet(spark, path, schema, files=FILES):
 def stream_log(spark, sf_dir):
     src, out, ck = C.paths(spark, "st1")
     C.stage_chunks(fx.worker_lines(spark, sf_dir, embed_seq=True), src, "seq", CHUNKS, FILES, fmt="text")
-    C.run_available_now(S.stream_log(spark, src, FILES), out, ck)
+    C.run_available_now(S.stream_log(C.stream_session(spark), src, FILES), out, ck)
     return spark.read.parquet(out)
 
 
@@ -52,7 +52,7 @@ def stream_log(spark, sf_dir):
 def stream_latest_checkpoint(spark, sf_dir):
     src, out, ck = C.paths(spark, "st2")
     C.stage_chunks(fx.worker_lines(spark, sf_dir, embed_seq=True), src, "seq", CHUNKS, FILES, fmt="text")
-    q = S.stream_latest_checkpoint(S.stream_log(spark, src, FILES))
+    q = S.stream_latest_checkpoint(S.stream_log(C.stream_session(spark), src, FILES))
     C.run_available_now(q, out, ck, output_mode="update", foreach_batch=C.upsert_batches(out))
     return C.read_latest(spark, out, ["job_id"])
 
@@ -70,7 +70,7 @@ def stream_replay_state(spark, sf_dir):
     src, out, ck = C.paths(spark, "st3")
     log = fx.job_log(spark, sf_dir)
     C.stage_chunks(log, src, "seq", CHUNKS, FILES)
-    q = S.stream_replay_state(_stream_parquet(spark, src, log.schema))
+    q = S.stream_replay_state(_stream_parquet(C.stream_session(spark), src, log.schema))
     C.run_available_now(q, out, ck)
     return spark.read.parquet(out)
 
@@ -85,7 +85,7 @@ def stream_resumable_count(spark, sf_dir):
     first, rest = docs.filter(F.col("doc_id") <= mid), docs.filter(F.col("doc_id") > mid)
     for part in (first, rest):
         C.stage_chunks(part, src, "doc_id", 1, FILES)
-        q = S.stream_word_count(spark.readStream.schema(docs.schema).parquet(src))
+        q = S.stream_word_count(C.stream_session(spark).readStream.schema(docs.schema).parquet(src))
         C.run_available_now(q, out, ck, output_mode="update", foreach_batch=C.upsert_batches(out))
     return C.read_latest(spark, out, ["word"])
 
@@ -94,7 +94,7 @@ def _sessions(spark, sf_dir):
     src, out, ck = C.paths(spark, "st5")
     t = fx.lease_touches(spark, sf_dir).select("lease_key", "holder", "ts", "seq")
     C.stage_chunks(t, src, "seq", CHUNKS, FILES)
-    q = S.stream_lease_sessions(_stream_parquet(spark, src, t.schema), LEASE_TTL_SECONDS)
+    q = S.stream_lease_sessions(_stream_parquet(C.stream_session(spark), src, t.schema), LEASE_TTL_SECONDS)
     C.run_available_now(q, out, ck)
     return spark.read.parquet(out)
 
@@ -131,7 +131,7 @@ def stream_dedupe(spark, sf_dir):
     resent = base.filter(F.col("seq") % 7 == 0).withColumn("arrival", F.col("seq") + F.lit(span // CHUNKS + 1))
     staged = base.withColumn("arrival", F.col("seq")).unionByName(resent)
     C.stage_chunks(staged, src, "arrival", CHUNKS, FILES)
-    q = S.stream_dedupe(_stream_parquet(spark, src, staged.schema), ["job_id", "seq"]).drop("arrival")
+    q = S.stream_dedupe(_stream_parquet(C.stream_session(spark), src, staged.schema), ["job_id", "seq"]).drop("arrival")
     C.run_available_now(q, out, ck)
     return spark.read.parquet(out)
 
@@ -148,7 +148,7 @@ def stream_stale_jobs(spark, sf_dir):
     src, out, ck = C.paths(spark, "st7")
     wl = fx.worker_log(spark, sf_dir)
     C.stage_chunks(wl, src, "seq", CHUNKS, FILES)
-    q = S.stream_last_checkpoint_time(_stream_parquet(spark, src, wl.schema))
+    q = S.stream_last_checkpoint_time(_stream_parquet(C.stream_session(spark), src, wl.schema))
     C.run_available_now(q, out, ck, output_mode="update", foreach_batch=C.upsert_batches(out))
     return S.stale_jobs(C.read_latest(spark, out, ["job_id"]), STALE_NOW, STALE_BOUND_S)
 
@@ -180,6 +180,6 @@ def stream_cadence_counts(spark, sf_dir):
     src, out, ck = C.paths(spark, "st9")
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value")
     C.stage_chunks(ev, src, "event_id", CHUNKS, FILES)
-    q = S.stream_cadence_counts(_stream_parquet(spark, src, ev.schema))
+    q = S.stream_cadence_counts(_stream_parquet(C.stream_session(spark), src, ev.schema))
     C.run_available_now(q, out, ck)
     return spark.read.parquet(out)

@@ -30,6 +30,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
     return spark
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared folder named by ``spark.checkpoint.dir``.
 
@@ -42,8 +45,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         master = spark.conf.get("spark.master", "") or ""
         if not master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        path = tempfile.mkdtemp(prefix="runledger-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        app = spark.conf.get("spark.app.id", "") or "local"
+        path = _LOCAL_DIRS.get(app) or tempfile.mkdtemp(prefix="runledger-ckpt-")
+        _LOCAL_DIRS[app] = path
+        try:
+            spark.conf.set("spark.checkpoint.dir", path)
+        except Exception:  # noqa: BLE001 - a static conf in some deployments
+            pass
     try:  # classic sessions: also the RDD checkpoint folder used by checkpoint()
         sc = spark.sparkContext
         if sc.getCheckpointDir() is None:

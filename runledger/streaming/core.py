@@ -99,6 +99,30 @@ def read_latest(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFram
     return last.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in vals])
 
 
+def stream_session(spark: SparkSession) -> SparkSession:
+    """A sibling session for running streams, sized to the cluster.
+
+    A stateful stream fixes its number of state partitions from
+    ``spark.sql.shuffle.partitions`` on its first run; the batch setting of
+    the caller (often 200 or thousands) would make every micro-batch run that
+    many state tasks.  The sibling shares the SparkContext and caches, takes
+    the caller's time zone, and uses the cluster's default parallelism (all
+    paths are still taken from the caller's checkpoint folder).  The caller's
+    own conf is not changed.
+    """
+    try:
+        ss = spark.newSession()
+        par = spark.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001 - e.g. Spark Connect: use the caller's session
+        return spark
+    tz = spark.conf.get("spark.sql.session.timeZone", None)
+    if tz:
+        ss.conf.set("spark.sql.session.timeZone", tz)
+    caller = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ss.conf.set("spark.sql.shuffle.partitions", str(max(1, min(caller, par))))
+    return ss
+
+
 def paths(spark: SparkSession, name: str) -> tuple[str, str, str]:
     """(input, sink, checkpoint) folders for one run of a streaming query."""
     base = scratch_path(spark, name)
