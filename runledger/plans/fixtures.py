@@ -20,10 +20,10 @@ from runledger.sources.tables import table
 # label keys of worker containers.
 # ---------------------------------------------------------------------------
 REGISTRY_ROWS = [
-    ("primes", "jobctl/worker:latest", "/usr/local/bin/jobworker", 5000, 2),
-    ("matmul", "jobctl/worker:latest", "/usr/local/bin/jobworker", 1000, 1),
-    ("wordcount", "jobctl/worker:latest", "/usr/local/bin/jobworker", 1000, 1),
-    ("1-URGENT", "jobctl/worker:urgent", "/usr/local/bin/jobworker", 500, 1),
+    ("primes", "runledger/worker:latest", "/usr/local/bin/worker", 5000, 2),
+    ("matmul", "runledger/worker:latest", "/usr/local/bin/worker", 1000, 1),
+    ("wordcount", "runledger/worker:latest", "/usr/local/bin/worker", 1000, 1),
+    ("1-URGENT", "runledger/worker:urgent", "/usr/local/bin/worker", 500, 1),
     ("2-HIGH", "", "", 0, 1),
 ]
 LEASE_TTL_SECONDS = 24 * 3600
@@ -140,8 +140,8 @@ SQL["registry_rows"] = """
                p_size * 100 as checkpoint_interval, 1 as schema_version
         from part"""
 SQL["ledger_rows"] = f"""
-        select cast(o_orderkey as varchar) as id, 'jobctl/worker:latest' as image,
-               '/usr/local/bin/jobworker' as command,
+        select cast(o_orderkey as varchar) as id, 'runledger/worker:latest' as image,
+               '/usr/local/bin/worker' as command,
                to_json(['--worker', o_orderpriority, '--limit', cast(o_custkey as varchar)]) as args_json,
                state, ns as created_at,
                case when state <> 'pending' then ns + 3600000000000 end as started_at,
@@ -397,8 +397,8 @@ def ledger_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     ns = epoch_micros("o_orderdate") * 1000
     base = o.select(
         k.cast("string").alias("id"),
-        F.lit("jobctl/worker:latest").alias("image"),
-        F.lit("/usr/local/bin/jobworker").alias("command"),
+        F.lit("runledger/worker:latest").alias("image"),
+        F.lit("/usr/local/bin/worker").alias("command"),
         F.to_json(F.array(F.lit("--worker"), F.col("o_orderpriority"), F.lit("--limit"), F.col("o_custkey").cast("string"))).alias("args_json"),
         F.col("o_orderdate"),
         ns.alias("created_at"),

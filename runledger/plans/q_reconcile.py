@@ -138,8 +138,8 @@ def rejected_requests(spark, sf_dir):
 
 _RESOLVED = (
     "select req_id, resolved_worker, args, \"limit\", seed, "
-    "coalesce(nullif(image, ''), nullif(reg_image, ''), 'jobctl/worker:latest') as image, "
-    "coalesce(nullif(command, ''), nullif(reg_command, ''), '/usr/local/bin/jobworker') as command, "
+    "coalesce(nullif(image, ''), nullif(reg_image, ''), 'runledger/worker:latest') as image, "
+    "coalesce(nullif(command, ''), nullif(reg_command, ''), '/usr/local/bin/worker') as command, "
     "case when checkpoint_every = 0 then reg_interval else checkpoint_every end as checkpoint_every from valid"
 )
 

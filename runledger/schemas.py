@@ -89,11 +89,11 @@ DEFAULT_EVENT_LIMIT = 25
 MAX_LIMIT = 200
 RECENT_RING_CAP = 32
 DEFAULT_WORKER = "primes"
-DEFAULT_IMAGE = "jobctl/worker:latest"
-DEFAULT_COMMAND = "/usr/local/bin/jobworker"
-LABEL_JOB_ID = "com.jobctl.job_id"
-LABEL_CONTROLLER_PID = "com.jobctl.controller_pid"
-LABEL_CREATED_AT = "com.jobctl.created_at"
+DEFAULT_IMAGE = "runledger/worker:latest"
+DEFAULT_COMMAND = "/usr/local/bin/worker"
+LABEL_JOB_ID = "io.runledger.job_id"
+LABEL_CONTROLLER_PID = "io.runledger.controller_pid"
+LABEL_CREATED_AT = "io.runledger.created_at"
 # ---------------------------------------------------------------------------
 
 TRANSITION_KEYS = [f"{a}>{b}" for a, b in LEGAL_TRANSITIONS]

@@ -32,7 +32,7 @@ def test_defaults_and_args(spark):
     assert set(got) == {1, 2}
     assert got[1].image == "img:reg" and got[1].command == "/bin/reg" and got[1].checkpoint_every == 5000
     assert got[1].argv == ["--worker", "primes", "--limit", "5", "--checkpoint-every", "5000"]
-    assert got[2].image == "mine" and got[2].command == "/usr/local/bin/jobworker"
+    assert got[2].image == "mine" and got[2].command == "/usr/local/bin/worker"
     assert got[2].argv == ["--worker", "beta", "-x", "--checkpoint-every", "7", "--seed", "3"]
     assert [r.req_id for r in Q.rejected_requests(req, reg).collect()] == [3]
     over = Q.resolve_defaults(Q.validate_requests(req, reg), image_override="img:ci").filter("req_id = 1").first()
