@@ -45,10 +45,22 @@ def run_diff(left: DataFrame, right: DataFrame, keys: Sequence[str], values: Seq
 
 
 def run_identity(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Multiset difference both ways; empty iff the runs are identical."""
-    return a.exceptAll(b).withColumn("side", F.lit("only_a")).unionByName(
-        b.exceptAll(a).withColumn("side", F.lit("only_b"))
+    """Multiset difference both ways; empty iff the runs are identical.
+
+    One signed count per distinct row (+1 per copy in a, -1 per copy in b),
+    combined map-side in a single aggregate; rows whose count is not zero
+    come back as many times as they are in surplus.
+    """
+    cols = a.columns
+    u = a.select(*cols, F.lit(1).cast("bigint").alias("_d")).unionByName(
+        b.select(*cols, F.lit(-1).cast("bigint").alias("_d"))
     )
+    g = u.groupBy(*cols).agg(F.sum("_d").alias("_n")).filter(F.col("_n") != 0)
+    return g.select(
+        *cols,
+        F.when(F.col("_n") > 0, "only_a").otherwise("only_b").alias("side"),
+        F.explode(F.sequence(F.lit(1).cast("bigint"), F.abs(F.col("_n")))).alias("_copy"),
+    ).drop("_copy")
 
 
 def merged_log(logs: Sequence[DataFrame], sources: Sequence[str] | None = None) -> DataFrame:

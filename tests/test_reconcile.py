@@ -80,3 +80,15 @@ def test_exit_outcome_completed_line_wins(spark):
     wl = spark.createDataFrame(rows, "job_id string, seq long, type string, epoch long")
     got = {r.job_id: (r.exit_code, r.outcome) for r in L.exit_outcome(L.attempts(wl)).collect()}
     assert got == {"j": (1, "completed"), "k": (0, "completed")}
+
+
+def test_run_identity_is_a_multiset_difference(spark):
+    from runledger.operators.audit import run_diff, run_identity
+
+    a = spark.createDataFrame([("x", 1), ("x", 1), ("y", 2), (None, 3)], "w string, n long")
+    b = spark.createDataFrame([("x", 1), ("z", 5), (None, 3)], "w string, n long")
+    got = sorted((r.w, r.n, r.side) for r in run_identity(a, b).collect())
+    assert got == [("x", 1, "only_a"), ("y", 2, "only_a"), ("z", 5, "only_b")]
+    assert run_identity(a, a).count() == 0
+    d = {r.w: r.diff for r in run_diff(a.dropDuplicates(), b.withColumn("n", F.col("n") + 0), ["w"], ["n"]).collect()}
+    assert d == {"y": "only_left", "z": "only_right"}
