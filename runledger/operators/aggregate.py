@@ -79,7 +79,11 @@ def matrix_fingerprint(c: DataFrame, value: str = "c") -> DataFrame:
     )
 
 
-def _positions(rows: DataFrame, key: str, order: Sequence[str], bucket: F.Column, hit: str) -> DataFrame:
+def _totals(rows: DataFrame, key: str, hit: str) -> DataFrame:
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col(hit)).alias("total_hits"))
+
+
+def _positions(rows: DataFrame, key: str, order: Sequence[str], bucket: F.Column, hit: str, totals: DataFrame) -> DataFrame:
     """Running row position and running hit count per key, plus key totals."""
     run = ordered.running_sums(
         rows,
@@ -89,10 +93,7 @@ def _positions(rows: DataFrame, key: str, order: Sequence[str], bucket: F.Column
         {"pos": F.lit(1).cast("bigint"), "hits": F.col(hit).cast("bigint")},
         levels=0,  # callers bucket by time: one border row per (key, period)
     )
-    totals = rows.groupBy(F.col(key).alias("_k")).agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(F.col(hit)).alias("total_hits")
-    )
-    return run.join(totals, run[key] == totals["_k"], "inner").drop("_k")
+    return run.join(totals, key, "inner")
 
 
 def _progress(pos: F.Column, total: F.Column) -> F.Column:
@@ -110,7 +111,8 @@ def cadence_snapshots(
     when the hit total is a multiple of k the last two carry the same count
     with epochs e and e + 1 (D13).
     """
-    p = _positions(rows, key, order, bucket, hit)
+    totals = _totals(rows, key, hit)
+    p = _positions(rows, key, order, bucket, hit, totals)
     snaps = p.filter(F.col(hit) & (F.col("hits") % k == 0)).select(
         key,
         (F.col("hits") / k).cast("bigint").alias("epoch"),
@@ -119,7 +121,7 @@ def cadence_snapshots(
         _progress(F.col("pos"), F.col("total")).alias("progress"),
         F.lit(False).alias("final"),
     )
-    finals = rows.groupBy(key).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col(hit)).alias("total_hits")).select(
+    finals = totals.select(
         key,
         (F.floor(F.col("total_hits") / k) + 1).cast("bigint").alias("epoch"),
         F.col("total").alias("cursor"),
@@ -132,7 +134,7 @@ def cadence_snapshots(
 
 def progress_curve(rows: DataFrame, key: str, order: Sequence[str], bucket: F.Column, hit: str = "hit") -> DataFrame:
     """Progress of every row: min(1, position / total), 0 when total is 0."""
-    p = _positions(rows, key, order, bucket, hit)
+    p = _positions(rows, key, order, bucket, hit, _totals(rows, key, hit))
     return p.withColumn("progress", _progress(F.col("pos"), F.col("total"))).drop("total", "total_hits")
 
 
