@@ -60,3 +60,15 @@ def test_sleep_flag_only_when_positive(spark):
     )
     got = {r.req_id: r.argv for r in Q.build_args(df).collect()}
     assert got == {1: ["--worker", "primes", "--sleep-per-checkpoint-ms", "250"], 2: ["--worker", "primes"]}
+
+
+def test_sized_broadcast_only_under_bound(spark):
+    from runledger.sources.dims import literal_frame, sized_broadcast
+    from pyspark.sql import types as T
+
+    small = literal_frame(spark, [(1,), (2,)], T.StructType([T.StructField("pid", T.IntegerType())]))
+    big = spark.range(0, 50).withColumnRenamed("id", "pid")
+    probe = spark.range(0, 1000).withColumnRenamed("id", "pid")
+    plan_small = probe.join(sized_broadcast(small, 10), "pid")._jdf.queryExecution().optimizedPlan().toString()
+    plan_big = probe.join(sized_broadcast(big, 10), "pid")._jdf.queryExecution().optimizedPlan().toString()
+    assert "BROADCAST" in plan_small.upper() and "broadcast" not in plan_big.lower()
