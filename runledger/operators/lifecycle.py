@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -171,8 +172,9 @@ def replay_steps(
     """Every request with the state it met (``from_state``) and ``accepted``.
 
     Bucket start states come from the composed tables; inside one bucket
-    (at most ``bucket_width`` rows) the rows are walked by a grouped pandas
-    function, since Catalyst has no per-element scan with output.
+    (at most ``bucket_width`` rows) the rows are walked in one sorted
+    ``mapInPandas`` pass as a vectorised prefix composition, since Catalyst
+    has no per-element scan with output.
     """
     levels = _levels(log, seq, bucket_width, fanout)
     tables = transition_tables(log, key, seq, to, bucket_width)
@@ -185,31 +187,48 @@ def replay_steps(
         .join(starts, [key, "b"], "inner")
         .sortWithinPartitions(key, "b", seq)
     )
-    legal = transition_matrix()
+    legal = np.array(transition_matrix(), dtype=bool)
     index = {s: i for i, s in enumerate(STATES)}
+    states = np.array(STATES, dtype=object)
     schema = T.StructType(
         rows.schema.fields
         + [T.StructField("from_state", T.StringType()), T.StructField("accepted", T.BooleanType())]
     )
 
     def walk(batches):
-        # Rows arrive sorted by (key, b, seq); a group may span batches.
-        group, cur = None, 0
+        # Rows arrive sorted by (key, b, seq); a group may span batches.  Each
+        # request is a function on the 8 states; a group's first row becomes
+        # the constant function of its start state, so one prefix
+        # composition over the batch (log2(n) numpy gathers) gives every
+        # row's state without a per-row loop.
+        last_group, carry = None, 0
+        slots = np.arange(8)
         for pdf in batches:
-            ks, bs, st, ts = (pdf[key].tolist(), pdf["b"].tolist(), pdf["start"].tolist(), pdf[to].tolist())
-            froms, oks = [None] * len(ks), [False] * len(ks)
-            for i in range(len(ks)):
-                g = (ks[i], bs[i])
-                if g != group:
-                    group, cur = g, int(st[i])
-                froms[i] = STATES[cur]
-                ti = index.get(ts[i], -1)
-                ok = ti >= 0 and legal[cur][ti]
-                oks[i] = ok
-                if ok:
-                    cur = ti
-            pdf["from_state"] = froms
-            pdf["accepted"] = oks
+            n = len(pdf)
+            if n == 0:
+                continue
+            t = np.array([index.get(x, -1) for x in pdf[to].tolist()], dtype=np.int64)
+            keys = list(zip(pdf[key].tolist(), pdf["b"].tolist()))
+            first = np.array([keys[i] != (keys[i - 1] if i else last_group) for i in range(n)])
+            start = pdf["start"].to_numpy(dtype=np.int64)
+            ok_t = t >= 0
+            tt = np.where(ok_t, t, 0)
+            # g[i, s]: state after row i when the state before it is s.
+            moves = legal[slots[None, :], tt[:, None]] & ok_t[:, None]
+            g = np.where(moves, tt[:, None], slots[None, :])
+            g[first] = g[first, start[first]][:, None]
+            d = 1
+            while d < n:
+                g[d:] = np.take_along_axis(g[d:], g[:-d], axis=1)
+                d *= 2
+            after = g[:, carry]
+            before = np.empty(n, dtype=np.int64)
+            before[0] = carry
+            before[1:] = after[:-1]
+            before[first] = start[first]
+            pdf["from_state"] = states[before]
+            pdf["accepted"] = ok_t & legal[before, tt]
+            last_group, carry = keys[-1], int(after[-1])
             yield pdf
 
     return rows.mapInPandas(walk, schema).drop("b", "start")
