@@ -68,3 +68,12 @@ def test_redact_updates(spark):
     df = spark.createDataFrame([({"state": "running", "controller_pid": "9", "exit_code": "0", "secret": "x"},)], "m map<string,string>")
     got = df.select(LS.redact_updates(F.col("m")).alias("r")).collect()[0].r
     assert got == {"state": "running", "exit_code": "0"}
+
+
+def test_state_filter_and_lookup_miss(spark):
+    jobs = _jobs(spark, [1, 2, 3]).withColumn("state", F.when(F.col("job_id") == "a0", "running").otherwise("pending"))
+    assert LS.jobs_by_state(jobs, None).count() == 3
+    assert LS.jobs_by_state(jobs, "").count() == 3
+    assert [r.job_id for r in LS.jobs_by_state(jobs, "running").collect()] == ["a0"]
+    assert LS.job_lookup(jobs, "nope", id_col="job_id").count() == 0
+    assert LS.job_lookup(jobs, "b0", id_col="job_id").count() == 1
