@@ -23,6 +23,9 @@ from runledger.functions.scalar import seconds_between
 from runledger.operators import ordered
 
 DAY = 86400
+# Hour buckets: rows of one key are spread over (key, hour) tasks, and the
+# border window holds one row per key and hour (~9k per key-year).
+HOUR = 3600
 
 
 def _secs(a, b) -> F.Column:
@@ -35,7 +38,7 @@ def lease_holds(
     key: str = "lease_key",
     holder: str = "holder",
     ts: str = "ts",
-    bucket_seconds: int = DAY,
+    bucket_seconds: int = HOUR,
 ) -> DataFrame:
     """Holds (key, holder, hold_no, from_ts, last_touch, until_ts, touches).
 
@@ -45,7 +48,7 @@ def lease_holds(
     b = ordered.time_bucket(ts, bucket_seconds)
     has_op = "op" in touches.columns
     cols = [key, holder, ts] + (["op"] if has_op else [])
-    # Day buckets: one border row per (key, holder, day), so no further level is needed.
+    # Time buckets: one border row per (key, holder, period), so no further level is needed.
     lagged = ordered.shifted(touches.select(*cols), [key, holder], [ts], b, [ts] + (["op"] if has_op else []), "prev_", levels=0)
     new = F.col("prev_" + ts).isNull() | (_secs("prev_" + ts, ts) > ttl_seconds)
     if has_op:
@@ -74,7 +77,7 @@ def failover_gap(
     poll_seconds: float,
     key: str = "lease_key",
     holder: str = "holder",
-    bucket_seconds: int = DAY,
+    bucket_seconds: int = HOUR,
 ) -> DataFrame:
     """From each hold to the next hold of the key by another holder.
 
@@ -106,7 +109,7 @@ def coverage(
     start: str,
     end: str,
     at: str,
-    bucket_seconds: int = DAY,
+    bucket_seconds: int = HOUR,
 ) -> DataFrame:
     """Number of closed intervals [start, end] of the same keys covering each probe.
 

@@ -17,7 +17,7 @@ _WC = "select word, count(*) as n from tokens where word <> '' group by word"
 _WORD_FP = _FP.format(x="word || ':' || cast(n as varchar)")
 _ORDER = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")
 _ORDER_SQL = "l_shipdate, l_orderkey, l_linenumber, l_partkey"
-_DAY_BUCKET_SECONDS = 30 * 86400
+_DAY_BUCKET_SECONDS = 86400
 
 
 def _tokens(spark, sf_dir):
