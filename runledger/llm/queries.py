@@ -13,6 +13,27 @@ def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op3_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from runledger.llm.secret_crf import digest, scan
+
+    return digest(scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op5_forced_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from runledger.llm.forced_bpe import digest, encode_decode
+
+    return digest(encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op7_id_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from runledger.llm.id_shards import digest, read_shards, write_shards
+    from runledger.session import scratch_path
+
+    target = scratch_path(spark, "llm-shards")
+    write_shards(table(spark, sf_dir, "documents"), target)
+    return digest(read_shards(spark, target))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from runledger.llm.decontaminate import contamination, digest
 
@@ -21,6 +42,9 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_frequency": op1_line_frequency,
+    "op3_secret_crf": op3_secret_crf,
+    "op5_forced_bpe": op5_forced_bpe,
+    "op7_id_shards": op7_id_shards,
     "op9_decontaminate": op9_decontaminate,
 }
 
