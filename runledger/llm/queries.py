@@ -13,6 +13,12 @@ def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op2_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from runledger.llm.minhash_bayes import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     from runledger.llm.secret_crf import digest, scan
 
@@ -42,6 +48,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_frequency": op1_line_frequency,
+    "op2_minhash_bayes": op2_minhash_bayes,
     "op3_secret_crf": op3_secret_crf,
     "op5_forced_bpe": op5_forced_bpe,
     "op7_id_shards": op7_id_shards,
@@ -72,7 +79,7 @@ raw as (
 lines as (
   select doc_id, host, md5(t) as copy, l from (
     select doc_id, host, t, trim(unnest(string_split(regexp_replace(
-      translate(t, '{_UP}123456789', '{_LOW}000000000'), '[\x20\x09\x0B-\x0D]+', ' ', 'g'), chr(10))), ' ') as l
+      regexp_replace(lower(t), '[1-9]', '0', 'g'), '[\x20\x09\x0B-\x0D]+', ' ', 'g'), chr(10))), ' ') as l
     from d) where l <> ''),
 sizes as (select host, count(distinct t) as host_docs from d group by host),
 freq as (
@@ -121,3 +128,30 @@ select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as big
        coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
 from d left join words using (doc_id) left join items using (doc_id)
 """
+
+ORACLE_SQL["op2_minhash_bayes"] = rf"""
+with recursive d as (
+  select doc_id, array_to_string(regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'),
+         '[^\x20\x09-\x0D]+'), ' ') as t,
+         regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\x20\x09-\x0D]+') as w
+  from documents),
+copies as (select t, min(doc_id) as node, any_value(w) as w, count(*) as n_copies from d group by t),
+sh as (
+  select distinct node, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') as s from (
+    select node, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from copies where len(w) > 0)),
+size as (select node, count(*) as n from sh group by node),
+common as (select x.node as a, y.node as b, count(*) as c from sh x join sh y on x.s = y.s and x.node < y.node group by all),
+link as (
+  select a, b from common join size p on p.node = a join size q on q.node = b where 100 * c >= 75 * (p.n + q.n - c)),
+both_ways as (select a, b from link union all select b, a from link),
+reach as (
+  select a as node, a as other from both_ways
+  union
+  select reach.node, both_ways.b from reach join both_ways on reach.other = both_ways.a),
+label as (select node, least(node, min(other)) as component from reach group by node)
+select doc_id, cast(coalesce(size.n, 0) as bigint) as n_shingles,
+       case when size.n is null then doc_id else coalesce(component, copies.node) end as component_id,
+       doc_id = case when size.n is null then doc_id else coalesce(component, copies.node) end as kept,
+       cast(case when size.n is null then 1 else n_copies end as bigint) as n_copies
+from d join copies using (t) left join size on size.node = copies.node left join label on label.node = copies.node
+"""
