@@ -1,6 +1,6 @@
 """Quality rules: cross-document line frequency (built-in expressions only).
 
-Lines are normalised (A-Z lower-cased, digits 1-9 read as 0, blanks collapsed)
+Lines are normalised (lower-cased, digits 1-9 read as 0, blanks collapsed)
 and hashed with their host.  For every (host, line) the *distinct* documents
 are counted, copies of one text counting once, so that a page that was fetched
 many times does not flag its own lines.  A line above the host's limit is
@@ -26,9 +26,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runledger.llm.text import bind, free_name, lower_ascii, text_or_empty, words
+from runledger.llm.text import bind, free_name, text_or_empty, words
 
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = r"[#*$%&|<>]"
 BLANKS = " \t\n\x0b\f\r"
 
 
@@ -43,74 +43,94 @@ class LineLimits:
     min_left: float = 0.3
 
 
-def _n_repeat_words(text: Column) -> Column:
-    """Words in 3-word windows that occur twice or more in the text.
+def _n_repeat_words(w: Column) -> Column:
+    """Words in 3-word windows that occur twice or more among the words ``w``.
 
-    Sorts (window hash, position) pairs of the row; equal neighbours mark the
-    repeated windows, whose positions are then merged in order.
+    Where no window hash repeats the answer is 0.  Else (hash, position) pairs
+    are sorted; equal neighbours mark the repeated windows, whose positions
+    are then merged in order.
     """
-    grams = bind(
-        words(text),
-        lambda w: F.transform(
-            F.slice(w, 3, F.greatest(F.size(w) - 2, F.lit(0))),
-            lambda third, i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), third).alias("h"), i.alias("i")),
-        ),
-    )
-    repeated = bind(
-        F.sort_array(grams),
-        lambda s: F.transform(
-            F.filter(
-                s,
-                lambda g, j: F.coalesce(g["h"] == F.get(s, j + 1)["h"], F.lit(False))
-                | F.coalesce(g["h"] == F.get(s, j - 1)["h"], F.lit(False)),
+
+    def repeated(h: Column) -> Column:
+        return bind(
+            F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))),
+            lambda s: F.transform(
+                F.filter(
+                    s,
+                    lambda g, j: F.coalesce(g["h"] == F.get(s, j + 1)["h"], F.lit(False))
+                    | F.coalesce(g["h"] == F.get(s, j - 1)["h"], F.lit(False)),
+                ),
+                lambda g: g["i"],
             ),
-            lambda g: g["i"],
-        ),
-    )
-    return bind(
-        F.sort_array(repeated),
-        lambda p: F.aggregate(
+        )
+
+    def covered(p: Column) -> Column:
+        return F.aggregate(
             F.transform(p, lambda x, j: F.least(F.lit(3), F.coalesce(F.get(p, j + 1) - x, F.lit(3)))),
             F.lit(0).cast("long"),
             lambda acc, x: acc + x,
+        )
+
+    hashes = F.transform(
+        F.slice(w, 3, F.greatest(F.size(w) - 2, F.lit(0))),
+        lambda third, i: F.xxhash64(F.get(w, i), F.get(w, i + 1), third),
+    )
+    return bind(
+        hashes,
+        lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(
+            bind(F.sort_array(repeated(h)), covered)
         ),
     )
 
 
+def _word_counts(text: Column) -> Column:
+    """struct(n_words, word_chars, n_repeat_words)."""
+    return bind(
+        words(text),
+        lambda w: F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            _n_repeat_words(w).alias("n_repeat_words"),
+        ),
+    )
+
+
+def _base_failed(n_words: Column, n_repeat: Column) -> Column:
+    return (n_words < 50) | (100 * n_repeat > 50 * n_words)
+
+
 def base_columns(text: Column) -> list[Column]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a text."""
+    """counts (n_words, word_chars, n_repeat_words), n_symbols and n_dup_lines of a text."""
     t = text_or_empty(text)
     lines = F.filter(F.split(t, "\n", -1), lambda x: F.length(F.trim(x, F.lit(BLANKS))) > 0)
     return [
-        F.size(words(t)).cast("long").alias("n_words"),
-        F.length(F.translate(t, BLANKS, "")).cast("long").alias("word_chars"),
-        (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        _word_counts(t).alias("counts"),
+        F.regexp_count(t, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        _n_repeat_words(t).alias("n_repeat_words"),
     ]
 
 
-def _normal_lines(text: Column) -> Column:
-    """All \\n-split lines of a text, normalised; lines without a word become ''."""
-    t = F.translate(lower_ascii(text_or_empty(text)), "123456789", "000000000")
-    return F.transform(F.split(F.regexp_replace(t, r"[\x20\x09\x0B-\x0D]+", " "), "\n", -1), lambda x: F.trim(x))
-
-
-def _line_hashes(host: Column, text: Column) -> Column:
-    """(hash, words) of every line, in order; a line without a word has a null hash."""
-    return F.transform(
-        _normal_lines(text),
-        lambda x: F.struct(
-            F.when(x != "", F.xxhash64(F.coalesce(host, F.lit("\x00")), x)).alias("h"),
-            F.when(x != "", F.size(F.split(x, " "))).otherwise(F.lit(0)).alias("w"),
+def _lines(host: Column, text: Column) -> Column:
+    """(i, h, w) of the lines with a word: number, hash of host and normalised line, words."""
+    t = F.regexp_replace(F.lower(text_or_empty(text)), r"[1-9]", "0")
+    lines = F.split(F.regexp_replace(t, r"[\x20\x09\x0B-\x0D]+", " "), "\n", -1)
+    hashed = F.transform(
+        lines,
+        lambda x, i: bind(
+            F.trim(x),
+            lambda y: F.when(
+                y != "",
+                F.struct(
+                    i.alias("i"), F.xxhash64(host, y).alias("h"), F.size(F.split(y, " ")).cast("long").alias("w")
+                ),
+            ),
         ),
     )
+    return F.filter(hashed, lambda x: x.isNotNull())
 
 
-def _own_hashes(host: Column, text: Column) -> Column:
-    return F.array_distinct(
-        F.filter(F.transform(_line_hashes(host, text), lambda x: x["h"]), lambda h: h.isNotNull())
-    )
+def _host(host: str) -> Column:
+    return F.coalesce(F.col(host).cast("string"), F.lit("\x00"))
 
 
 def _row_key(doc_id: Column, text: Column) -> Column:
@@ -120,13 +140,14 @@ def _row_key(doc_id: Column, text: Column) -> Column:
 def frequent_lines(docs: DataFrame, limits: LineLimits = LineLimits(), host: str = "source") -> DataFrame:
     """(h, n_docs): hashes of the (host, line) pairs above the host's limit."""
     rows = docs.select(
-        F.coalesce(F.col(host).cast("string"), F.lit("\x00")).alias("host"),
+        _host(host).alias("host"),
         F.xxhash64(F.col("text")).alias("copy"),
-        _own_hashes(F.col(host).cast("string"), F.col("text")).alias("lines"),
+        F.transform(_lines(_host(host), F.col("text")), lambda x: x["h"]).alias("lines"),
     )
     sizes = rows.select("host", "copy").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
     per_line = (
-        rows.select("host", "copy", F.explode("lines").alias("h"))
+        rows.select("host", "copy", F.explode_outer("lines").alias("h"))
+        .filter(F.col("h").isNotNull())
         .distinct()
         .groupBy("host", "h")
         .agg(F.count("*").alias("n_docs"))
@@ -138,13 +159,13 @@ def frequent_lines(docs: DataFrame, limits: LineLimits = LineLimits(), host: str
 
 
 def _removed(docs: DataFrame, limits: LineLimits, host: str) -> DataFrame:
-    """(row_key, removed): each document's own hashes among the frequent lines."""
+    """(row_key, removed): the numbers and words of each document's frequent lines."""
     own = docs.select(
         _row_key(F.col("doc_id"), F.col("text")).alias("row_key"),
-        F.explode(_own_hashes(F.col(host).cast("string"), F.col("text"))).alias("h"),
-    )
-    hit = own.join(frequent_lines(docs, limits, host).select("h"), "h")
-    return hit.groupBy("row_key").agg(F.collect_set("h").alias("removed"))
+        F.explode_outer(_lines(_host(host), F.col("text"))).alias("x"),
+    ).select("row_key", "x.h", F.struct("x.i", "x.w").alias("line"))
+    hit = own.filter(F.col("h").isNotNull()).join(frequent_lines(docs, limits, host).select("h"), "h")
+    return hit.groupBy("row_key").agg(F.collect_set("line").alias("removed"))
 
 
 def line_verdicts(docs: DataFrame, limits: LineLimits = LineLimits(), host: str = "source") -> DataFrame:
@@ -152,27 +173,25 @@ def line_verdicts(docs: DataFrame, limits: LineLimits = LineLimits(), host: str
     base = docs.select(
         "doc_id",
         _row_key(F.col("doc_id"), F.col("text")).alias("row_key"),
-        _line_hashes(F.col(host).cast("string"), F.col("text")).alias("lines"),
         *base_columns(F.col("text")),
     )
-    joined = base.join(_removed(docs, limits, host), "row_key", "left")
-    gone = F.filter("lines", lambda x: F.array_contains(F.col("removed"), x["h"]))
-    n_gone = F.aggregate(gone, F.lit(0).cast("long"), lambda acc, x: acc + x["w"])
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return joined.select(
-        "doc_id",
-        "n_words",
-        "word_chars",
-        "n_symbols",
-        "n_dup_lines",
-        "n_repeat_words",
-        failed.alias("base_failed"),
-        F.when(F.col("removed").isNull(), F.lit(0).cast("long")).otherwise(n_gone).alias("n_removed_words"),
-    ).select(
-        "*",
-        (
-            ~F.col("base_failed") & (F.col("n_words") - F.col("n_removed_words") >= limits.min_left * F.col("n_words"))
-        ).alias("kept"),
+    n_gone = F.aggregate("removed", F.lit(0).cast("long"), lambda acc, x: acc + x["w"])
+    n_words, left = F.col("counts.n_words"), F.col("counts.n_words") - F.col("n_removed_words")
+    return (
+        base.join(_removed(docs, limits, host), "row_key", "left")
+        .withColumn("n_removed_words", F.coalesce(n_gone, F.lit(0).cast("long")))
+        .withColumn("base_failed", _base_failed(n_words, F.col("counts.n_repeat_words")))
+        .select(
+            "doc_id",
+            "counts.n_words",
+            "counts.word_chars",
+            "n_symbols",
+            "n_dup_lines",
+            "counts.n_repeat_words",
+            "base_failed",
+            "n_removed_words",
+            (~F.col("base_failed") & (left >= limits.min_left * n_words)).alias("kept"),
+        )
     )
 
 
@@ -184,21 +203,11 @@ def clean_documents(docs: DataFrame, limits: LineLimits = LineLimits(), host: st
     key, removed = free_name(docs, "row_key"), free_name(docs, "removed")
     hits = _removed(docs, limits, host).select(F.col("row_key").alias(key), F.col("removed").alias(removed))
     t = text_or_empty(F.col("text"))
-    n_words, _, _, _, n_repeat = base_columns(F.col("text"))
     passed = docs.withColumn(key, _row_key(F.col("doc_id"), F.col("text"))).filter(
-        (n_words >= 50) & (100 * n_repeat <= 50 * n_words)
-    )
-    own = _line_hashes(F.col(host).cast("string"), F.col("text"))
-    left = F.concat_ws(
-        "\n",
-        F.transform(
-            F.filter(
-                F.arrays_zip(F.split(t, "\n", -1).alias("line"), F.transform(own, lambda x: x["h"]).alias("h")),
-                lambda x: x["h"].isNull() | ~F.array_contains(F.col(removed), x["h"]),
-            ),
-            lambda x: x["line"],
-        ),
+        bind(_word_counts(t), lambda c: ~_base_failed(c["n_words"], c["n_repeat_words"]))
     )
+    gone = F.transform(removed, lambda x: x["i"])
+    left = F.array_join(F.filter(F.split(t, "\n", -1), lambda x, i: ~F.array_contains(gone, i)), "\n")
     joined = passed.join(hits, key, "left").withColumn(
         removed, F.when(F.col(removed).isNull(), F.col("text")).otherwise(left)
     )

@@ -40,6 +40,12 @@ def op7_id_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(read_shards(spark, target))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from runledger.llm.suffix_dedup import digest, remove_repeated
+
+    return digest(remove_repeated(table(spark, sf_dir, "documents")))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from runledger.llm.decontaminate import contamination, digest
 
@@ -52,6 +58,7 @@ QUERIES = {
     "op3_secret_crf": op3_secret_crf,
     "op5_forced_bpe": op5_forced_bpe,
     "op7_id_shards": op7_id_shards,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_decontaminate": op9_decontaminate,
 }
 
