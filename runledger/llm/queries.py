@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from runledger.sources.tables import table
 
@@ -25,12 +26,57 @@ def op3_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def url_captures(pages: DataFrame) -> DataFrame:
+    """Every page as a capture; its fetch day follows from its id."""
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") * 37 % 360).cast("int"))
+    return pages.select(F.col("page_id").alias("capture_id"), "url", day.alias("fetched"))
+
+
+def url_list_log(pages: DataFrame) -> DataFrame:
+    """A dated list log over the pages' own hosts and first path segments: adds, removals, second adds."""
+    host = F.lower(F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1))
+    segment = F.regexp_extract("url", "^[a-z]+://[^/?#]+/([^/?#]+)", 1)
+    parent = F.regexp_extract("url", r"^[a-z]+://(?:[^/:?#]*\.)?([^/:?#.]+\.[^/:?#.]+\.[^/:?#.]+)(?:[/:?#]|$)", 1)
+    patterns = F.explode(F.array(host, parent, F.concat(host, F.lit("/"), segment)))
+    h = F.conv(F.substring(F.md5("pattern"), 1, 6), 16, 10).cast("int")
+    first = F.date_add(F.lit("2023-12-01").cast("date"), h % 300)
+    change = F.explode(
+        F.array(
+            F.struct(F.lit("add").alias("action"), first.alias("day")),
+            F.struct(F.lit("remove").alias("action"), F.date_add(first, 10 + h % 100).alias("day")),
+            F.struct(F.when(h % 2 == 0, "add").alias("action"), F.date_add(first, 150 + h % 50).alias("day")),
+        )
+    )
+    names = F.element_at(F.array(F.lit("adult"), F.lit("malware"), F.lit("spam")), 1 + h % 3)
+    return (
+        pages.select(patterns.alias("pattern"))
+        .filter("pattern <> '' and pattern not like '%/'")
+        .distinct()
+        .filter(h % 5 < 2)
+        .select(names.alias("list_name"), "pattern", change.alias("c"))
+        .select("list_name", "pattern", "c.action", "c.day")
+    )
+
+
+def op4_url_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from runledger.llm.url_intervals import judge
+
+    pages = table(spark, sf_dir, "pages")
+    return judge(url_captures(pages), url_list_log(pages))
+
+
 def op5_forced_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from runledger.llm.forced_bpe import digest, encode_decode
 
     return digest(encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op6_longest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from runledger.llm.longest_match import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "n_tokens")
+
+
 def op7_id_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from runledger.llm.id_shards import digest, read_shards, write_shards
     from runledger.session import scratch_path
@@ -52,14 +98,24 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op10_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from runledger.llm.mil_quality import digest, score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return digest(score(docs, train(docs, table(spark, sf_dir, "labels"))))
+
+
 QUERIES = {
     "op1_line_frequency": op1_line_frequency,
     "op2_minhash_bayes": op2_minhash_bayes,
     "op3_secret_crf": op3_secret_crf,
+    "op4_url_intervals": op4_url_intervals,
     "op5_forced_bpe": op5_forced_bpe,
+    "op6_longest_match": op6_longest_match,
     "op7_id_shards": op7_id_shards,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_decontaminate": op9_decontaminate,
+    "op10_mil_quality": op10_mil_quality,
 }
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -162,3 +218,49 @@ select doc_id, cast(coalesce(size.n, 0) as bigint) as n_shingles,
        cast(case when size.n is null then 1 else n_copies end as bigint) as n_copies
 from d join copies using (t) left join size on size.node = copies.node left join label on label.node = copies.node
 """
+
+ORACLE_SQL["op4_url_intervals"] = r"""
+with captures as (
+  select page_id, cast(date '2024-01-01' + cast(page_id * 37 % 360 as integer) as date) as day,
+         lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)(?::[0-9]*)?(/[^?#]*)?', 1)) as host,
+         lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)(?::[0-9]*)?(/[^?#]*)?', 2)) as path
+  from pages),
+raw as (
+  select distinct unnest([lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)),
+      regexp_extract(url, '^[a-z]+://(?:[^/:?#]*\.)?([^/:?#.]+\.[^/:?#.]+\.[^/:?#.]+)(?:[/:?#]|$)', 1),
+      lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) || '/' || regexp_extract(url, '^[a-z]+://[^/?#]+/([^/?#]+)', 1)
+    ]) as pattern from pages),
+hashed as (
+  select pattern, cast('0x' || substr(md5(pattern), 1, 6) as integer) as h from raw
+  where pattern <> '' and pattern not like '%/'),
+log as (
+  select ['adult', 'malware', 'spam'][1 + h % 3] as list_name, lower(pattern) as pattern, c.action, c.day from (
+    select *, unnest([
+      {'action': 'add', 'day': date '2023-12-01' + h % 300},
+      {'action': 'remove', 'day': date '2023-12-01' + h % 300 + 10 + h % 100},
+      {'action': case when h % 2 = 0 then 'add' end, 'day': date '2023-12-01' + h % 300 + 150 + h % 50}]) as c
+    from hashed where h % 5 < 2) where c.action is not null),
+per_day as (
+  select list_name, pattern, cast(day as date) as day, min(case when action = 'add' then 1 else 0 end) as on_
+  from log group by all),
+changes as (
+  select * from (select *, lag(on_, 1, 0) over (partition by list_name, pattern order by day) as was from per_day)
+  where on_ <> was),
+spans as (
+  select * from (select *, lead(day) over (partition by list_name, pattern order by day) as until from changes)
+  where on_ = 1),
+labels as (select page_id, day, host, string_split(host, '.') as l,
+                  list_filter(string_split(path, '/'), lambda x: x <> '') as p from captures where host <> ''),
+cands as (
+  select distinct page_id, day, unnest(list_concat(
+    list_transform(range(1, len(l) + 1), lambda i: array_to_string(l[i:], '.')),
+    list_transform(range(1, len(p) + 1), lambda i: host || '/' || array_to_string(p[1:i], '/')))) as pattern
+  from labels),
+found as (
+  select page_id, list_name || ':' || pattern as entry from cands join spans using (pattern)
+  where cands.day >= spans.day and (until is null or cands.day < until)),
+per_page as (select page_id, count(*) as n, array_to_string(list_sort(list(entry)), ',') as active from found group by page_id)
+select captures.page_id as capture_id, cast(coalesce(n, 0) as bigint) as n_active, coalesce(active, '') as active,
+       coalesce(n, 0) > 0 as blocked
+from captures left join per_page using (page_id)
+"""
