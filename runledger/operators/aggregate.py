@@ -55,16 +55,27 @@ def total_check(tokens: DataFrame, counts: DataFrame, value: str = "n") -> DataF
     return both.withColumn("ok", F.col("n_tokens") == F.col("sum_counts"))
 
 
-def matrix_product(a: DataFrame, b: DataFrame) -> DataFrame:
-    """C = A . B in coordinate form.
+def matrix_product(a: DataFrame, b: DataFrame, hot_rows: int = 1_000_000) -> DataFrame:
+    """C = A . B in coordinate form; cells wrap modulo 2^64.
 
     ``a``: (i, k, v), ``b``: (k, j, v).  Equi-join on k and a hash aggregate
-    on (i, j); partial sums are combined map-side.  A hot k is a skewed join
-    key, which AQE's skew-join splits at run time.
+    on (i, j); partial sums are combined map-side.  A k with more than
+    ``hot_rows`` rows of A (at most rows / hot_rows of them, so the set is
+    broadcast) is salted: A's rows are dealt out by i, and B's rows of that k
+    are repeated once per salt.  Sums are decimals, so no cell overflows.
     """
-    left = a.select(F.col("i"), F.col("k"), F.col("v").alias("av"))
-    right = b.select(F.col("k"), F.col("j"), F.col("v").alias("bv"))
-    return left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("av") * F.col("bv")).alias("c"))
+    dealt = a.groupBy("k").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
+    hot = F.broadcast(dealt.select("k", F.ceil(F.col("_n") / F.lit(float(hot_rows))).cast("int").alias("_salts")))
+    salts = F.coalesce(F.col("_salts"), F.lit(1))
+    left = a.join(hot, "k", "left").select(
+        "i", "k", F.pmod(F.xxhash64("i"), salts).cast("int").alias("_salt"), F.col("v").cast("decimal(20,0)").alias("av")
+    )
+    right = b.join(hot, "k", "left").select(
+        "k", "j", F.col("v").cast("decimal(20,0)").alias("bv"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("_salt")
+    )
+    cell = F.sum((F.col("av") * F.col("bv")).cast("decimal(38,0)"))
+    wrapped = F.pmod(cell, F.lit(str(U64)).cast("decimal(38,0)")).cast("decimal(20,0)")
+    return left.join(right, ["k", "_salt"]).groupBy("i", "j").agg(wrapped.alias("c"))
 
 
 def transpose(a: DataFrame) -> DataFrame:
@@ -79,21 +90,24 @@ def matrix_fingerprint(c: DataFrame, value: str = "c") -> DataFrame:
     )
 
 
-def _totals(rows: DataFrame, key: str, hit: str) -> DataFrame:
-    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col(hit)).alias("total_hits"))
-
-
-def _positions(rows: DataFrame, key: str, order: Sequence[str], bucket: F.Column, hit: str, totals: DataFrame) -> DataFrame:
-    """Running row position and running hit count per key, plus key totals."""
+def _positions(rows: DataFrame, key: str, order: Sequence[str], bucket: F.Column, hit: str, hot: bool | None) -> DataFrame:
+    """Running row position and hit count per key, with the key's totals."""
+    if hot is None:
+        hot = ordered.has_hot_key(rows, [key])
     run = ordered.running_sums(
         rows,
         [key],
         order,
         bucket,
         {"pos": F.lit(1).cast("bigint"), "hits": F.col(hit).cast("bigint")},
-        levels=0,  # callers bucket by time: one border row per (key, period)
+        levels=0,  # callers bucket by time: one border row per (hot key, period)
+        hot=hot,
     )
-    return run.join(totals, key, "inner")
+    if hot:
+        totals = rows.groupBy(key).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col(hit)).alias("total_hits"))
+        return run.join(totals.withColumnRenamed(key, "_k"), run[key].eqNullSafe(F.col("_k"))).drop("_k")
+    w = Window.partitionBy(key)
+    return run.select("*", F.count(F.lit(1)).over(w).alias("total"), F.count_if(F.col(hit)).over(w).alias("total_hits"))
 
 
 def _progress(pos: F.Column, total: F.Column) -> F.Column:
@@ -102,39 +116,31 @@ def _progress(pos: F.Column, total: F.Column) -> F.Column:
 
 
 def cadence_snapshots(
-    rows: DataFrame, key: str, order: Sequence[str], bucket: F.Column, k: int, hit: str = "hit"
+    rows: DataFrame, key: str, order: Sequence[str], bucket: F.Column, k: int, hit: str = "hit", hot: bool | None = None
 ) -> DataFrame:
     """A snapshot at every k-th hit of a key, plus one final snapshot.
 
     Snapshot: epoch (1, 2, ...), cursor (rows consumed), found (hits so far),
     progress = min(1, cursor / total).  The final snapshot always follows, so
     when the hit total is a multiple of k the last two carry the same count
-    with epochs e and e + 1 (D13).
+    with epochs e and e + 1 (D13).  A key's last row gives both.
     """
-    totals = _totals(rows, key, hit)
-    p = _positions(rows, key, order, bucket, hit, totals)
-    snaps = p.filter(F.col(hit) & (F.col("hits") % k == 0)).select(
-        key,
-        (F.col("hits") / k).cast("bigint").alias("epoch"),
-        F.col("pos").alias("cursor"),
-        F.col("hits").alias("found"),
-        _progress(F.col("pos"), F.col("total")).alias("progress"),
-        F.lit(False).alias("final"),
-    )
-    finals = totals.select(
-        key,
-        (F.floor(F.col("total_hits") / k) + 1).cast("bigint").alias("epoch"),
-        F.col("total").alias("cursor"),
-        F.col("total_hits").alias("found"),
-        F.lit(1.0).alias("progress"),
-        F.lit(True).alias("final"),
-    )
-    return snaps.unionByName(finals)
+    p = _positions(rows, key, order, bucket, hit, hot)
+
+    def snapshot(when, epoch, progress, final):
+        fields = [epoch.cast("bigint").alias("epoch"), F.col("pos").alias("cursor"), F.col("hits").alias("found")]
+        return F.when(when, F.struct(*fields, progress.alias("progress"), F.lit(final).alias("final")))
+
+    every = snapshot(F.col(hit) & (F.col("hits") % k == 0), F.col("hits") / k, _progress(F.col("pos"), F.col("total")), False)
+    last = snapshot(F.col("pos") == F.col("total"), F.floor(F.col("hits") / k) + 1, F.lit(1.0), True)
+    return p.select(key, F.explode(F.filter(F.array(every, last), lambda x: x.isNotNull())).alias("s")).select(key, "s.*")
 
 
-def progress_curve(rows: DataFrame, key: str, order: Sequence[str], bucket: F.Column, hit: str = "hit") -> DataFrame:
+def progress_curve(
+    rows: DataFrame, key: str, order: Sequence[str], bucket: F.Column, hit: str = "hit", hot: bool | None = None
+) -> DataFrame:
     """Progress of every row: min(1, position / total), 0 when total is 0."""
-    p = _positions(rows, key, order, bucket, hit, _totals(rows, key, hit))
+    p = _positions(rows, key, order, bucket, hit, hot)
     return p.withColumn("progress", _progress(F.col("pos"), F.col("total"))).drop("total", "total_hits")
 
 
@@ -151,11 +157,13 @@ def tail_ring(rows: DataFrame, key: str, order: Sequence[str], hit: str = "hit",
 
 
 def last_found(wlog: DataFrame, key: str = "job_id", seq: str = "seq") -> DataFrame:
-    """The last reported `found` of each job's log; none -> 0."""
-    reports = F.col("type").isin("checkpoint", "completed")
-    return wlog.groupBy(key).agg(
-        F.coalesce(F.max_by(F.when(reports, F.col("found")), F.when(reports, F.col(seq))), F.lit(0)).cast("bigint").alias("last_found")
-    )
+    """The last reported `found` (u64) of each job's log; none -> 0.
+
+    A report without the field does not count.
+    """
+    seen = F.col("type").isin("checkpoint", "completed") & F.col("found").isNotNull()
+    last = F.max_by(F.when(seen, F.col("found")), F.when(seen, F.col(seq))).cast("decimal(20,0)")
+    return wlog.groupBy(key).agg(F.coalesce(last, F.lit(0).cast("decimal(20,0)")).alias("last_found"))
 
 
 def global_cadence(rows: DataFrame, order: Sequence[str], k: int, hit: str = "hit") -> DataFrame:

@@ -8,8 +8,8 @@ Coverage questions ("how many holds cover this instant?") are answered with a
 sweep line instead of a range join: hold starts count +1, hold ends -1, and a
 running sum along time gives the number of holds active at each probe.  That
 is linear in holds + probes and never emits interval pairs.  Running sums and
-lag/lead use the bucketed helpers of ``ordered`` so a hot lease key is split
-by time bucket.
+lag/lead use the helpers of ``ordered``: one window per lease key, and time
+buckets where a key is too large for one task (``hot``).
 """
 
 from __future__ import annotations
@@ -23,8 +23,7 @@ from runledger.functions.scalar import seconds_between
 from runledger.operators import ordered
 
 DAY = 86400
-# Hour buckets: rows of one key are spread over (key, hour) tasks, and the
-# border window holds one row per key and hour (~9k per key-year).
+# Hour buckets of a hot key: its border window holds one row per hour (~9k a year).
 HOUR = 3600
 
 
@@ -39,36 +38,50 @@ def lease_holds(
     holder: str = "holder",
     ts: str = "ts",
     bucket_seconds: int = HOUR,
+    seq: str | None = None,
+    hot: bool | None = None,
 ) -> DataFrame:
     """Holds (key, holder, hold_no, from_ts, last_touch, until_ts, touches).
 
-    With an ``op`` column, a ``release`` touch ends its hold at once (until =
-    the release time) and the holder's next touch opens a new hold.
+    Without an ``op`` column every touch counts: it extends the hold, or opens
+    one after expiry.  With ``op`` in (acquire, refresh, release) the lock's
+    rules hold: only an acquire opens a hold; a refresh extends one that has
+    not expired and else fails; a release ends one at once and else fails.
+    Failed touches leave no trace.  ``seq`` breaks ties of ``ts``.
     """
-    b = ordered.time_bucket(ts, bucket_seconds)
     has_op = "op" in touches.columns
-    cols = [key, holder, ts] + (["op"] if has_op else [])
-    # Time buckets: one border row per (key, holder, period), so no further level is needed.
-    lagged = ordered.shifted(touches.select(*cols), [key, holder], [ts], b, [ts] + (["op"] if has_op else []), "prev_", levels=0)
+    keys, order = [key, holder], [ts, *([seq] if seq else [])]
+    cols = [*keys, *order, *(["op"] if has_op else [])]
+    if hot is None:
+        hot = ordered.has_hot_key(touches, keys)
+    b = ordered.time_bucket(ts, bucket_seconds)
+    lagged = ordered.shifted(touches.select(*cols), keys, order, b, [ts, *(["op"] if has_op else [])], "prev_", levels=0, hot=hot)
     new = F.col("prev_" + ts).isNull() | (_secs("prev_" + ts, ts) > ttl_seconds)
     if has_op:
         new = new | F.coalesce(F.col("prev_op") == "release", F.lit(False))
-    numbered = ordered.running_sums(
-        lagged.withColumn("_new", F.when(new, 1).otherwise(0).cast("bigint")),
-        [key, holder],
-        [ts],
-        ordered.time_bucket(ts, bucket_seconds),
-        {"hold_no": F.col("_new")},
-        levels=0,
+    chains = ordered.running_sums(
+        lagged, keys, order, b, {"_chain": F.when(new, 1).otherwise(0).cast("bigint")}, levels=0, hot=hot
     )
+    if has_op:
+        # Within a chain of touches (gaps within the TTL, none after a release) the hold
+        # begins at the first acquire; what comes before it found no hold.
+        opened = F.when(F.col("op") == "acquire", 1).otherwise(0).cast("bigint")
+        chains = ordered.running_sums(chains, [*keys, "_chain"], order, b, {"_open": opened}, levels=0, hot=hot).filter("_open > 0")
     aggs = [F.min(ts).alias("from_ts"), F.max(ts).alias("last_touch"), F.count(F.lit(1)).alias("touches")]
     if has_op:
-        aggs.append(F.max_by(F.col("op") == "release", F.col(ts)).alias("_released"))
-    holds = numbered.groupBy(key, holder, "hold_no").agg(*aggs)
+        aggs.append(F.bool_or(F.col("op") == "release").alias("_released"))
+    holds = chains.groupBy(*keys, "_chain").agg(*aggs)
     until = F.col("last_touch") + F.make_dt_interval(secs=F.lit(ttl_seconds))
     if has_op:
-        until = F.when(F.coalesce(F.col("_released"), F.lit(False)), F.col("last_touch")).otherwise(until)
-    return holds.withColumn("until_ts", until.cast(touches.schema[ts].dataType)).drop("_released")
+        until = F.when(F.col("_released"), F.col("last_touch")).otherwise(until)
+    until = until.cast(touches.schema[ts].dataType).alias("until_ts")
+    if not has_op:
+        return holds.select(*keys, F.col("_chain").alias("hold_no"), "from_ts", "last_touch", "touches", until)
+    # chains without a hold leave gaps in the numbering
+    numbered = ordered.running_sums(
+        holds, keys, ["from_ts"], ordered.time_bucket("from_ts", bucket_seconds), {"hold_no": F.lit(1).cast("bigint")}, levels=0, hot=hot
+    )
+    return numbered.select(*keys, "hold_no", "from_ts", "last_touch", "touches", until)
 
 
 def failover_gap(
@@ -78,6 +91,7 @@ def failover_gap(
     key: str = "lease_key",
     holder: str = "holder",
     bucket_seconds: int = HOUR,
+    hot: bool | None = None,
 ) -> DataFrame:
     """From each hold to the next hold of the key by another holder.
 
@@ -86,7 +100,7 @@ def failover_gap(
     none are dropped.
     """
     b = ordered.time_bucket("from_ts", bucket_seconds)
-    nxt = ordered.shifted(holds, [key], ["from_ts", holder], b, [holder, "from_ts"], "next_", direction="lead", levels=0)
+    nxt = ordered.shifted(holds, [key], ["from_ts", holder], b, [holder, "from_ts"], "next_", direction="lead", levels=0, hot=hot)
     sla = float(ttl_seconds) + float(poll_seconds)
     out = nxt.filter(F.col("next_" + holder).isNotNull() & (F.col("next_" + holder) != F.col(holder)))
     return out.select(
@@ -102,6 +116,24 @@ def failover_gap(
     )
 
 
+def _edges(start: str, end: str) -> list[F.Column]:
+    """The marks of an interval: +1 at its start, -1 at its end, with their rank among equal instants."""
+    return [
+        F.struct(F.col(start).alias("_t"), F.lit(0).alias("_o"), F.lit(1).cast("bigint").alias("_d")),
+        F.struct(F.col(end).alias("_t"), F.lit(2).alias("_o"), F.lit(-1).cast("bigint").alias("_d")),
+    ]
+
+
+def _swept(events: DataFrame, keys: Sequence[str], own: str | None, bucket_seconds: int, hot: bool | None) -> DataFrame:
+    """Probes (``_o`` = 1) with the number of open intervals per key and, with ``own``, per (key, own)."""
+    order = ["_t", "_o", F.col("_p._probe_id")]
+    b = ordered.time_bucket("_t", bucket_seconds)
+    run = ordered.running_sums(events, list(keys), order, b, {"n_cover": F.col("_d")}, levels=0, hot=hot)
+    if own:
+        run = ordered.running_sums(run, [*keys, own], order, b, {"n_own": F.col("_d")}, levels=0, hot=hot)
+    return run.filter(F.col("_o") == 1).select("_p.*", "n_cover", *(["n_own"] if own else []))
+
+
 def coverage(
     intervals: DataFrame,
     probes: DataFrame,
@@ -109,36 +141,28 @@ def coverage(
     start: str,
     end: str,
     at: str,
+    own: str | None = None,
     bucket_seconds: int = HOUR,
+    hot: bool | None = None,
 ) -> DataFrame:
     """Number of closed intervals [start, end] of the same keys covering each probe.
 
     ``probes`` keeps all its columns and gains ``n_cover``; it must carry a
-    unique ``_probe_id`` column (any orderable type, e.g. a struct).  Sweep: +1 at start (before probes of the same
-    instant), -1 at end (after them), running sum per key along time.
+    unique ``_probe_id`` column (any orderable type, e.g. a struct).  Sweep: +1
+    at start (before probes of the same instant), -1 at end (after them),
+    running sum per key along time.  With ``own`` (a column of both sides) the
+    same sweep also counts, as ``n_own``, the intervals that share it.
     """
-    t = "_t"
-    payload_t = probes.schema
-    no_payload = F.lit(None).cast(payload_t)
-    # One pass over the intervals yields both the +1 (open) and -1 (close) rows.
-    edges = F.explode(
-        F.array(
-            F.struct(F.col(start).alias(t), F.lit(0).alias("_o"), F.lit(1).cast("bigint").alias("_d")),
-            F.struct(F.col(end).alias(t), F.lit(2).alias("_o"), F.lit(-1).cast("bigint").alias("_d")),
-        )
-    ).alias("_e")
-    marks = intervals.select(*keys, edges).select(*keys, "_e.*", no_payload.alias("_p"))
+    by = [*keys, *([own] if own else [])]
+    marks = intervals.select(*by, F.explode(F.array(*_edges(start, end))).alias("_e")).select(
+        *by, "_e.*", F.lit(None).cast(probes.schema).alias("_p")
+    )
     # Probes travel through the sweep whole, so no join back is needed.
     pts = probes.select(
-        *keys, F.col(at).alias(t), F.lit(1).alias("_o"), F.lit(0).cast("bigint").alias("_d"),
+        *by, F.col(at).alias("_t"), F.lit(1).alias("_o"), F.lit(0).cast("bigint").alias("_d"),
         F.struct(*[F.col(c) for c in probes.columns]).alias("_p"),
     )
-    events = marks.unionByName(pts)
-    run = ordered.running_sums(
-        events, list(keys), [t, "_o", F.col("_p._probe_id")], ordered.time_bucket(t, bucket_seconds), {"n_cover": F.col("_d")},
-        levels=0,
-    )
-    return run.filter(F.col("_o") == 1).select("_p.*", "n_cover")
+    return _swept(marks.unionByName(pts), keys, own, bucket_seconds, hot)
 
 
 def start_by_holder(
@@ -149,25 +173,34 @@ def start_by_holder(
     starter: str = "starter",
     ts: str = "ts",
     probe_id: str = "seq",
+    hot: bool | None = None,
 ) -> DataFrame:
     """Per start, how many holds of its key cover it and whether the
-    starter itself held the lease; a start without its own hold is a violation."""
+    starter itself held the lease; a start without its own hold is a violation.
+    Both counts come from one sweep."""
     p = starts.withColumn("_probe_id", F.col(probe_id))
-    any_cover = coverage(holds, p, [key], "from_ts", "until_ts", ts).withColumnRenamed("n_cover", "n_covering")
-    own_holds = holds.withColumnRenamed(holder, starter)
-    own = coverage(own_holds, p.select("_probe_id", key, starter, ts), [key, starter], "from_ts", "until_ts", ts).select(
-        "_probe_id", (F.col("n_cover") > 0).alias("own_hold")
+    found = coverage(holds.withColumnRenamed(holder, starter), p, [key], "from_ts", "until_ts", ts, own=starter, hot=hot)
+    own_hold = F.col("n_own") > 0
+    return found.select(
+        *starts.columns, F.col("n_cover").alias("n_covering"), own_hold.alias("own_hold"), (~own_hold).alias("violation")
     )
-    out = any_cover.join(own, "_probe_id", "inner")
-    return out.withColumn("violation", ~F.col("own_hold")).drop("_probe_id")
 
 
-def lease_overlap(holds: DataFrame, key: str = "lease_key", holder: str = "holder") -> DataFrame:
+def lease_overlap(
+    holds: DataFrame, key: str = "lease_key", holder: str = "holder", bucket_seconds: int = HOUR, hot: bool | None = None
+) -> DataFrame:
     """Holds that start while another holder's hold of the key is active.
 
     Holds of one holder never overlap (a new one starts only after the old one
     expired), so a hold is offending iff at least two holds cover its start.
+    Each hold gives its two marks and its probe in one pass.
     """
-    p = holds.withColumn("_probe_id", F.struct(F.col(key), F.col(holder), F.col("hold_no")))
-    cov = coverage(holds, p, [key], "from_ts", "until_ts", "from_ts")
+    row = F.struct(F.struct(F.col(key), F.col(holder), F.col("hold_no")).alias("_probe_id"), *[F.col(c) for c in holds.columns])
+    none = F.lit(None).cast(holds.select(row.alias("_p")).schema["_p"].dataType)
+    probe = F.struct(F.col("from_ts").alias("_t"), F.lit(1).alias("_o"), F.lit(0).cast("bigint").alias("_d"))
+    parts = [F.struct(e.alias("_e"), none.alias("_p")) for e in _edges("from_ts", "until_ts")]
+    events = holds.select(
+        F.col(key), F.explode(F.array(*parts, F.struct(probe.alias("_e"), row.alias("_p")))).alias("_x")
+    ).select(key, "_x._e.*", "_x._p")
+    cov = _swept(events, [key], None, bucket_seconds, hot)
     return cov.filter(F.col("n_cover") >= 2).withColumnRenamed("n_cover", "n_active").drop("_probe_id")

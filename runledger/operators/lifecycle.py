@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runledger.functions.scalar import is_terminal, is_valid_transition, seconds_between, state_index
+from runledger.functions.scalar import is_valid_transition, seconds_between, state_index
 from runledger.operators import ordered
 from runledger.schemas import STATES, TERMINAL_STATES, transition_matrix
 
@@ -238,13 +238,18 @@ def replay_steps(
 # Window operators on the log
 # ---------------------------------------------------------------------------
 def transition_pairs(
-    log: DataFrame, key: str = "job_id", seq: str = "seq", to: str = "to_state", bucket_width: int = BUCKET_WIDTH
+    log: DataFrame,
+    key: str = "job_id",
+    seq: str = "seq",
+    to: str = "to_state",
+    bucket_width: int = BUCKET_WIDTH,
+    hot: bool | None = None,
 ) -> DataFrame:
     """(from, to, valid) for each consecutive pair of requested states.
 
     ``from`` is the previous request of the job (``pending`` for the first).
     """
-    out = ordered.shifted(log, [key], [seq], ordered.bucket_of(seq, bucket_width), [to], "prev_")
+    out = ordered.shifted(log.select(key, seq, to), [key], [seq], ordered.bucket_of(seq, bucket_width), [to], "prev_", hot=hot)
     frm = F.coalesce(F.col("prev_" + to), F.lit("pending"))
     return out.select(
         key, seq, frm.alias("from_state"), F.col(to).alias("to_state"), is_valid_transition(frm, F.col(to)).alias("valid")
@@ -252,7 +257,12 @@ def transition_pairs(
 
 
 def attempts(
-    wlog: DataFrame, key: str = "job_id", seq: str = "seq", type_col: str = "type", bucket_width: int = BUCKET_WIDTH
+    wlog: DataFrame,
+    key: str = "job_id",
+    seq: str = "seq",
+    type_col: str = "type",
+    bucket_width: int = BUCKET_WIDTH,
+    hot: bool | None = None,
 ) -> DataFrame:
     """Attempt number per row; each `started` row opens a new attempt, rows before the first are 0."""
     return ordered.running_sums(
@@ -261,35 +271,87 @@ def attempts(
         [seq],
         ordered.bucket_of(seq, bucket_width),
         {"attempt": F.when(F.col(type_col) == "started", 1).otherwise(0).cast("bigint")},
+        hot=hot,
     )
 
 
 def epoch_monotonic(
-    wlog: DataFrame, key: str = "job_id", seq: str = "seq", bucket_width: int = BUCKET_WIDTH
+    wlog: DataFrame, key: str = "job_id", seq: str = "seq", bucket_width: int = BUCKET_WIDTH, hot: bool | None = None
 ) -> DataFrame:
-    """Flag epoch rows whose epoch does not grow inside an attempt."""
-    att = attempts(wlog, key, seq, bucket_width=bucket_width)
-    ep = att.filter(F.col("type").isin("checkpoint", "completed"))
-    out = ordered.shifted(ep, [key, "attempt"], [seq], ordered.bucket_of(seq, bucket_width), ["epoch"], "prev_")
+    """Flag checkpoints whose epoch does not grow inside an attempt.
+
+    Checkpoints only: a `completed` line repeats the epoch of the final one.
+    """
+    if hot is None:
+        hot = ordered.has_hot_key(wlog, [key])
+    att = attempts(wlog, key, seq, bucket_width=bucket_width, hot=hot)
+    ep = att.filter(F.col("type") == "checkpoint")
+    out = ordered.shifted(ep, [key, "attempt"], [seq], ordered.bucket_of(seq, bucket_width), ["epoch"], "prev_", hot=hot)
     return out.select(
         key, seq, "attempt", "epoch", "prev_epoch",
         F.coalesce(F.col("epoch") > F.col("prev_epoch"), F.lit(True)).alias("monotonic"),
     )
 
 
+# The leaf and compose steps again, with the time of the last applied entry to
+# running (run) and to a terminal state (fin) in every slot.
+_TERMINAL_INDEX = ", ".join(str(STATES.index(t)) for t in TERMINAL_STATES)
+_TIMED_IDENTITY = (
+    "transform(sequence(0, 7), i -> named_struct('e', i, 'run', cast(null as {t}), 'fin', cast(null as {t})))"
+)
+_TIMED_LEAF = (
+    "aggregate(reqs, {ident}, (acc, x) -> transform(acc, s -> "
+    "IF(x.t >= 0 AND {m}[s.e][greatest(x.t, 0)], named_struct('e', x.t, "
+    "'run', IF(x.t = {running}, x.ts, s.run), 'fin', IF(x.t IN ({terminal}), x.ts, s.fin)), s)))"
+)
+_TIMED_COMPOSE = (
+    "aggregate(parts, {ident}, (acc, x) -> transform(acc, s -> named_struct('e', x.fn[s.e].e, "
+    "'run', coalesce(x.fn[s.e].run, s.run), 'fin', coalesce(x.fn[s.e].fin, s.fin))))"
+)
+
+
 def state_durations(
-    steps: DataFrame, key: str = "job_id", ts: str = "recorded_at", to: str = "to_state"
+    log: DataFrame,
+    key: str = "job_id",
+    seq: str = "seq",
+    ts: str = "recorded_at",
+    to: str = "to_state",
+    bucket_width: int = BUCKET_WIDTH,
+    fanout: int = FANOUT,
 ) -> DataFrame:
-    """Created (first request time), started_at = last accepted entry to
-    running (D11: every entry overwrites it, resumes included) and
-    finished_at = last accepted terminal move (terminal self moves are legal
-    and overwrite it too); queue wait and runtime in seconds."""
-    acc = F.col("accepted")
-    agg = steps.groupBy(key).agg(
-        F.min(ts).alias("created_at"),
-        F.max(F.when(acc & (F.col(to) == "running"), F.col(ts))).alias("started_at"),
-        F.max(F.when(acc & is_terminal(F.col(to)), F.col(ts))).alias("finished_at"),
+    """Created (first request time), started_at = time of the last accepted
+    entry to running (D11: every entry overwrites it, resumes included) and
+    finished_at = time of the last accepted terminal move (terminal self moves are
+    legal and overwrite it too); queue wait and runtime in seconds.  "Last" is
+    by ``seq``, whatever the clock says.
+
+    The guarded replay's slots carry the two times, so this is one aggregate
+    per level and no row leaves the JVM.
+    """
+    kind = log.schema[ts].dataType.simpleString()
+    ident = _TIMED_IDENTITY.format(t=kind)
+    leaf = _TIMED_LEAF.format(ident=ident, m=_matrix_sql(), running=STATES.index("running"), terminal=_TERMINAL_INDEX)
+    compose = _TIMED_COMPOSE.format(ident=ident)
+    levels = _levels(log, seq, bucket_width, fanout)
+    tables = (
+        log.groupBy(key, ordered.bucket_of(seq, bucket_width).alias("b"))
+        .agg(
+            F.array_sort(
+                F.collect_list(F.struct(F.col(seq).alias("seq"), state_index(to).alias("t"), F.col(ts).alias("ts")))
+            ).alias("reqs"),
+            F.min(ts).alias("lo"),
+        )
+        .select(key, "b", "lo", F.expr(leaf).alias("fn"))
     )
+    parts = F.array_sort(F.collect_list(F.struct("b", "fn"))).alias("parts")
+    for _ in range(levels):
+        tables = (
+            tables.groupBy(key, F.floor(F.col("b") / fanout).cast("bigint").alias("pb"))
+            .agg(parts, F.min("lo").alias("lo"))
+            .select(key, F.col("pb").alias("b"), "lo", F.expr(compose).alias("fn"))
+        )
+    last = tables.groupBy(key).agg(parts, F.min("lo").alias("created_at")).select(key, "created_at", F.expr(compose)[0].alias("s"))
+    agg = last.select(key, "created_at", F.col("s.run").alias("started_at"), F.col("s.fin").alias("finished_at"))
     secs = seconds_between
     return agg.select(
         key, "created_at", "started_at", "finished_at",
@@ -299,31 +361,32 @@ def state_durations(
 
 
 def latest_checkpoint(
-    wlog: DataFrame, key: str = "job_id", seq: str = "seq", ts: str = "ts"
+    wlog: DataFrame, key: str = "job_id", seq: str = "seq", ts: str = "ts", path: str = "state_path"
 ) -> DataFrame:
-    """Last checkpoint per job by arrival (max_by seq): at, epoch, found."""
+    """Last checkpoint per job by arrival (max_by seq): at, epoch, found, path."""
     cp = wlog.filter(F.col("type") == "checkpoint")
-    last = cp.groupBy(key).agg(F.max_by(F.struct(ts, "epoch", "found", seq), F.col(seq)).alias("c"))
+    last = cp.groupBy(key).agg(F.max_by(F.struct(ts, "epoch", "found", path, seq), F.col(seq)).alias("c"))
     return last.select(
         key,
         F.col(f"c.{ts}").alias("last_checkpoint_at"),
         F.col("c.epoch").alias("last_checkpoint_epoch"),
         F.col("c.found").alias("last_checkpoint_found"),
+        F.col(f"c.{path}").alias("last_checkpoint_path"),
         F.col(f"c.{seq}").alias("last_seq"),
     )
 
 
-def exit_outcome(wlog_attempts: DataFrame, key: str = "job_id", seq: str = "seq") -> DataFrame:
+def exit_outcome(wlog_attempts: DataFrame, exits: DataFrame, key: str = "job_id") -> DataFrame:
     """Per run (job, attempt): completed if the exit code is 0 or a
-    `completed` line was seen (D12), else failed.  The exit code of a run is
-    its last epoch mod 3 (derived, as the log has no exit codes)."""
-    g = wlog_attempts.groupBy(key, "attempt").agg(
-        (F.max_by("epoch", seq) % 3).alias("exit_code"),
-        F.bool_or(F.col("type") == "completed").alias("saw_completed"),
-    )
-    return g.withColumn(
-        "outcome",
-        F.when((F.col("exit_code") == 0) | F.col("saw_completed"), "completed").otherwise("failed"),
+    `completed` line was seen (D12), else failed.
+
+    ``exits``: (key, attempt, exit_code), one row per ended process; a run
+    without one counts as failed unless it said it completed.
+    """
+    g = wlog_attempts.groupBy(key, "attempt").agg(F.bool_or(F.col("type") == "completed").alias("saw_completed"))
+    done = F.coalesce(F.col("exit_code") == 0, F.lit(False)) | F.col("saw_completed")
+    return g.join(exits.select(key, "attempt", "exit_code"), [key, "attempt"], "left").select(
+        key, "attempt", "exit_code", "saw_completed", F.when(done, "completed").otherwise("failed").alias("outcome")
     )
 
 

@@ -1,12 +1,17 @@
 """Per-key ordered operators that stay bounded when one key is huge.
 
-A plain ``Window.partitionBy(key)`` puts every row of a key into one task.
-When one key may hold a third of the data, these helpers split each key into
-buckets of the ordering (``bucket`` must be non-decreasing along the order),
-run the window inside ``(key, bucket)`` and stitch bucket borders together
-with a second, much smaller window over one row per ``(key, bucket)``.
-The stitch join is keyed by ``(key, bucket)``, the partitioning the first
-window already produced, so the big side is not shuffled again.
+Two plans, one result.  Where no key has more than ``HOT_ROWS`` rows (one
+pre-aggregated count over the key columns decides), a plain window per key is
+used: one scan, one exchange, one sort for any number of values and lags.
+Where some key is larger, only the rows of such keys are cut into buckets of
+the ordering (``bucket`` must be non-decreasing along the order).  The window
+then runs inside ``(key, bucket)``, and bucket borders are stitched with a second,
+much smaller window over one row per bucket of a hot key.  A cold key is one
+bucket and needs no border row.
+
+The set of hot keys has at most (rows / ``HOT_ROWS``) members, so it is
+broadcast.  Callers that chain several helpers over one input pass the
+decision on (``hot=``), so the keys are counted once.
 """
 
 from __future__ import annotations
@@ -19,13 +24,48 @@ from pyspark.sql import functions as F
 from runledger.functions.scalar import epoch_micros
 
 _B = "_bucket"
+HOT_ROWS = 2_000_000
+BORDER_FANOUT = 4096
 
 
 def _cols(xs) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
 
-BORDER_FANOUT = 4096
+def has_hot_key(df: DataFrame, keys: Sequence[str], rows: int | None = None) -> bool:
+    """Whether some key has more than ``rows`` rows (default ``HOT_ROWS``)."""
+    return not _hot_keys(df, keys, rows).isEmpty()
+
+
+def _hot_keys(df: DataFrame, keys: Sequence[str], rows: int | None) -> DataFrame:
+    most = HOT_ROWS if rows is None else rows
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most).drop("_n")
+
+
+def _same(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & a[k].eqNullSafe(b[k + "_r"])
+    return cond
+
+
+def _renamed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return df.withColumnsRenamed({k: k + "_r" for k in keys})
+
+
+def _bucketed(df: DataFrame, keys: Sequence[str], bucket: Column, rows: int | None) -> DataFrame:
+    """df + _bucket: the ordering bucket for rows of hot keys, null for the others."""
+    marked = df.withColumn(_B, bucket)
+    hot = _renamed(_hot_keys(df, keys, rows), keys).withColumn("_hot", F.lit(True))
+    out = marked.join(F.broadcast(hot), _same(marked, hot, keys), "left")
+    return out.withColumn(_B, F.when(F.col("_hot"), F.col(_B))).drop("_hot", *[k + "_r" for k in keys])
+
+
+def _stitched(local: DataFrame, border: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Each row with the border values of its bucket (null for cold keys)."""
+    names = [*keys, _B]
+    right = _renamed(border, names)
+    return local.join(right, _same(local, right, names), "left").drop(*[n + "_r" for n in names])
 
 
 def running_sums(
@@ -36,23 +76,33 @@ def running_sums(
     values: dict[str, Column],
     inclusive: bool = True,
     levels: int = 1,
+    hot: bool | None = None,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Add running sums ``sum(v) over (partition by keys order by order)``.
 
-    ``inclusive=False`` gives the sum over strictly earlier rows.  The bucket
-    totals are read off the last row of each bucket of the first window, so
-    the input is scanned and shuffled once.
+    ``inclusive=False`` gives the sum over strictly earlier rows.  ``hot``:
+    whether some key is too large for one task (None: count and see).
     """
-    df = df.withColumn(_B, bucket)
+    if hot is None:
+        hot = has_hot_key(df, keys, hot_rows)
+    if not hot:
+        end = Window.currentRow if inclusive else -1
+        frame = Window.partitionBy(*keys).orderBy(*_cols(order)).rowsBetween(Window.unboundedPreceding, end)
+        return df.select("*", *[F.coalesce(F.sum(v).over(frame), F.lit(0)).alias(n) for n, v in values.items()])
+    df = _bucketed(df, keys, bucket, hot_rows)
     w = Window.partitionBy(*keys, _B).orderBy(*_cols(order))
     frame = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = df.select(
         "*",
         *[F.coalesce(F.sum(v).over(frame), F.lit(0)).alias(f"_l_{n}") for n, v in values.items()],
         *([v.alias(f"_v_{n}") for n, v in values.items()] if not inclusive else []),
-        F.lead(F.lit(1)).over(w).isNull().alias("_last"),
     )
-    totals = local.filter(F.col("_last")).select(*keys, _B, *[F.col(f"_l_{n}").alias(f"_t_{n}") for n in values])
+    totals = (
+        df.filter(F.col(_B).isNotNull())
+        .groupBy(*keys, _B)
+        .agg(*[F.coalesce(F.sum(v), F.lit(0)).alias(f"_t_{n}") for n, v in values.items()])
+    )
     if levels > 0:
         # The bucket totals are themselves summed in buckets of buckets, so a
         # key spanning very many buckets is still split over tasks.
@@ -60,6 +110,7 @@ def running_sums(
         off = running_sums(
             tb, keys, ["_bb"], bucket_of("_bb", BORDER_FANOUT),
             {f"_o_{n}": F.col(f"_t_{n}") for n in values}, inclusive=False, levels=levels - 1,
+            hot=True, hot_rows=0,
         )
         offsets = off.select(*keys, F.col("_bb").alias(_B), *[f"_o_{n}" for n in values])
     else:
@@ -67,11 +118,11 @@ def running_sums(
         offsets = totals.select(
             *keys, _B, *[F.coalesce(F.sum(f"_t_{n}").over(wb), F.lit(0)).alias(f"_o_{n}") for n in values]
         )
-    out = local.join(offsets, [*keys, _B], "inner")
+    out = _stitched(local, offsets, keys)
     for n in values:
         own = F.lit(0) if inclusive else F.coalesce(F.col(f"_v_{n}"), F.lit(0))
-        out = out.withColumn(n, F.col(f"_l_{n}") + F.col(f"_o_{n}") - own)
-    drop = [_B, "_last", *[f"_l_{n}" for n in values], *[f"_o_{n}" for n in values]]
+        out = out.withColumn(n, F.col(f"_l_{n}") + F.coalesce(F.col(f"_o_{n}"), F.lit(0)) - own)
+    drop = [_B, *[f"_l_{n}" for n in values], *[f"_o_{n}" for n in values]]
     if not inclusive:
         drop += [f"_v_{n}" for n in values]
     return out.drop(*drop)
@@ -86,39 +137,49 @@ def shifted(
     prefix: str,
     direction: str = "lag",
     levels: int = 1,
+    hot: bool | None = None,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Add ``lag(c)`` (or ``lead(c)``) for each column, named ``prefix + c``.
 
-    Rows at a bucket edge take the value from the neighbouring non-empty
-    bucket: the last row of the previous bucket (lag) or the first row of the
-    next one (lead), found with a window over one row per bucket.
+    Rows at a bucket edge of a hot key take the value from the neighbouring
+    non-empty bucket: the last row of the previous bucket (lag) or the first
+    row of the next one (lead), found with a window over one row per bucket.
     """
     if direction not in ("lag", "lead"):
         raise ValueError(direction)
-    order_c = _cols(order)
-    df = df.withColumn(_B, bucket)
-    w = Window.partitionBy(*keys, _B).orderBy(*order_c)
     shift = F.lag if direction == "lag" else F.lead
+    if hot is None:
+        hot = has_hot_key(df, keys, hot_rows)
+    if not hot:
+        w = Window.partitionBy(*keys).orderBy(*_cols(order))
+        return df.select("*", *[shift(c).over(w).alias(prefix + c) for c in cols])
+    df = _bucketed(df, keys, bucket, hot_rows)
+    w = Window.partitionBy(*keys, _B).orderBy(*_cols(order))
     local = df.select(
-        "*",
-        *[shift(c).over(w).alias(f"_s_{c}") for c in cols],
-        shift(F.lit(1)).over(w).isNull().alias("_edge"),
-        (F.lead if direction == "lag" else F.lag)(F.lit(1)).over(w).isNull().alias("_far"),
+        "*", *[shift(c).over(w).alias(f"_s_{c}") for c in cols], shift(F.lit(1)).over(w).isNull().alias("_edge")
+    )
+    # The row a neighbouring bucket needs: last row (lag) / first row (lead), combined map-side.
+    pick = F.max_by if direction == "lag" else F.min_by
+    ends = (
+        df.filter(F.col(_B).isNotNull())
+        .groupBy(*keys, _B)
+        .agg(pick(F.struct(*cols), F.struct(*_cols(order))).alias("_end"))
     )
-    # The row a neighbouring bucket needs: last row (lag) / first row (lead).
-    ends = local.filter(F.col("_far")).select(*keys, _B, F.struct(*cols).alias("_end"))
     if levels > 0:
         # Neighbouring buckets found the same way, one level up.
         eb = ends.withColumnRenamed(_B, "_bb")
-        nb = shifted(eb, keys, ["_bb"], bucket_of("_bb", BORDER_FANOUT), ["_end"], "_n", direction, levels - 1)
+        nb = shifted(
+            eb, keys, ["_bb"], bucket_of("_bb", BORDER_FANOUT), ["_end"], "_n", direction, levels - 1, hot=True, hot_rows=0
+        )
         border = nb.select(*keys, F.col("_bb").alias(_B), F.col("_n_end").alias("_nb"))
     else:
         wb = Window.partitionBy(*keys).orderBy(_B)
         border = ends.select(*keys, _B, shift("_end").over(wb).alias("_nb"))
-    out = local.join(border, [*keys, _B], "inner")
+    out = _stitched(local, border, keys)
     for c in cols:
         out = out.withColumn(prefix + c, F.when(F.col("_edge"), F.col(f"_nb.{c}")).otherwise(F.col(f"_s_{c}")))
-    return out.drop(_B, "_edge", "_far", "_nb", *[f"_s_{c}" for c in cols])
+    return out.drop(_B, "_edge", "_nb", *[f"_s_{c}" for c in cols])
 
 
 def bucket_of(col, width) -> Column:
@@ -137,20 +198,15 @@ def global_running_sums(df: DataFrame, order: Sequence[str], values: dict[str, C
     """Running sums along one global order, without an unpartitioned window.
 
     Two passes over one range partitioning of the order:
-    1. per range partition, the totals of each value (one small aggregate,
-       n rows for n partitions, collected as scalars);
-    2. inside each partition, rows sorted by the order get a cumulative sum
-       (vectorised, ``mapInPandas``) plus the totals of all earlier
-       partitions.
-    Range bounds are sampled per job, so the range-partitioned, sorted data
-    is written once with ``checkpoint()`` to the shared checkpoint folder:
-    both passes read the same partitions, and a lost executor re-reads them
-    instead of re-sampling.  ``order`` must be a total order (ties would make
-    the running value depend on the order of tied rows).
+    1. per range partition, the totals of each value, summed over the
+       partitions before it (a window over one row per partition);
+    2. inside each partition a window along the order, plus those totals.
+    Range bounds are sampled per job, so the range-partitioned data is
+    written once with ``checkpoint()`` to the shared checkpoint folder, with
+    its partition number: both passes read the same partitions, and a lost
+    executor re-reads them instead of re-sampling.  ``order`` must be a total
+    order (ties would make the running value depend on the order of tied rows).
     """
-    import numpy as np
-    from pyspark.sql import types as T
-
     from runledger.session import ensure_checkpoint_dir
 
     spark = df.sparkSession
@@ -158,33 +214,11 @@ def global_running_sums(df: DataFrame, order: Sequence[str], values: dict[str, C
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     names = list(values)
     base = df.select(*df.columns, *[values[k].cast("bigint").alias(f"_v_{k}") for k in names])
-    fixed = base.repartitionByRange(n, *order).sortWithinPartitions(*order).checkpoint(eager=True)
-    ranged = fixed.withColumn("_pid", F.spark_partition_id())
-    rows = ranged.groupBy("_pid").agg(*[F.sum(f"_v_{k}").alias(k) for k in names]).collect()
-    totals = {r["_pid"]: [int(r[k] or 0) for k in names] for r in rows}
-    offsets, acc = {}, [0] * len(names)
-    for pid in range(n):
-        offsets[pid] = list(acc)
-        acc = [a + b for a, b in zip(acc, totals.get(pid, [0] * len(names)))]
-    schema = T.StructType(
-        [f for f in ranged.schema.fields if not f.name.startswith("_v_") and f.name != "_pid"]
-        + [T.StructField(k, T.LongType()) for k in names]
-    )
-    keep = [f.name for f in schema.fields if f.name not in names]
-
-    def cumulate(batches):
-        # One range partition arrives sorted; batches continue its running sums.
-        run = None
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            if run is None:
-                run = np.array(offsets[int(pdf["_pid"].iloc[0])], dtype="int64")
-            out = pdf[keep].copy()
-            for i, k in enumerate(names):
-                cs = pdf[f"_v_{k}"].fillna(0).astype("int64").to_numpy().cumsum() + run[i]
-                out[k] = cs
-                run[i] = cs[-1]
-            yield out
-
-    return ranged.mapInPandas(cumulate, schema)
+    fixed = base.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True)
+    totals = fixed.groupBy("_pid").agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in names])
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per range partition
+    offsets = totals.select("_pid", *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_o_{k}") for k in names])
+    frame = Window.partitionBy("_pid").orderBy(*_cols(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = fixed.select("*", *[F.coalesce(F.sum(f"_v_{k}").over(frame), F.lit(0)).alias(f"_l_{k}") for k in names])
+    out = local.join(F.broadcast(offsets), "_pid")
+    return out.select(*df.columns, *[(F.col(f"_l_{k}") + F.col(f"_o_{k}")).alias(k) for k in names])

@@ -95,7 +95,7 @@ SQL: dict[str, str] = {
                case when l_linestatus = 'O' then 'running' else 'exited' end as state,
                l_suppkey % 5 as controller_pid,
                l_linenumber
-        from lineitem where l_returnflag = 'R' and l_quantity > 25""",
+        from lineitem""",
     "requests": """
         select o_orderkey as req_id,
                case when o_orderpriority = '5-LOW' then '' else o_orderpriority end as worker_name,
@@ -131,7 +131,12 @@ SQL: dict[str, str] = {
 }
 SQL["lease_starts"] = """
         select event_id as seq, event_type as lease_key, user_id as starter, ts
-        from events where value > 100"""
+        from events"""
+SQL["lease_ops"] = """
+        select 'k' || cast(user_id % 20 as varchar) as lease_key, user_id % 3 as holder, ts, event_id as seq,
+               case event_type when 'signup' then 'acquire' when 'error' then 'acquire'
+                    when 'purchase' then 'release' else 'refresh' end as op
+        from events"""
 SQL["registry_rows"] = """
         select p_partkey as line,
                case when p_size % 17 = 0 then '' else p_brand end as worker_name,
@@ -242,18 +247,21 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
+def _jobs_state_col():
     st, pr = F.col("o_orderstatus"), F.col("o_orderpriority")
-    state = (
+    return (
         F.when(st == "P", F.when(pr < "3", "pending").otherwise("running"))
         .when(st == "O", F.when(pr < "3", "checkpointing").otherwise("interrupted_resumable"))
         .otherwise(F.when(pr < "3", "completed").when(pr < "5", "failed").otherwise("cancelled"))
     )
+
+
+def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
     return o.select(
         F.col("o_orderkey").alias("job_id"),
         F.col("o_orderdate").alias("created_at"),
-        state.alias("state"),
+        _jobs_state_col().alias("state"),
         (F.col("o_orderkey") % 3 != 0).alias("has_checkpoint"),
     )
 
@@ -261,7 +269,7 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Container listing with a label map; ids are unique."""
     li = table(spark, sf_dir, "lineitem")
-    df = li.filter((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 25)).select(
+    df = li.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("container_id"),
         F.col("l_orderkey").alias("job_id"),
         F.when(F.col("l_linestatus") == "O", "running").otherwise("exited").alias("state"),
@@ -392,7 +400,6 @@ def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ledger_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 17-column ledger as stored: unix nanos, args as JSON text."""
     o = table(spark, sf_dir, "orders")
-    j = jobs(spark, sf_dir)
     k = F.col("o_orderkey")
     ns = epoch_micros("o_orderdate") * 1000
     base = o.select(
@@ -404,8 +411,9 @@ def ledger_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         ns.alias("created_at"),
         k,
         F.col("o_totalprice"),
+        _jobs_state_col().alias("state"),
+        (k % 3 != 0).alias("has_checkpoint"),
     )
-    base = base.join(j.select(F.col("job_id").alias("o_orderkey"), "state", "has_checkpoint"), "o_orderkey")
     return base.select(
         "id", "image", "command", "args_json", "state", "created_at",
         F.when(F.col("state") != "pending", F.col("created_at") + 3_600_000_000_000).alias("started_at"),
@@ -446,11 +454,23 @@ def alive_pids(spark: SparkSession) -> DataFrame:
 
 
 def lease_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Job starts claimed under a lease: touches with value > 100, by their toucher."""
+    """Job starts claimed under a lease: one per touch, by its toucher."""
     ev = table(spark, sf_dir, "events")
-    return ev.filter(F.col("value") > 100).select(
+    return ev.select(
         F.col("event_id").alias("seq"),
         F.col("event_type").alias("lease_key"),
         F.col("user_id").alias("starter"),
         F.col("ts"),
     )
+
+
+def lease_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lock requests of three holders on twenty keys: acquire, refresh, release."""
+    t = F.col("event_type")
+    return table(spark, sf_dir, "events").select(
+        F.concat(F.lit("k"), (F.col("user_id") % 20).cast("string")).alias("lease_key"),
+        (F.col("user_id") % 3).alias("holder"),
+        "ts",
+        F.col("event_id").alias("seq"),
+        F.when(t.isin("signup", "error"), "acquire").when(t == "purchase", "release").otherwise("refresh").alias("op"),
+    )

@@ -89,7 +89,7 @@ def attempts(spark, sf_dir):
     with_ctes(
         "select job_id, seq, attempt, epoch, prev_epoch, coalesce(epoch > prev_epoch, true) as monotonic "
         "from (select *, lag(epoch) over (partition by job_id, attempt order by seq) as prev_epoch "
-        "from attempts where type in ('checkpoint', 'completed'))",
+        "from attempts where type = 'checkpoint')",
         "worker_log",
         raw=(_ATTEMPTS,),
     ),
@@ -105,8 +105,8 @@ def epoch_monotonic(spark, sf_dir):
                round((epoch_us(started_at) - epoch_us(created_at)) / 1e6, 6) as queue_wait_s,
                round((epoch_us(finished_at) - epoch_us(started_at)) / 1e6, 6) as run_s
         from (select job_id, min(recorded_at) as created_at,
-                     max(case when accepted and to_state = 'running' then recorded_at end) as started_at,
-                     max(case when accepted and to_state in {TERMINAL_LIST} then recorded_at end) as finished_at
+                     arg_max(recorded_at, seq) filter (where accepted and to_state = 'running') as started_at,
+                     arg_max(recorded_at, seq) filter (where accepted and to_state in {TERMINAL_LIST}) as finished_at
               from walk where rn > 0 group by job_id)""",
         "job_log",
         recursive=True,
@@ -114,20 +114,24 @@ def epoch_monotonic(spark, sf_dir):
     ),
 )
 def state_durations(spark, sf_dir):
-    return L.state_durations(L.replay_steps(fx.job_log(spark, sf_dir)))
+    return L.state_durations(fx.job_log(spark, sf_dir))
+
+
+_PATH = "'/state/' || job_id || '-' || cast(epoch as varchar) || '.bin'"
 
 
 @register(
     "latest_checkpoint",
     with_ctes(
         "select job_id, arg_max(ts, seq) as last_checkpoint_at, arg_max(epoch, seq) as last_checkpoint_epoch, "
-        "arg_max(found, seq) as last_checkpoint_found, max(seq) as last_seq "
+        f"arg_max(found, seq) as last_checkpoint_found, arg_max({_PATH}, seq) as last_checkpoint_path, max(seq) as last_seq "
         "from worker_log where type = 'checkpoint' group by job_id",
         "worker_log",
     ),
 )
 def latest_checkpoint(spark, sf_dir):
-    return L.latest_checkpoint(fx.worker_log(spark, sf_dir))
+    path = F.concat(F.lit("/state/"), F.col("job_id"), F.lit("-"), F.col("epoch").cast("string"), F.lit(".bin"))
+    return L.latest_checkpoint(fx.worker_log(spark, sf_dir).withColumn("state_path", path))
 
 
 @register(
@@ -135,11 +139,15 @@ def latest_checkpoint(spark, sf_dir):
     with_ctes(
         "select job_id, attempt, exit_code, saw_completed, "
         "case when exit_code = 0 or saw_completed then 'completed' else 'failed' end as outcome "
-        "from (select job_id, attempt, arg_max(epoch, seq) % 3 as exit_code, "
+        "from (select job_id, attempt, case when max(seq) % 4 < 3 then max(seq) % 4 end as exit_code, "
         "bool_or(type = 'completed') as saw_completed from attempts group by job_id, attempt)",
         "worker_log",
         raw=(_ATTEMPTS,),
     ),
 )
 def exit_outcome(spark, sf_dir):
-    return L.exit_outcome(L.attempts(fx.worker_log(spark, sf_dir)))
+    """Exit codes 0, 1, 2 from the run's last line; every fourth run has none yet."""
+    runs = L.attempts(fx.worker_log(spark, sf_dir))
+    code = F.max("seq") % 4
+    exits = runs.groupBy("job_id", "attempt").agg(code.alias("exit_code")).filter("exit_code < 3")
+    return L.exit_outcome(runs, exits)

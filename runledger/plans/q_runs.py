@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from runledger.operators import lease as LE
+from runledger.operators import ordered
 from runledger.operators import runstats as RS
 from runledger.plans import fixtures as fx
 from runledger.plans.catalog import register, with_ctes
@@ -88,12 +89,49 @@ HOLDS_SQL = (
 
 
 def _holds(spark, sf_dir):
-    return LE.lease_holds(fx.lease_touches(spark, sf_dir), LEASE_TTL_SECONDS)
+    """(holds, hot): the holds, and whether some key is too large for one task
+    (a key has at most two marks per touch and one probe per start)."""
+    touches = fx.lease_touches(spark, sf_dir)
+    hot = ordered.has_hot_key(touches, ["lease_key"], ordered.HOT_ROWS // 3)
+    return LE.lease_holds(touches, LEASE_TTL_SECONDS, hot=hot), hot
 
 
 @register("lease_holds", with_ctes("select * from holds", "lease_touches", extra={"holds": HOLDS_SQL}))
 def lease_holds(spark, sf_dir):
-    return _holds(spark, sf_dir)
+    return _holds(spark, sf_dir)[0]
+
+
+OPS_TTL = 6 * 3600
+_OPS_WALK = f"""
+ops as (select *, row_number() over (partition by lease_key, holder order by ts, seq) as rn from lease_ops),
+walk as (
+  select lease_key, holder, 0::bigint as rn, null::timestamp as expires, 0::bigint as hold_no, false as good,
+         null::timestamp as ts, null::varchar as op
+  from (select distinct lease_key, holder from ops)
+  union all
+  select w.lease_key, w.holder, o.rn,
+    case when o.op = 'release' and o.ts <= w.expires then null
+         when o.op = 'acquire' or (o.op = 'refresh' and o.ts <= w.expires) then o.ts + to_seconds({OPS_TTL})
+         else w.expires end,
+    case when o.op = 'acquire' and (w.expires is null or o.ts > w.expires) then w.hold_no + 1 else w.hold_no end,
+    o.op = 'acquire' or coalesce(o.ts <= w.expires, false), o.ts, o.op
+  from walk w join ops o on o.lease_key = w.lease_key and o.holder = w.holder and o.rn = w.rn + 1)"""
+
+
+@register(
+    "lease_holds_ops",
+    with_ctes(
+        "select lease_key, holder, hold_no, min(ts) as from_ts, max(ts) as last_touch, count(*) as touches, "
+        f"case when bool_or(op = 'release') then max(ts) else max(ts) + to_seconds({OPS_TTL}) end as until_ts "
+        "from walk where good group by lease_key, holder, hold_no",
+        "lease_ops",
+        recursive=True,
+        raw=(_OPS_WALK.strip(),),
+    ),
+)
+def lease_holds_ops(spark, sf_dir):
+    """W8 with the lock's own rules: acquires, refreshes that may come late, releases."""
+    return LE.lease_holds(fx.lease_ops(spark, sf_dir), OPS_TTL, seq="seq")
 
 
 @register(
@@ -110,7 +148,8 @@ def lease_holds(spark, sf_dir):
     ),
 )
 def failover_gap(spark, sf_dir):
-    return LE.failover_gap(_holds(spark, sf_dir), LEASE_TTL_SECONDS, POLL_SECONDS)
+    holds, hot = _holds(spark, sf_dir)
+    return LE.failover_gap(holds, LEASE_TTL_SECONDS, POLL_SECONDS, hot=hot)
 
 
 @register(
@@ -127,7 +166,8 @@ def failover_gap(spark, sf_dir):
     ),
 )
 def start_by_holder(spark, sf_dir):
-    return LE.start_by_holder(fx.lease_starts(spark, sf_dir), _holds(spark, sf_dir))
+    holds, hot = _holds(spark, sf_dir)
+    return LE.start_by_holder(fx.lease_starts(spark, sf_dir), holds, hot=hot)
 
 
 @register(
@@ -141,4 +181,5 @@ def start_by_holder(spark, sf_dir):
     ),
 )
 def lease_overlap(spark, sf_dir):
-    return LE.lease_overlap(_holds(spark, sf_dir))
+    holds, hot = _holds(spark, sf_dir)
+    return LE.lease_overlap(holds, hot=hot)

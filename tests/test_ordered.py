@@ -20,9 +20,11 @@ def data(spark):
 def test_running_sums_match_window(spark, data, width):
     w = Window.partitionBy("k").orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
     want = {(r.k, r.s): r.x for r in data.select("k", "s", F.sum("v").over(w).alias("x")).collect()}
-    got = ordered.running_sums(data, ["k"], ["s"], ordered.bucket_of("s", width), {"x": F.col("v")})
+    got = ordered.running_sums(data, ["k"], ["s"], ordered.bucket_of("s", width), {"x": F.col("v")}, hot=True, hot_rows=50)
     assert {(r.k, r.s): r.x for r in got.collect()} == want
-    excl = ordered.running_sums(data, ["k"], ["s"], ordered.bucket_of("s", width), {"x": F.col("v")}, inclusive=False)
+    plain = ordered.running_sums(data, ["k"], ["s"], ordered.bucket_of("s", width), {"x": F.col("v")})
+    assert {(r.k, r.s): r.x for r in plain.collect()} == want
+    excl = ordered.running_sums(data, ["k"], ["s"], ordered.bucket_of("s", width), {"x": F.col("v")}, inclusive=False, hot_rows=50)
     assert {(r.k, r.s): r.x + r.v for r in excl.collect()} == want
 
 
@@ -32,13 +34,13 @@ def test_shift_match_window(spark, data, width, direction):
     w = Window.partitionBy("k").orderBy("s")
     f = F.lag if direction == "lag" else F.lead
     want = {(r.k, r.s): r.p for r in data.select("k", "s", f("v").over(w).alias("p")).collect()}
-    got = ordered.shifted(data, ["k"], ["s"], ordered.bucket_of("s", width), ["v"], "p_", direction)
+    got = ordered.shifted(data, ["k"], ["s"], ordered.bucket_of("s", width), ["v"], "p_", direction, hot_rows=50)
     assert {(r.k, r.s): r.p_v for r in got.collect()} == want
 
 
 def test_same_result_for_any_partitioning(spark, data):
-    a = ordered.running_sums(data.repartition(1), ["k"], ["s"], ordered.bucket_of("s", 50), {"x": F.col("v")})
-    b = ordered.running_sums(data.repartition(9, "v"), ["k"], ["s"], ordered.bucket_of("s", 50), {"x": F.col("v")})
+    a = ordered.running_sums(data.repartition(1), ["k"], ["s"], ordered.bucket_of("s", 50), {"x": F.col("v")}, hot_rows=50)
+    b = ordered.running_sums(data.repartition(9, "v"), ["k"], ["s"], ordered.bucket_of("s", 50), {"x": F.col("v")}, hot_rows=50)
     assert sorted(a.collect()) == sorted(b.collect())
 
 
@@ -56,7 +58,22 @@ def test_bucket_levels_with_tiny_fanout(spark, data, monkeypatch):
     want_sum = {(r.k, r.s): r.x for r in data.select("k", "s", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("x")).collect()}
     want_lag = {(r.k, r.s): r.p for r in data.select("k", "s", F.lag("v").over(w).alias("p")).collect()}
     for levels in (0, 1, 3):
-        got = ordered.running_sums(data, ["k"], ["s"], ordered.bucket_of("s", 5), {"x": F.col("v")}, levels=levels)
+        got = ordered.running_sums(data, ["k"], ["s"], ordered.bucket_of("s", 5), {"x": F.col("v")}, levels=levels, hot_rows=20)
         assert {(r.k, r.s): r.x for r in got.collect()} == want_sum
-        sh = ordered.shifted(data, ["k"], ["s"], ordered.bucket_of("s", 5), ["v"], "p_", levels=levels)
+        sh = ordered.shifted(data, ["k"], ["s"], ordered.bucket_of("s", 5), ["v"], "p_", levels=levels, hot_rows=20)
         assert {(r.k, r.s): r.p_v for r in sh.collect()} == want_lag
+
+
+def test_null_keys_and_only_hot_keys_are_cut(spark):
+    rows = [(None, i, 1) for i in range(40)] + [("a", i, 1) for i in range(5)]
+    df = spark.createDataFrame(rows, "k string, s long, v long")
+    got = ordered.running_sums(df, ["k"], ["s"], ordered.bucket_of("s", 4), {"x": F.col("v")}, hot_rows=10).collect()
+    assert sorted((str(r.k), r.s, r.x) for r in got) == sorted((str(k), s, s + 1) for k, s, _ in rows)
+    cut = ordered._bucketed(df, ["k"], ordered.bucket_of("s", 4), 10).collect()
+    assert all((r["_bucket"] is None) == (r["k"] == "a") for r in cut)
+
+
+def test_cold_keys_cost_one_exchange(spark, data):
+    df = ordered.running_sums(data, ["k"], ["s"], ordered.bucket_of("s", 4), {"x": F.col("v"), "y": F.lit(1)})
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
