@@ -106,8 +106,8 @@ def decode_args(text) -> Column:
 
 
 def try_int(x) -> Column:
-    """integer parse, failure -> 0."""
-    return F.coalesce(_c(x).try_cast("int"), F.lit(0))
+    """64-bit integer parse, failure -> 0; blanks around the digits are a failure."""
+    return F.coalesce(F.when(_c(x).rlike("^[+-]?[0-9]+$"), _c(x).try_cast("bigint")), F.lit(0).cast("bigint"))
 
 
 def label_map(text) -> Column:

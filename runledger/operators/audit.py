@@ -44,23 +44,27 @@ def run_diff(left: DataFrame, right: DataFrame, keys: Sequence[str], values: Seq
     return out.filter(F.col("diff").isNotNull())
 
 
-def run_identity(a: DataFrame, b: DataFrame) -> DataFrame:
+def run_identity_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     """Multiset difference both ways; empty iff the runs are identical.
 
     One signed count per distinct row (+1 per copy in a, -1 per copy in b),
-    combined map-side in a single aggregate; rows whose count is not zero
-    come back as many times as they are in surplus.
+    combined map-side in a single aggregate; a row that one side has more often
+    comes back once, with the ``side`` and the ``surplus``.
     """
     cols = a.columns
     u = a.select(*cols, F.lit(1).cast("bigint").alias("_d")).unionByName(
         b.select(*cols, F.lit(-1).cast("bigint").alias("_d"))
     )
     g = u.groupBy(*cols).agg(F.sum("_d").alias("_n")).filter(F.col("_n") != 0)
-    return g.select(
-        *cols,
-        F.when(F.col("_n") > 0, "only_a").otherwise("only_b").alias("side"),
-        F.explode(F.sequence(F.lit(1).cast("bigint"), F.abs(F.col("_n")))).alias("_copy"),
-    ).drop("_copy")
+    side = F.when(F.col("_n") > 0, "only_a").otherwise("only_b")
+    return g.select(*cols, side.alias("side"), F.abs(F.col("_n")).alias("surplus"))
+
+
+def run_identity(a: DataFrame, b: DataFrame) -> DataFrame:
+    """U2 as one row: surplus rows of either side, and whether the runs are identical."""
+    count = lambda side: F.coalesce(F.sum(F.when(F.col("side") == side, F.col("surplus"))), F.lit(0).cast("bigint"))
+    out = run_identity_diff(a, b).agg(count("only_a").alias("only_a"), count("only_b").alias("only_b"))
+    return out.withColumn("identical", (F.col("only_a") == 0) & (F.col("only_b") == 0))
 
 
 def merged_log(logs: Sequence[DataFrame], sources: Sequence[str] | None = None) -> DataFrame:

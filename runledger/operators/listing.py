@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from runledger.functions.scalar import is_terminal
+from runledger.functions.scalar import epoch_micros, is_terminal
+from runledger.operators.ordered import global_running_sums
 from runledger.schemas import (
     DEFAULT_EVENT_LIMIT,
     DEFAULT_PAGE_LIMIT,
@@ -120,25 +121,48 @@ def recent_events(
 def job_detail(
     jobs: DataFrame, events: DataFrame, limit: int | None = None, key: str = "job_id", order: tuple[str, ...] = ("id",)
 ) -> DataFrame:
-    """Each job with its newest events (flattened, one row per event)."""
+    """One row per job with the list of its newest events (at most ``limit``), newest first."""
     recent = recent_events(events, limit, key, order)
-    return jobs.join(recent, key, "left")
+    fields = [c for c in recent.columns if c not in (key, "event_rank")]
+    listed = recent.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("event_rank", *fields))).alias("_events"))
+    events_col = F.coalesce("_events", F.array().cast(listed.schema["_events"].dataType))
+    slim = F.transform(events_col, lambda e: F.struct(*[e[c].alias(c) for c in fields])).alias("events")
+    return jobs.join(listed, key, "left").select(*jobs.columns, slim)
+
+
+def numbered_pages(jobs: DataFrame, limit: int | None = None, id_col: str = "job_id", created: str = "created_at") -> DataFrame:
+    """All pages of the listing at once: page_no and page_rank of every row, newest first.
+
+    The position along the one global order comes from range partitions and
+    their totals, not from a walk or an unpartitioned window.
+    """
+    n = clamp_limit(limit, DEFAULT_PAGE_LIMIT)
+    placed = global_running_sums(
+        jobs.withColumn("_age", -epoch_micros(created)).withColumn("_back", -F.col(id_col)), ["_age", "_back"], {"_pos": F.lit(1)}
+    )
+    page = F.floor((F.col("_pos") - 1) / n).cast("bigint")
+    return placed.select(*jobs.columns, (page + 1).alias("page_no"), (F.col("_pos") - page * n).alias("page_rank"))
 
 
 def page_union(pages: list[DataFrame], id_col: str = "job_id") -> DataFrame:
-    """Union of pages with the number of times each id was seen (must be 1)."""
+    """Union of pages, one row per id, with the number of times it was seen (must be 1)."""
     u = pages[0]
     for p in pages[1:]:
         u = u.unionByName(p)
-    return u.withColumn("n_seen", F.count(F.lit(1)).over(Window.partitionBy(id_col)))
+    return u.groupBy(id_col).agg(F.count(F.lit(1)).alias("n_seen"))
+
+
+def page_violations(union: DataFrame, jobs: DataFrame, id_col: str = "job_id") -> DataFrame:
+    """Ids that pages hold twice or more, or not at all."""
+    j = jobs.select(id_col).join(union, id_col, "full_outer").withColumn("n_seen", F.coalesce("n_seen", F.lit(0).cast("bigint")))
+    return j.filter(F.col("n_seen") != 1)
 
 
-def walk_pages(jobs: DataFrame, n_pages: int, limit: int, faithful: bool = False, id_col: str = "job_id") -> list[DataFrame]:
-    """Pages 1..n_pages; each cursor is the previous page's next_cursor (one tiny action per page)."""
+def walk_pages(jobs: DataFrame, limit: int, faithful: bool = False, id_col: str = "job_id", most: int | None = None) -> list[DataFrame]:
+    """The pages a client sees that follows next_cursor to the end (or ``most`` pages); one small action per page."""
     pages, cursor = [], None
-    for i in range(n_pages):
-        page = jobs_page(jobs, limit, cursor=cursor, faithful=faithful, id_col=id_col).withColumn("page_no", F.lit(i + 1))
-        page = page.cache()
+    while most is None or len(pages) < most:
+        page = jobs_page(jobs, limit, cursor=cursor, faithful=faithful, id_col=id_col).withColumn("page_no", F.lit(len(pages) + 1))
         pages.append(page)
         row = page.select("next_cursor").first()
         cursor = None if row is None else row["next_cursor"]

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from runledger.functions.scalar import try_int
 from runledger.schemas import LABEL_CONTROLLER_PID, LABEL_JOB_ID, RECOVERY_STATES, TERMINAL_STATES
 from runledger.sources.dims import sized_broadcast
 
@@ -84,14 +85,14 @@ def orphans(containers: DataFrame, alive_pids: DataFrame, labels: str = "labels"
 
     ``alive_pids`` has one column ``pid`` (the host's process table).
     """
-    pid = F.coalesce(F.col(labels)[LABEL_CONTROLLER_PID].try_cast("int"), F.lit(0))
+    pid = try_int(F.col(labels)[LABEL_CONTROLLER_PID])
     c = containers.select(
         F.col("container_id").alias("id"),
         F.col(labels)[LABEL_JOB_ID].alias("job_id"),
         pid.alias("controller_pid"),
         F.col("state"),
     )
-    alive = sized_broadcast(alive_pids.select(F.col("pid").cast("int").alias("_pid")).filter(F.col("_pid") > 0), 1_000_000)
+    alive = sized_broadcast(alive_pids.select(F.col("pid").cast("bigint").alias("_pid")).filter(F.col("_pid") > 0), 1_000_000)
     return c.join(alive, c["controller_pid"] == alive["_pid"], "left_anti")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runledger.functions.scalar import arg_flag, encode_args
-from runledger.schemas import DEFAULT_COMMAND, DEFAULT_IMAGE, DEFAULT_WORKER
+from runledger.schemas import DEFAULT_CHECKPOINT_EVERY, DEFAULT_COMMAND, DEFAULT_IMAGE, DEFAULT_LIMIT, DEFAULT_WORKER
 from runledger.sources.dims import sized_broadcast
 
 REGISTRY_BROADCAST_ROWS = 100_000
@@ -76,6 +76,32 @@ def build_args(resolved: DataFrame) -> DataFrame:
     return resolved.withColumn("argv", args)
 
 
+def container_args(jobs: DataFrame, job_id: str, state_file: str, args: str = "argv") -> DataFrame:
+    """P9, the worker's command line: flags looked up in the job's own args, with defaults
+    where they always appear; the state file to resume from only for a resumable job with a checkpoint."""
+    given = F.col(args)
+    none = F.array().cast("array<string>")
+
+    def always(name, default):
+        return F.array(F.lit(name), arg_flag(given, name, default))
+
+    def if_given(name):
+        return F.when(arg_flag(given, name, "") != "", F.array(F.lit(name), arg_flag(given, name, ""))).otherwise(none)
+
+    resume = (F.col("state") == "interrupted_resumable") & F.col("last_checkpoint_path").isNotNull()
+    argv = F.concat(
+        always("--worker", DEFAULT_WORKER),
+        F.array(F.lit("--job-id"), F.col(job_id).cast("string")),
+        always("--limit", DEFAULT_LIMIT),
+        always("--checkpoint-every", DEFAULT_CHECKPOINT_EVERY),
+        F.array(F.lit("--output-state"), F.lit(state_file)),
+        if_given("--seed"),
+        if_given("--sleep-per-checkpoint-ms"),
+        F.when(F.coalesce(resume, F.lit(False)), F.array(F.lit("--resume-from"), F.lit(state_file))).otherwise(none),
+    )
+    return jobs.withColumn("container_argv", argv)
+
+
 def arg_flags(df: DataFrame, flags: dict[str, str], args: str = "argv") -> DataFrame:
     """P7 over several flags: value after the first flag with a value, else default."""
     out = df
@@ -84,4 +110,4 @@ def arg_flags(df: DataFrame, flags: dict[str, str], args: str = "argv") -> DataF
     return out
 
 
-__all__ = ["validate_requests", "rejected_requests", "resolve_defaults", "build_args", "arg_flags", "encode_args"]
+__all__ = ["validate_requests", "rejected_requests", "resolve_defaults", "build_args", "container_args", "arg_flags", "encode_args"]

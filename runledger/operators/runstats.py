@@ -5,9 +5,9 @@ rule.  Three methods:
 
 * ``"rank"`` (default): distributed rank selection.  Values are counted per
   (group, value) with map-side combine, cumulative counts come from the
-  bucketed running sums of ``ordered`` (buckets = value ranges), and the rows
-  whose count interval holds a target rank are picked by a filter.  No task
-  ever holds a whole group, however hot.
+  running sums of ``ordered``, and the rows whose count interval holds a
+  target rank are picked by a filter.  A group with very many distinct values
+  is cut at approximate quantiles of its own, so no task holds it whole.
 * ``"map"``: Spark's ``percentile`` (a value->count map per group, merged in
   one task per group); fine when distinct values per group are few.
 * ``"approx"``: ``percentile_approx`` (bounded sketch, approximate).
@@ -18,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runledger.functions.scalar import seconds_between
@@ -44,32 +44,36 @@ def _pcts(x: Column, qs: Sequence[float], approx: bool) -> Column:
     return F.percentile_approx(x, arr, 10000) if approx else F.percentile(x, arr)
 
 
-VALUE_BUCKETS = 1 << 16
+CUT_POINTS = 256
 
 
-def rank_percentiles(df: DataFrame, by: Sequence[str], value: str, qs: Sequence[float]) -> DataFrame:
+def rank_percentiles(
+    df: DataFrame, by: Sequence[str], value: str, qs: Sequence[float], hot: bool | None = None, hot_rows: int | None = None
+) -> DataFrame:
     """Exact percentiles per group by distributed rank selection.
 
     Returns ``by`` + one column ``_q{i}`` per quantile (null for an empty
-    group).  The value range is cut into at most VALUE_BUCKETS buckets from
-    one global min/max, which bounds the per-group bucket window.
+    group).  Values are counted per (group, value) first.  Where a group has
+    more distinct values than fit one task, it is cut at ``CUT_POINTS``
+    approximate quantiles of its own values, so its buckets hold about the same
+    number of them whatever their distribution.
     """
-    by = list(by)
-    if not by:
-        # One group: give it a constant key so every step stays an equi-join.
-        out = rank_percentiles(df.withColumn("_all", F.lit(1)), ["_all"], value, qs)
-        return out.drop("_all")
+    by = list(by) or ["_all"]
+    if by == ["_all"]:
+        df = df.withColumn("_all", F.lit(1))
     vals = df.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     counts = vals.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    lo, hi = vals.agg(F.min("_v"), F.max("_v")).first()
-    if lo is None:
-        return counts.groupBy(*by).agg(*[F.lit(None).cast("double").alias(f"_q{i}") for i in range(len(qs))])
-    width = max((hi - lo) / VALUE_BUCKETS, 1e-300)
-    bucket = F.floor((F.col("_v") - F.lit(lo)) / F.lit(width)).cast("bigint")
-    # At most VALUE_BUCKETS buckets per group, so the bucket level is small.
-    run = ordered.running_sums(counts, by, ["_v"], bucket, {"_cum": F.col("_c")}, levels=0)
-    n = counts.groupBy(*by).agg(F.sum("_c").alias("_n"))
-    run = run.join(n, by, "inner")
+    if hot is None:
+        hot = ordered.has_hot_key(counts, by, hot_rows)
+    if hot:
+        marks = F.array(*[F.lit(i / CUT_POINTS) for i in range(1, CUT_POINTS)])
+        cuts = counts.groupBy(*by).agg(F.percentile_approx("_v", marks, 10_000).alias("_cuts"), F.sum("_c").alias("_n"))
+        counts = counts.join(cuts, by)
+        bucket = F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).cast("bigint")
+        run = ordered.running_sums(counts, by, ["_v"], bucket, {"_cum": F.col("_c")}, levels=0, hot=True, hot_rows=hot_rows)
+    else:
+        run = ordered.running_sums(counts, by, ["_v"], F.lit(0), {"_cum": F.col("_c")}, levels=0, hot=False)
+        run = run.withColumn("_n", F.sum("_c").over(Window.partitionBy(*by)))
     picks, outs = [], []
     for i, q in enumerate(qs):
         rank = F.lit(q) * (F.col("_n") - 1)
@@ -94,7 +98,7 @@ def rank_percentiles(df: DataFrame, by: Sequence[str], value: str, qs: Sequence[
             for i in range(len(qs))
         ],
     )
-    return res
+    return res.drop("_all")
 
 
 def _stats(runs: DataFrame, by: Sequence[str], latency: str, err: str, qs: Sequence[float], method: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from runledger.functions.scalar import epoch_micros
 from runledger.schemas import LABEL_CONTROLLER_PID, LABEL_CREATED_AT, LABEL_JOB_ID
+from runledger.sources import blobs as B
 from runledger.sources.tables import table
 
 # ---------------------------------------------------------------------------
@@ -94,6 +95,9 @@ SQL: dict[str, str] = {
                l_orderkey as job_id,
                case when l_linestatus = 'O' then 'running' else 'exited' end as state,
                l_suppkey % 5 as controller_pid,
+               case l_linenumber when 7 then ' ' || cast(l_suppkey % 5 as varchar)
+                    when 5 then cast(l_suppkey % 5 + 4294967296 as varchar)
+                    else cast(l_suppkey % 5 as varchar) end as pid_label,
                l_linenumber
         from lineitem""",
     "requests": """
@@ -210,10 +214,14 @@ def worker_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def worker_lines(spark: SparkSession, sf_dir: str, embed_seq: bool = False) -> DataFrame:
     """worker_log as NDJSON text (`value`) plus its arrival order (`seq`).
 
-    Every tenth event becomes a junk line: a comment, a cut JSON object or a
-    blank line, so the surviving set is known (event_id % 10 <> 0).
+    Every tenth event becomes a junk line that a reader skips: a comment, a
+    cut object, a blank line, a wrong type, single quotes, trailing text or a
+    fraction; so the surviving set is known (event_id % 10 <> 0).  Lines carry
+    white space of several kinds at both ends, and every 13th `found` is an
+    unsigned value above 2^63.
     """
-    wl = worker_log(spark, sf_dir)
+    seq = F.col("seq")
+    wl = worker_log(spark, sf_dir).withColumn("found", u64_found())
     payload = F.to_json(
         F.struct(
             *([F.col("seq")] if embed_seq else []),
@@ -224,15 +232,27 @@ def worker_lines(spark: SparkSession, sf_dir: str, embed_seq: bool = False) -> D
             F.concat(F.lit("/state/"), F.col("job_id"), F.lit(".bin")).alias("state_path"),
         )
     )
+    point = F.concat(F.lit('{"type":"checkpoint","job_id":"'), F.col("job_id"), F.lit('","epoch":'))
+    k = F.floor(seq / 10) % 7
     junk = (
-        F.when(F.col("seq") % 30 == 0, F.concat(F.lit("# junk "), F.col("seq").cast("string")))
-        .when(F.col("seq") % 30 == 10, F.expr("substring(to_json(named_struct('type', type, 'job_id', job_id)), 1, 12)"))
-        .otherwise(F.lit("   "))
-    )
-    return wl.select(
-        F.col("seq"),
-        F.when(F.col("seq") % 10 == 0, junk).otherwise(F.concat(F.lit("  "), payload)).alias("value"),
+        F.when(k == 0, F.concat(F.lit("# junk "), seq.cast("string")))
+        .when(k == 1, F.expr("substring(to_json(named_struct('type', type, 'job_id', job_id)), 1, 12)"))
+        .when(k == 2, F.lit(" \t "))
+        .when(k == 3, F.concat(point, F.lit('"x"}')))
+        .when(k == 4, F.translate(payload, '"', "'"))
+        .when(k == 5, F.concat(payload, F.lit(" done")))
+        .otherwise(F.concat(point, F.lit('1,"found":1.5}')))
     )
+    before = F.element_at(F.array(F.lit("  "), F.lit("\t"), F.lit("")), (seq % 3 + 1).cast("int"))
+    after = F.when(seq % 4 == 0, "\t ").otherwise("")
+    return wl.select(seq, F.when(seq % 10 == 0, junk).otherwise(F.concat(before, payload, after)).alias("value"))
+
+
+def u64_found():
+    """`found` with every 13th value mirrored to the top of the unsigned 64-bit range."""
+    found = F.col("found").cast("decimal(20,0)")
+    top = (F.lit("18446744073709551615").cast("decimal(20,0)") - found).cast("decimal(20,0)")
+    return F.when(F.col("seq") % 13 == 0, top).otherwise(found)
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,7 +287,7 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Container listing with a label map; ids are unique."""
+    """Container listing with a label map; some pid labels are padded, some beyond 32 bits."""
     li = table(spark, sf_dir, "lineitem")
     df = li.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("container_id"),
@@ -276,10 +296,16 @@ def containers(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_suppkey") % 5).alias("controller_pid"),
         F.col("l_linenumber"),
     )
+    pid = F.col("controller_pid")
+    pid_label = (
+        F.when(F.col("l_linenumber") == 7, F.concat(F.lit(" "), pid.cast("string")))
+        .when(F.col("l_linenumber") == 5, (pid.cast("bigint") + 4294967296).cast("string"))
+        .otherwise(pid.cast("string"))
+    )
     labels = F.map_concat(
         F.create_map(
             F.lit(LABEL_JOB_ID), F.col("job_id").cast("string"),
-            F.lit(LABEL_CONTROLLER_PID), F.col("controller_pid").cast("string"),
+            F.lit(LABEL_CONTROLLER_PID), pid_label,
         ),
         F.when(
             F.col("l_linenumber") % 2 == 1,
@@ -324,11 +350,10 @@ def lease_touches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def tokens(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
-    d = docs if docs is not None else table(spark, sf_dir, "documents")
-    return d.select(
-        "doc_id", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")
-    ).filter(F.col("word") != "")
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from runledger.operators.aggregate import tokenize
+
+    return tokenize(table(spark, sf_dir, "documents"))
 
 
 def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -450,7 +475,7 @@ def alive_pids(spark: SparkSession) -> DataFrame:
 
     from runledger.sources.dims import literal_frame
 
-    return literal_frame(spark, [(1,), (2,)], T.StructType([T.StructField("pid", T.IntegerType())]))
+    return literal_frame(spark, [(1,), (2,)], T.StructType([T.StructField("pid", T.LongType())]))
 
 
 def lease_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -474,3 +499,64 @@ def lease_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("seq"),
         F.when(t.isin("signup", "error"), "acquire").when(t == "purchase", "release").otherwise("refresh").alias("op"),
     )
+
+
+def _framed(body, crc_off, cut):
+    """A frame of hex text with its CRC; ``crc_off`` spoils the CRC, ``cut`` keeps ten bytes."""
+    raw = F.unhex(body)
+    crc = F.crc32(raw)
+    used = F.when(crc_off, F.pmod(crc + 1, F.lit(4294967296))).otherwise(crc)
+    frame = F.concat(raw, F.unhex(B.le_hex(used, 4)))
+    return F.when(cut, F.substring(frame, 1, 10)).otherwise(frame)
+
+
+def jobc_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JOBC v2 frame per document, damaged by doc_id % 8 (0 none, 1 cut to
+    10 bytes, 2 flipped crc, 3 other magic, 4 version 99, 5 count 9999,
+    6 count 8 with 4 entries, 7 one extra byte); 3-7 carry a valid crc."""
+    docs = table(spark, sf_dir, "documents")
+    d = F.col("doc_id") % 8
+    body = F.concat(
+        F.when(d == 3, B.le_hex(F.lit(B.JOBC_MAGIC + 1), 4)).otherwise(B.le_hex(F.lit(B.JOBC_MAGIC), 4)),
+        F.when(d == 4, B.le_hex(F.lit(99), 4)).otherwise(B.le_hex(F.lit(B.JOBC_VERSION), 4)),
+        B.le_hex(F.col("n_chars"), 8),
+        B.le_hex(F.col("doc_id"), 8),
+        B.le_hex(F.col("doc_id") * 7, 8),
+        F.lit("01"),
+        F.when(d == 5, B.le_hex(F.lit(9999), 4)).when(d == 6, B.le_hex(F.lit(8), 4)).otherwise(B.le_hex(F.lit(4), 4)),
+        *[B.le_hex(F.col("doc_id") + v, 8) for v in (11, 17, 29, 41)],
+        F.when(d == 7, F.lit("AB")).otherwise(F.lit("")),
+    )
+    return docs.select("doc_id", _framed(body, d == 2, d == 1).alias("content"))
+
+
+def mmul_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One MMUL v1 frame per document, damaged by doc_id % 5 (0 none, 1 cut, 2 crc, 3 magic, 4 version)."""
+    docs = table(spark, sf_dir, "documents")
+    d = F.col("doc_id") % 5
+    body = F.concat(
+        F.when(d == 3, B.le_hex(F.lit(B.JOBC_MAGIC), 4)).otherwise(B.le_hex(F.lit(B.MMUL_MAGIC), 4)),
+        F.when(d == 4, B.le_hex(F.lit(7), 4)).otherwise(B.le_hex(F.lit(B.MMUL_VERSION), 4)),
+        B.le_hex(F.col("n_chars"), 8),
+        B.le_hex(F.col("doc_id") + 3, 8),
+        B.le_hex(F.col("doc_id") * 11, 8),
+        F.lit("F0FFFFFFFFFFFFFF"),
+    )
+    return docs.select("doc_id", _framed(body, d == 2, d == 1).alias("content"))
+
+
+def wcnt_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One WCNT v1 frame with two entries per document, damaged by doc_id % 7 (0 none, 1 cut,
+    2 crc, 3 magic, 4 version, 5 count 65, 6 count 3 with two entries)."""
+    docs = table(spark, sf_dir, "documents")
+    d = F.col("doc_id") % 7
+    body = F.concat(
+        F.when(d == 3, B.le_hex(F.lit(B.JOBC_MAGIC), 4)).otherwise(B.le_hex(F.lit(B.WCNT_MAGIC), 4)),
+        F.when(d == 4, B.le_hex(F.lit(7), 4)).otherwise(B.le_hex(F.lit(B.WCNT_VERSION), 4)),
+        B.le_hex(F.col("doc_id") + 3, 8),
+        B.le_hex(F.col("n_chars"), 8),
+        B.le_hex(F.col("doc_id") * 11, 8),
+        F.when(d == 5, B.le_hex(F.lit(65), 4)).when(d == 6, B.le_hex(F.lit(3), 4)).otherwise(B.le_hex(F.lit(2), 4)),
+        *[F.concat(B.le_hex(F.lit(i), 4), B.le_hex(F.col("doc_id") + i, 8)) for i in (6, 19)],
+    )
+    return docs.select("doc_id", _framed(body, d == 2, d == 1).alias("content"))

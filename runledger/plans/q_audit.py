@@ -9,6 +9,7 @@ from runledger.operators import audit as AU
 from runledger.operators import reconcile as R
 from runledger.plans import fixtures as fx
 from runledger.plans.catalog import register, with_ctes
+from runledger.plans.q_reconcile import ORPHANS_SQL
 from runledger.schemas import LABEL_CONTROLLER_PID, LABEL_CREATED_AT
 from runledger.session import scratch_path
 from runledger.sources import blobs as B
@@ -18,7 +19,7 @@ from runledger.sources.tables import table
 
 _EVENTS_SQL = (
     "select seq, type, job_id, null::varchar as worker, epoch, null::double as progress, "
-    "cast(found as decimal(20,0)) as found, null::decimal(20,0) as next, '/state/' || job_id || '.bin' as state_path, "
+    "cast(case when seq % 13 = 0 then 18446744073709551615 - found else found end as decimal(20,0)) as found, null::decimal(20,0) as next, '/state/' || job_id || '.bin' as state_path, "
     "null::decimal(20,0) as \"limit\", null::bigint as resume_from_epoch "
     "from worker_log where seq % 10 <> 0 and type in ('checkpoint', 'completed', 'started')"
 )
@@ -29,6 +30,14 @@ def ndjson_events(spark, sf_dir):
     return read_log(fx.worker_lines(spark, sf_dir))
 
 
+@register(
+    "ndjson_events_strict",
+    with_ctes(f"select * from ({_EVENTS_SQL}) where type <> 'checkpoint' or found <= 9223372036854775807", "worker_log"),
+)
+def ndjson_events_strict(spark, sf_dir):
+    return read_log(fx.worker_lines(spark, sf_dir), strict_int64=True)
+
+
 @register(
     "labelled_containers",
     with_ctes("select container_id, job_id, state from containers where l_linenumber % 2 = 1", "containers"),
@@ -39,7 +48,7 @@ def labelled_containers(spark, sf_dir):
 
 @register(
     "labelled_containers_kv",
-    with_ctes("select container_id, job_id, state from containers where controller_pid = 2", "containers"),
+    with_ctes("select container_id, job_id, state from containers where pid_label = '2'", "containers"),
 )
 def labelled_containers_kv(spark, sf_dir):
     return AU.labelled(fx.containers(spark, sf_dir), LABEL_CONTROLLER_PID, "2").select("container_id", "job_id", "state")
@@ -62,12 +71,47 @@ _BLOB_SQL = (
 
 @register("blob_audit", _BLOB_SQL)
 def blob_audit(spark, sf_dir):
-    return B.audit(B.jobc_frames(table(spark, sf_dir, "documents")))
+    return B.audit(fx.jobc_frames(spark, sf_dir))
 
 
 @register("blob_verdicts", f"select verdict, count(*) as n from ({_BLOB_SQL}) group by verdict")
 def blob_verdicts(spark, sf_dir):
-    return B.verdict_counts(B.audit(B.jobc_frames(table(spark, sf_dir, "documents"))))
+    return B.verdict_counts(B.audit(fx.jobc_frames(spark, sf_dir)))
+
+
+def _verdict_sql(names: list[str], sizes: str, fields: str) -> str:
+    cases = " ".join(f"when {i} then '{n}'" for i, n in enumerate(names))
+    return f"select doc_id, case doc_id % {len(names)} {cases} end as verdict, cast({sizes} as integer) as n_bytes, {fields} from documents"
+
+
+@register(
+    "blob_audit_mmul",
+    _verdict_sql(
+        ["ok", "short", "crc", "magic", "version"],
+        "case when doc_id % 5 = 1 then 10 else 44 end",
+        "case when doc_id % 5 = 0 then cast(n_chars as decimal(20,0)) end as n, "
+        "case when doc_id % 5 = 0 then cast(doc_id + 3 as decimal(20,0)) end as seed, "
+        "case when doc_id % 5 = 0 then cast(doc_id * 11 as decimal(20,0)) end as next_cell, "
+        "case when doc_id % 5 = 0 then cast(18446744073709551600 as decimal(20,0)) end as fingerprint",
+    ),
+)
+def blob_audit_mmul(spark, sf_dir):
+    return B.audit(fx.mmul_frames(spark, sf_dir), kind="mmul")
+
+
+@register(
+    "blob_audit_wcnt",
+    _verdict_sql(
+        ["ok", "short", "crc", "magic", "version", "recent_cap", "recent_size"],
+        "case when doc_id % 7 = 1 then 10 else 64 end",
+        "case when doc_id % 7 = 0 then cast(doc_id + 3 as decimal(20,0)) end as seed, "
+        "case when doc_id % 7 = 0 then cast(n_chars as decimal(20,0)) end as words_total, "
+        "case when doc_id % 7 = 0 then cast(doc_id * 11 as decimal(20,0)) end as next_word, "
+        "case when doc_id % 7 = 0 then 2 end as count_size",
+    ),
+)
+def blob_audit_wcnt(spark, sf_dir):
+    return B.audit(fx.wcnt_frames(spark, sf_dir), kind="wcnt")
 
 
 _WC_ALL = "select word, count(*) as n from tokens group by word"
@@ -99,30 +143,38 @@ def run_diff(spark, sf_dir):
 @register(
     "run_identity",
     with_ctes(
-        "select word, n, 'only_a' as side from a where false",
+        "select (select count(*) from (select * from a except all select * from b)) as only_a, "
+        "(select count(*) from (select * from b except all select * from a)) as only_b, "
+        "not exists (select * from a except all select * from b) and not exists (select * from b except all select * from a) as identical",
         "tokens",
-        extra={"a": _WC_ALL},
+        extra={
+            "t": "select * from tokens where word <> ''",
+            "a": _WC_ALL.replace("tokens", "t"),
+            "d": "select doc_id, word, count(*) as k from t group by all",
+            "b": "select word, cast(sum(k) as bigint) as n from d group by word",
+        },
     ),
 )
 def run_identity(spark, sf_dir):
+    """A run against one that counted per document first and was partitioned otherwise."""
     docs = table(spark, sf_dir, "documents")
     a = A.word_count(A.tokenize(docs))
-    b = A.word_count(A.tokenize(docs.repartition(7, "doc_id")))
-    return AU.run_identity(a, b)
+    per_doc = A.tokenize(docs.repartition(7, "doc_id")).groupBy("doc_id", "word").count()
+    return AU.run_identity(a, per_doc.groupBy("word").agg(F.sum("count").alias("n")))
 
 
 @register(
     "run_identity_diff",
     with_ctes(
-        "(select word, n, 'only_a' as side from (select * from a except all select * from b)) union all "
-        "(select word, n, 'only_b' as side from (select * from b except all select * from a))",
+        "select word, n, 'only_a' as side, count(*) as surplus from (select * from a except all select * from b) group by all union all "
+        "select word, n, 'only_b' as side, count(*) as surplus from (select * from b except all select * from a) group by all",
         "tokens",
         extra={"t": "select * from tokens where word <> ''", "a": _WC_ALL.replace("tokens", "t"), "b": _WC_CUT.replace("tokens", "t")},
     ),
 )
 def run_identity_diff(spark, sf_dir):
     full, cut = _wc_pair(spark, sf_dir)
-    return AU.run_identity(full, cut)
+    return AU.run_identity_diff(full, cut)
 
 
 @register(
@@ -152,17 +204,17 @@ def snapshot_publish(spark, sf_dir):
 @register(
     "event_append",
     with_ctes(
-        "select seq as id, job_id, 'checkpoint' as event_type, ts as recorded_at, epoch, found, "
-        "'/state/' || job_id || '.bin' as path from worker_log where type = 'checkpoint'",
+        "select seq as id, job_id, type as event_type, ts as recorded_at, epoch, found, "
+        "case when type = 'checkpoint' then '/state/' || job_id || '.bin' end as path from worker_log",
         "worker_log",
     ),
 )
 def event_append(spark, sf_dir):
+    """Every change of the log is appended, in two commits, and read back."""
     path = scratch_path(spark, "events")
-    wl = fx.worker_log(spark, sf_dir).filter(F.col("type") == "checkpoint")
-    ev = wl.select(
-        F.col("seq").alias("id"), "job_id", F.lit("checkpoint").alias("event_type"), F.col("ts").alias("recorded_at"),
-        "epoch", "found", F.concat(F.lit("/state/"), F.col("job_id"), F.lit(".bin")).alias("path"),
+    ev = fx.worker_log(spark, sf_dir).select(
+        F.col("seq").alias("id"), "job_id", F.col("type").alias("event_type"), F.col("ts").alias("recorded_at"), "epoch", "found",
+        F.when(F.col("type") == "checkpoint", F.concat(F.lit("/state/"), F.col("job_id"), F.lit(".bin"))).alias("path"),
     )
     half = F.col("id") % 2 == 0
     S.append_events(ev.filter(half), path, ["epoch", "found", "path"])
@@ -175,8 +227,7 @@ def event_append(spark, sf_dir):
 @register(
     "orphan_report",
     with_ctes(
-        "select container_id as id, cast(job_id as varchar) as job_id, cast(controller_pid as integer) as controller_pid, state "
-        "from containers where controller_pid not in (1, 2)",
+        f"select * from ({ORPHANS_SQL})",
         "containers",
     ),
 )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from runledger.functions.scalar import epoch_micros
 from runledger.operators import listing as LS
 from runledger.plans import fixtures as fx
 from runledger.plans.catalog import register, with_ctes
@@ -58,11 +59,11 @@ def jobs_in_states(spark, sf_dir):
 
 @register(
     "oldest_first",
-    with_ctes(f"select * from jobs where state in {_REC} order by created_at, job_id limit 100", "jobs"),
+    with_ctes(f"select * from jobs where state in {_REC} order by created_at, job_id", "jobs"),
 )
 def oldest_first(spark, sf_dir):
-    """L3: the recovery scan's order, oldest first; the report keeps the 100 oldest."""
-    return LS.jobs_in_states(fx.jobs(spark, sf_dir)).orderBy("created_at", "job_id").limit(100)
+    """L3: the recovery scan's order, oldest first."""
+    return LS.jobs_in_states(fx.jobs(spark, sf_dir)).orderBy("created_at", "job_id")
 
 
 @register(
@@ -170,26 +171,57 @@ def recent_events(spark, sf_dir):
 @register(
     "job_detail",
     with_ctes(
-        "select j.job_id, j.created_at, j.state, e.id, e.id_part, e.id_supp, e.event_type, e.recorded_at, e.event_rank "
-        "from jobs j left join (select * from (select id, id_part, id_supp, job_id, event_type, recorded_at, "
-        f"row_number() over (partition by job_id order by {_EV_ORDER_SQL}) as event_rank from job_events) "
-        "where event_rank <= 25) e on j.job_id = e.job_id",
+        "select j.job_id, j.created_at, j.state, cast(coalesce(n, 0) as bigint) as n_events, coalesce(events, '[]') as events_json "
+        "from jobs j left join (select job_id, count(*) as n, cast(to_json(list({'id': id, 'id_part': id_part, 'id_supp': id_supp, "
+        "'event_type': event_type, 'recorded_us': epoch_us(recorded_at)} order by event_rank)) as varchar) as events from "
+        f"(select *, row_number() over (partition by job_id order by {_EV_ORDER_SQL}) as event_rank from job_events) "
+        "where event_rank <= 25 group by job_id) e on j.job_id = e.job_id",
         "jobs",
         "job_events",
     ),
 )
 def job_detail(spark, sf_dir):
     jobs = fx.jobs(spark, sf_dir).select("job_id", "created_at", "state")
-    return LS.job_detail(jobs, fx.job_events(spark, sf_dir).drop("payload"), order=_EV_ORDER)
+    ev = fx.job_events(spark, sf_dir).drop("payload")
+    detail = LS.job_detail(jobs, ev, order=_EV_ORDER)
+    listed = F.transform(
+        "events",
+        lambda e: F.struct(
+            e["id"].alias("id"), e["id_part"].alias("id_part"), e["id_supp"].alias("id_supp"),
+            e["event_type"].alias("event_type"), epoch_micros(e["recorded_at"]).alias("recorded_us"),
+        ),
+    )
+    return detail.select(
+        "job_id", "created_at", "state", F.size("events").cast("bigint").alias("n_events"), F.to_json(listed).alias("events_json")
+    )
+
+
+_PAGES = (
+    "select *, (row_number() over w - 1) // 50 + 1 as page_no, (row_number() over w - 1) % 50 + 1 as page_rank "
+    f"from jobs window w as ({_PAGE_ORDER})"
+)
+
+
+@register("all_pages", with_ctes(f"select job_id, created_at, state, page_no, page_rank from ({_PAGES})", "jobs"))
+def all_pages(spark, sf_dir):
+    return LS.numbered_pages(fx.jobs(spark, sf_dir), 50).select("job_id", "created_at", "state", "page_no", "page_rank")
 
 
 @register(
     "page_union",
     with_ctes(
-        f"select job_id, created_at, state, 1::bigint as n_seen from jobs {_PAGE_ORDER} limit 150",
+        "select count(distinct page_no) as n_pages, count(*) as n_rows, count(distinct job_id) as n_ids, 0::bigint as n_violations "
+        f"from ({_PAGES})",
         "jobs",
     ),
 )
 def page_union(spark, sf_dir):
-    pages = LS.walk_pages(fx.jobs(spark, sf_dir), 3, 50)
-    return LS.page_union([p.select("job_id", "created_at", "state") for p in pages])
+    """Every page of the listing: how many, and how many ids break "once and only once"."""
+    jobs = fx.jobs(spark, sf_dir)
+    pages = LS.numbered_pages(jobs, 50).select("job_id", "page_no")
+    union = LS.page_union([pages])
+    bad = LS.page_violations(union, jobs).agg(F.count(F.lit(1)).alias("n_violations"))
+    counts = pages.agg(
+        F.max("page_no").alias("n_pages"), F.count(F.lit(1)).alias("n_rows"), F.count_distinct("job_id").alias("n_ids")
+    )
+    return counts.select("*", bad.scalar().alias("n_violations"))

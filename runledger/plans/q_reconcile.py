@@ -13,8 +13,13 @@ from runledger.sources.dims import registry_audit
 CURRENT_PID = 1
 FAULT_TS = "1996-06-30 00:00:00"
 
+ORPHANS_SQL = (
+    "select id, job_id, controller_pid, state from (select container_id as id, cast(job_id as varchar) as job_id, "
+    "case when regexp_full_match(pid_label, '[+-]?[0-9]+') then cast(pid_label as bigint) else 0 end as controller_pid, state "
+    "from containers) where controller_pid not in (1, 2)"
+)
 _LIVE = (
-    "select job_id, container_id, state as container_state, cast(controller_pid as varchar) as pid_label "
+    "select job_id, container_id, state as container_state, pid_label "
     "from (select *, row_number() over (partition by job_id order by state <> 'running', container_id) as rn "
     "from containers) where rn = 1"
 )
@@ -63,8 +68,7 @@ def reconcile_summary(spark, sf_dir):
 @register(
     "orphans",
     with_ctes(
-        "select container_id as id, cast(job_id as varchar) as job_id, cast(controller_pid as integer) as controller_pid, state "
-        "from containers where controller_pid not in (1, 2)",
+        f"select * from ({ORPHANS_SQL})",
         "containers",
     ),
 )
@@ -177,6 +181,31 @@ def build_args(spark, sf_dir):
     return _argv(spark, sf_dir).select("req_id", Q.encode_args("argv").alias("args_json"))
 
 
+STATE_FILE = "/state/job.bin"
+_ARG_OR = "coalesce(case when list_position(argv, '{f}') > 0 then argv[list_position(argv, '{f}') + 1] end, {d})"
+
+
+@register(
+    "container_args",
+    with_ctes(
+        "select req_id, cast(to_json(['--worker', " + _ARG_OR.format(f="--worker", d="'primes'") + ", '--job-id', cast(req_id as varchar), "
+        "'--limit', " + _ARG_OR.format(f="--limit", d="'100000'") + ", '--checkpoint-every', "
+        + _ARG_OR.format(f="--checkpoint-every", d="'5000'") + f", '--output-state', '{STATE_FILE}'] "
+        "|| case when " + _ARG_OR.format(f="--seed", d="''") + " <> '' then ['--seed', " + _ARG_OR.format(f="--seed", d="''") + "] else []::varchar[] end "
+        f"|| case when state = 'interrupted_resumable' and has_checkpoint then ['--resume-from', '{STATE_FILE}'] else []::varchar[] end) as varchar) as args_json "
+        "from (" + _ARGV + ") a join jobs j on j.job_id = a.req_id",
+        "requests", "registry", "jobs", extra={"valid": _VALID},
+    ),
+)
+def container_args(spark, sf_dir):
+    """P9, second assembly: what the container of each accepted job is started with."""
+    jobs = fx.jobs(spark, sf_dir).select(
+        F.col("job_id").alias("req_id"), "state", F.when(F.col("has_checkpoint"), F.lit(STATE_FILE)).alias("last_checkpoint_path")
+    )
+    out = Q.container_args(_argv(spark, sf_dir).join(jobs, "req_id"), "req_id", STATE_FILE)
+    return out.select("req_id", Q.encode_args("container_argv").alias("args_json"))
+
+
 def _flag_sql(flag: str, default: str) -> str:
     pos = f"list_position(argv, '{flag}')"
     return f"coalesce(case when {pos} > 0 then argv[{pos} + 1] end, '{default}')"

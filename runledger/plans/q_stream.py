@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from runledger.operators import lease as LE
 from runledger.operators import lifecycle as L
+from runledger.operators import ordered
 from runledger.plans import fixtures as fx
 from runledger.plans.catalog import register, with_ctes
 from runledger.plans.fixtures import LEASE_TTL_SECONDS
@@ -90,49 +91,70 @@ def stream_resumable_count(spark, sf_dir):
     return C.read_latest(spark, out, ["word"])
 
 
+def _close(df, path, seconds, **row):
+    """One more file: a row that much later than all others, whose event time closes whatever is open.
+
+    Its own session or window stays open, so it is never emitted.
+    """
+    late = F.max("ts") + F.make_dt_interval(secs=F.lit(seconds))
+    one = df.agg(late.cast(df.schema["ts"].dataType).alias("ts")).filter("ts is not null")
+    fields = [F.col("ts") if f.name == "ts" else F.lit(row.get(f.name)).cast(f.dataType).alias(f.name) for f in df.schema]
+    one.select(*fields).write.mode("append").parquet(path)
+
+
 def _sessions(spark, sf_dir):
     src, out, ck = C.paths(spark, "st5")
     t = fx.lease_touches(spark, sf_dir).select("lease_key", "holder", "ts", "seq")
     C.stage_chunks(t, src, "seq", CHUNKS, FILES)
+    _close(t, src, 2 * LEASE_TTL_SECONDS, lease_key="", holder=-1)
     q = S.stream_lease_sessions(_stream_parquet(C.stream_session(spark), src, t.schema), LEASE_TTL_SECONDS)
     C.run_available_now(q, out, ck)
     return spark.read.parquet(out)
 
 
-_CLOSED = "select * from holds where until_ts <= (select max(ts) from lease_touches)"
-
-
 @register(
     "stream_lease_sessions",
     with_ctes(
-        "select lease_key, holder, from_ts, last_touch, until_ts, touches from closed",
+        "select lease_key, holder, from_ts, last_touch, until_ts, touches from holds",
         "lease_touches",
-        extra={"holds": HOLDS_SQL, "closed": _CLOSED},
+        extra={"holds": HOLDS_SQL},
     ),
 )
 def stream_lease_sessions(spark, sf_dir):
     return _sessions(spark, sf_dir)
 
 
+_EPOCHS = (
+    "cast(sum(case when type = 'started' then 1 else 0 end) over (partition by job_id order by seq "
+    "rows between unbounded preceding and current row) as bigint) as attempt"
+)
+
+
 @register(
     "stream_dedupe",
     with_ctes(
-        "select * from (select *, cast(sum(case when type = 'started' then 1 else 0 end) over "
-        "(partition by job_id order by seq rows between unbounded preceding and current row) as bigint) as attempt from worker_log)",
+        "select job_id, attempt, row_number() over (partition by job_id, attempt order by seq) as epoch, seq, ts, found "
+        f"from (select *, {_EPOCHS} from worker_log) where type = 'checkpoint'",
         "worker_log",
     ),
 )
 def stream_dedupe(spark, sf_dir):
-    """Every 7th line is sent again a third of the log later (a re-attach
-    re-reads the log); dedupe by line identity within the watermark."""
+    """Checkpoints numbered 1, 2, ... per attempt, as a worker does; every 7th
+    line is sent again a third of the log later (a re-attach re-reads the
+    log).  A line is known by (job, attempt, epoch)."""
     src, out, ck = C.paths(spark, "st6")
-    base = L.attempts(fx.worker_log(spark, sf_dir))
+    log = fx.worker_log(spark, sf_dir)
+    hot = ordered.has_hot_key(log, ["job_id"])
+    points = L.attempts(log, hot=hot).filter(F.col("type") == "checkpoint").select("job_id", "attempt", "seq", "ts", "found")
+    bucket = ordered.bucket_of("seq", L.BUCKET_WIDTH)
+    one = F.lit(1).cast("bigint")
+    base = ordered.running_sums(points, ["job_id", "attempt"], ["seq"], bucket, {"epoch": one}, hot=hot)
     span = base.agg(F.max("seq") - F.min("seq")).first()[0] or 0
     resent = base.filter(F.col("seq") % 7 == 0).withColumn("arrival", F.col("seq") + F.lit(span // CHUNKS + 1))
     staged = base.withColumn("arrival", F.col("seq")).unionByName(resent)
     C.stage_chunks(staged, src, "arrival", CHUNKS, FILES)
-    q = S.stream_dedupe(_stream_parquet(C.stream_session(spark), src, staged.schema), ["job_id", "seq"]).drop("arrival")
-    C.run_available_now(q, out, ck)
+    q = S.stream_dedupe(_stream_parquet(C.stream_session(spark), src, staged.schema), ["job_id", "attempt", "epoch"])
+    C.run_available_now(q.drop("arrival"), out, ck)
     return spark.read.parquet(out)
 
 
@@ -153,17 +175,38 @@ def stream_stale_jobs(spark, sf_dir):
     return S.stale_jobs(C.read_latest(spark, out, ["job_id"]), STALE_NOW, STALE_BOUND_S)
 
 
+@register(
+    "stream_stale_alerts",
+    with_ctes(
+        "select job_id, (epoch_us(ts) // 1000) as last_checkpoint_ms, (epoch_us(ts) // 1000) + "
+        f"{STALE_BOUND_S * 1000} as stale_since_ms from (select job_id, ts, lead((epoch_us(ts) // 1000)) over "
+        "(partition by job_id order by ts) as nxt from worker_log where type = 'checkpoint') "
+        f"where nxt is null or nxt - (epoch_us(ts) // 1000) > {STALE_BOUND_S * 1000}",
+        "worker_log",
+    ),
+)
+def stream_stale_alerts(spark, sf_dir):
+    """ST7, timer form: one alert per gap longer than the bound; a late row closes the open gaps."""
+    src, out, ck = C.paths(spark, "st7a")
+    points = fx.worker_log(spark, sf_dir).select("job_id", "seq", "ts", "type")
+    C.stage_chunks(points, src, "seq", CHUNKS, FILES)
+    _close(points, src, 2 * STALE_BOUND_S, job_id="", type="checkpoint")
+    q = S.stream_stale_alerts(_stream_parquet(C.stream_session(spark), src, points.schema), STALE_BOUND_S)
+    C.run_available_now(q, out, ck)
+    return spark.read.parquet(out)
+
+
 @register(
     "stream_failover",
     with_ctes(
         "select lease_key, holder, from_ts, last_touch, until_ts, next_holder, next_from_ts, "
         "(epoch_us(next_from_ts) - epoch_us(last_touch)) / 1e6 as gap_s, "
         f"(epoch_us(next_from_ts) - epoch_us(last_touch)) / 1e6 <= {float(LEASE_TTL_SECONDS + POLL_SECONDS)} as within_sla "
-        "from (select *, lead(holder) over w as next_holder, lead(from_ts) over w as next_from_ts from closed "
+        "from (select *, lead(holder) over w as next_holder, lead(from_ts) over w as next_from_ts from holds "
         "window w as (partition by lease_key order by from_ts, holder)) "
         "where next_holder is not null and next_holder <> holder",
         "lease_touches",
-        extra={"holds": HOLDS_SQL, "closed": _CLOSED},
+        extra={"holds": HOLDS_SQL},
     ),
 )
 def stream_failover(spark, sf_dir):
@@ -174,12 +217,13 @@ def stream_failover(spark, sf_dir):
     "stream_cadence_counts",
     "select date_trunc('day', ts) as window_start, date_trunc('day', ts) + interval 1 day as window_end, event_type, "
     "count(*) as n, sum(cast(value as decimal(18,2))) as total_value from events "
-    "group by 1, 2, 3 having date_trunc('day', ts) + interval 1 day <= (select max(ts) from events)",
+    "group by 1, 2, 3",
 )
 def stream_cadence_counts(spark, sf_dir):
     src, out, ck = C.paths(spark, "st9")
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value")
     C.stage_chunks(ev, src, "event_id", CHUNKS, FILES)
+    _close(ev, src, 2 * 86400, event_type="")
     q = S.stream_cadence_counts(_stream_parquet(C.stream_session(spark), src, ev.schema))
     C.run_available_now(q, out, ck)
     return spark.read.parquet(out)

@@ -89,6 +89,8 @@ DEFAULT_EVENT_LIMIT = 25
 MAX_LIMIT = 200
 RECENT_RING_CAP = 32
 DEFAULT_WORKER = "primes"
+DEFAULT_LIMIT = "100000"
+DEFAULT_CHECKPOINT_EVERY = "5000"
 DEFAULT_IMAGE = "runledger/worker:latest"
 DEFAULT_COMMAND = "/usr/local/bin/worker"
 LABEL_JOB_ID = "io.runledger.job_id"
@@ -105,39 +107,6 @@ def transition_matrix() -> list[list[bool]]:
     return [[a == b or (a, b) in legal for b in STATES] for a in STATES]
 
 
-# Ledger row: nanosecond integers as stored, args as JSON text.
-JOBS_SCHEMA = T.StructType(
-    [
-        T.StructField("id", T.StringType(), False),
-        T.StructField("image", T.StringType(), False),
-        T.StructField("command", T.StringType(), False),
-        T.StructField("args_json", T.StringType(), False),
-        T.StructField("state", T.StringType(), False),
-        T.StructField("created_at", T.LongType(), False),
-        T.StructField("started_at", T.LongType(), True),
-        T.StructField("finished_at", T.LongType(), True),
-        T.StructField("exit_code", T.LongType(), True),
-        T.StructField("last_checkpoint_at", T.LongType(), True),
-        T.StructField("last_checkpoint_path", T.StringType(), True),
-        T.StructField("last_checkpoint_epoch", T.LongType(), True),
-        T.StructField("last_checkpoint_found", T.LongType(), True),
-        T.StructField("container_id", T.StringType(), True),
-        T.StructField("controller_pid", T.LongType(), True),
-        T.StructField("state_volume_path", T.StringType(), True),
-        T.StructField("assigned_controller_id", T.StringType(), True),
-    ]
-)
-
-JOB_EVENTS_SCHEMA = T.StructType(
-    [
-        T.StructField("id", T.LongType(), False),
-        T.StructField("job_id", T.StringType(), False),
-        T.StructField("event_type", T.StringType(), False),
-        T.StructField("payload", T.StringType(), False),
-        T.StructField("recorded_at", T.LongType(), False),
-    ]
-)
-
 # One NDJSON line of worker output; `found` is unsigned 64-bit.  `seq` (the
 # arrival order) is optional: batch readers may supply it as a column.
 LOG_LINE_SCHEMA = T.StructType(
@@ -171,13 +140,3 @@ REGISTRY_SCHEMA = T.StructType(
         T.StructField("schema_version", T.IntegerType(), True),
     ]
 )
-
-BASELINE_SCHEMA = T.StructType(
-    [
-        T.StructField("min_jobs_per_sec", T.DoubleType()),
-        T.StructField("max_p50_ms", T.DoubleType()),
-        T.StructField("max_p95_ms", T.DoubleType()),
-        T.StructField("max_p99_ms", T.DoubleType()),
-        T.StructField("max_failures", T.LongType()),
-    ]
-)

@@ -119,31 +119,3 @@ def verdict_counts(audited: DataFrame) -> DataFrame:
 def read_blob_files(spark: SparkSession, path: str) -> DataFrame:
     """State files as rows (path, length, content) via the binaryFile source."""
     return spark.read.format("binaryFile").load(path).select("path", "length", "content")
-
-
-def jobc_frames(docs: DataFrame) -> DataFrame:
-    """One JOBC v2 frame per document, damaged by doc_id % 8 (0 none, 1 cut to
-    10 bytes, 2 flipped crc, 3 other magic, 4 version 99, 5 count 9999,
-    6 count 8 with 4 entries, 7 one extra byte); 3-7 carry a valid crc."""
-    d = F.col("doc_id") % 8
-    magic = F.when(d == 3, le_hex(F.lit(0x4A4F4244), 4)).otherwise(le_hex(F.lit(JOBC_MAGIC), 4))
-    version = F.when(d == 4, le_hex(F.lit(99), 4)).otherwise(le_hex(F.lit(JOBC_VERSION), 4))
-    count = F.when(d == 5, le_hex(F.lit(9999), 4)).when(d == 6, le_hex(F.lit(8), 4)).otherwise(le_hex(F.lit(4), 4))
-    recent = F.concat(*[le_hex(F.lit(v), 8) for v in (2, 3, 5, 7)])
-    body = F.concat(
-        magic,
-        version,
-        le_hex(F.col("n_chars"), 8),
-        le_hex(F.col("doc_id"), 8),
-        le_hex(F.col("doc_id") * 7, 8),
-        F.lit("01"),
-        count,
-        recent,
-        F.when(d == 7, F.lit("AB")).otherwise(F.lit("")),
-    )
-    raw = F.unhex(body)
-    crc = F.crc32(raw)
-    crc_used = F.when(d == 2, F.pmod(crc + 1, F.lit(4294967296))).otherwise(crc)
-    frame = F.concat(raw, F.unhex(le_hex(crc_used, 4)))
-    frame = F.when(d == 1, F.substring(frame, 1, 10)).otherwise(frame)
-    return docs.select("doc_id", frame.alias("content"))

@@ -1,10 +1,13 @@
 """SRC1 / ST1: tolerant NDJSON worker output -> typed events.
 
-Lines are trimmed; blank lines, lines not starting with ``{`` and malformed
-JSON are skipped; only known event types are kept.  ``found`` / ``next`` are
-unsigned 64-bit, read as decimal(20,0) so no value is lost.  With
-``strict_int64=True`` a checkpoint line whose u64 fields do not fit a signed
-64-bit integer is dropped, as a reader with signed fields would (D5).
+Lines are trimmed of all white space; blank lines, lines not starting with
+``{``, malformed JSON (single quotes and text after the object included) and
+unknown types are skipped, and so is a checkpoint line with a field of the
+wrong type.  ``started`` and ``completed`` lines count whatever their other
+fields hold.  ``found`` / ``next`` are unsigned 64-bit, read as decimal(20,0)
+so no value is lost.  With ``strict_int64=True`` a checkpoint line whose u64
+fields do not fit a signed 64-bit integer is dropped, as a reader with signed
+fields would (D5).  A line that repeats a member counts as malformed.
 """
 
 from __future__ import annotations
@@ -18,6 +21,16 @@ KNOWN_TYPES = ("checkpoint", "completed", "started")
 INT64_MAX = 9223372036854775807
 
 
+_SPACE = r"[\t\n\x0B\f\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+_INTEGER = r"^(BIGINT|VOID|DECIMAL\((19|[23][0-9]),0\))$"
+_KINDS = {
+    "string": r"^(STRING|VOID)$",
+    "bigint": _INTEGER,
+    "decimal(20,0)": _INTEGER,
+    "double": r"^(BIGINT|DOUBLE|VOID|DECIMAL\([0-9,]+\))$",
+}
+
+
 def read_log(lines: DataFrame, order: str | None = "seq", strict_int64: bool = False, value: str = "value") -> DataFrame:
     """Parse a DataFrame of text lines (``value``) into typed events.
 
@@ -26,12 +39,27 @@ def read_log(lines: DataFrame, order: str | None = "seq", strict_int64: bool = F
     DataFrames alike.
     """
     keep = [order] if order else []
-    line = F.trim(F.col(value))
-    parsed = lines.select(*keep, line.alias("_line")).filter(F.col("_line").startswith("{")).select(
-        *keep, F.from_json(F.col("_line"), LOG_LINE_SCHEMA, {"mode": "PERMISSIVE"}).alias("e")
+    line = F.regexp_replace(F.col(value), f"^{_SPACE}+|{_SPACE}+$", "")
+    # Parsed as the only element of an array, so that text after the object is malformed too.
+    # The line is bound as an array element: its expression is then evaluated (and generated) once.
+    whole = F.transform(
+        F.array(line), lambda x: F.when(x.startswith("{"), F.try_parse_json(F.concat(F.lit("["), x, F.lit("]"))))
+    )
+    parsed = (
+        lines.select(*keep, whole[0].alias("_v"))
+        .filter(F.col("_v").isNotNull() & F.variant_get("_v", "$[1]", "variant").isNull())
+        .select(*keep, F.variant_get("_v", "$[0]", "variant").alias("_v"))
     )
-    fields = [F.col(f"e.{f.name}") for f in LOG_LINE_SCHEMA.fields if not (order and f.name == "seq")]
-    ev = parsed.filter(F.col("e.type").isin(*KNOWN_TYPES)).select(*keep, *fields)
+    fields = [f for f in LOG_LINE_SCHEMA.fields if not (order and f.name == "seq")]
+    values, good = [], F.lit(True)
+    for f in fields:
+        kind = f.dataType.simpleString()
+        member = F.variant_get("_v", f"$.{f.name}", "variant")
+        fits = F.coalesce(F.schema_of_variant(member).rlike(_KINDS[kind]), F.lit(True))
+        values.append(F.when(fits, F.try_variant_get("_v", f"$.{f.name}", kind)).alias(f.name))
+        good = good & fits
+    typed = parsed.select(*keep, *values, good.alias("_good"))
+    ev = typed.filter(F.col("type").isin(*KNOWN_TYPES) & (F.col("_good") | (F.col("type") != "checkpoint"))).drop("_good")
     if strict_int64:
         big = F.lit(INT64_MAX).cast("decimal(20,0)")
         fits = F.coalesce(F.col("found") <= big, F.lit(True)) & F.coalesce(F.col("next") <= big, F.lit(True))

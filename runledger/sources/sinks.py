@@ -12,30 +12,27 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_RUN_TS = re.compile(r"/run_ts=([^/]+)/")
+_RUN_TS = re.compile(r"[0-9A-Za-z_.-]+")
 
 
 def publish_snapshot(df: DataFrame, path: str, run_ts: str) -> None:
-    """SNK1: write one time-stamped result; earlier snapshots stay readable."""
-    (
-        df.withColumn("run_ts", F.lit(run_ts))
-        .write.mode("append")
-        .partitionBy("run_ts")
-        .parquet(path)
-    )
+    """SNK1: write one time-stamped result; earlier snapshots stay readable.
 
+    A snapshot has a folder of its own, so publishing it again (a retry)
+    replaces it.  The pointer, one row in a folder of its own, is written after
+    the data has committed: a reader never sees half a snapshot.
+    """
+    if not _RUN_TS.fullmatch(run_ts):
+        raise ValueError(f"not a plain time stamp: {run_ts!r}")
+    df.write.mode("overwrite").parquet(f"{path}/data/{run_ts}")
+    pointer = df.sparkSession.range(1).select(F.lit(run_ts).alias("published"))
+    pointer.write.mode("overwrite").parquet(f"{path}/published/run_ts={run_ts}")
 
-def latest_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """SNK1: the `latest` pointer = the partition with the largest run_ts.
 
-    The newest run is found from the file listing alone (partition values in
-    the paths, no data read); the scan is then pruned to that partition.
-    """
-    snaps = spark.read.parquet(path)
-    runs = {m.group(1) for f in snaps.inputFiles() if (m := _RUN_TS.search(f))}
-    if not runs:
-        return snaps.limit(0).drop("run_ts")
-    return snaps.filter(F.col("run_ts") == F.lit(max(runs))).drop("run_ts")
+def latest_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """SNK1: the snapshot that the newest pointer names (one small row per snapshot is read)."""
+    newest = spark.read.parquet(f"{path}/published").agg(F.max("published")).first()[0]
+    return spark.read.parquet(f"{path}/data/{newest}")
 
 
 def append_events(events: DataFrame, path: str, payload_cols: list[str], key: str = "job_id", event_type: str = "event_type") -> None:
@@ -51,4 +48,4 @@ def write_orphan_report(orphans: DataFrame, path: str) -> None:
     orphans.select("id", "job_id", "controller_pid", "state").write.mode("overwrite").json(path)
 
 
-ORPHAN_REPORT_SCHEMA = "id string, job_id string, controller_pid int, state string"
+ORPHAN_REPORT_SCHEMA = "id string, job_id string, controller_pid bigint, state string"

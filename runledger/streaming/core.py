@@ -31,21 +31,20 @@ def stage_chunks(df: DataFrame, path: str, order: str, chunks: int, files_per_ch
     aggregate), so no slice is pulled through one task.
     """
     qs = [i / chunks for i in range(1, chunks)]
-    bounds = df.approxQuantile(order, qs, 0.001) if qs else []
-    lo = None
-    for i in range(chunks):
-        hi = bounds[i] if i < len(bounds) else None
-        part = df
-        if lo is not None:
-            part = part.filter(F.col(order) > F.lit(lo))
-        if hi is not None:
-            part = part.filter(F.col(order) <= F.lit(hi))
+    # Equal quantiles bound no slice; without any value there is one slice.
+    bounds = sorted(set(df.approxQuantile(order, qs, 0.001))) if qs else []
+    at = F.col(order)
+    edges = [None, *bounds, None]
+    for lo, hi in zip(edges, edges[1:], strict=False):
+        above = F.lit(True) if lo is None else at > F.lit(lo)
+        within = above if hi is None else above & (at <= F.lit(hi))
+        # rows without an order come first
+        part = df.filter(at.isNull() | within if lo is None else within)
         part = part.repartition(files_per_chunk, order)
         if fmt == "text":
             part.select("value").write.mode("append").text(path)
         else:
             part.write.mode("append").parquet(path)
-        lo = hi
 
 
 def run_available_now(
@@ -55,19 +54,25 @@ def run_available_now(
     output_mode: str = "append",
     fmt: str = "parquet",
     foreach_batch: Callable | None = None,
-    timeout_s: float = 600.0,
+    timeout_s: float | None = None,
 ) -> None:
-    """Process everything available, then stop."""
+    """Process everything available, then stop.
+
+    Waits as long as it takes.  A caller's ``timeout_s`` raises when it is hit:
+    a part of the result is never returned as if it were all.
+    """
     w = sdf.writeStream.outputMode(output_mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     if foreach_batch is not None:
         q: StreamingQuery = w.foreachBatch(foreach_batch).start()
     else:
         q = w.format(fmt).option("path", sink).start()
     try:
-        q.awaitTermination(timeout_s)
+        ended = q.awaitTermination() if timeout_s is None else q.awaitTermination(timeout_s)
     finally:
         if q.isActive:
             q.stop()
+    if ended is False:
+        raise TimeoutError(f"the stream did not end within {timeout_s} s")
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
 
@@ -118,6 +123,12 @@ def stream_session(spark: SparkSession) -> SparkSession:
     tz = spark.conf.get("spark.sql.session.timeZone", None)
     if tz:
         ss.conf.set("spark.sql.session.timeZone", tz)
+    # State lives on local disk with changelogs in the checkpoint folder, not on the heap.
+    ss.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+    ss.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     caller = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ss.conf.set("spark.sql.shuffle.partitions", str(max(1, min(caller, par))))
     return ss
