@@ -4,9 +4,10 @@ A merge can only ever build a vocabulary token.  A pair of neighbouring bytes
 that stands inside no token is therefore never merged across: it is a certain
 cut.  Texts are cut at the pre-tokenizer's word borders and, inside words, at
 every such pair.  The fragments are encoded independently (each distinct one
-once, through a bounded cache) and their ids are concatenated.  Cutting is
-vectorised over batches of whole texts, so a text of any length costs the
-same per byte, and an endless word falls apart into short fragments.
+once, through a bounded table) and their ids are concatenated.  Cutting,
+looking fragments up and concatenating are vectorised over batches of whole
+texts, so a text of any length costs the same per byte, and an endless word
+falls apart into short fragments.
 
 Work is per row: no shuffle.  Defined cases: null and empty texts have no ids
 and decode to ''; a special token's string inside a text gets the special id,
@@ -33,6 +34,7 @@ from runledger.llm.workers import send_package
 SPACE, LETTER, NUMBER, OTHER, UNKNOWN = range(5)
 BATCH_BYTES = 2_000_000
 CACHE_FRAGMENTS = 700_000
+SHORT = 15
 TOKENIZER = "byte_bpe_50k.json"
 
 
@@ -64,6 +66,61 @@ def _char_classes() -> np.ndarray:
     return table
 
 
+class FragmentTable:
+    """Fragments of at most ``SHORT`` bytes -> numbers, looked up many at a time.
+
+    A fragment is two words: its first eight bytes, and the others with its
+    length in the top byte, so that different fragments never compare equal.
+    Open addressing with linear probing.
+    """
+
+    BITS = 21
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        n = 1 << self.BITS
+        self.low, self.high = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        self.value = np.full(n, -1, np.int32)
+        self.size = 0
+
+    def _slot(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        h = (low ^ (high * np.uint64(0xC2B2AE3D27D4EB4F))) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+        return (h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Numbers of the fragments, -1 where unknown."""
+        at = self._slot(low, high)
+        out = self.value[at]
+        wrong = (out >= 0) & ((self.low[at] != low) | (self.high[at] != high))
+        rest = np.flatnonzero(wrong)
+        at = at[rest]
+        while len(rest):
+            at = (at + 1) & ((1 << self.BITS) - 1)
+            got = self.value[at]
+            out[rest] = got
+            wrong = (got >= 0) & ((self.low[at] != low[rest]) | (self.high[at] != high[rest]))
+            rest, at = rest[wrong], at[wrong]
+        return out
+
+    def add(self, low: np.ndarray, high: np.ndarray, value: np.ndarray) -> None:
+        """Distinct fragments that are not in the table yet."""
+        self.size += len(low)
+        at = self._slot(low, high)
+        rest = np.arange(len(low))
+        while len(rest):
+            free = self.value[at] < 0
+            _, first = np.unique(at[free], return_index=True)
+            take = np.flatnonzero(free)[first]
+            self.low[at[take]], self.high[at[take]] = low[rest[take]], high[rest[take]]
+            self.value[at[take]] = value[rest[take]]
+            left = np.ones(len(rest), bool)
+            left[take] = False
+            rest, at = rest[left], (at[left] + 1) & ((1 << self.BITS) - 1)
+
+
 class FragmentBpe:
     """Splits texts into fragments and encodes them; holds no reference to Spark."""
 
@@ -92,8 +149,19 @@ class FragmentBpe:
         self._merger = Tokenizer(models.BPE(vocab=vocab, merges=merges))
         self._library = Tokenizer.from_file(path)
         self._classes = _char_classes()
-        self._decode_table = {b: alphabet[b] for b in range(256)}
-        self.cache: dict[bytes, bytes] = {}
+        self._shown = {b: alphabet[b] for b in range(256)}
+        self._keep = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+        self._flat = np.frombuffer(b"".join(self.token_bytes), np.uint8)
+        self._token_len = np.array([len(t) for t in self.token_bytes], np.int64)
+        self._token_at = np.cumsum(self._token_len) - self._token_len
+        self.table, self.long = FragmentTable(), {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Empties the fragment table; fragment k has the ids ids[start[k]:start[k] + count[k]]."""
+        self.table.clear()
+        self.long.clear()
+        self.ids, self.start, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _class_of(self, cp: np.ndarray) -> np.ndarray:
         cls = self._classes[cp]
@@ -133,84 +201,119 @@ class FragmentBpe:
             begin[same] = True
         return begin[:n]
 
-    def fragments(self, texts: list[str]) -> tuple[list[bytes], np.ndarray]:
-        """The fragments of all texts, and for each text the number of the first one (and the end)."""
+    def cuts(self, texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """All texts' bytes, where fragments begin in them, and where texts begin (and the end)."""
         joined = "".join(texts)
         n_chars = np.fromiter(map(len, texts), np.int64, len(texts))
         edges = np.concatenate([[0], np.cumsum(n_chars)])
         if not joined:
-            return [], np.zeros(len(texts) + 1, np.int64)
+            return b"", np.zeros(0, np.int64), edges
         cp = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         starts = self._starts(cp, edges[:-1][n_chars > 0])
         data = joined.encode()
         raw = np.frombuffer(data, np.uint8)
-        if len(raw) == len(cp):
-            cut, byte_edges = starts, edges
-        else:
+        cut = starts.copy()
+        if len(raw) != len(cp):
             at = np.zeros(len(cp) + 1, np.int64)
             np.cumsum(1 + (cp >= 0x80).astype(np.int8) + (cp >= 0x800) + (cp >= 0x10000), out=at[1:])
             cut = np.zeros(len(raw), bool)
             cut[at[:-1][starts]] = True
-            byte_edges = at[edges]
+            edges = at[edges]
         pair = raw[:-1].astype(np.uint16) << 8 | raw[1:]
-        cut = cut.copy()
         cut[1:] |= ~self.inside[pair]
-        places = np.flatnonzero(cut)
-        at_list = places.tolist()
-        frags = [data[a:b] for a, b in zip(at_list, [*at_list[1:], len(data)], strict=True)]
-        return frags, np.searchsorted(places, byte_edges)
-
-    def _learn(self, frags: list[bytes]) -> None:
-        cache = self.cache
-        new = [f for f in set(frags) if f not in cache]
-        if len(cache) + len(new) > CACHE_FRAGMENTS:
-            cache.clear()
-            new = list(set(frags))
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            shown = [f.decode("latin-1").translate(self._decode_table) for f in part]
-            for f, e in zip(part, self._merger.encode_batch_fast(shown, add_special_tokens=False), strict=True):
-                cache[f] = np.array(e.ids, "<i4").tobytes()
+        return data, np.flatnonzero(cut), edges
+
+    def fragments(self, texts: list[str]) -> list[bytes]:
+        data, places, _ = self.cuts(texts)
+        ends = [*places.tolist()[1:], len(data)]
+        return [data[a:b] for a, b in zip(places.tolist(), ends, strict=True)]
+
+    def _learn(self, frags: list[bytes]) -> np.ndarray:
+        """Encodes distinct fragments; their numbers."""
+        first = len(self.start)
+        ids, counts = [], []
+        for i in range(0, len(frags), 20_000):
+            shown = [f.decode("latin-1").translate(self._shown) for f in frags[i : i + 20_000]]
+            for e in self._merger.encode_batch_fast(shown, add_special_tokens=False):
+                ids.extend(e.ids)
+                counts.append(len(e.ids))
+        new = np.array(counts, np.int64)
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(new) - new])
+        self.count = np.concatenate([self.count, new])
+        self.ids = np.concatenate([self.ids, np.array(ids, np.int32)])
+        return np.arange(first, len(self.start), dtype=np.int32)
+
+    def _numbers(self, data: bytes, places: np.ndarray) -> np.ndarray:
+        """The number of every fragment; unknown ones are learned."""
+        if len(self.start) > CACHE_FRAGMENTS:
+            self._forget()
+        size = np.diff(np.append(places, len(data)))
+        padded = data + bytes(24)
+        words = np.ndarray((len(data) + 9,), "<u8", padded, 0, (1,))
+        low = words[places] & self._keep[np.minimum(size, 8)]
+        high = words[places + 8] & self._keep[np.clip(size - 8, 0, 7)] | np.minimum(size, 255).astype(np.uint64) << np.uint64(56)
+        out = self.table.find(low, high)
+        out[size > SHORT] = -1
+        missing = np.flatnonzero((out < 0) & (size <= SHORT))
+        if len(missing):
+            order = missing[np.lexsort((high[missing], low[missing]))]
+            a, b = low[order], high[order]
+            new = np.ones(len(order), bool)
+            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            one = order[new]
+            got = self._learn([data[p : p + n] for p, n in zip(places[one].tolist(), size[one].tolist(), strict=True)])
+            self.table.add(low[one], high[one], got)
+            out[order] = got[np.cumsum(new) - 1]
+        large = np.flatnonzero(size > SHORT)
+        if len(large):
+            frags = [data[p : p + n] for p, n in zip(places[large].tolist(), size[large].tolist(), strict=True)]
+            unknown = [f for f in dict.fromkeys(frags) if f not in self.long]
+            self.long.update(zip(unknown, self._learn(unknown).tolist(), strict=True))
+            out[large] = list(map(self.long.__getitem__, frags))
+        return out
+
+    def _encode_plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        data, places, edges = self.cuts(texts)
+        if not len(places):
+            return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+        number = self._numbers(data, places)
+        count = self.count[number]
+        ends = np.cumsum(count)
+        ids = self.ids[np.repeat(self.start[number] - (ends - count), count) + np.arange(ends[-1])]
+        return ids, np.concatenate([[0], ends])[np.searchsorted(places, edges)]
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids, and where each text's begin among them (and the end)."""
+        if not any(s in t for s in self.special for t in texts):
+            return self._encode_plain(texts)
+        pieces = [self._special_re.split(t) for t in texts]  # every second piece is a special token
+        ids, at = self._encode_plain([p for parts in pieces for p in parts[::2]])
+        out, edges, k = [], [0], 0
+        for parts in pieces:
+            n = 0
+            for i, part in enumerate(parts):
+                got = np.array([self.special[part]], np.int32) if i % 2 else ids[at[k] : at[k + 1]]
+                k += 1 - i % 2
+                out.append(got)
+                n += len(got)
+            edges.append(edges[-1] + n)
+        return np.concatenate(out), np.array(edges)
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        pieces: list[str] = []
-        owner: list[tuple[int, int, dict[int, int]]] = []  # first piece, end, special ids by piece
-        for t in texts:
-            a = len(pieces)
-            marks: dict[int, int] = {}
-            if any(s in t for s in self.special):
-                for part in self._special_re.split(t):
-                    if part in self.special:
-                        marks[len(pieces)] = self.special[part]
-                        pieces.append("")
-                    else:
-                        pieces.append(part)
-            else:
-                pieces.append(t)
-            owner.append((a, len(pieces), marks))
-        frags, at = self.fragments(pieces)
-        get = self.cache.get
-        coded = [get(f) for f in frags]
-        if None in coded:
-            self._learn(frags)
-            coded = list(map(self.cache.__getitem__, frags))
-        edges = at.tolist()
-        out = []
-        for a, b, marks in owner:
-            if not marks:
-                out.append(b"".join(coded[edges[a] : edges[b]]))
-            else:
-                out.append(
-                    b"".join(
-                        np.array([marks[p]], "<i4").tobytes() if p in marks else b"".join(coded[edges[p] : edges[p + 1]])
-                        for p in range(a, b)
-                    )
-                )
-        return out
+        ids, edges = self.encode(texts)
+        raw, at = ids.astype("<i4").tobytes(), (4 * edges).tolist()
+        return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
+    def decode(self, ids: np.ndarray, edges: np.ndarray) -> list[str]:
+        """The texts of runs of ids."""
+        size = self._token_len[ids]
+        ends = np.cumsum(size)
+        if not len(ids) or not ends[-1]:
+            return [""] * (len(edges) - 1)
+        data = self._flat[np.repeat(self._token_at[ids] - (ends - size), size) + np.arange(ends[-1])].tobytes()
+        at = np.concatenate([[0], ends])[edges].tolist()
+        return [data[a:b].decode("utf-8", "replace") for a, b in zip(at, at[1:], strict=False)]
 
 
 _LOADED: dict[str, FragmentBpe] = {}
@@ -247,13 +350,9 @@ def encode_decode(docs: DataFrame, text: str = "text", path: str | None = None)
         for batch in batches:
             texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             for a, b in text_groups(texts):
-                coded = bpe.encode_batch(texts[a:b])
-                ids = np.frombuffer(b"".join(coded), "<i4")
-                edges = np.concatenate([[0], np.cumsum([len(x) // 4 for x in coded])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(ids, pa.int32()))
-                flat = ids.tolist()
-                ends = edges.tolist()
-                back = pa.array([bpe.decode(flat[x:y]) for x, y in zip(ends, ends[1:], strict=False)], pa.string())
+                ids, edges = bpe.encode(texts[a:b])
+                lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(ids, pa.int32()))
+                back = pa.array(bpe.decode(ids, edges), pa.string())
                 part = batch.slice(a, b - a)
                 columns = [part.column(part.schema.get_field_index(f.name)) for f in kept]
                 yield pa.RecordBatch.from_arrays([*columns, lists, back], [*[f.name for f in kept], "ids", "decoded"])

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from runledger.llm.forced_bpe import loaded, text_groups, tokenizer_path
+from runledger.llm.text import bounded_sample
 from runledger.llm.workers import send_package
 
 MAGIC = b"IDZ1"
@@ -50,13 +51,8 @@ def train_dictionary(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS,
     (by the order of their ids' hashes); b'' where the sample is too small to train on."""
     import zstandard
 
-    sample = (
-        docs.filter(F.col("text").isNotNull() & (F.length("text") <= sample_chars))
-        .select("text")
-        .orderBy(F.xxhash64("doc_id"), F.xxhash64("text"))
-        .limit(sample_docs)
-    )
-    texts = [r[0] for r in sample.collect()]
+    short = docs.select("doc_id", "text").filter(F.length("text") <= sample_chars)
+    texts = sorted(r["text"] for r in bounded_sample(short, ["doc_id", "text"], sample_docs).collect())
     rows = [x for x in loaded(path).encode_batch(texts) if x]
     try:
         return zstandard.train_dictionary(DICT_BYTES, rows).as_bytes() if len(rows) >= 8 else b""

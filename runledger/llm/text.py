@@ -49,3 +49,21 @@ def free_name(df: DataFrame, base: str) -> str:
 
 def sha256_hex(text: Column) -> Column:
     return F.sha2(F.encode(text, "utf-8"), 256)
+
+
+def bounded_sample(df: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """At most ``n`` rows, those with the smallest hashes of ``keys``.
+
+    Rows per slice of the hash range are counted first (at most 65,536 numbers
+    come to the driver), so that the sort only ever sees about ``n`` rows, however
+    many partitions the table has.
+    """
+    h = F.xxhash64(*keys)
+    at = F.shiftright(h, 48)
+    counts = sorted((r[0], r[1]) for r in df.groupBy(at.alias("at")).count().collect())
+    total, last = 0, -(1 << 15)
+    for last, k in counts:
+        total += k
+        if total >= n:
+            break
+    return df.filter(at <= last).orderBy(h).limit(n)
