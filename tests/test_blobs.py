@@ -6,7 +6,7 @@ import zlib
 from runledger.sources import blobs as B
 
 
-def jobc(limit=50, nxt=7, found=4, seeded=1, recent=(2, 3, 5, 7), count=None, magic=0x4A4F4243, version=2, extra=b""):
+def jobc(limit=610, nxt=377, found=89, seeded=1, recent=(233, 144, 55, 34), count=None, magic=0x4A4F4243, version=2, extra=b""):
     body = struct.pack("<IIQQQB", magic, version, limit, nxt, found, seeded)
     body += struct.pack("<I", len(recent) if count is None else count)
     body += b"".join(struct.pack("<Q", v) for v in recent) + extra
@@ -44,7 +44,7 @@ def test_verdicts(spark):
     for name in ("short", "crc", "magic", "version", "recent_cap", "recent_size", "trailing"):
         assert got[name].verdict == name
     r = got["ok"]
-    assert (r.verdict, int(r.limit), int(r.next), int(r.found), r.seeded, r.recent_count) == ("ok", 50, 7, 4, True, 4)
+    assert (r.verdict, int(r.limit), int(r.next), int(r.found), r.seeded, r.recent_count) == ("ok", 610, 377, 89, True, 4)
     m = got["u64max"]
     assert m.verdict == "ok" and int(m.found) == 2**64 - 1 and int(m.limit) == 2**64 - 1
 

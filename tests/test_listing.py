@@ -14,11 +14,17 @@ def _jobs(spark, created_ns):
 
 def test_pages_3_3_1(spark):
     jobs = _jobs(spark, [1_000_000_000 + i * 1_000_000 for i in range(7)])
-    pages = LS.walk_pages(jobs, 5, 3)
+    pages = LS.walk_pages(jobs, 3)
     sizes = [p.count() for p in pages]
     assert sizes == [3, 3, 1]
     ids = LS.page_union([p.select("job_id", "created_at", "state") for p in pages]).collect()
     assert len(ids) == 7 and all(r.n_seen == 1 for r in ids)
+    assert LS.page_violations(LS.page_union([p.select("job_id") for p in pages]), jobs).count() == 0
+    twice = LS.page_union([p.select("job_id") for p in [*pages[:2], pages[0]]])
+    bad = {r.job_id: r.n_seen for r in LS.page_violations(twice, jobs).collect()}
+    assert bad == {"g0": 2, "f0": 2, "e0": 2, "a0": 0}
+    whole = {r.job_id: (r.page_no, r.page_rank) for r in LS.numbered_pages(jobs.withColumn("job_id", F.ascii("job_id")), 3).collect()}
+    assert whole[ord("g")] == (1, 1) and whole[ord("a")] == (3, 1) and len(whole) == 7
     first = [r.job_id for r in pages[0].orderBy("page_rank").collect()]
     assert first == ["g0", "f0", "e0"]
 
@@ -26,8 +32,8 @@ def test_pages_3_3_1(spark):
 def test_faithful_mode_skips_ties(spark):
     # Four rows share one created_at; strict seek on created_at skips the tie partners.
     jobs = _jobs(spark, [1, 2, 2, 2, 2, 3])
-    default = LS.walk_pages(jobs, 10, 2)
-    faithful = LS.walk_pages(jobs, 10, 2, faithful=True)
+    default = LS.walk_pages(jobs, 2)
+    faithful = LS.walk_pages(jobs, 2, faithful=True)
     assert sum(p.count() for p in default) == 6
     assert sum(p.count() for p in faithful) < 6
 
@@ -77,3 +83,10 @@ def test_state_filter_and_lookup_miss(spark):
     assert [r.job_id for r in LS.jobs_by_state(jobs, "running").collect()] == ["a0"]
     assert LS.job_lookup(jobs, "nope", id_col="job_id").count() == 0
     assert LS.job_lookup(jobs, "b0", id_col="job_id").count() == 1
+
+
+def test_job_detail_nests_the_newest_events(spark):
+    jobs = spark.createDataFrame([("a",), ("b",)], "job_id string")
+    ev = spark.createDataFrame([("a", i, f"e{i}") for i in range(30)], "job_id string, id long, event_type string")
+    got = {r.job_id: [(e.id, e.event_type) for e in r.events] for r in LS.job_detail(jobs, ev).collect()}
+    assert got == {"a": [(i, f"e{i}") for i in range(29, 4, -1)], "b": []}

@@ -58,10 +58,11 @@ def test_live_container_prefers_running(spark):
 
 
 def test_orphans(spark):
-    cont = _containers(spark, [("a", "j1", "running", "1"), ("b", "j2", "running", "0"), ("c", "j3", "exited", "abc"), ("d", "j4", "running", "5"), ("e", "j5", "running", None)])
-    alive = spark.createDataFrame([(1,), (2,)], "pid int")
+    pids = {"a": "1", "b": "0", "c": "abc", "d": "5", "e": None, "f": " 2 ", "g": "3000000000", "h": "-1", "i": "+2", "j": "4294967297"}
+    cont = _containers(spark, [(k, "j" + k, "running", v) for k, v in pids.items()])
+    alive = spark.createDataFrame([(1,), (2,), (4294967297,)], "pid long")
     got = {r.id: r.controller_pid for r in R.orphans(cont, alive).collect()}
-    assert got == {"b": 0, "c": 0, "d": 5, "e": 0}
+    assert got == {"b": 0, "c": 0, "d": 5, "e": 0, "f": 0, "g": 3000000000, "h": -1}
 
 
 def test_fault_triage(spark):
@@ -75,20 +76,22 @@ def test_fault_triage(spark):
     assert inf == {"a": "interrupted_resumable", "b": "interrupted_resumable"}
 
 
-def test_exit_outcome_completed_line_wins(spark):
-    rows = [("j", 1, "started", 1), ("j", 2, "checkpoint", 4), ("j", 3, "completed", 4), ("k", 4, "started", 0), ("k", 5, "checkpoint", 3)]
-    wl = spark.createDataFrame(rows, "job_id string, seq long, type string, epoch long")
-    got = {r.job_id: (r.exit_code, r.outcome) for r in L.exit_outcome(L.attempts(wl)).collect()}
-    assert got == {"j": (1, "completed"), "k": (0, "completed")}
+def test_exit_outcome(spark):
+    rows = [("j", 1, "started"), ("j", 2, "completed"), ("k", 3, "started"), ("k", 4, "checkpoint"), ("k", 5, "started"), ("l", 6, "started")]
+    wl = spark.createDataFrame(rows, "job_id string, seq long, type string")
+    exits = spark.createDataFrame([("j", 1, 137), ("k", 1, 0), ("k", 2, 2)], "job_id string, attempt long, exit_code int")
+    got = {(r.job_id, r.attempt): (r.exit_code, r.outcome) for r in L.exit_outcome(L.attempts(wl), exits).collect()}
+    assert got == {("j", 1): (137, "completed"), ("k", 1): (0, "completed"), ("k", 2): (2, "failed"), ("l", 1): (None, "failed")}
 
 
 def test_run_identity_is_a_multiset_difference(spark):
-    from runledger.operators.audit import run_diff, run_identity
+    from runledger.operators.audit import run_diff, run_identity, run_identity_diff
 
-    a = spark.createDataFrame([("x", 1), ("x", 1), ("y", 2), (None, 3)], "w string, n long")
+    a = spark.createDataFrame([("x", 1)] * 4 + [("y", 2), (None, 3)], "w string, n long")
     b = spark.createDataFrame([("x", 1), ("z", 5), (None, 3)], "w string, n long")
-    got = sorted((r.w, r.n, r.side) for r in run_identity(a, b).collect())
-    assert got == [("x", 1, "only_a"), ("y", 2, "only_a"), ("z", 5, "only_b")]
-    assert run_identity(a, a).count() == 0
+    got = sorted(tuple(r) for r in run_identity_diff(a, b).collect())
+    assert got == [("x", 1, "only_a", 3), ("y", 2, "only_a", 1), ("z", 5, "only_b", 1)]
+    assert [tuple(r) for r in run_identity(a, b).collect()] == [(4, 1, False)]
+    assert [tuple(r) for r in run_identity(a, a).collect()] == [(0, 0, True)]
     d = {r.w: r.diff for r in run_diff(a.dropDuplicates(), b.withColumn("n", F.col("n") + 0), ["w"], ["n"]).collect()}
     assert d == {"y": "only_left", "z": "only_right"}

@@ -9,9 +9,11 @@ from runledger.sources.dims import registry_audit
 
 def test_arg_flag_cases(spark):
     rows = [
-        (["--foo", "bar", "--limit", "42"], "--limit", "0", "42"),
-        (["--foo", "bar"], "--limit", "999", "999"),
-        (["--limit"], "--limit", "7", "7"),
+        (["--a", "1", "--b", "2", "--a", "3"], "--a", "none", "1"),
+        (["--b", "--a"], "--b", "none", "--a"),
+        (["--c", "x", "--a"], "--a", "none", "none"),
+        ([], "--a", "none", "none"),
+        (["--aa", "5"], "--a", "none", "none"),
     ]
     df = spark.createDataFrame(rows, "args array<string>, key string, dflt string, want string")
     got = df.select(arg_flag(F.col("args"), F.col("key"), F.col("dflt")).alias("got"), "want").collect()
@@ -72,3 +74,17 @@ def test_sized_broadcast_only_under_bound(spark):
     plan_small = probe.join(sized_broadcast(small, 10), "pid")._jdf.queryExecution().optimizedPlan().toString()
     plan_big = probe.join(sized_broadcast(big, 10), "pid")._jdf.queryExecution().optimizedPlan().toString()
     assert "BROADCAST" in plan_small.upper() and "broadcast" not in plan_big.lower()
+
+
+def test_container_args(spark):
+    rows = [
+        (1, ["--worker", "w", "--limit", "9", "--seed", "4"], "running", "/p"),
+        (2, [], "interrupted_resumable", "/p"),
+        (3, ["--seed"], "interrupted_resumable", None),
+    ]
+    df = spark.createDataFrame(rows, "id long, argv array<string>, state string, last_checkpoint_path string")
+    got = {r.id: r.container_argv for r in Q.container_args(df, "id", "/s.bin").collect()}
+    fixed = ["--checkpoint-every", "5000", "--output-state", "/s.bin"]
+    assert got[1] == ["--worker", "w", "--job-id", "1", "--limit", "9", *fixed, "--seed", "4"]
+    assert got[2] == ["--worker", "primes", "--job-id", "2", "--limit", "100000", *fixed, "--resume-from", "/s.bin"]
+    assert got[3] == ["--worker", "primes", "--job-id", "3", "--limit", "100000", *fixed]

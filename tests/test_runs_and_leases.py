@@ -1,11 +1,16 @@
 """Bench maths (percentiles, last found, gate) and lease audit scenarios."""
 
 import datetime as dt
+import random
+from decimal import Decimal
+
+import pytest
 
 from pyspark.sql import functions as F
 
 from runledger.operators import aggregate as A
 from runledger.operators import lease as LE
+from runledger.operators import ordered
 from runledger.operators import runstats as RS
 from runledger.sources.ndjson import read_log
 
@@ -28,27 +33,31 @@ def test_empty_stats_are_zero(spark):
 
 
 def test_gate(spark):
-    latest = spark.createDataFrame([(20, 0, 500.0, 5.0, 12.0, 18.0)], "successes long, failures long, jobs_per_sec double, p50_ms double, p95_ms double, p99_ms double")
-    assert RS.regress_gate(latest, RS.Baseline(100, 50, 200, 500, 0)).count() == 0
-    bad = RS.regress_gate(latest, RS.Baseline(1000, 4, 0, 0, 0)).collect()
-    assert sorted(r.check for r in bad) == ["jobs_per_sec", "p50_ms"]
-    fails = spark.createDataFrame([(1, 2, 0.0, 0.0, 0.0, 0.0)], latest.schema)
-    # Failures are always compared even when every floor is disabled.
-    assert [r.check for r in RS.regress_gate(fails, RS.Baseline(0, 0, 0, 0, 1)).collect()] == ["failures"]
+    schema = "successes long, failures long, jobs_per_sec double, p50_ms double, p95_ms double, p99_ms double"
+    run = spark.createDataFrame([(90, 3, 41.5, 7.0, 33.0, 61.0)], schema)
+
+    def checks(*limits):
+        return sorted((r.check, r.value, r.limit) for r in RS.regress_gate(run, RS.Baseline(*limits)).collect())
+
+    assert checks(41.5, 7, 33, 61, 3) == []  # a limit that is met exactly holds
+    assert checks(42, 6, 33, 60, 3) == [("jobs_per_sec", 41.5, 42.0), ("p50_ms", 7.0, 6.0), ("p99_ms", 61.0, 60.0)]
+    assert checks(0, 0, -1, 0, 2) == [("failures", 3.0, 2.0)]  # a limit of 0 or less is off, but failures always count
 
 
 def test_last_found(spark):
-    lines = [
-        '{"type":"started","job_id":"a"}',
-        '{"type":"checkpoint","job_id":"a","found":42}',
-        '{"type":"completed","job_id":"a","found":97}',
-        "nothing here",
-    ]
-    df = spark.createDataFrame([(i, v) for i, v in enumerate(lines)], "seq long, value string")
-    ev = read_log(df).withColumn("found", F.col("found").cast("bigint"))
-    assert A.last_found(ev).collect()[0].last_found == 97
-    none = spark.createDataFrame([("b", 1, "started", None)], "job_id string, seq long, type string, found long")
-    assert A.last_found(none).collect()[0].last_found == 0
+    top = 2**64 - 1
+    rows = [("a", 1, "checkpoint", 8), ("a", 2, "completed", top), ("a", 3, "failed", 5), ("b", 4, "checkpoint", 11), ("b", 5, "checkpoint", None), ("c", 6, "started", 3)]
+    df = spark.createDataFrame([(j, s, t, None if f is None else Decimal(f)) for j, s, t, f in rows], "job_id string, seq long, type string, found decimal(20,0)")
+    assert {r.job_id: int(r.last_found) for r in A.last_found(df).collect()} == {"a": top, "b": 11, "c": 0}
+
+
+def test_one_huge_latency_does_not_fill_a_bucket(spark):
+    rows = [("w", float(i % 5000) + i / 1e6) for i in range(20_000)] + [("w", 1e9), ("x", 3.0)]
+    df = spark.createDataFrame(rows, "w string, v double").repartition(4)
+    want = {r.w: r.p for r in df.groupBy("w").agg(F.percentile("v", F.array(F.lit(0.5), F.lit(0.99), F.lit(1.0))).alias("p")).collect()}
+    for hot in (False, True):
+        got = {r.w: [r._q0, r._q1, r._q2] for r in RS.rank_percentiles(df, ["w"], "v", (0.5, 0.99, 1.0), hot=hot, hot_rows=1000).collect()}
+        assert {k: [round(x, 6) for x in v] for k, v in got.items()} == {k: [round(x, 6) for x in v] for k, v in want.items()}
 
 
 def test_strict_int64_drops_big_checkpoints(spark):
@@ -101,43 +110,46 @@ def test_overlap_and_starts(spark):
     assert got == {1: (1, True, False), 2: (0, False, True), 3: (1, True, False)}
 
 
-def test_release_cuts_the_hold(spark):
-    t0 = dt.datetime(2024, 1, 1)
-    rows = [("k", "A", t0, "acquire"), ("k", "A", t0 + dt.timedelta(seconds=10), "release"), ("k", "A", t0 + dt.timedelta(seconds=15), "acquire")]
-    t = spark.createDataFrame(rows, "lease_key string, holder string, ts timestamp_ntz, op string")
-    holds = sorted(LE.lease_holds(t, 30).collect(), key=lambda h: h.from_ts)
-    assert [(h.touches, (h.until_ts - h.from_ts).total_seconds()) for h in holds] == [(2, 10.0), (1, 30.0)]
-
+def _held(ops, ttl):
+    """The lock itself, step by step: (from, last, until, touches) of every hold of one holder."""
+    holds, until = [], None
+    for t, op in ops:
+        live = until is not None and t <= until
+        if op == "acquire" and not live:
+            holds.append([t, t, t + ttl, 0])
+        elif not live:
+            continue
+        until = t + ttl
+        holds[-1][1:] = [t, until, holds[-1][3] + 1]
+        if op == "release":
+            holds[-1][2], until = t, None
+    return [tuple(h) for h in holds]
 
-def test_rank_percentiles_equal_spark_percentile(spark):
-    import random
-
-    rnd = random.Random(11)
-    rows = [(rnd.choice(["hot"] * 6 + ["a", "b"]), float(rnd.choice([rnd.randint(0, 50), 7, 7, 7])), rnd.random() < 0.1) for _ in range(3000)]
-    rows += [("only_err", 5.0, True)]
-    df = spark.createDataFrame(rows, "g string, latency_ms double, err boolean")
-    qs = (0.0, 0.25, 0.5, 0.95, 0.99, 1.0)
-    a = {r.g: tuple(r[1:]) for r in RS.latency_percentiles(df, ["g"], qs, method="rank").collect()}
-    b = {r.g: tuple(r[1:]) for r in RS.latency_percentiles(df, ["g"], qs, method="map").collect()}
-    assert a == b and a["only_err"] == (0.0,) * len(qs)
 
+def _ops_frame(spark, rows):
+    t0 = dt.datetime(2024, 1, 1)
+    data = [("k", h, t0 + dt.timedelta(seconds=s), i, op) for i, (h, s, op) in enumerate(rows)]
+    return spark.createDataFrame(data, "lease_key string, holder string, ts timestamp_ntz, seq long, op string").repartition(3)
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_lock_rules_equal_the_lock(spark, hot, monkeypatch):
+    if hot:
+        monkeypatch.setattr(ordered, "HOT_ROWS", 10)
+    rnd = random.Random(5)
+    rows, now = [], 0
+    for _ in range(250):
+        now += rnd.choice([1, 5, 20, 31, 4000])
+        rows.append((rnd.choice("AB"), now, rnd.choice(["acquire", "refresh", "refresh", "refresh", "release"])))
+    t0 = dt.datetime(2024, 1, 1)
+    at = lambda x: int((x - t0).total_seconds())
+    got = sorted((h.holder, h.hold_no, at(h.from_ts), at(h.last_touch), at(h.until_ts), h.touches) for h in LE.lease_holds(_ops_frame(spark, rows), 30, seq="seq").collect())
+    want = sorted((x, i + 1, *h) for x in "AB" for i, h in enumerate(_held([(s, op) for y, s, op in rows if y == x], 30)))
+    assert got == want
 
-def test_read_log_files_keeps_line_order(spark, tmp_path):
-    from runledger.sources.ndjson import read_log_files
 
-    lines = [
-        "# comment",
-        '{"type":"started","job_id":"a","limit":100}',
-        '{"type":"checkpoint","job_id":"a","epoch":1,"found":3,"state_path":"/s"}',
-        "",
-        '{"type":"checkpoint","job_id":"a","epoch":2,"found":7,"state_path":"/s"}',
-        '{"type":"mystery","job_id":"a"}',
-        '{"type":"completed","job_id":"a","found":9,"epoch":3}',
-    ]
-    (tmp_path / "w.log").write_text("\n".join(lines) + "\n")
-    ev = read_log_files(spark, str(tmp_path / "w.log")).orderBy("seq").collect()
-    assert [(r.type, r.epoch) for r in ev] == [("started", None), ("checkpoint", 1), ("checkpoint", 2), ("completed", 3)]
-    assert int(ev[0].limit) == 100
-    assert A.last_found(
-        read_log_files(spark, str(tmp_path / "w.log")).withColumn("found", F.col("found").cast("bigint")).withColumn("job_id", F.col("job_id"))
-    ).first().last_found == 9
+def test_late_refresh_fails_and_does_not_overlap(spark):
+    t = _ops_frame(spark, [("A", 0, "acquire"), ("A", 40, "refresh"), ("B", 41, "acquire"), ("A", 45, "release"), ("B", 50, "release")])
+    holds = LE.lease_holds(t, 30, seq="seq")
+    assert sorted((h.holder, h.touches) for h in holds.collect()) == [("A", 1), ("B", 2)]
+    assert LE.lease_overlap(holds).count() == 0

@@ -1,5 +1,9 @@
 """Streaming twins: replay state across batches, restart equals a fresh run."""
 
+import datetime as dt
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from runledger.operators import aggregate as A
@@ -36,24 +40,77 @@ def test_restart_on_same_checkpoint_equals_fresh_run(spark):
     assert got == want
 
 
-def test_stale_alert_timers(spark):
-    import datetime as dt
-
+@pytest.mark.parametrize("files", [1, 3, 7])
+def test_stale_alerts_do_not_depend_on_batch_borders(spark, files):
+    rnd = random.Random(9)
+    t0, now, rows = dt.datetime(2024, 1, 1), 0, []
+    for i in range(60):
+        now += rnd.choice([1, 7, 40, 130])
+        rows.append((rnd.choice("abc"), i, t0 + dt.timedelta(seconds=now), "checkpoint"))
+    rows.append(("end", 60, t0 + dt.timedelta(seconds=now + 10_000), "checkpoint"))
     src, out, ck = C.paths(spark, "t-st7")
-    t0 = dt.datetime(2024, 1, 1)
     schema = "job_id string, seq long, ts timestamp_ntz, type string"
-    batches = [
-        [("a", 1, t0, "checkpoint"), ("b", 2, t0, "checkpoint")],
-        [("b", 3, t0 + dt.timedelta(seconds=100), "checkpoint")],
-        [("b", 4, t0 + dt.timedelta(seconds=120), "checkpoint")],
-    ]
-    for rows in batches:
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
-    sdf = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    for k in range(0, len(rows), -(-len(rows) // files)):
+        spark.createDataFrame(rows[k : k + -(-len(rows) // files)], schema).coalesce(1).write.mode("append").parquet(src)
+    sdf = C.stream_session(spark).readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
     C.run_available_now(S.stream_stale_alerts(sdf, 50), out, ck)
-    got = sorted((r.job_id, r.stale_since_ms) for r in spark.read.parquet(out).collect())
     base = int(t0.replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
-    # a: silent after t0, its timer (t0 + 50 s) fires once the watermark passes it.
-    # b: the 100 s gap is seen when the second checkpoint arrives, as the
-    #    watermark (t0) has not passed t0 + 50 s yet, so no alert for b.
-    assert got == [("a", base + 50_000)]
+    got = sorted((r.job_id, r.stale_since_ms - base) for r in spark.read.parquet(out).collect())
+    want = []
+    for job in "abc":
+        at = [int((ts - t0).total_seconds()) for j, _, ts, _ in rows if j == job]
+        want += [(job, (x + 50) * 1000) for x, y in zip(at, at[1:] + [10**9]) if y - x > 50]
+    assert got == sorted(want)
+
+
+def test_staging_keeps_rows_without_an_order(spark):
+    rows = [(i if i % 3 else None, f"r{i}") for i in range(20)]
+    for data in (rows, [(None, v) for _, v in rows]):
+        src, _, _ = C.paths(spark, "t-stage")
+        C.stage_chunks(spark.createDataFrame(data, "seq long, value string"), src, "seq", 3, 2)
+        assert sorted(r.value for r in spark.read.parquet(src).collect()) == sorted(v for _, v in data)
+
+
+def test_a_limit_that_is_hit_raises(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text")
+    src, out, ck = C.paths(spark, "t-limit")
+    C.stage_chunks(docs, src, "doc_id", 6, 1)
+    q = S.stream_word_count(spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(src))
+    with pytest.raises(TimeoutError):
+        C.run_available_now(q, out, ck, output_mode="update", foreach_batch=C.upsert_batches(out), timeout_s=0.2)
+
+
+def test_snapshot_published_twice_is_there_once(spark):
+    from runledger.session import scratch_path
+    from runledger.sources import sinks
+
+    path, df = scratch_path(spark, "snap"), spark.range(5)
+    sinks.publish_snapshot(df, path, "20240101")
+    sinks.publish_snapshot(df, path, "20240102")
+    sinks.publish_snapshot(df.filter("id < 3"), path, "20240102")
+    assert sinks.latest_snapshot(spark, path).count() == 3
+
+
+def test_log_lines_that_a_reader_skips(spark):
+    from runledger.sources.ndjson import read_log
+
+    good = '{"type":"checkpoint","job_id":"a","epoch":1,"found":2}'
+    lines = {
+        "plain": good,
+        "space": "\t\u00a0 " + good + " \r",
+        "null": '{"type":"checkpoint","epoch":null}',
+        "big": '{"type":"checkpoint","found":18446744073709551615}',
+        "done": '{"type":"completed","epoch":"x"}',
+        "!word": good.replace("1", '"1"'),
+        "!fraction": good.replace("2", "2.5"),
+        "!quotes": good.replace('"', "'"),
+        "!after": good + " x",
+        "!two": good + good,
+        "!list": good + "," + good,
+        "!cut": good[:-3],
+        "!other": good.replace("checkpoint", "note"),
+    }
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(lines.values())], "seq long, value string")
+    names = list(lines)
+    assert {names[r.seq] for r in read_log(df).collect()} == {n for n in names if n[0] != "!"}
+    assert {names[r.seq] for r in read_log(df, strict_int64=True).collect()} == {n for n in names if n[0] != "!" and n != "big"}
