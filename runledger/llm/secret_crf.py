@@ -13,8 +13,8 @@ tasks in the closure.
 Decoding is exact and linear: where O beats both other labels by more than any
 change of transitions could repay, every best path passes through O, so the
 chain falls into independent runs there, and only those runs (a small part of
-the tokens) are decoded step by step.  Scores of a distinct token are computed
-once and cached, bounded.
+the tokens) are decoded step by step.  Features and scores of all tokens are
+computed as arrays over batches of whole texts.
 
 Work is per row: no shuffle.  Defined cases: null and empty texts have no
 spans; a sample without hits trains a model that tags everything O; a token
@@ -25,7 +25,6 @@ added.  Only ``doc_id`` and ``text`` are read; other columns pass through.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from runledger.llm.chars import DIGIT, LOW_HEX, N_CLASSES, OTHER, SPACE, SYMBOL, UPPER, Words
+from runledger.llm.forced_bpe import text_groups
+from runledger.llm.text import bounded_sample
 from runledger.llm.workers import send_package
 
 KINDS = ("assign", "access", "hex", "crf")
@@ -45,10 +47,9 @@ ANY_HIT = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 HINTS = ("passw", "secret", "token", "api")
 SAMPLE_DOCS = 250
 SAMPLE_CHARS = 20_000
-DIMS = 1 << 14
+VOCABULARY = 5000
 SPAN = 12
 O, B, I = 0, 1, 2
-CACHE_TOKENS = 300_000
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -64,101 +65,99 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def _shape(token: str) -> str:
-    out, last = [], ""
-    for c in token[:64]:
-        k = "9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c if c in "\"'=:/+_.-@" else "."
-        if k != last:
-            out.append(k)
-            last = k
-    return "".join(out[:12])
-
-
-def token_features(token: str) -> list[str]:
-    """What is looked at in one token (the whole of it counts for length and make-up)."""
-    core = token.strip("\"'=:;,.()[]{}!?*#$%&|<>")
-    digits = sum(c.isdigit() for c in core)
-    hexes = sum(c in "0123456789abcdefABCDEF" for c in core)
-    n = max(1, len(core))
-    swaps = sum(a.isdigit() != b.isdigit() for a, b in zip(core, core[1:], strict=False))
-    return [
-        "shape=" + _shape(token),
-        f"len={min(len(core), 40) // 4}",
-        f"digit={4 * digits // n},{min(len(core) // 8, 4)}",
-        f"hex={hexes == len(core)},{min(len(core) // 8, 4)}",
-        f"swaps={min(swaps // 3, 5)}",
-        f"distinct={min(len(set(core)) // 4, 6)},{min(len(core) // 8, 4)}",
-        "word=" + (core.lower() if len(core) <= 12 and not digits else "-"),
-        f"quote={token[:1] in chr(34) + chr(39)},{token[-1:] in chr(34) + chr(39)}",
-        f"sep={'=' in token or ':' in token}",
-        f"start={token[:4] if token[:4].isupper() else '-'}",
-    ]
-
-
-def _slots(role: str, features: list[str]) -> list[int]:
-    return [zlib.crc32(f"{role}:{f}".encode()) % DIMS for f in features]
-
-
-def file_features(text: str, n_tokens: int) -> list[str]:
-    """What is looked at in a whole text."""
-    n = max(1, n_tokens)
-    return [
-        f"assigns={min(5, 50 * text.count('=') // n)}",
-        f"lines={min(5, 20 * text.count(chr(10)) // n)}",
-        f"quotes={min(5, 50 * text.count(chr(34)) // n)}",
-    ]
+class Coder:
+    """Token and file features as numbers of weight rows.
+
+    ``vocabulary``: sorted hashes of the words that have a feature of their own.
+    """
+
+    SIZES = (12, 25, 50, 25, 6, N_CLASSES, N_CLASSES, 8, 5)
+    FILE = 3 * 6
+
+    def __init__(self, vocabulary: np.ndarray):
+        self.vocabulary = vocabulary
+        self.base = np.cumsum([0, *self.SIZES])
+        self.width = int(self.base[-1]) + len(vocabulary) + 1  # rows of one role
+        self.rows = 3 * self.width + self.FILE
+
+    def tokens(self, w: Words) -> np.ndarray:
+        """One column per feature: length, digits, hexadecimal digits, capitals, changes between
+        letters and digits, first and last character, separators and quotes, symbols, the word."""
+        size, cls = w.size, w.cls
+        eighth = np.minimum(size // 8, 4)
+        is_digit, solid = cls == DIGIT, cls < OTHER
+        digit = w.count(is_digit)
+        hexes = w.count(cls == LOW_HEX) + digit
+        upper = w.count(cls == UPPER)
+        swap = np.zeros(len(cls), bool)
+        swap[1:] = (is_digit[1:] != is_digit[:-1]) & solid[1:] & solid[:-1]
+        swap[w.start] = False
+        marks = [w.count(np.isin(cls, [SYMBOL[c] for c in some])) > 0 for some in ("=", ":", "\"'")]
+        known = np.searchsorted(self.vocabulary, h := w.hashes())
+        hit = known < len(self.vocabulary)
+        hit[hit] = self.vocabulary[known[hit]] == h[hit]
+        columns = [
+            np.minimum(size, 47) // 4,
+            4 * digit // size * 5 + eighth,
+            (4 * hexes // size * 2 + (digit > 0)) * 5 + eighth,
+            4 * upper // size * 5 + eighth,
+            np.minimum(w.count(swap) // 3, 5),
+            cls[w.start],
+            cls[w.end - 1],
+            marks[0] + 2 * marks[1] + 4 * marks[2],
+            4 * w.count(cls > SPACE) // size,
+            np.where(hit, known + 1, 0),
+        ]
+        return np.stack([c + b for c, b in zip(columns, self.base, strict=True)], 1)
+
+    def file(self, text: str, n_tokens: int) -> list[int]:
+        """What is looked at in a whole text: assignments, line ends, quotes per token."""
+        n, at = max(1, n_tokens), 3 * self.width
+        counts = (50 * text.count("=") // n, 20 * text.count("\n") // n, 50 * text.count('"') // n)
+        return [at + 6 * k + min(5, c) for k, c in enumerate(counts)]
 
 
 class Crf:
-    """Weights (features x labels) and transitions; decoding and its token cache."""
-
-    def __init__(self, weights: np.ndarray, transitions: np.ndarray):
-        self.weights, self.transitions = weights.astype(np.float32), transitions
-        t = transitions
+    """Weights (features x labels), transitions and the features' coder; decoding."""
+
+    def __init__(self, weights: np.ndarray, transitions: np.ndarray, vocabulary: np.ndarray):
+        self.coder, self.transitions = Coder(vocabulary), transitions
+        self.weights = weights.astype(np.float32)
+        n, t = self.coder.width, transitions
+        # one row per token feature: what it gives to its own label, the next token's, the one before
+        self.table = np.concatenate([self.weights[k * n : (k + 1) * n] for k in range(3)], axis=1)
         # What a label other than O can win through its two transitions, at most.
         self.gain = np.array(
             [max(t[a, y] + t[y, c] - t[a, O] - t[O, c] for a in range(3) for c in range(3)) for y in (B, I)]
         )
-        self.rows: dict[str, int] = {}
-        self.table = np.zeros((1024, 9), np.float32)
-
-    def _learn(self, tokens: list[str]) -> None:
-        if len(self.rows) > CACHE_TOKENS:
-            self.rows.clear()
-        for t in set(tokens):
-            if t not in self.rows:
-                i = len(self.rows)
-                if i == len(self.table):
-                    self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-                f = token_features(t)
-                for k, role in enumerate(("own", "left", "right")):
-                    self.table[i, 3 * k : 3 * k + 3] = self.weights[_slots(role, f)].sum(0)
-                self.rows[t] = i
-
-    def emissions(self, text: str, tokens: list[str]) -> np.ndarray:
-        found = list(map(self.rows.get, tokens))
-        if None in found:
-            self._learn(tokens)
-            found = list(map(self.rows.__getitem__, tokens))
-        got = self.table[np.array(found)]
-        e = got[:, :3].copy()
-        e[1:] += got[:-1, 3:6]  # the token before
-        e[:-1] += got[1:, 6:9]  # the token after
-        return e + self.weights[_slots("file", file_features(text, len(tokens)))].sum(0)
 
-    def tag(self, text: str, tokens: list[str]) -> list[tuple[int, int]]:
-        """Decoded spans as [first, last] token numbers."""
-        if not tokens:
+    def emissions(self, texts: list[str], w: Words) -> np.ndarray:
+        codes = self.coder.tokens(w)
+        got = np.zeros((len(codes), 9), np.float32)
+        for column in codes.T:
+            got += self.table[column]
+        e = got[:, :3].copy()
+        inner = w.doc[1:] == w.doc[:-1]
+        e[1:] += got[:-1, 3:6] * inner[:, None]  # the token before
+        e[:-1] += got[1:, 6:9] * inner[:, None]  # the token after
+        counts = np.bincount(w.doc, minlength=len(texts))
+        whole = [self.weights[self.coder.file(t, n)].sum(0) for t, n in zip(texts, counts.tolist(), strict=True)]
+        return e + np.array(whole, np.float32).reshape(-1, 3)[w.doc]
+
+    def tag(self, texts: list[str], w: Words) -> list[tuple[int, int]]:
+        """Decoded spans of all texts as [first, last] token numbers."""
+        if not len(w.start):
             return []
-        e = self.emissions(text, tokens)
+        return self.decode(self.emissions(texts, w), w.doc)
+
+    def decode(self, e: np.ndarray, doc: np.ndarray) -> list[tuple[int, int]]:
         open_ = np.flatnonzero((e[:, B] - e[:, O] + self.gain[0] >= 0) | (e[:, I] - e[:, O] + self.gain[1] >= 0))
         spans: list[tuple[int, int]] = []
         if not len(open_):
             return spans
-        cuts = np.flatnonzero(np.diff(open_) > 1) + 1
-        for run in np.split(open_, cuts):
+        for run in np.split(open_, np.flatnonzero((np.diff(open_) > 1) | (np.diff(doc[open_]) > 0)) + 1):
             a, b = int(run[0]), int(run[-1])
-            labels = self._viterbi(e[a : b + 1], a > 0, b + 1 < len(tokens))
+            labels = self._viterbi(e[a : b + 1], a > 0 and doc[a - 1] == doc[a], b + 1 < len(doc) and doc[b + 1] == doc[b])
             for k, y in enumerate(labels):
                 if y == B or y == I and (k == 0 or labels[k - 1] == O):
                     spans.append((a + k, a + k))
@@ -182,55 +181,46 @@ class Crf:
         return labels[::-1]
 
 
-def tokens_of(text: str) -> list[str]:
-    return text.split()
-
-
-def token_places(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in re.finditer(r"\S+", text)]
-
-
-def _examples(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(feature slots, labels) of windows around pattern hits, and one from the middle of each text."""
+def _windows(text: str, w: Words) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Labels of a text's tokens, and windows around the first pattern hits and its middle."""
+    labels = np.zeros(len(w.start), np.int64)
+    for s, e, _ in base_spans(text):
+        inside = np.flatnonzero((w.start < e) & (w.end > s))
+        for k in inside:
+            if labels[k] == O:
+                labels[k] = I if k != inside[0] else B
+    mids = {len(labels) // 2, *np.flatnonzero(labels)[:4].tolist()}
+    return labels, [(max(0, m - SPAN), min(len(labels), m + SPAN)) for m in sorted(mids)]
+
+
+def _examples(texts: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """(weight rows, labels) of windows, and the vocabulary: the words that stand in two windows or more."""
+    read = [(t, w, *_windows(t, w)) for t in texts for w in [Words([t])] if len(w.start)]
+    seen = [np.unique(np.concatenate([w.hashes()[a:b] for a, b in windows])) for _, w, _, windows in read]
+    words, counts = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, np.uint64), np.zeros(0))
+    often = np.argsort(-counts, kind="stable")[:VOCABULARY]
+    coder = Coder(np.sort(words[often[counts[often] > 1]]))
     out = []
-    for text in texts:
-        places = token_places(text)
-        tokens = [text[a:b] for a, b in places]
-        if not tokens:
-            continue
-        labels = np.zeros(len(tokens), np.int64)
-        for s, e, _ in base_spans(text):
-            inside = [k for k, (a, b) in enumerate(places) if a < e and b > s]
-            for k in inside:
-                if labels[k] == O:
-                    labels[k] = I if k > 0 and k != inside[0] else B
-        hits = np.flatnonzero(labels)
-        mids = {len(tokens) // 2, *[int(h) for h in hits[:4]]}
-        slots = [_slots("own", f) + _slots("left", f) + _slots("right", f) for f in map(token_features, tokens)]
-        k = len(slots[0]) // 3
-        whole = _slots("file", file_features(text, len(tokens)))
-        for m in sorted(mids):
-            a, b = max(0, m - SPAN), min(len(tokens), m + SPAN)
-            rows = [
-                slots[i][:k]
-                + (slots[i - 1][k : 2 * k] if i else [DIMS] * k)
-                + (slots[i + 1][2 * k :] if i + 1 < len(tokens) else [DIMS] * k)
-                + whole
-                for i in range(a, b)
-            ]
-            out.append((np.array(rows), labels[a:b]))
-    return out
-
-
-def fit(texts: list[str], steps: int = 80, rate: float = 0.15, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and transitions from texts, with the pattern hits as labels."""
-    weights, trans = np.zeros((DIMS + 1, 3)), np.zeros((3, 3))
-    examples = _examples(texts)
+    for text, w, labels, windows in read:
+        codes, n = coder.tokens(w), coder.width
+        none = np.full((1, codes.shape[1]), coder.rows)
+        left, right = np.concatenate([none, codes[:-1] + n]), np.concatenate([codes[1:] + 2 * n, none])
+        whole = np.tile(coder.file(text, len(labels)), (len(labels), 1))
+        rows = np.concatenate([codes, left, right, whole], axis=1)
+        out += [(rows[a:b], labels[a:b]) for a, b in windows]
+    return out, coder.vocabulary
+
+
+def fit(texts: list[str], steps: int = 80, rate: float = 0.15, decay: float = 1e-3):
+    """Weights, transitions and vocabulary from texts, with the pattern hits as labels."""
+    examples, vocabulary = _examples(texts)
+    dims = Coder(vocabulary).rows
+    weights, trans = np.zeros((dims + 1, 3)), np.zeros((3, 3))
     if not any((y > 0).any() for _, y in examples):
         trans[:, O] = 4.0
-        return weights[:DIMS], trans
+        return weights[:dims], trans, vocabulary
     n, length, k = len(examples), max(len(y) for _, y in examples), examples[0][0].shape[1]
-    slots, gold, real = np.full((n, length, k), DIMS), np.zeros((n, length), int), np.zeros((n, length), bool)
+    slots, gold, real = np.full((n, length, k), dims), np.zeros((n, length), int), np.zeros((n, length), bool)
     for j, (x, y) in enumerate(examples):
         slots[j, : len(y)], gold[j, : len(y)], real[j, : len(y)] = x, y, True
     hot = np.eye(3)[gold] * real[..., None]
@@ -255,63 +245,62 @@ def fit(texts: list[str], steps: int = 80, rate: float = 0.15, decay: float = 1e
         grad = np.zeros_like(weights)
         diff = (hot - p) / n
         for y in range(3):
-            grad[:, y] = np.bincount(slots.ravel(), np.repeat(diff[..., y].ravel(), k), DIMS + 1)
+            grad[:, y] = np.bincount(slots.ravel(), np.repeat(diff[..., y].ravel(), k), dims + 1)
         grad -= decay * weights / n
-        grad[DIMS] = 0
+        grad[dims] = 0
         grad_t = (pairs - both.sum((0, 1))) / n - decay * trans / n
         for x, g, m, v in ((weights, grad, *moments[:2]), (trans, grad_t, *moments[2:])):
             m[:] = 0.9 * m + 0.1 * g
             v[:] = 0.99 * v + 0.01 * g * g
             x += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return weights[:DIMS], trans
+    return weights[:dims], trans, vocabulary
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS):
     """The model from a bounded sample of the documents."""
-    short = docs.filter(F.col("text").isNotNull() & (F.length("text") <= sample_chars)).select("doc_id", "text")
-    order = [F.xxhash64("doc_id"), F.xxhash64("text")]
-    hits = short.filter(F.col("text").rlike(ANY_HIT)).orderBy(*order).limit(sample_docs)
-    plain = short.orderBy(*order).limit(sample_docs)
-    return fit([r["text"] for r in [*hits.collect(), *plain.collect()]])
-
-
-def spans_of(text: str, model: Crf) -> list[tuple[int, int, str]]:
-    """All spans of a text: the patterns', then decoded ones that touch none of them."""
-    found = base_spans(text)
-    tagged = model.tag(text, tokens_of(text))
-    if tagged:
-        places = token_places(text)
-        for a, b in tagged:
-            s, e = places[a][0], places[b][1]
-            if not any(s < y and x < e for x, y, _ in found):
-                found = found + [(s, e, "crf")]
-    return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
-
-
-def scan(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    short = docs.select("doc_id", "text").filter(F.length("text") <= sample_chars)
+    hits = bounded_sample(short.filter(F.col("text").rlike(ANY_HIT)), ["doc_id", "text"], sample_docs)
+    plain = bounded_sample(short, ["doc_id", "text"], sample_docs)
+    return fit([t for some in (hits, plain) for t in sorted(r["text"] for r in some.collect())])
+
+
+def spans_of(texts: list[str], model: Crf) -> list[list[tuple[int, int, str]]]:
+    """All spans of each text: the patterns', then decoded ones that touch none of them."""
+    w = Words(texts)
+    out = [base_spans(t) for t in texts]
+    for a, b in model.tag(texts, w):
+        doc = int(w.doc[a])
+        s, e = int(w.start[a] - w.edges[doc]), int(w.end[b] - w.edges[doc])
+        if not any(s < y and x < e for x, y, k in out[doc] if k != "crf"):
+            out[doc].append((s, e, "crf"))
+    return [sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]))) for spans in out]
+
+
+def scan(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> DataFrame:
     """The documents with ``secrets`` (array of start, end, kind) and ``redacted`` (text with
     each stretch of overlapping spans replaced by [SECRET]) added."""
     send_package(docs.sparkSession)
-    weights, trans = model or train(docs)
+    weights, trans, vocabulary = model or train(docs)
     kept = [f for f in docs.schema.fields if f.name not in ("secrets", "redacted")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     kind = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())])
     weights = weights.astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        crf = Crf(weights, trans)
+        crf = Crf(weights, trans, vocabulary)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            spans, clean = [], []
-            for t in texts:
-                found = spans_of(t, crf) if t else []
-                spans.append([{"start": s, "end": e, "kind": k} for s, e, k in found])
-                clean.append(redact(t, found) if found else t)
-            columns = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(spans, pa.list_(kind)), pa.array(clean, pa.string())],
-                [*[f.name for f in kept], "secrets", "redacted"],
-            )
+            filled = [t or "" for t in texts]
+            for a, b in text_groups(filled, 1_000_000):
+                spans = spans_of(filled[a:b], crf)
+                clean = [redact(t, found) if found else t for t, found in zip(texts[a:b], spans, strict=True)]
+                lists = [[{"start": s, "end": e, "kind": k} for s, e, k in found] for found in spans]
+                part = batch.slice(a, b - a)
+                columns = [part.column(part.schema.get_field_index(f.name)) for f in kept]
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, pa.array(lists, pa.list_(kind)), pa.array(clean, pa.string())],
+                    [*[f.name for f in kept], "secrets", "redacted"],
+                )
 
     return docs.mapInArrow(run, f"{schema}, secrets array<struct<start:int,end:int,kind:string>>, redacted string")
 

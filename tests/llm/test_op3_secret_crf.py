@@ -38,10 +38,10 @@ def test_viterbi_equals_enumeration_and_cuts_are_exact():
     rng = np.random.default_rng(4)
     for _ in range(40):
         trans = rng.normal(0, 1.5, (3, 3))
-        crf = S.Crf(np.zeros((S.DIMS, 3)), trans)
+        none = np.zeros(0, np.uint64)
+        crf = S.Crf(np.zeros((S.Coder(none).rows, 3)), trans, none)
         e = rng.normal(0, 3, (7, 3))
         e[:, 0] += 2
-        crf.emissions = lambda text, tokens, e=e: e
         score = lambda y: sum(e[i, y[i]] for i in range(7)) + sum(trans[a, b] for a, b in zip(y, y[1:]))  # noqa: B905, B023, E731
         best = max(itertools.product(range(3), repeat=7), key=score)
         spans = []
@@ -50,7 +50,10 @@ def test_viterbi_equals_enumeration_and_cuts_are_exact():
                 spans.append((k, k))
             elif y == S.I:
                 spans[-1] = (spans[-1][0], k)
-        assert crf.tag("", ["x"] * 7) == spans
+        assert crf.decode(e, np.zeros(7, int)) == spans
+        # two texts: nothing crosses between them
+        both = crf.decode(np.concatenate([e, e]), np.repeat([0, 1], 7))
+        assert both == spans + [(a + 7, b + 7) for a, b in spans]
 
 
 def test_training_learns_the_patterns():
@@ -58,9 +61,10 @@ def test_training_learns_the_patterns():
     texts += [f"a plain text with a number {i * 7919} and a mail x{i}@y.org in it" for i in range(60)]
     crf = S.Crf(*S.fit(texts))
     new = 'other words and token -> "' + hashlib.sha1(b"new").hexdigest()[:20] + "ZZ9" + hashlib.sha1(b"n").hexdigest()[:17] + '" go on'
-    assert crf.tag(texts[3], texts[3].split())
-    assert not crf.tag(texts[80], texts[80].split())
-    assert any(k == "crf" for *_, k in S.spans_of(new, crf)) or S.spans_of(new, crf)
+    tag = lambda t: crf.tag([t], S.Words([t]))
+    assert tag(texts[3]) and not tag(texts[80])
+    assert any(k == "crf" for *_, k in S.spans_of([new], crf)[0]) or S.base_spans(new)
+    assert S.spans_of([texts[3], "", new], crf) == [S.spans_of([t], crf)[0] for t in (texts[3], "", new)]
 
 
 def test_scan_and_digest(documents):
