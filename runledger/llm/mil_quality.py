@@ -1,16 +1,15 @@
 """Quality classifier: attention-based multiple-instance learning.
 
 A document is a bag of passages (runs of ``PASSAGE`` words).  Every passage is
-described by the make-up of its words (lengths, letters, digits, capitals,
-each kind of symbol, repeated words, line ends) and encoded by a learned layer
-h = tanh(W x + b).  Gated attention weighs the passages,
+described by the make-up of its words (letters, digits, capitals, each kind of
+symbol, lengths, repeated words, line ends) and encoded by a learned layer h = tanh(W x + b).  Gated attention weighs the passages,
 a = softmax(w . (tanh(V h) * sigmoid(U h))), and the document's score is the
 logistic of its weighted passage representation.  Only document labels are
 used: encoder, attention and output are learned together by gradient steps.
 
-Training takes a bounded sample: at most ``SAMPLE_DOCS`` labelled documents of
-at most ``SAMPLE_CHARS`` characters, in the order of their ids' hashes, never one whose
-crc32(doc_id) is 0 modulo 5.  The passages of the sample are described in the
+Training takes a bounded sample: at most ``SAMPLE_DOCS`` labelled documents, in the
+order of their ids' hashes, never one whose crc32(doc_id) is 0 modulo 5; those
+of more than ``SAMPLE_CHARS`` characters are left out.  The passages of the sample are described in the
 tasks; only their numbers come to the driver.  Scoring runs over whole texts,
 every passage counts; it is per row, without a shuffle.
 
@@ -31,74 +30,59 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runledger.llm.chars import LOW, LOW_HEX, N_CLASSES, SPACE, UPPER, Words
+from runledger.llm.forced_bpe import text_groups
+from runledger.llm.text import bounded_sample
 from runledger.llm.workers import send_package
 
 PASSAGE = 48
 SAMPLE_DOCS = 4000
 SAMPLE_CHARS = 30_000
-CACHE_TOKENS = 300_000
-SYMBOLS = "#*$%&|<>!?.,:;\"'=/_-@"
-N_TOKEN = 9 + len(SYMBOLS)
-N_PASSAGE = N_TOKEN + 3
+#: per passage: share of each character class, and of words that are long, begin with a capital,
+#: are all capitals, end in a symbol, are distinct; mean length, passage length, line ends of the text
+N_PASSAGE = N_CLASSES + 8
 HIDDEN, GATE = 16, 8
 THRESHOLD = 0.3
 
 
-def token_numbers(token: str) -> list[float]:
-    """The make-up of one word."""
-    n = len(token)
-    upper = sum(c.isupper() for c in token)
-    digits = sum(c.isdigit() for c in token)
-    letters = sum(c.isalpha() for c in token)
-    vowels = sum(c in "aeiouyAEIOUYáéíóúäöüàèêîôûëï" for c in token)
-    return [
-        min(n, 60) / 8,
-        float(n > 20),
-        letters / n,
-        digits / n,
-        upper / n,
-        float(upper == n and n > 1),
-        float(token[0].isupper()),
-        vowels / n,
-        float(token[-1] in ".!?"),
-        *[min(3, token.count(s)) / 3 for s in SYMBOLS],
-    ]
-
-
-class Passages:
-    """Describes texts as passages; the numbers of a distinct word are worked out once."""
-
-    def __init__(self):
-        self.rows: dict[str, int] = {}
-        self.table = np.zeros((4096, N_TOKEN), np.float32)
-
-    def _learn(self, tokens: list[str]) -> None:
-        if len(self.rows) > CACHE_TOKENS:
-            self.rows.clear()
-        for t in set(tokens):
-            if t not in self.rows:
-                i = len(self.rows)
-                if i == len(self.table):
-                    self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-                self.table[i] = token_numbers(t)
-                self.rows[t] = i
-
-    def of(self, text: str | None) -> np.ndarray:
-        tokens = text.split() if text else []
-        if not tokens:
-            return np.zeros((1, N_PASSAGE), np.float32)
-        found = list(map(self.rows.get, tokens))
-        if None in found:
-            self._learn(tokens)
-            found = list(map(self.rows.__getitem__, tokens))
-        idx = np.array(found, np.int64)
-        starts = np.arange(0, len(idx), PASSAGE)
-        sizes = np.diff(np.append(starts, len(idx))).astype(np.float32)
-        sums = np.add.reduceat(self.table[idx], starts, axis=0) / sizes[:, None]
-        owner = np.arange(len(idx)) // PASSAGE
-        distinct = np.bincount(np.unique(owner * len(self.table) + idx) // len(self.table), minlength=len(starts))
-        lines = np.full(len(starts), text.count("\n") / len(tokens), np.float32)
-        return np.column_stack([sums, distinct / sizes, sizes / PASSAGE, lines]).astype(np.float32)
+def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of every passage of the texts, and where each text's begin (a text has one at least)."""
+    w = Words(texts)
+    n_words = np.bincount(w.doc, minlength=len(texts))
+    n_passages = np.maximum(1, -(-n_words // PASSAGE))
+    starts = np.concatenate([[0], np.cumsum(n_passages)])[:-1]
+    total = int(n_passages.sum())
+    x = np.zeros((total, N_PASSAGE))
+    if not len(w.start):
+        return x, starts
+    rank = np.arange(len(w.doc)) - (np.cumsum(n_words) - n_words)[w.doc]
+    owner = starts[w.doc] + rank // PASSAGE
+    inside = w.cls != SPACE
+    chars = np.bincount(np.repeat(owner, w.size) * N_CLASSES + w.cls[inside], minlength=total * N_CLASSES)
+    size = np.bincount(owner, minlength=total)
+    some = size > 0
+    share = 1 / np.maximum(size, 1)
+    add = lambda v: np.bincount(owner, v, total) * share
+    x[:, :N_CLASSES] = chars.reshape(total, N_CLASSES)
+    x[:, :N_CLASSES] /= np.maximum(1, x[:, :N_CLASSES].sum(1, keepdims=True))
+    key = np.sort(owner.astype(np.uint64) << np.uint64(40) | w.hashes() >> np.uint64(24))
+    first = np.ones(len(key), bool)
+    first[1:] = key[1:] != key[:-1]
+    lines = np.array([t.count("\n") for t in texts]) / np.maximum(1, n_words)
+    x[:, N_CLASSES:] = np.column_stack(
+        [
+            add(np.minimum(w.size, 60)) / 8,
+            add(w.size > 20),
+            add(w.cls[w.start] == UPPER),
+            add((w.count(w.cls == UPPER) > 1) & (w.count((w.cls == LOW) | (w.cls == LOW_HEX)) == 0)),
+            add(w.cls[w.end - 1] > SPACE),
+            np.bincount((key[first] >> np.uint64(40)).astype(np.int64), minlength=total) * share,
+            size / PASSAGE,
+            np.repeat(lines, n_passages),
+        ]
+    )
+    x[~some] = 0
+    return x, starts
 
 
 class GatedAttention:
@@ -183,24 +167,22 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sa
         .groupBy("doc_id")
         .agg((F.avg("quality") >= 0.5).cast("double").alias("good"))
     )
-    sample = (
-        docs.select("doc_id", "text")
-        .filter(F.length("text") <= sample_chars)
-        .join(known, "doc_id")
-        .orderBy(F.xxhash64("doc_id"), F.xxhash64("text"))
-        .limit(sample_docs)
-    )
+    known = bounded_sample(known, ["doc_id"], sample_docs)
+    sample = docs.select("doc_id", "text").filter(F.length("text") <= sample_chars).join(F.broadcast(known), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passages = Passages()
         for batch in batches:
-            x = [passages.of(t).astype("<f4").tobytes() for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(x, pa.binary())], ["at", "good", "x"])
+            texts = batch.column(0).to_pylist()
+            for a, b in text_groups(texts, 1_000_000):
+                x, starts = passages(texts[a:b])
+                rows = [r.astype("<f8").tobytes() for r in np.split(x, starts[1:])]
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(rows, pa.binary())], ["at", "good", "x"])
 
     at = F.xxhash64("doc_id", "text").alias("at")
     rows = sample.select("text", at, "good").mapInArrow(run, "at bigint, good double, x binary").collect()
     rows.sort(key=lambda r: (r["at"], r["good"]))
-    bags = [np.frombuffer(r["x"], "<f4").reshape(-1, N_PASSAGE) for r in rows]
+    bags = [np.frombuffer(r["x"], "<f8").reshape(-1, N_PASSAGE) for r in rows]
     return GatedAttention().fit(bags, np.array([r["good"] for r in rows]))
 
 
@@ -211,13 +193,11 @@ def score(docs: DataFrame, model: GatedAttention) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passages = Passages()
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
-                bags = [passages.of(t) for t in part.column(part.schema.get_field_index("text")).to_pylist()]
-                starts = np.concatenate([[0], np.cumsum([len(b) for b in bags])[:-1]]).astype(np.int64)
-                y = model.scores(np.concatenate(bags), starts)
+            texts = [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            for a, b in text_groups(texts, 1_000_000):
+                y = model.scores(*passages(texts[a:b]))
+                part = batch.slice(a, b - a)
                 columns = [part.column(part.schema.get_field_index(f.name)) for f in kept]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(y, pa.float64())], [*[f.name for f in kept], "score"])
 

@@ -32,11 +32,13 @@ def test_gradient_steps_follow_the_loss():
 
 
 def test_passages_cover_the_whole_text():
-    p = Q.Passages()
-    assert p.of(None).shape == p.of("").shape == p.of(" \n").shape == (1, Q.N_PASSAGE)
-    assert p.of("w " * 1000).shape == (-(-1000 // Q.PASSAGE), Q.N_PASSAGE)
-    a, b = p.of("word " * 470 + "tail " * 10), p.of("word " * 470 + "#### " * 10)
-    assert np.array_equal(a[:9], b[:9]) and not np.array_equal(a[9], b[9])
+    x, starts = Q.passages(["", " \n", "w " * 1000, "word " * 470 + "tail " * 10, "word " * 470 + "#### " * 10])
+    sizes = np.diff(np.append(starts, len(x)))
+    assert sizes.tolist() == [1, 1, -(-1000 // Q.PASSAGE), 10, 10]
+    a, b = x[starts[3] : starts[4]], x[starts[4] :]
+    assert np.allclose(a[:9], b[:9]) and not np.allclose(a[9], b[9])
+    one, _ = Q.passages(["Some Words, HERE 12"])
+    assert one[0, Q.N_CLASSES + 2] == 0.75 and one[0, Q.N_CLASSES + 5] == 1
 
 
 def test_missing_labels_and_edge_rows(spark, documents):
