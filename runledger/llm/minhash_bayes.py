@@ -16,11 +16,12 @@
 No bucket's pairs are all emitted.  Round one emits, per bucket, a maximum
 spanning tree of the surviving pairs (at most members - 1 of them).  Its verified
 links are turned into components.  Round two takes the buckets whose members
-still lie in several components and emits the surviving pairs *across*
-components, which are the only ones that can still matter; so every
+still lie in several components and tests the surviving pairs *across*
+components, which are the only ones that can still matter, where the members
+are: their shingle sets come along, and only links come out.  So every
 candidate pair is linked through others, tested, or pruned.  Large buckets are
-dealt out in blocks of ``BLOCK`` members; in round one, hub members join every
-block.  Between the steps tables are written to the session's checkpoint
+dealt out in blocks of about ``BLOCK`` members and ``BLOCK_SHINGLES`` shingles;
+in round one, hub members join every block.  Between the steps tables are written to the session's checkpoint
 folder, so an executor that is lost costs only its own tasks.
 
 Defined cases: null texts and texts without words have an empty set and link
@@ -50,6 +51,7 @@ BATCH = 32
 PERCENT = 75
 MISS = 1e-6
 BLOCK = 512
+BLOCK_SHINGLES = 1_000_000
 HUBS = 4
 BROADCAST_NODES = 1_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -198,8 +200,13 @@ def buckets(nodes: DataFrame) -> DataFrame:
     return bands.join(shared, "bucket").select("bucket", "size", "node")
 
 
-def _blocks(size, node):
-    return F.pmod(F.xxhash64(node, F.lit(7)), F.ceil(size / F.lit(float(BLOCK))).cast("long"))
+def _n_blocks(size, shingles):
+    by_size, by_weight = F.ceil(size / F.lit(float(BLOCK))), F.ceil(shingles / F.lit(float(BLOCK_SHINGLES)))
+    return F.greatest(by_size, by_weight).cast("long")
+
+
+def _blocks(n_blocks, node):
+    return F.pmod(F.xxhash64(node, F.lit(7)), n_blocks)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[list]]:
@@ -237,17 +244,16 @@ def _matrix(sigs: list[bytes]) -> np.ndarray:
 def spanning_pairs(members: DataFrame, percent: int, miss: float) -> DataFrame:
     """Round one: per bucket block, a maximum spanning forest of the pairs that are not pruned."""
     top = Window.partitionBy("bucket").orderBy(F.desc("copies"), "node")
-    large = members.filter(F.col("size") > BLOCK)
+    blocks = _n_blocks(F.col("size"), F.lit(0))  # signatures only: the shingles weigh nothing here
     hubs = (
-        large.withColumn("rank", F.row_number().over(top))
+        members.filter(F.col("size") > BLOCK)
+        .withColumn("rank", F.row_number().over(top))
         .filter(F.col("rank") <= HUBS)
-        .withColumn(
-            "block", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / F.lit(float(BLOCK))).cast("long") - 1))
-        )
+        .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     )
     columns = ["bucket", "block", "node", "n", "sig"]
     dealt = (
-        members.withColumn("block", _blocks(F.col("size"), F.col("node"))).select(*columns).unionByName(hubs.select(*columns))
+        members.withColumn("block", _blocks(blocks, F.col("node"))).select(*columns).unionByName(hubs.select(*columns))
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,19 +286,36 @@ def spanning_pairs(members: DataFrame, percent: int, miss: float) -> DataFrame:
     return ordered.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def crossing_pairs(members: DataFrame, labels: DataFrame, tested: DataFrame, percent: int, miss: float) -> DataFrame:
-    """Round two: the pairs across components that share a bucket, are not pruned and were not tested."""
+def unresolved(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of buckets that still lie in several components: + label, minor
+    (not in the bucket's largest component), n_blocks."""
     known = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    sizes = known.groupBy("bucket", "label").agg(F.count("*").alias("k"))
-    split = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("label", "k").alias("main")).filter("parts > 1")
-    live = known.join(split.select("bucket", "main"), "bucket")
-    n_blocks = F.ceil(F.col("size") / F.lit(float(BLOCK))).cast("long")
-    columns = ["bucket", "block", "probe", "node", "label", "n", "sig", "minor"]
-    live = live.withColumn("minor", F.col("label") != F.col("main"))
-    targets = live.withColumn("block", _blocks(F.col("size"), F.col("node"))).withColumn("probe", F.lit(False))
+    parts = known.groupBy("bucket", "label").agg(F.count("*").alias("k"), F.sum("n").alias("shingles"))
+    split = (
+        parts.groupBy("bucket")
+        .agg(F.count("*").alias("parts"), F.max_by("label", "k").alias("main"), F.sum("shingles").alias("shingles"))
+        .filter("parts > 1")
+    )
+    live = known.join(split.select("bucket", "main", "shingles"), "bucket")
+    return live.select(
+        "bucket", "node", "label", "n", "sig", (F.col("label") != F.col("main")).alias("minor"),
+        _n_blocks(F.col("size"), F.col("shingles")).alias("n_blocks"),
+    )
+
+
+def crossing_links(live: DataFrame, sets: DataFrame, percent: int, miss: float) -> DataFrame:
+    """Round two: links across components that share a bucket, verified where they meet.
+
+    Every member is a target in one block; members outside the largest
+    component also go to every block as probes.  Within a block two components
+    need one link only, so a probe that finds one tests no more of them.
+    """
+    full = live.join(sets, "node")
+    columns = ["bucket", "block", "probe", "node", "label", "n", "sig", "minor", "s"]
+    targets = full.withColumn("block", _blocks(F.col("n_blocks"), F.col("node"))).withColumn("probe", F.lit(False))
     probes = (
-        live.filter("minor")
-        .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)))
+        full.filter("minor")
+        .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
         .withColumn("probe", F.lit(True))
     )
     dealt = targets.select(*columns).unionByName(probes.select(*columns))
@@ -300,22 +323,39 @@ def crossing_pairs(members: DataFrame, labels: DataFrame, tested: DataFrame, per
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bayes = Bayes(percent, miss)
         out: list[tuple[int, int]] = []
-        for probes_, node, label, n, sigs, minor in _probe_groups(batches):
-            for p_node, p_label, p_n, p_sig in probes_:
+        for probes_, node, label, n, sigs, minor, sets_ in _probe_groups(batches):
+            joined: dict[int, int] = {}  # components that met in this block
+            for p_node, p_label, p_n, p_sig, p_set in probes_:
                 open_ = np.flatnonzero((label != p_label) & (~minor | (node > p_node)) & (node != p_node))
                 if not len(open_):
                     continue
                 got = bayes.matches(p_sig, p_n, sigs[open_], n[open_])
-                out += [(p_node, int(x)) for x in node[open_[got >= 0]]]
-                if len(out) > 20_000:
-                    yield _pairs_batch(out)
-                    out = []
+                stay = got >= 0
+                for k in open_[stay][np.argsort(-got[stay], kind="stable")].tolist():
+                    a, b = _root(joined, p_label), _root(joined, int(label[k]))
+                    if a != b and similar(p_set, np.frombuffer(sets_[k], np.uint64), percent):
+                        joined[max(a, b)] = min(a, b)
+                        out.append((p_node, int(node[k])))
+            if len(out) > 20_000:
+                yield _pairs_batch(out)
+                out = []
         if out:
             yield _pairs_batch(out)
 
     ordered = dealt.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "probe")
-    fresh = ordered.mapInArrow(run, "a bigint, b bigint").distinct()
-    return fresh.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    return ordered.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _root(joined: dict[int, int], x: int) -> int:
+    while x in joined:
+        x = joined[x]
+    return x
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two shingle sets reach the similarity, by exact integers."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
 
 
 def _probe_groups(batches: Iterator[pa.RecordBatch]):
@@ -323,7 +363,7 @@ def _probe_groups(batches: Iterator[pa.RecordBatch]):
     key, targets, probes = None, None, []
 
     def done():
-        node, label, n, sig, minor = targets
+        node, label, n, sig, minor, sets = targets
         return (
             probes,
             np.array(node, np.int64),
@@ -331,22 +371,23 @@ def _probe_groups(batches: Iterator[pa.RecordBatch]):
             np.array(n, np.int64),
             _matrix(sig),
             np.array(minor, bool),
+            sets,
         )
 
     for batch in batches:
         columns = [c.to_pylist() for c in batch.columns]
-        for bucket, block, probe, node, label, n, sig, minor in zip(*columns, strict=True):
+        for bucket, block, probe, node, label, n, sig, minor, s in zip(*columns, strict=True):
             if (bucket, block) != key:
                 if key is not None and probes and targets[0]:
                     yield done()
-                key, targets, probes = (bucket, block), ([], [], [], [], []), []
+                key, targets, probes = (bucket, block), ([], [], [], [], [], []), []
             if probe:
-                probes.append((node, label, n, np.frombuffer(sig, np.uint32)))
-                if len(probes) >= 4096 and targets[0]:
+                probes.append((node, label, n, np.frombuffer(sig, np.uint32), np.frombuffer(s, np.uint64)))
+                if len(probes) >= 512 and targets[0]:
                     yield done()
                     probes = []
             else:
-                for store, x in zip(targets, (node, label, n, sig, minor), strict=True):
+                for store, x in zip(targets, (node, label, n, sig, minor, s), strict=True):
                     store.append(x)
     if key is not None and probes and targets[0]:
         yield done()
@@ -385,8 +426,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             for a, b, sa, sb in zip(*columns, strict=True):
                 x = np.frombuffer(sa.as_buffer(), np.uint64)
                 y = np.frombuffer(sb.as_buffer(), np.uint64)
-                both_ = len(np.intersect1d(x, y, assume_unique=True))
-                if both_ and 100 * both_ >= percent * (len(x) + len(y) - both_):
+                if similar(x, y, percent):
                     out.append((a.as_py(), b.as_py()))
             yield _pairs_batch(out)
 
@@ -437,11 +477,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, miss: float = MISS)
     sets = _written(shingle_sets(docs, _ends(first)), "sets")
     links = _written(verified(first, sets, percent), "links")
     labels = components(links)
-    second = _written(crossing_pairs(members, labels, first, percent, miss), "second")
-    if not second.isEmpty():
-        more = _ends(second).join(sets.select("node"), "node", "left_anti")
+    live = _written(unresolved(members, labels), "unresolved")
+    if not live.isEmpty():
+        more = live.select("node").distinct().join(sets.select("node"), "node", "left_anti")
         all_sets = sets.unionByName(_written(shingle_sets(docs, more), "sets"))
-        found = verified(second, all_sets, percent)
+        found = _written(crossing_links(live, all_sets, percent, miss), "second")
         labels = components(links.unionByName(found))
     named = classes.join(labels, "node", "left").select(
         "c1", "c2", F.coalesce("label", "node").alias("component"), "copies"
