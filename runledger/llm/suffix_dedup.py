@@ -28,8 +28,9 @@ text of at least ``LENGTH`` bytes repeats, and one copy stands for all of them
 towards other texts.  Results belong to classes, so a document's result does not
 depend on its place.
 
-Texts travel at most twice, keyed by class (to fetch segments, to cut), and not at
-all where the small side fits the checked broadcast bound.
+Texts travel at most twice, keyed by class (to fetch segments, to cut); while
+the classes concerned are within the checked bound, their 16-byte keys are
+broadcast first and only the texts concerned travel.
 
 Defined cases: null and empty texts and texts shorter than ``LENGTH`` keep all
 bytes; repeated rows are copies of each other; an empty table gives an empty
@@ -50,11 +51,11 @@ from runledger.llm.workers import send_package
 from runledger.session import scratch_path
 
 LENGTH = 400
-GRAM = 64
-VARIANTS = 2000
+GRAM = 200
+VARIANTS = 8000
 BUFFER = 1_000_000
 SORT_BYTES = 2_000_000
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 500_000
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _U = np.uint64
 
@@ -159,9 +160,18 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _sized(df: DataFrame) -> DataFrame:
-    """``df``, hinted for broadcast where its row count is within the bound."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+_CLASS = ["c1", "c2"]
+
+
+def _few(side: DataFrame) -> bool:
+    return side.count() <= BROADCAST_ROWS
+
+
+def _matched(texts: DataFrame, side: DataFrame) -> DataFrame:
+    """Texts joined with their class's row of ``side``; if that has few rows, other texts don't travel."""
+    if _few(side):
+        texts = texts.join(F.broadcast(side.select(*_CLASS)), _CLASS, "left_semi")
+    return texts.join(side, _CLASS)
 
 
 def _ranges(a: np.ndarray, b: np.ndarray) -> list[dict]:
@@ -365,26 +375,28 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, variants: int = VARIA
         texts.groupBy("c1", "c2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).filter("copies > 1"),
         "copies",
     )
+    marks = F.broadcast(copies) if _few(copies) else copies
     alone = (
         texts.filter(F.octet_length("text") >= length)
-        .join(_sized(copies), ["c1", "c2"], "left")
+        .join(marks, _CLASS, "left")
         .filter(F.col("copies").isNull() | F.col("doc_id").eqNullSafe(F.col("first_id")))
         .select("text", "c1", "c2")
     )
-    occ = _written(segment_rows(alone, length), "segments")
+    rows = _written(segment_rows(alone, length), "segments")
+    # Unique text ends here: the count needs the keys only.
+    keys = rows.groupBy("key").agg(F.sum("n").alias("total")).filter("total > 1").select("key")
+    occ = _written(rows.join(keys, "key", "left_semi"), "repeated")
     first = F.struct("c1", "c2", "ws", "we").alias("first")
-    distinct = occ.groupBy("key", "s1", "s2").agg(F.sum("n").alias("n"), F.min(first).alias("first"))
-    distinct = _written(distinct, "distinct")
-    keys = distinct.groupBy("key").agg(F.count("*").alias("variants"), F.sum("n").alias("total")).filter("total > 1")
-    known = _written(distinct.join(keys, "key").select("key", "s1", "s2", "n", "first", "variants"), "known")
-    whole = known.filter("n > 1").select("key", "s1", "s2")
-    asked = known.filter("variants > 1").select(
+    distinct = _written(occ.groupBy("key", "s1", "s2").agg(F.sum("n").alias("n"), F.min(first).alias("first")), "distinct")
+    variety = distinct.groupBy("key").agg(F.count("*").alias("variants")).filter("variants > 1")
+    whole = distinct.filter("n > 1").select("key", "s1", "s2")
+    asked = distinct.join(variety, "key").select(
         "first.c1", "first.c2", "first.ws", "first.we", "key", "s1", "s2", (F.col("n") > 1).alias("whole"),
         (F.col("variants") > variants).alias("hot"),
     )
     by_text = asked.groupBy("c1", "c2").agg(F.collect_list(F.struct("ws", "we", "key", "s1", "s2", "whole", "hot")).alias("asked"))
     by_text = _written(by_text, "asked")
-    given = alone.join(_sized(by_text), ["c1", "c2"]).select("text", "asked")
+    given = _matched(alone, by_text).select("text", "asked")
     sent = _written(_segment_bytes(given, length), "bytes")
     part = _sorted_ranges(sent.filter("not hot"), length).unionByName(_hot_ranges(sent.filter("hot"), length))
     part = _written(part, "ranges")
@@ -500,9 +512,14 @@ def remove_repeated(docs: DataFrame, length: int = LENGTH, variants: int = VARIA
     send_package(docs.sparkSession)
     texts, copies, ranges = repeated_ranges(docs, length, variants)
     ranges = _written(ranges, "cuts")
-    marked = texts.join(_sized(copies.select("c1", "c2", F.lit(True).alias("copied"))), ["c1", "c2"], "left").join(
-        _sized(ranges), ["c1", "c2"], "left"
-    )
+    marks = F.broadcast(copies) if _few(copies) else copies
+    marked = texts.join(marks.select("c1", "c2", F.lit(True).alias("copied")), _CLASS, "left")
+    if _few(ranges):  # only texts that are cut travel
+        known = F.broadcast(ranges.select(*_CLASS))
+        plain = marked.join(known, _CLASS, "left_anti").withColumn("ranges", F.lit(None).cast(ranges.schema["ranges"].dataType))
+        marked = plain.unionByName(marked.join(known, _CLASS, "left_semi").join(ranges, _CLASS))
+    else:
+        marked = marked.join(ranges, _CLASS, "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
