@@ -22,8 +22,8 @@ def _final(df) -> str:
 def test_scan_prunes_and_pushes(spark):
     p = _plan(Q["orphans"](spark, SF_SMALL))
     assert "l_extendedprice" not in p and "l_shipdate" not in p and "l_tax" not in p and "l_returnflag" not in p
-    p = _plan(Q["jobs_by_state"](spark, SF_SMALL))
-    assert "PushedFilters: []" not in p
+    p = _plan(Q["tail_ring"](spark, SF_SMALL))
+    assert "EqualTo(l_returnflag,R)" in p
 
 
 @pytest.mark.parametrize(
