@@ -10,7 +10,6 @@ from runledger.functions.scalar import (  # noqa: F401
     label_map,
     le_uint,
     nanos_to_ts,
-    row_hash,
     state_index,
     try_int,
     u64_fingerprint,

@@ -81,15 +81,10 @@ def le_uint(b, offset: int, width: int) -> Column:
 
 
 def u64_fingerprint(key: Column) -> Column:
-    """Order-free row hash: the first 60 bits of md5(key) as decimal."""
+    """stable row hash, the first 60 bits of md5(key) as decimal; sums of it are order-free."""
     return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("decimal(38,0)")
 
 
-def row_hash(*cols) -> Column:
-    """stable 64-bit hash of a row (xxhash64); use u64_fingerprint for SQL parity."""
-    return F.xxhash64(*[_c(c) for c in cols])
-
-
 def json_type(line) -> Column:
     """the `type` member of a JSON object line."""
     return F.get_json_object(_c(line), "$.type")

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from runledger.functions.scalar import json_type, label_map
 from runledger.operators import aggregate as A
 from runledger.operators import audit as AU
 from runledger.operators import reconcile as R
 from runledger.plans import fixtures as fx
 from runledger.plans.catalog import register, with_ctes
 from runledger.plans.q_reconcile import ORPHANS_SQL
-from runledger.schemas import LABEL_CONTROLLER_PID, LABEL_CREATED_AT
+from runledger.schemas import LABEL_CONTROLLER_PID, LABEL_CREATED_AT, LABEL_JOB_ID
 from runledger.session import scratch_path
 from runledger.sources import blobs as B
 from runledger.sources import sinks as S
@@ -38,6 +39,28 @@ def ndjson_events_strict(spark, sf_dir):
     return read_log(fx.worker_lines(spark, sf_dir), strict_int64=True)
 
 
+@register("line_types", with_ctes("select seq, type from worker_log where seq % 10 <> 0", "worker_log"))
+def line_types(spark, sf_dir):
+    """the type of every object line, known to a reader or not."""
+    lines = fx.worker_lines(spark, sf_dir).filter(F.col("seq") % 10 != 0)
+    return lines.select("seq", json_type(F.trim(F.col("value"), F.lit(" \t"))).alias("type"))
+
+
+@register(
+    "label_maps",
+    with_ctes(
+        "select container_id, cast(job_id as varchar) as job, pid_label as pid from containers",
+        "containers",
+    ),
+)
+def label_maps(spark, sf_dir):
+    """the labels written as k=v text and read back."""
+    labels = F.map_entries("labels")
+    text = F.array_join(F.transform(labels, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    back = fx.containers(spark, sf_dir).select("container_id", label_map(text).alias("m"))
+    return back.select("container_id", F.col("m")[LABEL_JOB_ID].alias("job"), F.col("m")[LABEL_CONTROLLER_PID].alias("pid"))
+
+
 @register(
     "labelled_containers",
     with_ctes("select container_id, job_id, state from containers where l_linenumber % 2 = 1", "containers"),
