@@ -207,9 +207,11 @@ def replay_steps(
             n = len(pdf)
             if n == 0:
                 continue
-            t = np.array([index.get(x, -1) for x in pdf[to].tolist()], dtype=np.int64)
-            keys = list(zip(pdf[key].tolist(), pdf["b"].tolist()))
-            first = np.array([keys[i] != (keys[i - 1] if i else last_group) for i in range(n)])
+            t = pdf[to].map(index).fillna(-1).to_numpy(dtype=np.int64)
+            k, b = pdf[key], pdf["b"]
+            same_key = (k == k.shift()) | (k.isna() & k.shift().isna())
+            first = ~(same_key & (b == b.shift())).to_numpy()
+            first[0] = (k.iloc[0], b.iloc[0]) != last_group
             start = pdf["start"].to_numpy(dtype=np.int64)
             ok_t = t >= 0
             tt = np.where(ok_t, t, 0)
@@ -228,7 +230,7 @@ def replay_steps(
             before[first] = start[first]
             pdf["from_state"] = states[before]
             pdf["accepted"] = ok_t & legal[before, tt]
-            last_group, carry = keys[-1], int(after[-1])
+            last_group, carry = (k.iloc[-1], b.iloc[-1]), int(after[-1])
             yield pdf
 
     return rows.mapInPandas(walk, schema).drop("b", "start")
