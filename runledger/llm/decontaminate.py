@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runledger.llm.text import alnum_words, bind, sha256_hex, text_or_empty
+from runledger.llm.text import alnum_words, bind, free_name, sha256_hex, text_or_empty
 
 WINDOW = 13
 SHINGLE = 5
@@ -127,17 +127,19 @@ def prefixes(docs: DataFrame, shingles: DataFrame, window: int = WINDOW, chunk:
 def contamination(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, chunk: int = CHUNK
 ) -> DataFrame:
-    """One row per document: n_words, n_hit, n_items, items (sorted strings), contaminated."""
+    """One row per document: n_words, n_hit, n_items, items (sorted strings), row_key (hash of doc_id
+    and text), contaminated."""
     spark = docs.sparkSession
     shingles = window_shingles(item_windows(benchmark, window, shingle), shingle)
     chosen = prefixes(docs, shingles, window, chunk)
     # The chosen prefixes are the result of a pass over the documents: written once, read per pass.
     chosen = _written(spark, chosen)
-    row = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("rid"))
+    key = F.xxhash64("doc_id", "text").alias("row_key")
+    row = docs.select("doc_id", "text", key, F.monotonically_increasing_id().alias("rid"))
     out = None
     for hashes in _passes(chosen, chunk):
-        found = row.select("doc_id", "rid", _finds(F.col("text"), hashes, window).alias("f")).select(
-            "doc_id", "rid", F.col("f.n_words").alias("n_words"), F.explode_outer("f.finds").alias("e")
+        found = row.select("doc_id", "row_key", "rid", _finds(F.col("text"), hashes, window).alias("f")).select(
+            "doc_id", "row_key", "rid", F.col("f.n_words").alias("n_words"), F.explode_outer("f.finds").alias("e")
         )
         mine = chosen.filter(F.col("h").isin([h for hs in hashes.values() for h in hs])) if hashes else chosen.limit(0)
         start = F.col("e.i") - F.col("off")
@@ -146,6 +148,7 @@ def contamination(
         hit = found.join(F.broadcast(mine), (F.col("e.h") == F.col("h")) & fits & same, "left").select(
             "rid",
             "doc_id",
+            "row_key",
             "n_words",
             F.when(F.col("h").isNotNull(), F.struct(start.alias("a"), (start + F.col("size")).alias("b"))).alias("span"),
             "items",
@@ -153,6 +156,7 @@ def contamination(
         out = hit if out is None else out.unionByName(hit)
     spans = out.groupBy("rid").agg(
         F.first("doc_id").alias("doc_id"),
+        F.first("row_key").alias("row_key"),
         F.first("n_words").alias("n_words"),
         F.sort_array(F.collect_set("span")).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
@@ -168,7 +172,7 @@ def contamination(
         lambda acc: acc["n"],
     )
     return spans.select(
-        "doc_id", "n_words", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "rid"
+        "doc_id", "n_words", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "row_key"
     ).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
@@ -182,8 +186,9 @@ def _written(spark, df: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that are not contaminated, all columns as they were."""
-    bad = contamination(docs, benchmark, **options).filter("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
+    key = free_name(docs, "row_key")
+    bad = contamination(docs, benchmark, **options).filter("contaminated").select(F.col("row_key").alias(key)).distinct()
+    return docs.withColumn(key, F.xxhash64("doc_id", "text")).join(bad, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def digest(result: DataFrame) -> DataFrame:

@@ -41,6 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from runledger.llm.text import free_name, lower_ascii, text_or_empty, words
 from runledger.llm.workers import send_package
 from runledger.session import scratch_path
 
@@ -502,12 +503,24 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """One document of each group: the one with the smallest doc_id; all columns as they were."""
+    """One document of each group: the one with the smallest doc_id; all columns as they were.
+
+    Of rows without a doc_id, one of each text stays, if no document with a
+    doc_id has the same words; those without words all stay.
+    """
     found = near_duplicates(docs, **options).filter("kept")
     ids = found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
     ids = _written(ids.select(F.col("doc_id").alias("kept_id"), "n"), "kept")
     left = docs.join(ids.select("kept_id"), docs["doc_id"] == F.col("kept_id"), "left_semi")
     if not ids.filter("n > 1").isEmpty():  # rows that repeat a doc_id: one of them stays
         left = left.dropDuplicates(["doc_id"])
-    return left
-
+    nameless = docs.filter(F.col("doc_id").isNull())
+    if nameless.isEmpty():
+        return left
+    key = free_name(docs, "words_key")
+    joined = F.array_join(words(lower_ascii(text_or_empty(F.col("text")))), " ")
+    keyed = nameless.withColumn(key, F.when(joined != "", F.xxhash64(joined)))
+    named = docs.filter(F.col("doc_id").isNotNull()).select(F.xxhash64(joined).alias(key)).distinct()
+    once = keyed.filter(F.col(key).isNotNull()).dropDuplicates([key]).join(named, key, "left_anti")
+    rest = once.drop(key).unionByName(keyed.filter(F.col(key).isNull()).drop(key))
+    return left.unionByName(rest)

@@ -82,6 +82,9 @@ def test_repeated_ids_nulls_and_empty_table(documents):
         [("5", "3", False), ("5", "3", False), ("3", "3", True), ("9", "9", True), ("None", "None", True), ("None", "3", False)]
     )
     assert sorted(r["doc_id"] for r in M.drop_near_duplicates(documents([t, t], ids=[4, 4])).collect()) == [4]
+    left = M.drop_near_duplicates(documents([t, t.upper(), "a b", "A  b", "c", None, ""], ids=[4, None, None, None, 5, None, None]))
+    assert sorted(str(r["doc_id"]) for r in left.collect()) == ["4", "5", "None", "None", "None"]
+    assert left.columns == documents(["x"]).columns
     assert M.near_duplicates(documents(["x"]).limit(0)).count() == 0
 
 

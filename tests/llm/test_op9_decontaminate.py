@@ -74,6 +74,8 @@ def test_empty_tables_and_repeated_rows(spark, documents):
     assert sorted(r["n_hit"] for r in contamination(docs, bench).collect()) == [0, 3, 3]
     assert [r["n_hit"] for r in contamination(docs, bench.limit(0)).collect()] == [0, 0, 0]
     assert contamination(docs.limit(0), bench).count() == 0
+    odd = documents(["a b c", "clean words", None, "a b c"], ids=[None, None, None, 7])
+    assert sorted(str(r["text"]) for r in drop_contaminated(odd, bench).collect()) == ["None", "clean words"]
 
 
 def test_no_python_on_the_main_path(spark, documents):
