@@ -52,9 +52,9 @@ from runledger.session import scratch_path
 
 LENGTH = 400
 GRAM = 200
-VARIANTS = 8000
-BUFFER = 1_000_000
-SORT_BYTES = 2_000_000
+VARIANTS = 4000
+BUFFER = 300_000
+SORT_BYTES = 600_000
 BROADCAST_ROWS = 500_000
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _U = np.uint64
