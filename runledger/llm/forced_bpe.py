@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from runledger.llm.workers import send_package
 
 SPACE, LETTER, NUMBER, OTHER, UNKNOWN = range(5)
-BATCH_BYTES = 2_000_000
-CACHE_FRAGMENTS = 700_000
+BATCH_BYTES = 600_000
+CACHE_FRAGMENTS = 300_000
 SHORT = 15
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -74,7 +74,7 @@ class FragmentTable:
     Open addressing with linear probing.
     """
 
-    BITS = 21
+    BITS = 20
 
     def __init__(self):
         self.clear()
@@ -126,7 +126,7 @@ class FragmentBpe:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer, models
+        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -134,7 +134,6 @@ class FragmentBpe:
         back = {c: b for b, c in enumerate(alphabet)}
         self.alphabet = alphabet
         vocab = spec["model"]["vocab"]
-        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token_bytes = [b""] * (1 + max([*vocab.values(), *self.special.values()]))
         self.inside = np.zeros(1 << 16, bool)
@@ -146,8 +145,8 @@ class FragmentBpe:
         for token, i in self.special.items():
             self.token_bytes[i] = token.encode()
         self._special_re = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self._merger = Tokenizer(models.BPE(vocab=vocab, merges=merges))
         self._library = Tokenizer.from_file(path)
+        self._merger = Tokenizer(self._library.model)  # the same merges, without words and special tokens
         self._classes = _char_classes()
         self._shown = {b: alphabet[b] for b in range(256)}
         self._keep = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
@@ -338,6 +337,13 @@ def text_groups(texts: list[str], most: int = BATCH_BYTES) -> Iterator[tuple[int
         yield a, len(texts)
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def encode_decode(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
     """The documents, with ``ids`` array<int> and ``decoded`` string added (or replaced)."""
     send_package(docs.sparkSession)
@@ -347,7 +353,7 @@ def encode_decode(docs: DataFrame, text: str = "text", path: str | None = None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
-        for batch in batches:
+        for batch in small_batches(batches):
             texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             for a, b in text_groups(texts):
                 ids, edges = bpe.encode(texts[a:b])

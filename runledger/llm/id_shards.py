@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from runledger.llm.forced_bpe import loaded, text_groups, tokenizer_path
+from runledger.llm.forced_bpe import loaded, small_batches, text_groups, tokenizer_path
 from runledger.llm.text import bounded_sample
 from runledger.llm.workers import send_package
 
@@ -137,7 +137,7 @@ def write_shards(docs: DataFrame, target: str, path: str | None = None, end_id:
                 }
             )
 
-        for batch in batches:
+        for batch in small_batches(batches):
             ids = batch.column(0).to_pylist()
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in text_groups(texts):

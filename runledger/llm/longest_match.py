@@ -27,10 +27,10 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from runledger.llm.forced_bpe import byte_alphabet, tokenizer_path
+from runledger.llm.forced_bpe import byte_alphabet, small_batches, tokenizer_path
 from runledger.llm.workers import send_package
 
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 
 
 class LongestMatch:
@@ -131,7 +131,7 @@ def count_tokens(docs: DataFrame, text: str = "text", path: str | None = None) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = loaded(path)
-        for batch in batches:
+        for batch in small_batches(batches):
             n_words, n_tokens = [], []
             for t in batch.column(batch.schema.get_field_index(text)).to_pylist():
                 words = t.encode().split() if t else []  # cuts at ASCII white space

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runledger.llm.chars import LOW, LOW_HEX, N_CLASSES, SPACE, UPPER, Words
-from runledger.llm.forced_bpe import text_groups
+from runledger.llm.forced_bpe import small_batches, text_groups
 from runledger.llm.text import bounded_sample
 from runledger.llm.workers import send_package
 
@@ -171,9 +171,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sa
     sample = docs.select("doc_id", "text").filter(F.length("text") <= sample_chars).join(F.broadcast(known), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             texts = batch.column(0).to_pylist()
-            for a, b in text_groups(texts, 1_000_000):
+            for a, b in text_groups(texts):
                 x, starts = passages(texts[a:b])
                 rows = [r.astype("<f8").tobytes() for r in np.split(x, starts[1:])]
                 part = batch.slice(a, b - a)
@@ -193,9 +193,9 @@ def score(docs: DataFrame, model: GatedAttention) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             texts = [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
-            for a, b in text_groups(texts, 1_000_000):
+            for a, b in text_groups(texts):
                 y = model.scores(*passages(texts[a:b]))
                 part = batch.slice(a, b - a)
                 columns = [part.column(part.schema.get_field_index(f.name)) for f in kept]

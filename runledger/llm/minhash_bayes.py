@@ -62,7 +62,7 @@ _MULTIPLIERS = np.random.default_rng(20240229).integers(1, 1 << 63, HASHES, dtyp
 class Shingler:
     """Shingle sets as sorted 64-bit hashes; word hashes are cached, bounded."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 100_000):
         self.cache: dict[bytes, int] = {}
         self.most = most
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runledger.llm.chars import DIGIT, LOW_HEX, N_CLASSES, OTHER, SPACE, SYMBOL, UPPER, Words
-from runledger.llm.forced_bpe import text_groups
+from runledger.llm.forced_bpe import small_batches, text_groups
 from runledger.llm.text import bounded_sample
 from runledger.llm.workers import send_package
 
@@ -288,10 +288,10 @@ def scan(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray] | Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf = Crf(weights, trans, vocabulary)
-        for batch in batches:
+        for batch in small_batches(batches):
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             filled = [t or "" for t in texts]
-            for a, b in text_groups(filled, 1_000_000):
+            for a, b in text_groups(filled):
                 spans = spans_of(filled[a:b], crf)
                 clean = [redact(t, found) if found else t for t, found in zip(texts[a:b], spans, strict=True)]
                 lists = [[{"start": s, "end": e, "kind": k} for s, e, k in found] for found in spans]
