@@ -14,9 +14,13 @@ from runledger.session import scratch_path
 from runledger.sources.tables import table
 
 
+#: The document count decides alone: a share of the host would grow with it and leave boilerplate in large hosts.
+LINE_LIMITS = line_frequency.LineLimits(max_share=0.0)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: rejected documents go; frequent lines leave the texts of the others."""
-    return line_frequency.clean_documents(docs)
+    return line_frequency.clean_documents(docs, LINE_LIMITS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
