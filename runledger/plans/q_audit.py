@@ -41,8 +41,20 @@ def ndjson_events_strict(spark, sf_dir):
 
 @register("line_types", with_ctes("select seq, type from worker_log where seq % 10 <> 0", "worker_log"))
 def line_types(spark, sf_dir):
-    """the type of every object line, known to a reader or not."""
-    lines = fx.worker_lines(spark, sf_dir).filter(F.col("seq") % 10 != 0)
+    """the type of the lines that are not junk; `line_types_all` has every line."""
+    return line_types_all(spark, sf_dir).filter(F.col("seq") % 10 != 0)
+
+
+@register(
+    "line_types_all",
+    with_ctes(
+        "select seq, case when seq % 10 <> 0 then type when seq // 10 % 7 in (3, 6) then 'checkpoint' end as type from worker_log",
+        "worker_log",
+    ),
+)
+def line_types_all(spark, sf_dir):
+    """the type of every line, known to a reader or not; null where the line is not one JSON object."""
+    lines = fx.worker_lines(spark, sf_dir)
     return lines.select("seq", json_type(F.trim(F.col("value"), F.lit(" \t"))).alias("type"))
 
 
