@@ -18,11 +18,15 @@ strings meet in one task:
   mergesort whose comparisons take the common extension of two suffixes from
   prefix polynomial hashes by binary search.  Neighbours with a common extension of
   ``LENGTH`` are repeated windows; their bytes are compared, so a hash
-  collision cannot remove anything.
+  collision removes nothing at this step.
 * A key with more than ``VARIANTS`` distinct segments is too large for one
   task: its windows are counted by 128-bit hashes instead, with map-side
   combining.
 
+Three removals rest on two 64-bit hashes alone, their bytes are not compared:
+whole repeated segments (key and two polynomial hashes), copies of a text (two
+xxhash64 values) and the windows of keys beyond ``VARIANTS``.
+
 Copies of one text are folded to one class first: each byte of a repeated
 text of at least ``LENGTH`` bytes repeats, and one copy stands for all of them
 towards other texts.  Results belong to classes, so a document's result does not
