@@ -105,6 +105,26 @@ def op10_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(score(docs, train(docs, table(spark, sf_dir, "labels"))))
 
 
+def op11_chunk_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from runledger.llm.chunk_audit import audit
+
+    return audit(table(spark, sf_dir, "documents"))
+
+
+def op12_merge_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from runledger.llm.merge_transducer import digest
+
+    return digest(table(spark, sf_dir, "documents"))
+
+
+def op13_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from runledger.llm.period_runs import digest, periodic_runs, planted_text
+
+    docs = table(spark, sf_dir, "documents")
+    judged = docs.select("doc_id", planted_text(F.col("doc_id"), F.col("text")).alias("text"))
+    return digest(periodic_runs(judged))
+
+
 QUERIES = {
     "op1_line_frequency": op1_line_frequency,
     "op2_minhash_bayes": op2_minhash_bayes,
@@ -116,6 +136,9 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_decontaminate": op9_decontaminate,
     "op10_mil_quality": op10_mil_quality,
+    "op11_chunk_audit": op11_chunk_audit,
+    "op12_merge_transducer": op12_merge_transducer,
+    "op13_period_runs": op13_period_runs,
 }
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -264,3 +287,42 @@ select captures.page_id as capture_id, cast(coalesce(n, 0) as bigint) as n_activ
        coalesce(n, 0) > 0 as blocked
 from captures left join per_page using (page_id)
 """
+
+ORACLE_SQL["op11_chunk_audit"] = rf"""
+with d as (
+  select row_number() over () as rid, coalesce(lang, '') as lang, coalesce(source, '') as source,
+         translate(coalesce(text, ''), '{_UP}', '{_LOW}') as t from documents),
+occ as (select rid, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+kept as (
+  select lang, term from (select distinct rid, lang, term from occ) group by lang, term having count(*) >= 30),
+counts as (select lang, source, term, count(*) as n from occ join kept using (lang, term) group by lang, source, term),
+vocabulary as (select lang, count(*) as v from kept group by lang),
+groups as (
+  select g.lang, g.source, coalesce(s.total, 0) as total, coalesce(v, 0) as v
+  from (select distinct lang, source from d) g
+  left join (select lang, source, sum(n) as total from counts group by lang, source) s using (lang, source)
+  left join vocabulary using (lang)),
+dense as (
+  select lang, source, term, coalesce(n, 0) as n,
+         1 + (1000000000::hugeint * (coalesce(n, 0) + 5)) // (total + 5 * v)::hugeint as p
+  from groups join kept using (lang) left join counts using (lang, source, term)),
+usual as (
+  select lang, term, 1 + (1000000000::hugeint * (sum(n) + 5)) // (any_value(t) + 5 * any_value(v))::hugeint as q
+  from dense join (select lang, sum(total) as t, max(v) as v from groups group by lang) using (lang)
+  group by lang, term),
+apart as (
+  select x.lang, x.source, y.source as item, sum(abs(x.p - y.p)) as value
+  from dense x join dense y using (lang, term) where x.source <> y.source group by all),
+pairs as (
+  select x.lang, x.source, 'pair' as part, y.source as item, coalesce(value, 0) as value
+  from groups x join groups y on x.lang = y.lang and x.source <> y.source
+  left join apart a on a.lang = x.lang and a.source = x.source and a.item = y.source),
+over as (
+  select lang, source, 'term' as part, term as item, p - q as value
+  from dense join usual using (lang, term) where n > 0 and p > q),
+ranked as (
+  select *, row_number() over (partition by lang, source, part order by value desc, encode(item)) as rank
+  from (select * from pairs union all select * from over))
+select lang, source, part, item, cast(value as bigint) as value, cast(rank as integer) as rank
+from ranked where part = 'pair' or rank <= 50
+"""
