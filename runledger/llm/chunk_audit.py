@@ -6,15 +6,17 @@ lower-cased); they never contain ASCII white space, so a text's terms are those
 its white-space chunks.
 
 * Chunks are counted per document by blocks of at most ``BLOCK_BYTES`` of text: one
-  row per distinct chunk of a block, and one row with the (document, chunk, count)
-  triples, packed.
-* Every globally distinct chunk is tokenized once (``distinct`` with map-side combining,
-  then built-in functions) and its terms are joined back to the blocks that asked for it.  A very
+  row per distinct chunk of a block with its number of documents, and one row with the (document, chunk,
+  count) triples, packed.
+* Every globally distinct chunk is tokenized once, after its documents are added up with map-side
+  combining.  The documents of a term's chunks, added up, bound the term's own from above; terms below
+  ``min_docs`` end here, and with them nearly all distinct chunks of a large corpus.
+* The terms left are joined back to the blocks that hold their chunks.  A very
   frequent chunk sends one short row per block, whatever the number of its documents.
-* The terms meet the triples of their block again, where distinct documents and
+* There the terms meet the triples of the block again, and distinct documents and
   occurrences per language, source and term are counted; blocks share no document, so both add up.
   This is the only move of the triples, and a group is one block, bounded by construction.
-* Terms in fewer than ``min_docs`` documents of a language end there.  What is left is
+  Terms in fewer than ``min_docs`` documents of a language go.  What is left is
   the vocabulary of each language times its sources.
 * Distances between sources are sums over block matrices: terms are cut into buckets, sources into
   tiles, and a task computes the absolute differences of two tiles over one
@@ -47,8 +49,9 @@ TOP_TERMS = 50
 SCALE = 1_000_000_000
 SMOOTHING = 5
 BLOCK_BYTES = 32_000_000
-BROADCAST_ROWS = 500_000
-BUCKET_TERMS = 4096
+SLICE = 500_000
+BROADCAST_ROWS = 100_000
+BUCKET_TERMS = 512
 TILE_SOURCES = 256
 _NO_TERM = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -60,7 +63,7 @@ def terms_of(chunk: Column) -> Column:
 def _written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, f"llm-audit-{name}")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -88,8 +91,29 @@ def _sums(key: np.ndarray, value: np.ndarray | None = None) -> tuple[np.ndarray,
     return key[first], np.add.reduceat(value, first) if len(first) else value
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers >= 0 in the narrowest width that holds them, byte by byte position, so that codecs find the zeros."""
+    size = next(w for w in (1, 2, 4, 8) if int(x.max(initial=0)) < 1 << 8 * w - (w == 8))
+    planes = np.ascontiguousarray(x.astype(f"<u{size}")).view(np.uint8).reshape(-1, size)
+    return bytes([size]) + planes.T.tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8, offset=1).reshape(raw[0], -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{raw[0]}").ravel().astype(np.int64)
+
+
+def _slices(edges: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of owners that have about ``SLICE`` entries together (an owner of more stands alone)."""
+    a, last = 0, len(edges) - 1
+    while a < last:
+        b = max(a + 1, int(np.searchsorted(edges, edges[a] + SLICE, side="right")) - 1)
+        yield a, b
+        a = b
+
+
 _BLOCKS = (
-    "block bigint, cid int, chunk string, doc binary, pair binary, n binary, grp binary, "
+    "block bigint, cid int, chunk string, docs bigint, pairs binary, n binary, grp binary, "
     "langs array<string>, sources array<string>"
 )
 
@@ -97,8 +121,9 @@ _BLOCKS = (
 def chunk_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Chunk counts of the documents, by blocks.
 
-    Rows with ``cid`` >= 0: the distinct chunks of a block.  One row with ``cid`` -1: packed arrays of the
-    triples (document and chunk number within the block, count), each document's group, and the groups.
+    Rows with ``cid`` >= 0: the distinct chunks of a block and how many of its documents hold each.  One row
+    with ``cid`` -1 (and the number of chunks as ``docs``): packed arrays of the (document, chunk) pairs as steps
+    from pair to pair, of their counts and of the documents' groups, and the groups.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,21 +150,28 @@ def chunk_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         coded = parts.flatten().dictionary_encode()
         edges = parts.offsets.to_numpy().astype(np.int64)
         n_chunks = len(coded.dictionary)
-        doc = np.repeat(np.arange(len(text), dtype=np.int64), np.diff(edges))
-        key, n = _sums(doc * max(n_chunks, 1) + coded.indices.to_numpy(zero_copy_only=False))
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        del parts, held[:], table, text
+        found = []
+        for a, b in _slices(edges):
+            doc = np.repeat(np.arange(a, b, dtype=np.int64), np.diff(edges[a : b + 1]))
+            found.append(_sums(doc * max(n_chunks, 1) + at[edges[a] : edges[b]]))
+        key, n = (np.concatenate(x) for x in zip(*found, strict=True))
+        docs = np.bincount(key % max(n_chunks, 1), minlength=n_chunks)
         langs, sources = lang.dictionary_encode(), source.dictionary_encode()
         both = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(sources.dictionary)
         both += sources.indices.to_numpy(zero_copy_only=False)
         groups, grp = np.unique(both, return_inverse=True)
-        pack = lambda x: pa.array([x.astype("<i4").tobytes()], pa.binary())
+        pack = lambda x: pa.array([_packed(x)], pa.binary())
         names = lambda d, at: pa.array([d.dictionary.take(pa.array(at)).to_pylist()], pa.list_(pa.string()))
-        schema = ["block", "cid", "chunk", "doc", "pair", "n", "grp", "langs", "sources"]
+        schema = ["block", "cid", "chunk", "docs", "pairs", "n", "grp", "langs", "sources"]
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([block], pa.int64()),
                 pa.array([-1], pa.int32()),
                 pa.array([None], pa.string()),
-                *map(pack, (key // max(n_chunks, 1), key % max(n_chunks, 1), n, grp)),
+                pa.array([n_chunks], pa.int64()),
+                *map(pack, (np.diff(key, prepend=0), n, grp)),
                 names(langs, groups // max(len(sources.dictionary), 1)),
                 names(sources, groups % max(len(sources.dictionary), 1)),
             ],
@@ -147,12 +179,13 @@ def chunk_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         )
         for a in range(0, n_chunks, 50_000):
             some = coded.dictionary.slice(a, 50_000)
-            none = [pa.nulls(len(some), t) for t in [pa.binary()] * 4 + [pa.list_(pa.string())] * 2]
+            none = [pa.nulls(len(some), t) for t in [pa.binary()] * 3 + [pa.list_(pa.string())] * 2]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.full(len(some), block), pa.int64()),
                     pa.array(np.arange(a, a + len(some)), pa.int32()),
                     some.cast(pa.string()),
+                    pa.array(docs[a : a + len(some)], pa.int64()),
                     *none,
                 ],
                 schema,
@@ -174,65 +207,44 @@ def _cut(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(first, len(size) - first)
 
 
-_COUNTED = "lang string, term string, documents bigint, by_source array<struct<source:string,n:bigint>>"
+_COUNTED = "lang string, source string, term string, documents bigint, n bigint"
 
 
-def _count_block(asked: pa.Table, triples: pa.Table) -> pa.Table:
-    """Distinct documents and occurrences of a block's terms, by language and source."""
-    unpack = lambda c: np.frombuffer(triples.column(c)[0].as_py(), "<i4").astype(np.int64)
-    out_type = pa.list_(pa.struct([("source", pa.string()), ("n", pa.int64())]))
-    lists = asked.column("terms").combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) and lists.num_chunks else lists
-    flat = lists.flatten().dictionary_encode() if len(asked) else pa.array([], pa.string()).dictionary_encode()
-    n_terms = len(flat.dictionary)
-    if not n_terms:
-        kinds = [pa.string(), pa.string(), pa.int64(), out_type]
-        return pa.table([pa.array([], k) for k in kinds], ["lang", "term", "documents", "by_source"])
-    term_of = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    offsets = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
-    doc, pair, n, grp = map(unpack, ("doc", "pair", "n", "grp"))
-    cid = asked.column("cid").to_numpy()
-    begin, size = np.zeros(pair.max() + 1, np.int64), np.zeros(pair.max() + 1, np.int64)
-    begin[cid], size[cid] = offsets[:-1], np.diff(offsets)
-    count = size[pair]  # chunks without terms did not come back
-    owner = np.repeat(np.arange(len(pair)), count)
-    inside = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-    term = term_of[begin[pair[owner]] + inside]
-    langs, sources = triples.column("langs")[0].as_py(), triples.column("sources")[0].as_py()
-    names = sorted(set(langs))
-    lang_of = np.array([names.index(x) for x in langs], np.int64)
-    once, _ = _sums(doc[owner] * n_terms + term)  # chunks that share a term count a document once
-    _, documents = _sums(lang_of[grp[once // n_terms]] * n_terms + once % n_terms)
-    g = grp[doc[owner]]
-    key, occurrences = _sums((lang_of[g] * n_terms + term) * len(langs) + g, n[owner])
-    row = key // len(langs)
-    new = np.ones(len(row), bool)
-    new[1:] = row[1:] != row[:-1]
-    edges = np.append(np.flatnonzero(new), len(row))
-    spans = pa.StructArray.from_arrays(
-        [pa.array(sources, pa.string()).take(pa.array(key % len(langs))), pa.array(occurrences, pa.int64())], ["source", "n"]
-    )
-    row = row[new]
-    return pa.table(
-        [
-            pa.array(names, pa.string()).take(pa.array(row // n_terms)),
-            flat.dictionary.cast(pa.string()).take(pa.array(row % n_terms)),
-            pa.array(documents, pa.int64()),
-            pa.ListArray.from_arrays(pa.array(edges, pa.int32()), spans),
-        ],
-        ["lang", "term", "documents", "by_source"],
-    )
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
 
 
-def counted_terms(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(lang, term, documents, by_source) per block and term: add up to get the corpus's counts."""
-    send_package(docs.sparkSession)
-    blocks = _written(chunk_blocks(docs, block_bytes), "blocks")
-    chunks = blocks.filter("cid >= 0").select("block", "cid", "chunk")
-    tokenized = chunks.select("chunk").distinct().select("chunk", terms_of(F.col("chunk")).alias("terms")).filter("size(terms) > 0")
-    asked = chunks.join(tokenized, "chunk").select("block", "cid", "terms")
-    triples = blocks.filter("cid < 0").select(F.col("block").alias("home"), "doc", "pair", "n", "grp", "langs", "sources")
-    return asked.groupBy("block").cogroup(triples.groupBy("home")).applyInArrow(_count_block, _COUNTED)
+def _count_block(asked: pa.Table, triples: pa.Table) -> pa.Table:
+    """Distinct documents and occurrences of a block's terms, by language and source."""
+    columns = ["lang", "source", "term", "documents", "n"]
+    if not len(asked):
+        return pa.table([pa.array([], k) for k in [pa.string()] * 3 + [pa.int64()] * 2], columns)
+    unpack = lambda c: _unpacked(triples.column(c)[0].as_py())
+    key, n, grp, n_chunks = np.cumsum(unpack("pairs")), unpack("n"), unpack("grp"), triples.column("docs")[0].as_py()
+    cid = asked.column("cid").to_numpy().astype(np.int64)
+    order = np.argsort(cid, kind="stable")
+    coded = _one(asked.column("term")).dictionary_encode()
+    term_of = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)[order]
+    n_terms = len(coded.dictionary)
+    at = np.searchsorted(cid[order], np.arange(n_chunks + 1))
+    found = []
+    for a, b in _slices(np.searchsorted(key, np.arange(len(grp) + 1) * n_chunks)):
+        lo, hi = np.searchsorted(key, [a * n_chunks, b * n_chunks])
+        doc, pair = key[lo:hi] // n_chunks, key[lo:hi] % n_chunks
+        count = at[pair + 1] - at[pair]  # chunks without terms did not come back
+        owner = np.repeat(np.arange(len(pair)), count)
+        inside = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+        # chunks of a document that share a term count it once
+        each, total = _sums(doc[owner] * n_terms + term_of[at[pair[owner]] + inside], n[lo:hi][owner])
+        where = grp[each // n_terms] * n_terms + each % n_terms
+        row, occurrences = _sums(where, total)
+        found.append((row, _sums(where)[1], occurrences))
+    rows, documents, occurrences = (np.concatenate(x) for x in zip(*found, strict=True))
+    row, documents = _sums(rows, documents)
+    _, occurrences = _sums(rows, occurrences)
+    name = lambda c: pa.array(triples.column(c)[0].as_py(), pa.string()).take(pa.array(row // n_terms))
+    said = coded.dictionary.cast(pa.string()).take(pa.array(row % n_terms))
+    return pa.table([name("langs"), name("sources"), said, pa.array(documents, pa.int64()), pa.array(occurrences, pa.int64())], columns)
 
 
 def _near(df: DataFrame) -> DataFrame:
@@ -240,16 +252,32 @@ def _near(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def counted_terms(docs: DataFrame, min_docs: int = 1, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(lang, source, term, documents, n): distinct documents and occurrences.
+
+    Complete for the terms that stand in ``min_docs`` documents; others may be missing.
+    """
+    send_package(docs.sparkSession)
+    blocks = _written(chunk_blocks(docs, block_bytes), "blocks")
+    chunks = blocks.filter("cid >= 0")
+    distinct = chunks.groupBy("chunk").agg(F.sum("docs").alias("docs"))
+    said = _written(distinct.select("chunk", F.explode(terms_of(F.col("chunk"))).alias("term"), "docs"), "said")
+    # a chunk may hold a term more than once: its documents then count more than once, the bound stays a bound
+    enough = _written(said.groupBy("term").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs).select("term"), "enough")
+    of_chunk = _written(said.select("chunk", "term").join(_near(enough), "term"), "of-chunk")
+    asked = chunks.select("block", "cid", "chunk").join(_near(of_chunk), "chunk").select("block", "cid", "term")
+    triples = blocks.filter("cid < 0").select(F.col("block").alias("home"), "docs", "pairs", "n", "grp", "langs", "sources")
+    parts = asked.groupBy("block").cogroup(triples.groupBy("home")).applyInArrow(_count_block, _COUNTED)
+    return parts.groupBy("lang", "source", "term").agg(F.sum("documents").alias("documents"), F.sum("n").alias("n"))
+
+
 def term_counts(docs: DataFrame, min_docs: int = MIN_DOCS, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(kept terms: lang, term, documents; counts: lang, source, term, n > 0 of the kept terms)."""
-    counted = _written(counted_terms(docs, block_bytes), "counted")
-    kept = _written(
-        counted.groupBy("lang", "term").agg(F.sum("documents").alias("documents")).filter(F.col("documents") >= min_docs), "kept"
-    )
-    mine = counted.join(_near(kept.select("lang", "term")), ["lang", "term"], "left_semi")
-    each = mine.select("lang", "term", F.explode("by_source").alias("s")).select("lang", "s.source", "term", "s.n")
-    counts = _written(each.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")), "counts")
-    return kept, counts
+    """(kept terms: lang, term, documents; counts: lang, source, term, documents, n > 0 of the kept terms)."""
+    counted = _written(counted_terms(docs, min_docs, block_bytes), "counted")
+    # a document has one source, so the sources' documents add up to the language's
+    kept = counted.groupBy("lang", "term").agg(F.sum("documents").alias("documents")).filter(F.col("documents") >= min_docs)
+    kept = _written(kept, "kept")
+    return kept, counted.join(_near(kept.select("lang", "term")), ["lang", "term"], "left_semi")
 
 
 def _share(n: Column, total: Column, v: Column) -> Column:
@@ -266,12 +294,8 @@ def _distances(parts: pa.Table) -> pa.Table:
     source, tile = head.column("source").to_pylist(), head.column("tile").to_numpy()
     at = {s: i for i, s in enumerate(source)}
     zero = head.column("p").to_numpy()
-    coded = rows.column("term").combine_chunks().dictionary_encode()
-    coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
-    if isinstance(coded, pa.ChunkedArray):
-        coded = coded.chunk(0)
-    term = coded.indices.to_numpy(zero_copy_only=False) if len(rows) else np.zeros(0, np.int64)
-    seen = len(coded.dictionary) if len(rows) else 0
+    coded = _one(rows.column("term")).dictionary_encode()
+    term, seen = coded.indices.to_numpy(zero_copy_only=False), len(coded.dictionary)
     who = np.array([at[s] for s in rows.column("source").to_pylist()], np.int64)
     p = rows.column("p").to_numpy()
     order = np.argsort(term, kind="stable")
@@ -308,6 +332,7 @@ def audit(
     """Rows (lang, source, part, item, value, rank): ``pair``, the distance to each other source of the language;
     ``term``, the ``top`` terms that the source uses more than its language does."""
     kept, counts = term_counts(docs, min_docs, block_bytes)
+    counts = _written(counts.select("lang", "source", "term", "n"), "counts")
     vocabulary = kept.groupBy("lang").agg(F.count("*").alias("v"))
     spoken = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = (

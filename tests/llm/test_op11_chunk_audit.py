@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,7 +82,7 @@ def test_counts_of_documents_are_distinct_across_chunks(spark):
     df = spark.createDataFrame(rows, "text string, lang string, source string").coalesce(1)
     kept, counts = A.term_counts(df, min_docs=1, block_bytes=20)
     assert {(r["term"], r["documents"]) for r in kept.collect()} == {("the", 3), ("well", 1), ("known", 2)}
-    assert ("en", "a", "the", 5) in {tuple(r) for r in counts.collect()}
+    assert ("en", "a", "the", 2, 5) in {(r["lang"], r["source"], r["term"], r["documents"], r["n"]) for r in counts.collect()}
 
 
 def test_large_counts_are_exact(spark):
@@ -91,3 +93,29 @@ def test_large_counts_are_exact(spark):
 
 def test_empty_table(table):
     assert A.audit(table[1].limit(0)).count() == 0
+
+
+def test_slices_cover_all_owners(monkeypatch):
+    monkeypatch.setattr(A, "SLICE", 10)
+    edges = np.array([0, 3, 3, 9, 40, 41, 41, 50, 52])
+    got = list(A._slices(edges))
+    assert got[0][0] == 0 and got[-1][1] == 8 and all(x[1] == y[0] for x, y in zip(got, got[1:], strict=False))
+    assert all(edges[b] - edges[a] <= 10 or b == a + 1 for a, b in got)
+
+
+def test_blocks_in_small_slices_equal_large_ones(monkeypatch):
+    asked = pa.table({"block": [0] * 3, "cid": [0, 1, 2], "term": ["a", "b", "a"]})
+    key = np.array([0, 1, 2, 5, 8])
+    triples = {"home": [0], "docs": [4], "langs": [["d", "e", "e"]], "sources": [["s", "s", "t"]]}
+    triples |= {k: [A._packed(np.array(v))] for k, v in (("pairs", np.diff(key, prepend=0)), ("n", [1, 1, 1, 2, 50]), ("grp", [1, 2, 0]))}
+    want = [("d", "s", "a", 1, 50), ("e", "s", "a", 1, 2), ("e", "s", "b", 1, 1), ("e", "t", "b", 1, 2)]
+    for size in (1, 2, 500_000):
+        monkeypatch.setattr(A, "SLICE", size)
+        got = A._count_block(asked, pa.table(triples)).to_pylist()
+        assert sorted(tuple(r.values()) for r in got) == want
+
+
+@pytest.mark.parametrize("top", [0, 255, 256, 65_535, 65_536, 2**32, 2**62])
+def test_packed_numbers(top):
+    x = np.array([0, 1, top, 3], np.int64)
+    assert A._unpacked(A._packed(x)).tolist() == x.tolist() and A._unpacked(A._packed(x[:0])).tolist() == []
