@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from runledger.functions.scalar import seconds_between
 from runledger.operators import ordered
+from runledger.operators.lock import lock_holds
 
 DAY = 86400
 # Hour buckets of a hot key: its border window holds one row per hour (~9k a year).
@@ -43,45 +44,29 @@ def lease_holds(
 ) -> DataFrame:
     """Holds (key, holder, hold_no, from_ts, last_touch, until_ts, touches).
 
-    Without an ``op`` column every touch counts: it extends the hold, or opens
-    one after expiry.  With ``op`` in (acquire, refresh, release) the lock's
-    rules hold: only an acquire opens a hold; a refresh extends one that has
-    not expired and else fails; a release ends one at once and else fails.
-    Failed touches leave no trace.  ``seq`` breaks ties of ``ts``.
+    Every touch counts: it extends its holder's hold, or opens one after expiry.  A log with an ``op``
+    column (acquire, refresh, release) is replayed by the lock's rules instead (``lock.lock_holds``), where
+    holders exclude each other; there ``seq`` breaks ties of ``ts``.
     """
-    has_op = "op" in touches.columns
+    if "op" in touches.columns:
+        if seq is None:
+            raise ValueError("a request log needs a column that orders requests of one instant")
+        return lock_holds(touches, ttl_seconds, key, holder, ts, seq)
     keys, order = [key, holder], [ts, *([seq] if seq else [])]
-    cols = [*keys, *order, *(["op"] if has_op else [])]
     if hot is None:
         hot = ordered.has_hot_key(touches, keys)
     b = ordered.time_bucket(ts, bucket_seconds)
-    lagged = ordered.shifted(touches.select(*cols), keys, order, b, [ts, *(["op"] if has_op else [])], "prev_", levels=0, hot=hot)
+    lagged = ordered.shifted(touches.select(*keys, *order), keys, order, b, [ts], "prev_", levels=0, hot=hot)
     new = F.col("prev_" + ts).isNull() | (_secs("prev_" + ts, ts) > ttl_seconds)
-    if has_op:
-        new = new | F.coalesce(F.col("prev_op") == "release", F.lit(False))
     chains = ordered.running_sums(
         lagged, keys, order, b, {"_chain": F.when(new, 1).otherwise(0).cast("bigint")}, levels=0, hot=hot
     )
-    if has_op:
-        # Within a chain of touches (gaps within the TTL, none after a release) the hold
-        # begins at the first acquire; what comes before it found no hold.
-        opened = F.when(F.col("op") == "acquire", 1).otherwise(0).cast("bigint")
-        chains = ordered.running_sums(chains, [*keys, "_chain"], order, b, {"_open": opened}, levels=0, hot=hot).filter("_open > 0")
-    aggs = [F.min(ts).alias("from_ts"), F.max(ts).alias("last_touch"), F.count(F.lit(1)).alias("touches")]
-    if has_op:
-        aggs.append(F.bool_or(F.col("op") == "release").alias("_released"))
-    holds = chains.groupBy(*keys, "_chain").agg(*aggs)
+    holds = chains.groupBy(*keys, "_chain").agg(
+        F.min(ts).alias("from_ts"), F.max(ts).alias("last_touch"), F.count(F.lit(1)).alias("touches")
+    )
     until = F.col("last_touch") + F.make_dt_interval(secs=F.lit(ttl_seconds))
-    if has_op:
-        until = F.when(F.col("_released"), F.col("last_touch")).otherwise(until)
     until = until.cast(touches.schema[ts].dataType).alias("until_ts")
-    if not has_op:
-        return holds.select(*keys, F.col("_chain").alias("hold_no"), "from_ts", "last_touch", "touches", until)
-    # chains without a hold leave gaps in the numbering
-    numbered = ordered.running_sums(
-        holds, keys, ["from_ts"], ordered.time_bucket("from_ts", bucket_seconds), {"hold_no": F.lit(1).cast("bigint")}, levels=0, hot=hot
-    )
-    return numbered.select(*keys, "hold_no", "from_ts", "last_touch", "touches", until)
+    return holds.select(*keys, F.col("_chain").alias("hold_no"), "from_ts", "last_touch", "touches", until)
 
 
 def failover_gap(
@@ -116,11 +101,15 @@ def failover_gap(
     )
 
 
-def _edges(start: str, end: str) -> list[F.Column]:
-    """The marks of an interval: +1 at its start, -1 at its end, with their rank among equal instants."""
+def _edges(start: str, end: str, released: str | None = None) -> list[F.Column]:
+    """The marks of an interval: +1 at its start, -1 at its end, with their rank among equal instants.
+
+    An interval includes its end, unless it was ``released`` then: others may start at that instant.
+    """
+    last = F.lit(2) if released is None else F.when(F.col(released), -1).otherwise(2)
     return [
         F.struct(F.col(start).alias("_t"), F.lit(0).alias("_o"), F.lit(1).cast("bigint").alias("_d")),
-        F.struct(F.col(end).alias("_t"), F.lit(2).alias("_o"), F.lit(-1).cast("bigint").alias("_d")),
+        F.struct(F.col(end).alias("_t"), last.alias("_o"), F.lit(-1).cast("bigint").alias("_d")),
     ]
 
 
@@ -193,12 +182,14 @@ def lease_overlap(
 
     Holds of one holder never overlap (a new one starts only after the old one
     expired), so a hold is offending iff at least two holds cover its start.
-    Each hold gives its two marks and its probe in one pass.
+    Each hold gives its two marks and its probe in one pass.  A ``released`` hold does not
+    cover the instant of its release.
     """
     row = F.struct(F.struct(F.col(key), F.col(holder), F.col("hold_no")).alias("_probe_id"), *[F.col(c) for c in holds.columns])
     none = F.lit(None).cast(holds.select(row.alias("_p")).schema["_p"].dataType)
     probe = F.struct(F.col("from_ts").alias("_t"), F.lit(1).alias("_o"), F.lit(0).cast("bigint").alias("_d"))
-    parts = [F.struct(e.alias("_e"), none.alias("_p")) for e in _edges("from_ts", "until_ts")]
+    released = "released" if "released" in holds.columns else None
+    parts = [F.struct(e.alias("_e"), none.alias("_p")) for e in _edges("from_ts", "until_ts", released)]
     events = holds.select(
         F.col(key), F.explode(F.array(*parts, F.struct(probe.alias("_e"), row.alias("_p")))).alias("_x")
     ).select(key, "_x._e.*", "_x._p")

@@ -182,6 +182,15 @@ def shifted(
     return out.drop(_B, "_edge", "_nb", *[f"_s_{c}" for c in cols])
 
 
+def pinned(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared checkpoint folder, so that every later pass (and a retry after a
+    lost executor) reads the same rows and partitions."""
+    from runledger.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def bucket_of(col, width) -> Column:
     """Integer bucket of a numeric ordering column."""
     c = F.col(col) if isinstance(col, str) else col
@@ -207,14 +216,10 @@ def global_running_sums(df: DataFrame, order: Sequence[str], values: dict[str, C
     executor re-reads them instead of re-sampling.  ``order`` must be a total
     order (ties would make the running value depend on the order of tied rows).
     """
-    from runledger.session import ensure_checkpoint_dir
-
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = list(values)
     base = df.select(*df.columns, *[values[k].cast("bigint").alias(f"_v_{k}") for k in names])
-    fixed = base.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True)
+    fixed = pinned(base.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id()))
     totals = fixed.groupBy("_pid").agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in names])
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per range partition
     offsets = totals.select("_pid", *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_o_{k}") for k in names])

@@ -103,34 +103,40 @@ def lease_holds(spark, sf_dir):
 
 OPS_TTL = 6 * 3600
 _OPS_WALK = f"""
-ops as (select *, row_number() over (partition by lease_key, holder order by ts, seq) as rn from lease_ops),
+ops as (select *, row_number() over (partition by lease_key order by ts, seq) as rn from lease_ops),
 walk as (
-  select lease_key, holder, 0::bigint as rn, null::timestamp as expires, 0::bigint as hold_no, false as good,
+  select lease_key, 0::bigint as rn, null::bigint as held_by, null::timestamp as expires, 0::bigint as opened, false as good,
          null::timestamp as ts, null::varchar as op
-  from (select distinct lease_key, holder from ops)
+  from (select distinct lease_key from ops)
   union all
-  select w.lease_key, w.holder, o.rn,
-    case when o.op = 'release' and o.ts <= w.expires then null
-         when o.op = 'acquire' or (o.op = 'refresh' and o.ts <= w.expires) then o.ts + to_seconds({OPS_TTL})
+  select w.lease_key, o.rn,
+    case when o.op = 'release' and o.holder = w.held_by and o.ts <= w.expires then null
+         when o.op = 'acquire' and (w.expires is null or o.ts > w.expires) then o.holder
+         else w.held_by end,
+    case when o.op = 'release' and o.holder = w.held_by and o.ts <= w.expires then null
+         when o.op = 'acquire' and (w.expires is null or o.ts > w.expires) then o.ts + to_seconds({OPS_TTL})
+         when o.op <> 'release' and o.holder = w.held_by and o.ts <= w.expires then o.ts + to_seconds({OPS_TTL})
          else w.expires end,
-    case when o.op = 'acquire' and (w.expires is null or o.ts > w.expires) then w.hold_no + 1 else w.hold_no end,
-    o.op = 'acquire' or coalesce(o.ts <= w.expires, false), o.ts, o.op
-  from walk w join ops o on o.lease_key = w.lease_key and o.holder = w.holder and o.rn = w.rn + 1)"""
+    case when o.op = 'acquire' and (w.expires is null or o.ts > w.expires) then w.opened + 1 else w.opened end,
+    case when w.expires is null or o.ts > w.expires then o.op = 'acquire' else o.holder = w.held_by end, o.ts, o.op
+  from walk w join ops o on o.lease_key = w.lease_key and o.rn = w.rn + 1),
+good as (select walk.*, ops.holder from walk join ops using (lease_key, rn) where good)"""
 
 
 @register(
     "lease_holds_ops",
     with_ctes(
-        "select lease_key, holder, hold_no, min(ts) as from_ts, max(ts) as last_touch, count(*) as touches, "
-        f"case when bool_or(op = 'release') then max(ts) else max(ts) + to_seconds({OPS_TTL}) end as until_ts "
-        "from walk where good group by lease_key, holder, hold_no",
+        "select lease_key, holder, row_number() over (partition by lease_key, holder order by opened) as hold_no, "
+        "min(ts) as from_ts, max(ts) as last_touch, count(*) as touches, "
+        f"case when bool_or(op = 'release') then max(ts) else max(ts) + to_seconds({OPS_TTL}) end as until_ts, "
+        "bool_or(op = 'release') as released from good group by lease_key, holder, opened",
         "lease_ops",
         recursive=True,
         raw=(_OPS_WALK.strip(),),
     ),
 )
 def lease_holds_ops(spark, sf_dir):
-    """W8 with the lock's own rules: acquires, refreshes that may come late, releases."""
+    """W8 with the lock's own rules: holders exclude each other, refreshes may come late, releases end a hold."""
     return LE.lease_holds(fx.lease_ops(spark, sf_dir), OPS_TTL, seq="seq")
 
 

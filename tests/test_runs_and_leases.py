@@ -111,41 +111,80 @@ def test_overlap_and_starts(spark):
 
 
 def _held(ops, ttl):
-    """The lock itself, step by step: (from, last, until, touches) of every hold of one holder."""
-    holds, until = [], None
-    for t, op in ops:
-        live = until is not None and t <= until
-        if op == "acquire" and not live:
-            holds.append([t, t, t + ttl, 0])
-        elif not live:
+    """The lock itself, step by step: (holder, from, last, until, touches) of every hold of one key."""
+    holds, who, until = [], None, None
+    for holder, t, op in ops:
+        free = until is None or t > until
+        if op == "acquire" and free:
+            holds.append([holder, t, t, t + ttl, 0])
+            who = holder
+        elif free or who != holder:
             continue
         until = t + ttl
-        holds[-1][1:] = [t, until, holds[-1][3] + 1]
+        holds[-1][2:] = [t, until, holds[-1][4] + 1]
         if op == "release":
-            holds[-1][2], until = t, None
+            holds[-1][3], until = t, None
     return [tuple(h) for h in holds]
 
 
-def _ops_frame(spark, rows):
+def _ops_frame(spark, rows, keys=None):
     t0 = dt.datetime(2024, 1, 1)
-    data = [("k", h, t0 + dt.timedelta(seconds=s), i, op) for i, (h, s, op) in enumerate(rows)]
+    keys = keys or ["k"] * len(rows)
+    data = [(k, h, t0 + dt.timedelta(seconds=s), i, op) for i, (k, (h, s, op)) in enumerate(zip(keys, rows))]
     return spark.createDataFrame(data, "lease_key string, holder string, ts timestamp_ntz, seq long, op string").repartition(3)
 
 
-@pytest.mark.parametrize("hot", [False, True])
-def test_lock_rules_equal_the_lock(spark, hot, monkeypatch):
+def _lock_rows(holds):
+    at = lambda x: int((x - dt.datetime(2024, 1, 1)).total_seconds())
+    rows = [(h.lease_key, at(h.from_ts), h.holder, h.hold_no, at(h.last_touch), at(h.until_ts), h.touches) for h in holds.collect()]
+    return sorted(rows, key=lambda r: (str(r[0]), *r[1:4]))
+
+
+def _lock_walk(rows, keys, ttl):
+    out = []
+    for k in set(keys):
+        seen = {}
+        for holder, first, last, until, touches in _held([r for r, x in zip(rows, keys) if x == k], ttl):
+            seen[holder] = seen.get(holder, 0) + 1
+            out.append((k, first, holder, seen[holder], last, until, touches))
+    return sorted(out, key=lambda r: (str(r[0]), *r[1:4]))
+
+
+@pytest.mark.parametrize(("holders", "hot"), [("A", None), ("ABCDEFGH", None), ("ABC", 40)])
+def test_lock_rules_equal_the_lock(spark, hot, holders, monkeypatch):
     if hot:
-        monkeypatch.setattr(ordered, "HOT_ROWS", 10)
-    rnd = random.Random(5)
-    rows, now = [], 0
-    for _ in range(250):
-        now += rnd.choice([1, 5, 20, 31, 4000])
-        rows.append((rnd.choice("AB"), now, rnd.choice(["acquire", "refresh", "refresh", "refresh", "release"])))
-    t0 = dt.datetime(2024, 1, 1)
-    at = lambda x: int((x - t0).total_seconds())
-    got = sorted((h.holder, h.hold_no, at(h.from_ts), at(h.last_touch), at(h.until_ts), h.touches) for h in LE.lease_holds(_ops_frame(spark, rows), 30, seq="seq").collect())
-    want = sorted((x, i + 1, *h) for x in "AB" for i, h in enumerate(_held([(s, op) for y, s, op in rows if y == x], 30)))
-    assert got == want
+        monkeypatch.setattr(ordered, "HOT_ROWS", 300)
+    rnd = random.Random(len(holders))
+    rows, keys, now = [], [], 0
+    for _ in range(1200):
+        now += rnd.choice([0, 1, 5, 20, 31, 60]) if rnd.random() < 0.98 else 4000
+        rows.append((rnd.choice(holders), now, rnd.choice(["acquire", "acquire", "refresh", "refresh", "refresh", "release"])))
+        keys.append(rnd.choice(["hot"] * 8 + ["a", "b", None]))
+    got = LE.lock_holds(_ops_frame(spark, rows, keys), 30, hot_rows=hot, range_rows=25)
+    got = spark.createDataFrame(got.collect(), got.schema)
+    assert _lock_rows(got) == _lock_walk(rows, keys, 30)
+    assert LE.lease_overlap(got).count() == 0
+
+
+def test_ranges_that_a_hold_spans(spark):
+    # one holder refreshes over many ranges while others try; some ranges hold no start at all
+    rows = [("A", 0, "acquire")]
+    for i in range(1, 400):
+        rows += [("A", 10 * i, "refresh"), ("BC"[i % 2], 10 * i + 1, "acquire")]
+    rows += [("A", 3995, "release"), ("C", 3995, "acquire"), ("B", 3996, "acquire"), ("B", 4100, "acquire")]
+    got = LE.lock_holds(_ops_frame(spark, rows), 30, hot_rows=20, range_rows=30)
+    got = spark.createDataFrame(got.collect(), got.schema)
+    want = _lock_walk(rows, ["k"] * len(rows), 30)
+    assert _lock_rows(got) == want and [w[2] for w in want] == ["A", "C", "B"]
+    assert LE.lease_overlap(got).count() == 0
+
+
+def test_an_acquire_while_another_holds_is_refused(spark):
+    t = _ops_frame(spark, [("A", 0, "acquire"), ("B", 10, "acquire"), ("A", 20, "refresh")])
+    assert _lock_rows(LE.lease_holds(t, 30, seq="seq")) == [("k", 0, "A", 1, 20, 50, 2)]
+    # the holder itself may acquire again; at the instant of expiry the lock is still held
+    t = _ops_frame(spark, [("A", 0, "acquire"), ("A", 10, "acquire"), ("B", 40, "acquire"), ("B", 41, "acquire"), ("A", 45, "release")])
+    assert _lock_rows(LE.lease_holds(t, 30, seq="seq")) == [("k", 0, "A", 1, 10, 40, 2), ("k", 41, "B", 1, 41, 71, 1)]
 
 
 def test_late_refresh_fails_and_does_not_overlap(spark):
