@@ -161,6 +161,37 @@ def bucket_start_states(tables: DataFrame, key: str, levels: int, fanout: int =
     )
 
 
+def step_states(target: np.ndarray, first: np.ndarray, start: np.ndarray, legal: np.ndarray, carry: int = 0):
+    """(state before, accepted, state after) of every request of consecutive groups.
+
+    ``target``: index of the requested state, -1 if unknown; ``first``: where a group begins, with its state in
+    ``start``; rows before the first group go on from ``carry``.  Each
+    request is a function on the 8 states; a group's first row becomes
+    the constant function of its start state, so one prefix
+    composition over the rows (log2 of the longest group in numpy gathers) gives every
+    row's state without a per-row loop.
+    """
+    n = len(target)
+    slots = np.arange(len(legal))
+    ok_t = target >= 0
+    tt = np.where(ok_t, target, 0)
+    # g[i, s]: state after row i when the state before it is s.
+    moves = legal[slots[None, :], tt[:, None]] & ok_t[:, None]
+    g = np.where(moves, tt[:, None], slots[None, :])
+    g[first] = g[first, start[first]][:, None]
+    longest = np.diff(np.concatenate([[0], np.flatnonzero(first), [n]])).max(initial=0)
+    d = 1
+    while d < longest:
+        g[d:] = np.take_along_axis(g[d:], g[:-d], axis=1)
+        d *= 2
+    after = g[:, carry]
+    before = np.empty(n, dtype=np.int64)
+    before[:1] = carry
+    before[1:] = after[:-1]
+    before[first] = start[first]
+    return before, ok_t & legal[before, tt], after
+
+
 def replay_steps(
     log: DataFrame,
     key: str = "job_id",
@@ -196,13 +227,8 @@ def replay_steps(
     )
 
     def walk(batches):
-        # Rows arrive sorted by (key, b, seq); a group may span batches.  Each
-        # request is a function on the 8 states; a group's first row becomes
-        # the constant function of its start state, so one prefix
-        # composition over the batch (log2(n) numpy gathers) gives every
-        # row's state without a per-row loop.
+        # Rows arrive sorted by (key, b, seq); a group may span batches.
         last_group, carry = None, 0
-        slots = np.arange(8)
         for pdf in batches:
             n = len(pdf)
             if n == 0:
@@ -213,23 +239,9 @@ def replay_steps(
             first = ~(same_key & (b == b.shift())).to_numpy()
             first[0] = (k.iloc[0], b.iloc[0]) != last_group
             start = pdf["start"].to_numpy(dtype=np.int64)
-            ok_t = t >= 0
-            tt = np.where(ok_t, t, 0)
-            # g[i, s]: state after row i when the state before it is s.
-            moves = legal[slots[None, :], tt[:, None]] & ok_t[:, None]
-            g = np.where(moves, tt[:, None], slots[None, :])
-            g[first] = g[first, start[first]][:, None]
-            d = 1
-            while d < n:
-                g[d:] = np.take_along_axis(g[d:], g[:-d], axis=1)
-                d *= 2
-            after = g[:, carry]
-            before = np.empty(n, dtype=np.int64)
-            before[0] = carry
-            before[1:] = after[:-1]
-            before[first] = start[first]
+            before, accepted, after = step_states(t, first, start, legal, carry)
             pdf["from_state"] = states[before]
-            pdf["accepted"] = ok_t & legal[before, tt]
+            pdf["accepted"] = accepted
             last_group, carry = (k.iloc[-1], b.iloc[-1]), int(after[-1])
             yield pdf
 

@@ -8,7 +8,7 @@ columns and pushes filters into the parquet scans.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from runledger.functions.scalar import epoch_micros
@@ -248,6 +248,18 @@ def worker_lines(spark: SparkSession, sf_dir: str, embed_seq: bool = False) -> D
     return wl.select(seq, F.when(seq % 10 == 0, junk).otherwise(F.concat(before, payload, after)).alias("value"))
 
 
+def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """worker_log as text lines with position and time; a checkpoint's ``epoch`` is the worker's own count,
+    which begins at 1 in every run of the worker (behind each ``started`` line)."""
+    log = worker_log(spark, sf_dir)
+    by = Window.partitionBy("job_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    started, point = (F.when(F.col("type") == t, 1).otherwise(0) for t in ("started", "checkpoint"))
+    run = log.withColumn("_run", F.sum(started).over(by))
+    printed = F.sum(point).over(Window.partitionBy("job_id", "_run").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    numbered = run.withColumn("epoch", F.when(F.col("type") == "checkpoint", printed))
+    return numbered.select("seq", "ts", F.to_json(F.struct("type", "job_id", "epoch", "found")).alias("value"))
+
+
 def u64_found():
     """`found` with every 13th value mirrored to the top of the unsigned 64-bit range."""
     found = F.col("found").cast("decimal(20,0)")

@@ -10,9 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from runledger.operators import lease as LE
-from runledger.operators import lifecycle as L
-from runledger.operators import ordered
 from runledger.plans import fixtures as fx
 from runledger.plans.catalog import register, with_ctes
 from runledger.plans.fixtures import LEASE_TTL_SECONDS
@@ -24,20 +21,20 @@ from runledger.streaming import core as C
 from runledger.streaming import ops as S
 
 CHUNKS = 3
-FILES = 2
 STALE_NOW = "2024-01-31 00:00:00"
 STALE_BOUND_S = 3 * 86400
 
 
-def _stream_parquet(spark, path, schema, files=FILES):
+def _stream_parquet(spark, path, schema, files):
+    """A stream that reads a whole staged slice per trigger."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 @register("stream_log", with_ctes(_EVENTS_SQL, "worker_log"))
 def stream_log(spark, sf_dir):
     src, out, ck = C.paths(spark, "st1")
-    C.stage_chunks(fx.worker_lines(spark, sf_dir, embed_seq=True), src, "seq", CHUNKS, FILES, fmt="text")
-    C.run_available_now(S.stream_log(C.stream_session(spark), src, FILES), out, ck)
+    files = C.stage_chunks(fx.worker_lines(spark, sf_dir, embed_seq=True), src, "seq", CHUNKS, fmt="text")
+    C.run_available_now(S.stream_log(C.stream_session(spark), src, files), out, ck)
     return spark.read.parquet(out)
 
 
@@ -52,9 +49,9 @@ def stream_log(spark, sf_dir):
 )
 def stream_latest_checkpoint(spark, sf_dir):
     src, out, ck = C.paths(spark, "st2")
-    C.stage_chunks(fx.worker_lines(spark, sf_dir, embed_seq=True), src, "seq", CHUNKS, FILES, fmt="text")
-    q = S.stream_latest_checkpoint(S.stream_log(C.stream_session(spark), src, FILES))
-    C.run_available_now(q, out, ck, output_mode="update", foreach_batch=C.upsert_batches(out))
+    files = C.stage_chunks(fx.worker_lines(spark, sf_dir, embed_seq=True), src, "seq", CHUNKS, fmt="text")
+    q = S.stream_latest_checkpoint(S.stream_log(C.stream_session(spark), src, files))
+    C.run_available_now(q, out, ck, output_mode="update", foreach_batch=C.upsert_batches(out, ["job_id"]))
     return C.read_latest(spark, out, ["job_id"])
 
 
@@ -70,24 +67,31 @@ def stream_latest_checkpoint(spark, sf_dir):
 def stream_replay_state(spark, sf_dir):
     src, out, ck = C.paths(spark, "st3")
     log = fx.job_log(spark, sf_dir)
-    C.stage_chunks(log, src, "seq", CHUNKS, FILES)
-    q = S.stream_replay_state(_stream_parquet(C.stream_session(spark), src, log.schema))
+    files = C.stage_chunks(log, src, "seq", CHUNKS)
+    q = S.stream_replay_state(_stream_parquet(C.stream_session(spark), src, log.schema, files))
     C.run_available_now(q, out, ck)
     return spark.read.parquet(out)
 
 
 @register("stream_resumable_count", with_ctes("select word, count(*) as n from tokens where word <> '' group by word", "tokens"))
 def stream_resumable_count(spark, sf_dir):
-    """Two runs on one checkpoint: the first sees only the first half of the
-    documents, the restart picks up the rest; the table equals a fresh run."""
+    """Two runs on one checkpoint: the first sees only the first half of the documents and dies behind
+    the sink's write, before its batch is committed; the restart does that batch again and picks up the
+    rest.  The table equals a fresh run."""
     src, out, ck = C.paths(spark, "st4")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     mid = docs.approxQuantile("doc_id", [0.5], 0.001)[0]
-    first, rest = docs.filter(F.col("doc_id") <= mid), docs.filter(F.col("doc_id") > mid)
-    for part in (first, rest):
-        C.stage_chunks(part, src, "doc_id", 1, FILES)
-        q = S.stream_word_count(C.stream_session(spark).readStream.schema(docs.schema).parquet(src))
-        C.run_available_now(q, out, ck, output_mode="update", foreach_batch=C.upsert_batches(out))
+    write = C.upsert_batches(out, ["word"])
+    C.stage_chunks(docs.filter(F.col("doc_id") <= mid), src, "doc_id", 1)
+    words = S.stream_word_count(C.stream_session(spark).readStream.schema(docs.schema).parquet(src))
+    try:
+        C.run_available_now(words, out, ck, output_mode="update", foreach_batch=C.killed_after(write, 0))
+    except Exception as e:  # noqa: BLE001 - Spark wraps the writer's error
+        if "Killed" not in str(e):
+            raise
+    C.stage_chunks(docs.filter(F.col("doc_id").isNull() | (F.col("doc_id") > mid)), src, "doc_id", 1)
+    words = S.stream_word_count(C.stream_session(spark).readStream.schema(docs.schema).parquet(src))
+    C.run_available_now(words, out, ck, output_mode="update", foreach_batch=write)
     return C.read_latest(spark, out, ["word"])
 
 
@@ -102,13 +106,12 @@ def _close(df, path, seconds, **row):
     one.select(*fields).write.mode("append").parquet(path)
 
 
-def _sessions(spark, sf_dir):
-    src, out, ck = C.paths(spark, "st5")
+def _touch_stream(spark, sf_dir, name, run):
+    src, out, ck = C.paths(spark, name)
     t = fx.lease_touches(spark, sf_dir).select("lease_key", "holder", "ts", "seq")
-    C.stage_chunks(t, src, "seq", CHUNKS, FILES)
+    files = C.stage_chunks(t, src, "seq", CHUNKS)
     _close(t, src, 2 * LEASE_TTL_SECONDS, lease_key="", holder=-1)
-    q = S.stream_lease_sessions(_stream_parquet(C.stream_session(spark), src, t.schema), LEASE_TTL_SECONDS)
-    C.run_available_now(q, out, ck)
+    C.run_available_now(run(_stream_parquet(C.stream_session(spark), src, t.schema, files)), out, ck)
     return spark.read.parquet(out)
 
 
@@ -121,7 +124,7 @@ def _sessions(spark, sf_dir):
     ),
 )
 def stream_lease_sessions(spark, sf_dir):
-    return _sessions(spark, sf_dir)
+    return _touch_stream(spark, sf_dir, "st5", lambda t: S.stream_lease_sessions(t, LEASE_TTL_SECONDS))
 
 
 _EPOCHS = (
@@ -139,22 +142,18 @@ _EPOCHS = (
     ),
 )
 def stream_dedupe(spark, sf_dir):
-    """Checkpoints numbered 1, 2, ... per attempt, as a worker does; every 7th
-    line is sent again a third of the log later (a re-attach re-reads the
-    log).  A line is known by (job, attempt, epoch)."""
+    """Checkpoint lines carry the number that the worker printed (1, 2, ... in each of its runs); every 7th
+    line is sent again a third of the log later (a re-attach re-reads the log).  The stream gets
+    raw lines with their position and time; the attempts are found inside it.  A line is known by
+    (job, attempt, epoch)."""
     src, out, ck = C.paths(spark, "st6")
-    log = fx.worker_log(spark, sf_dir)
-    hot = ordered.has_hot_key(log, ["job_id"])
-    points = L.attempts(log, hot=hot).filter(F.col("type") == "checkpoint").select("job_id", "attempt", "seq", "ts", "found")
-    bucket = ordered.bucket_of("seq", L.BUCKET_WIDTH)
-    one = F.lit(1).cast("bigint")
-    base = ordered.running_sums(points, ["job_id", "attempt"], ["seq"], bucket, {"epoch": one}, hot=hot)
-    span = base.agg(F.max("seq") - F.min("seq")).first()[0] or 0
-    resent = base.filter(F.col("seq") % 7 == 0).withColumn("arrival", F.col("seq") + F.lit(span // CHUNKS + 1))
-    staged = base.withColumn("arrival", F.col("seq")).unionByName(resent)
-    C.stage_chunks(staged, src, "arrival", CHUNKS, FILES)
-    q = S.stream_dedupe(_stream_parquet(C.stream_session(spark), src, staged.schema), ["job_id", "attempt", "epoch"])
-    C.run_available_now(q.drop("arrival"), out, ck)
+    lines = fx.raw_lines(spark, sf_dir)
+    span = lines.agg(F.max("seq") - F.min("seq")).first()[0] or 0
+    again = lines.filter(F.col("seq") % 7 == 0).withColumn("arrival", F.col("seq") + F.lit(span // CHUNKS + 1))
+    staged = lines.withColumn("arrival", F.col("seq")).unionByName(again)
+    files = C.stage_chunks(staged, src, "arrival", CHUNKS)
+    raw = _stream_parquet(C.stream_session(spark), src, staged.schema, files)
+    C.run_available_now(S.stream_dedupe(S.with_lines(raw)), out, ck)
     return spark.read.parquet(out)
 
 
@@ -169,9 +168,9 @@ def stream_dedupe(spark, sf_dir):
 def stream_stale_jobs(spark, sf_dir):
     src, out, ck = C.paths(spark, "st7")
     wl = fx.worker_log(spark, sf_dir)
-    C.stage_chunks(wl, src, "seq", CHUNKS, FILES)
-    q = S.stream_last_checkpoint_time(_stream_parquet(C.stream_session(spark), src, wl.schema))
-    C.run_available_now(q, out, ck, output_mode="update", foreach_batch=C.upsert_batches(out))
+    files = C.stage_chunks(wl, src, "seq", CHUNKS)
+    q = S.stream_last_checkpoint_time(_stream_parquet(C.stream_session(spark), src, wl.schema, files))
+    C.run_available_now(q, out, ck, output_mode="update", foreach_batch=C.upsert_batches(out, ["job_id"]))
     return S.stale_jobs(C.read_latest(spark, out, ["job_id"]), STALE_NOW, STALE_BOUND_S)
 
 
@@ -189,9 +188,9 @@ def stream_stale_alerts(spark, sf_dir):
     """ST7, timer form: one alert per gap longer than the bound; a late row closes the open gaps."""
     src, out, ck = C.paths(spark, "st7a")
     points = fx.worker_log(spark, sf_dir).select("job_id", "seq", "ts", "type")
-    C.stage_chunks(points, src, "seq", CHUNKS, FILES)
+    files = C.stage_chunks(points, src, "seq", CHUNKS)
     _close(points, src, 2 * STALE_BOUND_S, job_id="", type="checkpoint")
-    q = S.stream_stale_alerts(_stream_parquet(C.stream_session(spark), src, points.schema), STALE_BOUND_S)
+    q = S.stream_stale_alerts(_stream_parquet(C.stream_session(spark), src, points.schema, files), STALE_BOUND_S)
     C.run_available_now(q, out, ck)
     return spark.read.parquet(out)
 
@@ -210,7 +209,8 @@ def stream_stale_alerts(spark, sf_dir):
     ),
 )
 def stream_failover(spark, sf_dir):
-    return LE.failover_gap(_sessions(spark, sf_dir), LEASE_TTL_SECONDS, POLL_SECONDS)
+    """ST8: gaps come out batch by batch, each once the hold has closed and the next one is known."""
+    return _touch_stream(spark, sf_dir, "st8", lambda t: S.stream_failover(t, LEASE_TTL_SECONDS, POLL_SECONDS))
 
 
 @register(
@@ -222,8 +222,8 @@ def stream_failover(spark, sf_dir):
 def stream_cadence_counts(spark, sf_dir):
     src, out, ck = C.paths(spark, "st9")
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value")
-    C.stage_chunks(ev, src, "event_id", CHUNKS, FILES)
+    files = C.stage_chunks(ev, src, "event_id", CHUNKS)
     _close(ev, src, 2 * 86400, event_type="")
-    q = S.stream_cadence_counts(_stream_parquet(C.stream_session(spark), src, ev.schema))
+    q = S.stream_cadence_counts(_stream_parquet(C.stream_session(spark), src, ev.schema, files))
     C.run_available_now(q, out, ck)
     return spark.read.parquet(out)

@@ -10,7 +10,9 @@ restarted query resumes where it stopped.
 Keyed state that must be read as a table is emitted in ``update`` mode
 through ``foreachBatch``: each batch appends the changed keys tagged with its
 batch id (a re-run of a batch overwrites its own partition, so a retry is
-idempotent), and the reader keeps the row of the highest batch per key.
+idempotent), and the reader keeps the row of the highest batch per key.  Every
+``COMPACT_EVERY`` batches a batch writes all keys instead, and readers start
+there, so what a reader reads does not grow with the age of the stream.
 """
 
 from __future__ import annotations
@@ -24,12 +26,19 @@ from pyspark.sql.streaming import StreamingQuery
 from runledger.session import scratch_path
 
 
-def stage_chunks(df: DataFrame, path: str, order: str, chunks: int, files_per_chunk: int, fmt: str = "parquet") -> None:
-    """Write ``df`` as ``chunks`` ordered slices of ``order``, one write job each.
+ROWS_PER_FILE = 250_000
+COMPACT_EVERY = 16
+
+
+def stage_chunks(df: DataFrame, path: str, order: str, chunks: int, rows_per_file: int | None = None, fmt: str = "parquet") -> int:
+    """Write ``df`` as ``chunks`` ordered slices of ``order``, one write job each; returns the files of a slice.
 
     Slice bounds come from approximate quantiles of ``order`` (one small
-    aggregate), so no slice is pulled through one task.
+    aggregate), so no slice is pulled through one task.  The number of files, the same for every
+    slice, follows the rows; only slices are in order, rows and files of a slice are not.  A trigger that
+    reads so many files reads whole slices.
     """
+    files = -(-df.count() // (chunks * (rows_per_file or ROWS_PER_FILE))) or 1
     qs = [i / chunks for i in range(1, chunks)]
     # Equal quantiles bound no slice; without any value there is one slice.
     bounds = sorted(set(df.approxQuantile(order, qs, 0.001))) if qs else []
@@ -40,11 +49,12 @@ def stage_chunks(df: DataFrame, path: str, order: str, chunks: int, files_per_ch
         within = above if hi is None else above & (at <= F.lit(hi))
         # rows without an order come first
         part = df.filter(at.isNull() | within if lo is None else within)
-        part = part.repartition(files_per_chunk, order)
+        part = part.repartition(files)  # dealt in turn: every file gets rows
         if fmt == "text":
             part.select("value").write.mode("append").text(path)
         else:
             part.write.mode("append").parquet(path)
+    return files
 
 
 def run_available_now(
@@ -77,33 +87,65 @@ def run_available_now(
         raise RuntimeError(str(q.exception()))
 
 
-def upsert_batches(path: str) -> Callable:
+def upsert_batches(path: str, keys: Sequence[str], every: int | None = None) -> Callable:
     """foreachBatch writer: append the batch's rows tagged with its batch id.
 
     The batch is written into its own ``batch_id=N`` partition with dynamic
-    partition overwrite, so a retried batch replaces exactly its own output.
+    partition overwrite, so a retried batch replaces exactly its own output.  Every ``every`` batches the
+    partition gets the newest row of all keys (``full=1``): earlier partitions are not read any more and may
+    be deleted.
     """
+    period = every or COMPACT_EVERY
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        full = batch_id % period == period - 1
+        rows = batch.withColumns({"batch_id": F.lit(batch_id).cast("bigint"), "full": F.lit(int(full))})
+        if full:
+            kept = _since_full(batch.sparkSession.read.schema(rows.schema).parquet(path).filter(F.col("batch_id") < batch_id))
+            newest = _newest(kept.unionByName(rows), keys)
+            rows = newest.withColumns({"batch_id": F.lit(batch_id).cast("bigint"), "full": F.lit(1)})
         (
-            batch.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-            .write.mode("overwrite")
+            rows.write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id")
+            .partitionBy("batch_id", "full")
             .parquet(path)
         )
 
     return write
 
 
-def read_latest(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
-    """Per key, the row written by the highest batch (hash aggregate, no window)."""
-    df = spark.read.parquet(path)
-    vals = [c for c in df.columns if c not in keys and c != "batch_id"]
+def _since_full(df: DataFrame) -> DataFrame:
+    """The partitions from the last full one on (found from partition values alone)."""
+    last = df.filter("full = 1").agg(F.max("batch_id")).first()[0]
+    return df if last is None else df.filter(F.col("batch_id") >= last)
+
+
+def _newest(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    vals = [c for c in df.columns if c not in (*keys, "batch_id", "full")]
     last = df.groupBy(*keys).agg(F.max_by(F.struct(*vals), F.col("batch_id")).alias("_v"))
     return last.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in vals])
 
 
+def read_latest(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """Per key, the row written by the highest batch (hash aggregate, no window)."""
+    return _newest(_since_full(spark.read.parquet(path)), keys)
+
+
+class Killed(RuntimeError):
+    """Stands for a worker that dies: raised behind a sink's write, before the batch is committed."""
+
+
+def killed_after(write: Callable, batch: int) -> Callable:
+    """A foreachBatch writer that dies once batch ``batch`` is written."""
+
+    def run(df: DataFrame, batch_id: int) -> None:
+        write(df, batch_id)
+        if batch_id == batch:
+            raise Killed(f"after the write of batch {batch_id}")
+
+    return run
+
+
 def stream_session(spark: SparkSession) -> SparkSession:
     """A sibling session for running streams, sized to the cluster.
 

@@ -3,40 +3,36 @@
 * ST1 ``stream_log``: ``readStream.text`` -> the same tolerant parser as SRC1.
 * ST2 ``stream_latest_checkpoint``: ``max_by`` per job in a stateful
   aggregation, emitted in update mode.
-* ST3 ``stream_replay_state``: guarded replay with keyed state
-  (``applyInPandasWithState``): the state is the job's current state, its
-  counts and a buffer of requests above the event-time watermark; requests
+* ST3 ``stream_replay_state``: guarded replay; the state is each job's current state, its
+  counts and the requests above the event-time watermark; requests
   are applied in ``seq`` order once the watermark passes them.
 * ST4 ``stream_resumable_count``: word count whose result after a restart on
   the same checkpoint equals an uninterrupted run.
 * ST5 ``stream_lease_sessions``: holds as event-time session windows (gap =
   TTL); append mode emits sessions closed by the watermark.
-* ST6 ``stream_dedupe``: drop re-sent lines with
-  ``dropDuplicatesWithinWatermark`` (state bounded by the watermark delay).
+* ST6 ``stream_dedupe``: attempt counter, then ``dropDuplicatesWithinWatermark``
+  for re-sent lines (its state is bounded by the watermark delay).
 * ST7 ``stream_stale_jobs``: last checkpoint per job kept as state; stale =
   older than ``now - bound``.  ``stream_stale_alerts`` is the timer form.
-* ST8 ``stream_failover``: failover gaps over the closed sessions of ST5.
+* ST8 ``stream_failover``: failover gaps, emitted as soon as the next hold is known.
 * ST9 ``stream_cadence_counts``: tumbling event-time windows with a
   watermark; rows later than the watermark are dropped (Spark's rule).
 
+ST3, ST6, ST7's alerts and ST8 are processors of ``streaming.state``.
+
 Event time columns of the driver tables are ``timestamp_ntz``; watermarks
 need ``timestamp``, so streams cast (session time zone UTC).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from runledger.functions.scalar import epoch_micros, ntz_from_micros, utc_instant
+from runledger.functions.scalar import ntz_from_micros, utc_instant
 from runledger.operators import aggregate as A
-from runledger.schemas import STATES, transition_matrix
 from runledger.sources.ndjson import read_log
+from runledger.streaming import state
 
 
 def stream_log(spark: SparkSession, path: str, files_per_trigger: int = 4) -> DataFrame:
@@ -45,6 +41,12 @@ def stream_log(spark: SparkSession, path: str, files_per_trigger: int = 4) -> Da
     return read_log(lines, order=None)
 
 
+def with_lines(lines: DataFrame) -> DataFrame:
+    """Events of raw lines (``value``) that came with a position ``seq`` and a time ``ts``."""
+    place = F.struct("seq", "ts").alias("_place")
+    return read_log(lines.select(place, "value"), order="_place").select("_place.*", "*").drop("_place")
+
+
 def stream_latest_checkpoint(events: DataFrame, key: str = "job_id", seq: str = "seq") -> DataFrame:
     """ST2: latest checkpoint per job by arrival; use output mode ``update``."""
     cp = events.filter(F.col("type") == "checkpoint")
@@ -58,27 +60,6 @@ def stream_latest_checkpoint(events: DataFrame, key: str = "job_id", seq: str =
     )
 
 
-_REPLAY_OUT = T.StructType(
-    [
-        T.StructField("job_id", T.StringType()),
-        T.StructField("seq", T.LongType()),
-        T.StructField("to_state", T.StringType()),
-        T.StructField("from_state", T.StringType()),
-        T.StructField("accepted", T.BooleanType()),
-    ]
-)
-_REPLAY_STATE = T.StructType(
-    [
-        T.StructField("cur", T.IntegerType()),
-        T.StructField("applied", T.LongType()),
-        T.StructField("rejected", T.LongType()),
-        T.StructField("buf_seq", T.ArrayType(T.LongType())),
-        T.StructField("buf_to", T.ArrayType(T.StringType())),
-        T.StructField("buf_ms", T.ArrayType(T.LongType())),
-    ]
-)
-
-
 def stream_replay_state(
     requests: DataFrame,
     key: str = "job_id",
@@ -89,55 +70,12 @@ def stream_replay_state(
 ) -> DataFrame:
     """ST3: per request its from-state and whether it was accepted (append mode).
 
-    Requests may arrive out of order by up to the watermark ``delay``: each
-    job buffers its requests in state and applies, in ``seq`` order, only
-    those at or below the event-time watermark; an event-time timeout wakes
-    the job when the watermark passes its oldest buffered request.  The
-    buffer holds at most the requests of one delay window.
+    Requests may arrive out of order by up to the watermark ``delay``: they
+    wait in state and are applied, in ``seq`` order, once the event-time watermark reaches
+    them; a timer wakes their group then.  At most the requests of one delay window wait.
+    A job's own state (current state, counts) stays: a terminal state must go on refusing requests.
     """
-    legal = transition_matrix()
-    index = {s: i for i, s in enumerate(STATES)}
-    timed = requests.withColumn("_et", utc_instant(ts)).withWatermark("_et", delay)
-    timed = timed.withColumn("_ms", F.floor(epoch_micros(ts) / 1000).cast("bigint"))
-
-    def step(k: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            cur, applied, rejected, bseq, bto, bms = state.get
-            bseq, bto, bms = list(bseq or []), list(bto or []), list(bms or [])
-        else:
-            cur, applied, rejected, bseq, bto, bms = 0, 0, 0, [], [], []
-        for pdf in pdfs:
-            bseq += pdf[seq].astype("int64").tolist()
-            bto += pdf[to].tolist()
-            bms += pdf["_ms"].astype("int64").tolist()
-        wm = state.getCurrentWatermarkMs()
-        rows = sorted(zip(bseq, bto, bms), key=lambda r: r[0])
-        ready = [r for r in rows if r[2] <= wm]
-        rest = [r for r in rows if r[2] > wm]
-        out_seq, out_to, froms, oks = [], [], [], []
-        for sq, t, _ in ready:
-            froms.append(STATES[cur])
-            ti = index.get(t, -1)
-            ok = ti >= 0 and legal[cur][ti]
-            oks.append(ok)
-            out_seq.append(sq)
-            out_to.append(t)
-            if ok:
-                cur, applied = ti, applied + 1
-            else:
-                rejected += 1
-        state.update((cur, applied, rejected, [r[0] for r in rest], [r[1] for r in rest], [r[2] for r in rest]))
-        if rest:
-            # Fires once the watermark reaches the oldest buffered request.
-            state.setTimeoutTimestamp(max(min(r[2] for r in rest) - 1, wm))
-        if out_seq:
-            yield pd.DataFrame(
-                {"job_id": [str(k[0])] * len(out_seq), "seq": out_seq, "to_state": out_to, "from_state": froms, "accepted": oks}
-            )
-
-    return timed.groupBy(key).applyInPandasWithState(
-        step, _REPLAY_OUT, _REPLAY_STATE, "append", GroupStateTimeout.EventTimeTimeout
-    )
+    return state.replayed(requests, key, seq, to, ts, delay)
 
 
 def stream_word_count(docs: DataFrame) -> DataFrame:
@@ -165,9 +103,14 @@ def stream_lease_sessions(
     return g.select(key, holder, "from_ts", "last_touch", _ntz(F.col("s.end")).alias("until_ts"), "touches")
 
 
-def stream_dedupe(events: DataFrame, keys: list[str], ts: str = "ts", delay: str = "30 days") -> DataFrame:
-    """ST6: drop re-sent events (same keys) seen within the watermark delay."""
-    return with_event_time(events, ts).withWatermark("event_time", delay).dropDuplicatesWithinWatermark(keys).drop("event_time")
+def stream_dedupe(events: DataFrame, ts: str = "ts", delay: str = "30 days") -> DataFrame:
+    """ST6: checkpoint lines with their attempt, each once however often it is sent within the watermark delay.
+
+    Two chained stateful operators: one numbers lines by attempt, the other drops what it has
+    seen of (job, attempt, epoch).
+    """
+    points = state.attempt_points(events, ts, delay)
+    return points.dropDuplicatesWithinWatermark(["job_id", "attempt", "epoch"]).drop("event_time")
 
 
 def stream_last_checkpoint_time(events: DataFrame, key: str = "job_id", ts: str = "ts") -> DataFrame:
@@ -196,54 +139,38 @@ def stream_cadence_counts(events: DataFrame, every: str = "1 day", ts: str = "ts
     )
 
 
-_ALERT_OUT = T.StructType(
-    [
-        T.StructField("job_id", T.StringType()),
-        T.StructField("last_checkpoint_ms", T.LongType()),
-        T.StructField("stale_since_ms", T.LongType()),
-    ]
-)
-_ALERT_STATE = T.StructType([T.StructField("last_ms", T.LongType())])
-
-
 def stream_stale_alerts(
     events: DataFrame, bound_seconds: int, key: str = "job_id", ts: str = "ts", delay: str = "0 seconds"
 ) -> DataFrame:
     """ST7 with event-time timers: one alert each time a job goes longer than
     ``bound_seconds`` (event time) without a checkpoint.
 
-    State per job is the time of its newest checkpoint; a timer at
-    ``last + bound`` fires once the watermark passes it and removes the state.
+    State is the time of each running job's newest checkpoint; a timer
+    wakes its group once the watermark passes ``last + bound``, which alerts and forgets the job.
     A checkpoint that arrives before its gap's timer fired raises that alert
     itself.  So every gap longer than the bound gives one alert, wherever the
     batches are cut; the last, open gap gives one when the watermark passes it.
     """
-    bound_ms = bound_seconds * 1000
-    timed = (
-        events.filter(F.col("type") == "checkpoint")
-        .withColumn("_et", utc_instant(ts))
-        .withWatermark("_et", delay)
-        .withColumn("_ms", F.floor(epoch_micros(ts) / 1000).cast("bigint"))
-    )
+    points = events.filter(F.col("type") == "checkpoint")
+    return state.stale_alerts(points, bound_seconds, key, ts, delay)
 
-    def step(k: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        alerts = []
-        if state.hasTimedOut:
-            (last,) = state.get
-            alerts.append((str(k[0]), last, last + bound_ms))
-            state.remove()
-        else:
-            wm = state.getCurrentWatermarkMs()
-            last = state.get[0] if state.exists else None
-            for ms in sorted(int(x) for pdf in pdfs for x in pdf["_ms"].tolist()):
-                if last is not None and ms - last > bound_ms:
-                    alerts.append((str(k[0]), last, last + bound_ms))
-                last = ms if last is None else max(last, ms)
-            state.update((last,))
-            state.setTimeoutTimestamp(max(last + bound_ms, wm))
-        if alerts:
-            yield pd.DataFrame(alerts, columns=["job_id", "last_checkpoint_ms", "stale_since_ms"])
-
-    return timed.groupBy(key).applyInPandasWithState(
-        step, _ALERT_OUT, _ALERT_STATE, "append", GroupStateTimeout.EventTimeTimeout
-    )
+
+def stream_failover(
+    touches: DataFrame, ttl_seconds: int, poll_seconds: float, key: str = "lease_key", holder: str = "holder", ts: str = "ts",
+    delay: str = "0 seconds",
+) -> DataFrame:
+    """ST8: failover gaps as they happen (append mode), two chained stateful operators.
+
+    The first, keyed by (key, holder), makes holds of touches and tells of each when it opens and when it
+    closes; the second, keyed by key, pairs a closed hold with the next one.
+    """
+    gaps = state.hold_gaps(touches, ttl_seconds, key, holder, ts, delay)
+    at = lambda c: ntz_from_micros(F.col(c))
+    sla = float(ttl_seconds) + float(poll_seconds)
+    gap_s = (F.col("next_from_us") - F.col("last_us")) / 1e6
+    return gaps.select(
+        F.col("lease_key").alias(key), F.col("holder").alias(holder), at("from_us").alias("from_ts"), at("last_us").alias("last_touch"),
+        ntz_from_micros(F.col("last_us") + ttl_seconds * 1_000_000).alias("until_ts"),
+        F.col("next_holder").alias("next_" + holder), at("next_from_us").alias("next_from_ts"),
+        gap_s.alias("gap_s"), (gap_s <= F.lit(sla)).alias("within_sla"),
+    )
