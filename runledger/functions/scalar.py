@@ -88,20 +88,14 @@ def u64_fingerprint(key: Column) -> Column:
 def json_type(line) -> Column:
     """the `type` member of a trimmed line; null unless the whole line is one JSON object and the member a string.
 
-    Parsed as the only element of an array, so that text after the object is malformed too.
+    Parsed as the only element of an array, so that text after the object is malformed too.  Of a repeated
+    member the last one counts.
     """
-    whole = F.transform(
-        F.array(_c(line)), lambda x: F.when(x.startswith("{"), F.try_parse_json(F.concat(F.lit("["), x, F.lit("]"))))
-    )
-    text = F.transform(
-        whole,
-        lambda v: F.when(
-            F.variant_get(v, "$[1]", "variant").isNull()
-            & (F.schema_of_variant(F.variant_get(v, "$[0].type", "variant")) == "STRING"),
-            F.try_variant_get(v, "$[0].type", "string"),
-        ),
-    )
-    return text[0]
+    c = _c(line)
+    strict = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+    whole = F.from_json(F.concat(F.lit("["), F.when(c.startswith("{"), c), F.lit("]")), "array<struct<type variant>>", strict)
+    member = whole[0]["type"]
+    return F.when((F.size(whole) == 1) & (F.schema_of_variant(member) == "STRING"), F.try_variant_get(member, "$", "string"))
 
 
 def encode_args(arr) -> Column:

@@ -215,10 +215,10 @@ def worker_lines(spark: SparkSession, sf_dir: str, embed_seq: bool = False) -> D
     """worker_log as NDJSON text (`value`) plus its arrival order (`seq`).
 
     Every tenth event becomes a junk line that a reader skips: a comment, a
-    cut object, a blank line, a wrong type, single quotes, trailing text or a
-    fraction; so the surviving set is known (event_id % 10 <> 0).  Lines carry
-    white space of several kinds at both ends, and every 13th `found` is an
-    unsigned value above 2^63.
+    cut object, a blank line, a wrong type, single quotes, trailing text, a
+    fraction, an epoch beyond 64 bits or a found of 2^64; so the surviving set is known (event_id % 10 <> 0).
+    Lines carry white space of several kinds at both ends, every 13th `found` is an
+    unsigned value above 2^63, and every 11th line repeats members, the last of which counts.
     """
     seq = F.col("seq")
     wl = worker_log(spark, sf_dir).withColumn("found", u64_found())
@@ -233,7 +233,7 @@ def worker_lines(spark: SparkSession, sf_dir: str, embed_seq: bool = False) -> D
         )
     )
     point = F.concat(F.lit('{"type":"checkpoint","job_id":"'), F.col("job_id"), F.lit('","epoch":'))
-    k = F.floor(seq / 10) % 7
+    k = F.floor(seq / 10) % 9
     junk = (
         F.when(k == 0, F.concat(F.lit("# junk "), seq.cast("string")))
         .when(k == 1, F.expr("substring(to_json(named_struct('type', type, 'job_id', job_id)), 1, 12)"))
@@ -241,8 +241,12 @@ def worker_lines(spark: SparkSession, sf_dir: str, embed_seq: bool = False) -> D
         .when(k == 3, F.concat(point, F.lit('"x"}')))
         .when(k == 4, F.translate(payload, '"', "'"))
         .when(k == 5, F.concat(payload, F.lit(" done")))
-        .otherwise(F.concat(point, F.lit('1,"found":1.5}')))
+        .when(k == 6, F.concat(point, F.lit('1,"found":1.5}')))
+        .when(k == 7, F.concat(point, F.lit('99999999999999999999}')))
+        .otherwise(F.concat(point, F.lit('1,"found":18446744073709551616}')))
     )
+    twice = F.concat(F.lit('{"job_id":"none","found":0,"type":"completed",'), F.substr(payload, F.lit(2)))
+    payload = F.when(seq % 11 == 0, twice).otherwise(payload)
     before = F.element_at(F.array(F.lit("  "), F.lit("\t"), F.lit("")), (seq % 3 + 1).cast("int"))
     after = F.when(seq % 4 == 0, "\t ").otherwise("")
     return wl.select(seq, F.when(seq % 10 == 0, junk).otherwise(F.concat(before, payload, after)).alias("value"))

@@ -39,16 +39,10 @@ def ndjson_events_strict(spark, sf_dir):
     return read_log(fx.worker_lines(spark, sf_dir), strict_int64=True)
 
 
-@register("line_types", with_ctes("select seq, type from worker_log where seq % 10 <> 0", "worker_log"))
-def line_types(spark, sf_dir):
-    """the type of the lines that are not junk; `line_types_all` has every line."""
-    return line_types_all(spark, sf_dir).filter(F.col("seq") % 10 != 0)
-
-
 @register(
     "line_types_all",
     with_ctes(
-        "select seq, case when seq % 10 <> 0 then type when seq // 10 % 7 in (3, 6) then 'checkpoint' end as type from worker_log",
+        "select seq, case when seq % 10 <> 0 then type when seq // 10 % 9 in (3, 6, 7, 8) then 'checkpoint' end as type from worker_log",
         "worker_log",
     ),
 )

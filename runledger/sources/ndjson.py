@@ -3,22 +3,24 @@
 Lines are trimmed of all white space; blank lines, lines not starting with
 ``{``, malformed JSON (single quotes and text after the object included) and
 unknown types are skipped, and so is a checkpoint line with a field of the
-wrong type.  ``started`` and ``completed`` lines count whatever their other
-fields hold.  ``found`` / ``next`` are unsigned 64-bit, read as decimal(20,0)
-so no value is lost.  With ``strict_int64=True`` a checkpoint line whose u64
-fields do not fit a signed 64-bit integer is dropped, as a reader with signed
-fields would (D5).  A line that repeats a member counts as malformed.
+wrong type or an integer outside its range.  ``started`` and ``completed`` lines count whatever their other
+fields hold (a field that does not fit is null).  Of a repeated member the last one counts.
+``found``, ``next`` and ``limit`` are unsigned 64-bit, read as decimal(20,0)
+so no value is lost; other integers are signed 64-bit.  With ``strict_int64=True`` they are
+signed too, and a checkpoint line whose values do not fit is dropped, as a reader with signed
+fields would (D5).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runledger.schemas import LOG_LINE_SCHEMA
 
 KNOWN_TYPES = ("checkpoint", "completed", "started")
-INT64_MAX = 9223372036854775807
+INT64_MIN, INT64_MAX, UINT64_MAX = -(1 << 63), (1 << 63) - 1, (1 << 64) - 1
+_STRICT_JSON = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 
 _SPACE = r"[\t\n\x0B\f\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
@@ -39,37 +41,31 @@ def read_log(lines: DataFrame, order: str | None = "seq", strict_int64: bool = F
     DataFrames alike.
     """
     keep = [order] if order else []
-    line = F.regexp_replace(F.col(value), f"^{_SPACE}+|{_SPACE}+$", "")
-    # Parsed as the only element of an array, so that text after the object is malformed too.
-    # The line is bound as an array element: its expression is then evaluated (and generated) once.
-    whole = F.transform(
-        F.array(line), lambda x: F.when(x.startswith("{"), F.try_parse_json(F.concat(F.lit("["), x, F.lit("]"))))
-    )
-    parsed = (
-        lines.select(*keep, whole[0].alias("_v"))
-        .filter(F.col("_v").isNotNull() & F.variant_get("_v", "$[1]", "variant").isNull())
-        .select(*keep, F.variant_get("_v", "$[0]", "variant").alias("_v"))
-    )
     fields = [f for f in LOG_LINE_SCHEMA.fields if not (order and f.name == "seq")]
+    line = F.regexp_replace(F.col(value), f"^{_SPACE}+|{_SPACE}+$", "")
+    # Parsed as the only element of an array, so that text after the object is malformed too.  Members keep
+    # their JSON types (variant), and the parser lets the last of a repeated member win.
+    members = "array<struct<" + ", ".join(f"`{f.name}` variant" for f in fields) + ">>"
+    whole = F.from_json(F.concat(F.lit("["), F.when(line.startswith("{"), line), F.lit("]")), members, _STRICT_JSON)
+    # one object a line; as a generator's output it is parsed once, whatever reads it
+    single = F.transform(F.array(whole), lambda v: F.when(F.size(v) == 1, v[0]))
+    parsed = lines.select(*keep, F.explode(F.filter(single, lambda v: v.isNotNull())).alias("_v"))
     values, good = [], F.lit(True)
     for f in fields:
         kind = f.dataType.simpleString()
-        member = F.variant_get("_v", f"$.{f.name}", "variant")
-        fits = F.coalesce(F.schema_of_variant(member).rlike(_KINDS[kind]), F.lit(True))
-        values.append(F.when(fits, F.try_variant_get("_v", f"$.{f.name}", kind)).alias(f.name))
+        member = F.col("_v")[f.name]
+        got = F.try_variant_get(member, "$", kind)
+        fits = F.schema_of_variant(member).rlike(_KINDS[kind])
+        if kind == "decimal(20,0)":
+            low, high = (INT64_MIN, INT64_MAX) if strict_int64 else (0, UINT64_MAX)
+            inside = got.between(F.lit(str(low)).cast(kind), F.lit(str(high)).cast(kind))
+        else:
+            inside = got.isNotNull()
+        fits = member.isNull() | F.is_variant_null(member) | (fits & F.coalesce(inside, F.lit(False)))
+        kept = fits
+        if kind == "decimal(20,0)" and strict_int64:  # a completed line keeps its unsigned value
+            kept = fits | F.coalesce(got > F.lit(str(INT64_MAX)).cast(kind), F.lit(False)) & F.schema_of_variant(member).rlike(_INTEGER)
+        values.append(F.when(kept, got).alias(f.name))
         good = good & fits
     typed = parsed.select(*keep, *values, good.alias("_good"))
-    ev = typed.filter(F.col("type").isin(*KNOWN_TYPES) & (F.col("_good") | (F.col("type") != "checkpoint"))).drop("_good")
-    if strict_int64:
-        big = F.lit(INT64_MAX).cast("decimal(20,0)")
-        fits = F.coalesce(F.col("found") <= big, F.lit(True)) & F.coalesce(F.col("next") <= big, F.lit(True))
-        ev = ev.filter((F.col("type") != "checkpoint") | fits)
-    return ev
-
-
-def read_log_files(spark: SparkSession, path: str, strict_int64: bool = False) -> DataFrame:
-    """Batch read of NDJSON log files.  Lines without a ``seq`` member get
-    ``monotonically_increasing_id`` (line order within a file split)."""
-    lines = spark.read.text(path).withColumn("_mono", F.monotonically_increasing_id())
-    ev = read_log(lines, order="_mono", strict_int64=strict_int64)
-    return ev.withColumnRenamed("_mono", "seq")
+    return typed.filter(F.col("type").isin(*KNOWN_TYPES) & (F.col("_good") | (F.col("type") != "checkpoint"))).drop("_good")

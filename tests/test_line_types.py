@@ -10,6 +10,8 @@ def test_type_of_whole_objects_only(spark):
         '{"type":"checkpoint","epoch":"x"}': "checkpoint",
         '{"type":"checkpoint","found":1.5}': "checkpoint",
         '{"epoch":1,"type":"new"}': "new",
+        '{"type":"started","type":"new"}': "new",
+        '{"type":"started","type":7}': None,
         '{"type":"started"} done': None,
         '{"type":"started"},{"type":"failed"}': None,
         "{'type':'started'}": None,

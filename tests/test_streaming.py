@@ -104,6 +104,12 @@ def test_log_lines_that_a_reader_skips(spark):
         "null": '{"type":"checkpoint","epoch":null}',
         "big": '{"type":"checkpoint","found":18446744073709551615}',
         "done": '{"type":"completed","epoch":"x"}',
+        "twice": '{"type":"checkpoint","epoch":"x","found":1,"epoch":7,"found":2}',
+        "!twice": '{"type":"checkpoint","epoch":7,"epoch":"x"}',
+        "low": '{"type":"checkpoint","epoch":-9223372036854775808}',
+        "!high": '{"type":"checkpoint","epoch":9223372036854775808}',
+        "!far": '{"type":"checkpoint","epoch":99999999999999999999}',
+        "!u64": '{"type":"checkpoint","found":18446744073709551616}',
         "!word": good.replace("1", '"1"'),
         "!fraction": good.replace("2", "2.5"),
         "!quotes": good.replace('"', "'"),
@@ -116,6 +122,8 @@ def test_log_lines_that_a_reader_skips(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(lines.values())], "seq long, value string")
     names = list(lines)
     assert {names[r.seq] for r in read_log(df).collect()} == {n for n in names if n[0] != "!"}
+    values = {names[r.seq]: (r.epoch, r.found) for r in read_log(df).collect()}
+    assert values["twice"] == (7, 2) and values["low"][0] == -(2**63)
     assert {names[r.seq] for r in read_log(df, strict_int64=True).collect()} == {n for n in names if n[0] != "!" and n != "big"}
 
 
