@@ -10,8 +10,10 @@ bucketed running sums of ``ordered`` so one huge key is spread over tasks.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,8 +80,103 @@ def matrix_product(a: DataFrame, b: DataFrame, hot_rows: int = 1_000_000) -> Dat
     return left.join(right, ["k", "_salt"]).groupBy("i", "j").agg(wrapped.alias("c"))
 
 
-def transpose(a: DataFrame) -> DataFrame:
-    return a.select(F.col("k"), F.col("i").alias("j"), F.col("v"))
+TILE = 128
+_HELD_TILES = 64
+
+
+def _tiles(m: DataFrame, row: str, col: str, tile: int) -> DataFrame:
+    """Blocks of a matrix: (tile row, tile column, cells), the place of a cell within its block as row * tile + column."""
+    at = (F.pmod(row, F.lit(tile)) * tile + F.pmod(col, F.lit(tile))).cast("int")
+    placed = m.select(
+        F.floor(F.col(row) / tile).cast("bigint").alias("tr"),
+        F.floor(F.col(col) / tile).cast("bigint").alias("tc"),
+        F.struct(at.alias("at"), F.col("v").cast("bigint").alias("v")).alias("cell"),
+    )
+    return placed.groupBy("tr", "tc").agg(F.collect_list("cell").alias("cells"))
+
+
+def matrix_product_tiles(a: DataFrame, b: DataFrame, tile: int = TILE) -> DataFrame:
+    """J11 by blocks, for dense matrices: C = A . B, cells wrap modulo 2^64.
+
+    ``a``: (i, k, v), ``b``: (k, j, v), one row per cell, no null coordinates.  Both become blocks of ``tile`` x ``tile`` cells;
+    blocks that share k meet, are multiplied as arrays, and the block products of one
+    place are added up: in the task first, then after one shuffle.  That moves tile^2 cells per block
+    product instead of one row per multiplication (tile^3).  A block, and what a task
+    holds, is bounded by ``tile``.  A cell is in the result if some k has both factors, as in
+    ``matrix_product``.
+    """
+    n = tile * tile
+
+    def dense(cells: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        flat = cells.flatten()
+        value, there = np.zeros(n, np.uint64), np.zeros(n, np.float32)
+        at = flat.field("at").to_numpy()
+        np.add.at(value, at, flat.field("v").to_numpy().view(np.uint64))
+        there[at] = 1
+        return value.reshape(tile, tile), there.reshape(tile, tile)
+
+    def emit(held: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([k[0] for k in held], pa.int64()),
+                pa.array([k[1] for k in held], pa.int64()),
+                pa.array([c.tobytes() for c, _ in held.values()], pa.binary()),
+                pa.array([np.packbits(t).tobytes() for _, t in held.values()], pa.binary()),
+            ],
+            ["tr", "tc", "cells", "there"],
+        )
+
+    def multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for r in range(batch.num_rows):
+                place = (batch.column(0)[r].as_py(), batch.column(2)[r].as_py())
+                (x, there_x), (y, there_y) = (dense(batch.column(c).slice(r, 1)) for c in (1, 3))
+                cells, there = x @ y, (there_x @ there_y) > 0  # unsigned, so products and sums wrap
+                if place in held:
+                    cells, there = cells + held[place][0], there | held[place][1]
+                held[place] = (cells, there)
+                if len(held) >= _HELD_TILES:
+                    yield emit(held)
+                    held = {}
+        if held:
+            yield emit(held)
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, cells, there = None, None, None
+
+        def cell_rows() -> pa.RecordBatch:
+            at = np.flatnonzero(there)
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(place[0] * tile + at // tile, pa.int64()),
+                    pa.array(place[1] * tile + at % tile, pa.int64()),
+                    pa.array(cells[at].view(np.int64), pa.int64()),
+                ],
+                ["i", "j", "c"],
+            )
+
+        for batch in batches:
+            for tr, tc, raw, bits in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                x, t = np.frombuffer(raw, np.uint64), np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
+                if place == (tr, tc):
+                    cells, there = cells + x, there | t
+                    continue
+                if place is not None:
+                    yield cell_rows()
+                place, cells, there = (tr, tc), x, t
+        if place is not None:
+            yield cell_rows()
+
+    left = _tiles(a, "i", "k", tile).select("tr", F.col("tc").alias("k"), F.col("cells").alias("x"))
+    right = _tiles(b, "k", "j", tile).select(F.col("tr").alias("k"), "tc", F.col("cells").alias("y"))
+    pairs = left.join(right, "k").select("tr", "x", "tc", "y")
+    blocks = pairs.mapInArrow(multiplied, "tr bigint, tc bigint, cells binary, there binary")
+    dealt = blocks.repartition("tr", "tc").sortWithinPartitions("tr", "tc")
+    signed = dealt.mapInArrow(added, "i bigint, j bigint, c bigint")
+    wide = F.col("c").cast("decimal(20,0)")
+    whole = F.when(F.col("c") < 0, wide + F.lit(str(U64)).cast("decimal(20,0)")).otherwise(wide)
+    return signed.select("i", "j", whole.cast("decimal(20,0)").alias("c"))
 
 
 def matrix_fingerprint(c: DataFrame, value: str = "c") -> DataFrame:
@@ -136,6 +233,30 @@ def cadence_snapshots(
     return p.select(key, F.explode(F.filter(F.array(every, last), lambda x: x.isNotNull())).alias("s")).select(key, "s.*")
 
 
+def resumed_snapshots(
+    rows: DataFrame, key: str, attempt: str, order: Sequence[str], bucket: F.Column, k: int, hit: str = "hit", hot: bool | None = None
+) -> DataFrame:
+    """W4 for jobs that resume: the cadence and the epochs begin anew in every attempt.
+
+    A snapshot at every k-th hit of an attempt; cursor and found go on over the whole job.  The job's last row
+    gives the final snapshot of its last attempt.  The counts within an attempt are running sums of their own, so
+    an attempt border inside or between buckets resets them alike.
+    """
+    if hot is None:
+        hot = ordered.has_hot_key(rows, [key])
+    p = _positions(rows, key, order, bucket, hit, hot)
+    p = ordered.running_sums(p, [key, attempt], order, bucket, {"run_hits": F.col(hit).cast("bigint")}, levels=0, hot=hot)
+
+    def snapshot(when, epoch, progress, final):
+        fields = [epoch.cast("bigint").alias("epoch"), F.col("pos").alias("cursor"), F.col("hits").alias("found")]
+        return F.when(when, F.struct(*fields, progress.alias("progress"), F.lit(final).alias("final")))
+
+    every = snapshot(F.col(hit) & (F.col("run_hits") % k == 0), F.col("run_hits") / k, _progress(F.col("pos"), F.col("total")), False)
+    last = snapshot(F.col("pos") == F.col("total"), F.floor(F.col("run_hits") / k) + 1, F.lit(1.0), True)
+    found = F.explode(F.filter(F.array(every, last), lambda x: x.isNotNull()))
+    return p.select(key, attempt, found.alias("s")).select(key, attempt, "s.*")
+
+
 def progress_curve(
     rows: DataFrame, key: str, order: Sequence[str], bucket: F.Column, hit: str = "hit", hot: bool | None = None
 ) -> DataFrame:

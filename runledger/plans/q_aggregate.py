@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from runledger.operators import aggregate as A
+from runledger.operators import lifecycle as L
 from runledger.operators import ordered
 from runledger.plans import fixtures as fx
 from runledger.plans.catalog import register, with_ctes
@@ -74,6 +75,14 @@ def matrix_product(spark, sf_dir):
     return A.matrix_product(fx.matrix(spark, sf_dir), _b(spark, sf_dir))
 
 
+@register(
+    "matrix_product_tiles", with_ctes("select i, j, cast(c as decimal(20,0)) as c from c", "matrix", extra={"b": _B, "c": _C})
+)
+def matrix_product_tiles(spark, sf_dir):
+    """J11 by blocks: the same cells as the coordinate form."""
+    return A.matrix_product_tiles(fx.matrix(spark, sf_dir), _b(spark, sf_dir))
+
+
 @register(
     "matrix_fingerprint",
     with_ctes(
@@ -111,6 +120,35 @@ def cadence_snapshots(spark, sf_dir):
     return A.cadence_snapshots(fx.ordered_hits(spark, sf_dir), "l_suppkey", _ORDER, _bucket(), CADENCE_K)
 
 
+_RESUMED = (
+    "select *, count(*) over j as pos, count(*) filter (where hit) over j as hits, "
+    "count(*) over (partition by job_id) as total, count(*) filter (where hit) over a as run_hits from "
+    "(select job_id, seq, type = 'checkpoint' as hit, cast(sum(case when type = 'started' then 1 else 0 end) over "
+    "(partition by job_id order by seq rows between unbounded preceding and current row) as bigint) as attempt from worker_log) "
+    "window j as (partition by job_id order by seq rows between unbounded preceding and current row), "
+    "a as (partition by job_id, attempt order by seq rows between unbounded preceding and current row)"
+)
+RESUMED_K = 3
+
+
+@register(
+    "resumed_snapshots",
+    with_ctes(
+        f"select job_id, attempt, cast(run_hits / {RESUMED_K} as bigint) as epoch, pos as cursor, hits as found, "
+        f"least(1.0, pos / total) as progress, false as final from ({_RESUMED}) where hit and run_hits % {RESUMED_K} = 0 "
+        f"union all select job_id, attempt, cast(floor(run_hits / {RESUMED_K}) + 1 as bigint), pos, hits, 1.0, true "
+        f"from ({_RESUMED}) where pos = total",
+        "worker_log",
+    ),
+)
+def resumed_snapshots(spark, sf_dir):
+    """W4 with resumes: cadence and epochs restart in every attempt of a job."""
+    log = fx.worker_log(spark, sf_dir)
+    hot = ordered.has_hot_key(log, ["job_id"])
+    rows = L.attempts(log, hot=hot).select("job_id", "attempt", "seq", (F.col("type") == "checkpoint").alias("hit"))
+    return A.resumed_snapshots(rows, "job_id", "attempt", ["seq"], ordered.bucket_of("seq", L.BUCKET_WIDTH), RESUMED_K, hot=hot)
+
+
 @register(
     "progress_curve",
     with_ctes(
