@@ -170,7 +170,7 @@ lines as (
 sizes as (select host, count(distinct t) as host_docs from d group by host),
 freq as (
   select host, l from (select host, l, count(distinct copy) as n from lines group by host, l) join sizes using (host)
-  where n > 20 and n > 0.1 * host_docs),
+  where n > 20 and n * n > host_docs),
 gone as (
   select doc_id, sum(len(string_split(l, ' '))) as n_removed_words from lines join freq using (host, l) group by doc_id),
 base as (

@@ -38,4 +38,4 @@ def test_run_equals_brute_force(spark):
 def test_stages():
     assert [f.__module__ for _, f in P.STAGES] == ["corpus_pipeline"] * 5
     assert P.ORACLE_SQL is None
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 14)]
