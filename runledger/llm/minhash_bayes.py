@@ -26,9 +26,11 @@ folder, so an executor that is lost costs only its own tasks.
 
 Defined cases: null texts and texts without words have an empty set and link
 with nothing; fewer than five words are one shingle; rows that share a doc_id
-are one document, linked by any of its texts; rows without a doc_id take the
+are one document, linked by any of its texts: further texts get ids of this module's own (at
+least 2^62), tied to the doc_id; rows without a doc_id take the
 component of their copies and link nothing; an empty table gives an empty
-result.  Only ``doc_id`` and ``text`` are read.
+result.  Only ``doc_id`` and ``text`` are read.  Copies of one text are confirmed by a
+128-bit hash of its words, and sets are compared as 64-bit hashes of their shingles.
 """
 
 from __future__ import annotations
@@ -457,8 +459,70 @@ def components(edges: DataFrame) -> DataFrame:
         last = state
 
 
+#: Ids of this module's own, for further texts of a repeated doc_id: larger than any doc_id it is given.
+_SURROGATE = 1 << 62
+
+
+def _words_key(text: str = "text") -> F.Column:
+    """The words of a text as one string, '' without any; texts with the same words are copies."""
+    return F.array_join(words(lower_ascii(text_or_empty(F.col(text)))), " ")
+
+
+def _single_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """Where doc_ids repeat with different words: rows (doc_id, text) in which every id has one text,
+    and (doc_id, of_id) for the ids that were made up.  None where no id repeats so.
+
+    The words with the smallest hash keep the doc_id.
+    """
+    named = docs.filter(F.col("doc_id").isNotNull())
+    repeated = _written(named.groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return None
+    few = F.broadcast(repeated) if repeated.count() <= BROADCAST_NODES else repeated
+    key = F.struct(F.xxhash64("w").alias("a"), F.xxhash64(F.lit(1), "w").alias("b"))
+    marked = named.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(few, "doc_id").withColumn("w", _words_key())
+    marked = marked.filter("w <> ''").withColumn("key", key)
+    first = marked.groupBy("doc_id").agg(F.min("key").alias("first"), F.max("key").alias("last"))
+    several = _written(first.filter("first <> last").select(F.col("doc_id").alias("of_id"), "first"), "several")
+    if several.isEmpty():
+        return None
+    further = (
+        marked.join(several, marked["doc_id"] == F.col("of_id"))
+        .filter("key <> first")
+        .select((F.lit(_SURROGATE) + F.pmod(F.xxhash64("of_id", "key"), F.lit(_SURROGATE))).alias("doc_id"), "of_id", "key", "text")
+    )
+    further = _written(further, "further")
+    mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
+        F.broadcast(several) if several.count() <= BROADCAST_NODES else several, F.col("doc_id") == F.col("of_id"), "left"
+    )
+    # rows of such an id stay if they have its first words (or none)
+    w = F.when(F.col("of_id").isNotNull(), _words_key())
+    stays = F.col("of_id").isNull() | (w == "") | (F.struct(F.xxhash64(w), F.xxhash64(F.lit(1), w)) == F.struct("first.a", "first.b"))
+    rows = mine.filter(stays).select("doc_id", "text").unionByName(further.select("doc_id", "text"))
+    return rows, further.select("doc_id", "of_id").distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, miss: float = MISS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, n_copies (rows with the same words)."""
+    return _classified(docs, percent, miss).drop("own")
+
+
+def _classified(docs: DataFrame, percent: int, miss: float) -> DataFrame:
+    """``near_duplicates`` with ``own``: the id that a row's words have of their own (made up for further words of an id)."""
+    split = _single_texts(docs)
+    if split is None:
+        return _linked(docs, None, percent, miss).withColumn("own", F.col("doc_id"))
+    rows, made_up = split
+    made_up = _written(made_up, "made-up")
+    found = _linked(rows, made_up.select(F.col("doc_id").alias("a"), F.col("of_id").alias("b")), percent, miss)
+    found = found.withColumnRenamed("doc_id", "own").join(made_up, F.col("own") == F.col("doc_id"), "left").drop("doc_id")
+    doc_id = F.coalesce("of_id", "own")
+    kept = F.coalesce(doc_id == F.col("component_id"), F.col("component_id").isNull())
+    return found.select(doc_id.alias("doc_id"), "n_shingles", "component_id", kept.alias("kept"), "n_copies", "own")
+
+
+def _linked(docs: DataFrame, ties: DataFrame | None, percent: int, miss: float) -> DataFrame:
+    """``near_duplicates`` of documents whose ids have one text each; ``ties`` (a, b): ids that are one document."""
     sigs = _written(signatures(docs), "signatures")
     classes = _written(
         sigs.filter("n > 0")
@@ -476,7 +540,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, miss: float = MISS)
     members = _written(groups.join(nodes, "node").select("bucket", "size", "node", "copies", "n", "sig"), "members")
     first = _written(spanning_pairs(members, percent, miss), "first")
     sets = _written(shingle_sets(docs, _ends(first)), "sets")
-    links = _written(verified(first, sets, percent), "links")
+    links = verified(first, sets, percent)
+    if ties is not None:
+        of = sigs.filter("n > 0").select("doc_id", "c1", "c2").join(classes.select("c1", "c2", "node"), ["c1", "c2"]).select("doc_id", "node")
+        a = of.select(F.col("doc_id").alias("a"), F.col("node").alias("node_a"))
+        b = of.select(F.col("doc_id").alias("b"), F.col("node").alias("node_b"))
+        tied = ties.join(a, "a").join(b, "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+        links = links.unionByName(tied.filter("a <> b")).distinct()
+    links = _written(links, "links")
     labels = components(links)
     live = _written(unresolved(members, labels), "unresolved")
     if not live.isEmpty():
@@ -508,19 +579,32 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     Of rows without a doc_id, one of each text stays, if no document with a
     doc_id has the same words; those without words all stay.
     """
-    found = near_duplicates(docs, **options).filter("kept")
-    ids = found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
+    found = _classified(docs, options.get("percent", PERCENT), options.get("miss", MISS)).filter("kept")
+    # of an id with several texts the one that has the id as its own stays
+    ids = found.filter("doc_id is not null and own = doc_id").groupBy("doc_id").agg(F.count("*").alias("n"))
     ids = _written(ids.select(F.col("doc_id").alias("kept_id"), "n"), "kept")
-    left = docs.join(ids.select("kept_id"), docs["doc_id"] == F.col("kept_id"), "left_semi")
-    if not ids.filter("n > 1").isEmpty():  # rows that repeat a doc_id: one of them stays
-        left = left.dropDuplicates(["doc_id"])
+    left = docs.join(ids.filter("n = 1").select("kept_id"), docs["doc_id"] == F.col("kept_id"), "left_semi")
+    several = found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
+    several = _written(several.select(F.col("doc_id").alias("several_id")), "several-rows")
+    if not several.isEmpty():  # rows that repeat a doc_id: one of them stays, the same in every run
+        left = left.join(several, F.col("doc_id") == F.col("several_id"), "left_anti")
+        left = left.unionByName(_one_each(docs.join(several, F.col("doc_id") == F.col("several_id"), "left_semi")))
     nameless = docs.filter(F.col("doc_id").isNull())
     if nameless.isEmpty():
         return left
     key = free_name(docs, "words_key")
-    joined = F.array_join(words(lower_ascii(text_or_empty(F.col("text")))), " ")
+    joined = _words_key()
     keyed = nameless.withColumn(key, F.when(joined != "", F.xxhash64(joined)))
     named = docs.filter(F.col("doc_id").isNotNull()).select(F.xxhash64(joined).alias(key)).distinct()
     once = keyed.filter(F.col(key).isNotNull()).dropDuplicates([key]).join(named, key, "left_anti")
     rest = once.drop(key).unionByName(keyed.filter(F.col(key).isNull()).drop(key))
     return left.unionByName(rest)
+
+
+def _one_each(rows: DataFrame) -> DataFrame:
+    """Of each doc_id the row whose words have the smallest hash; of rows with the same words the smallest text."""
+    place = free_name(rows, "place")
+    w = _words_key()
+    order = [(w == "").cast("int"), F.xxhash64(w), F.xxhash64(F.lit(1), w), text_or_empty(F.col("text")), F.col("text").isNull()]
+    ranked = rows.withColumn(place, F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)))
+    return ranked.filter(F.col(place) == 1).drop(place)

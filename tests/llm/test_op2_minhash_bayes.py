@@ -88,6 +88,30 @@ def test_repeated_ids_nulls_and_empty_table(documents):
     assert M.near_duplicates(documents(["x"]).limit(0)).count() == 0
 
 
+def test_an_id_with_several_texts_is_linked_by_each(documents):
+    words_ = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    a, b, c, d = map(words_, "abcd")
+    docs = documents([b, a, b, c, c + " x", d, d.upper(), a], ids=[3, 5, 5, 7, 8, 9, 9, 11])
+    rows = sorted((r["doc_id"], r["component_id"], r["kept"], r["n_shingles"]) for r in M.near_duplicates(docs).collect())
+    # 5 is a copy of 3 by one text and of 11 by the other
+    assert rows == sorted(
+        [(3, 3, True, 36), (5, 3, False, 36), (5, 3, False, 36), (7, 7, True, 36), (8, 7, False, 37), (9, 9, True, 36), (9, 9, True, 36)]
+        + [(11, 3, False, 36)]
+    )
+    left = sorted((r["doc_id"], r["text"]) for r in M.drop_near_duplicates(docs).collect())
+    assert left == [(3, b), (7, c), (9, d.upper())]
+    both = documents([a, b, "", None], ids=[5, 5, 5, 6])
+    one = M.drop_near_duplicates(both).collect()
+    assert sorted(r["doc_id"] for r in one) == [5, 6]
+    assert {r["text"] for r in one} == {r["text"] for r in M.drop_near_duplicates(both.repartition(7)).collect()}
+
+
+def test_a_set_of_more_shingles_than_a_signature_step(documents):
+    w = [f"w{i}" for i in range(9000)]
+    docs = documents([" ".join(w), " ".join(w[:8000] + ["x"] * 3), " ".join(w[3000:])])
+    assert [r["component_id"] for r in M.near_duplicates(docs).orderBy("doc_id").collect()] == [0, 0, 2]
+
+
 def test_pruning_keeps_the_chosen_miss_probability():
     for n in (32, 64, 96, 128):
         m = M.least_matches(n)
