@@ -187,7 +187,7 @@ def matrix_fingerprint(c: DataFrame, value: str = "c") -> DataFrame:
     )
 
 
-def _positions(rows: DataFrame, key: str, order: Sequence[str], bucket: F.Column, hit: str, hot: bool | None) -> DataFrame:
+def _positions(rows: DataFrame, key: str, order: Sequence[str], bucket: F.Column | None, hit: str, hot: bool | None) -> DataFrame:
     """Running row position and hit count per key, with the key's totals."""
     if hot is None:
         hot = ordered.has_hot_key(rows, [key])
@@ -197,7 +197,7 @@ def _positions(rows: DataFrame, key: str, order: Sequence[str], bucket: F.Column
         order,
         bucket,
         {"pos": F.lit(1).cast("bigint"), "hits": F.col(hit).cast("bigint")},
-        levels=0,  # callers bucket by time: one border row per (hot key, period)
+        levels=0,
         hot=hot,
     )
     if hot:
@@ -213,7 +213,7 @@ def _progress(pos: F.Column, total: F.Column) -> F.Column:
 
 
 def cadence_snapshots(
-    rows: DataFrame, key: str, order: Sequence[str], bucket: F.Column, k: int, hit: str = "hit", hot: bool | None = None
+    rows: DataFrame, key: str, order: Sequence[str], bucket: F.Column | None, k: int, hit: str = "hit", hot: bool | None = None
 ) -> DataFrame:
     """A snapshot at every k-th hit of a key, plus one final snapshot.
 
@@ -234,7 +234,7 @@ def cadence_snapshots(
 
 
 def resumed_snapshots(
-    rows: DataFrame, key: str, attempt: str, order: Sequence[str], bucket: F.Column, k: int, hit: str = "hit", hot: bool | None = None
+    rows: DataFrame, key: str, attempt: str, order: Sequence[str], bucket: F.Column | None, k: int, hit: str = "hit", hot: bool | None = None
 ) -> DataFrame:
     """W4 for jobs that resume: the cadence and the epochs begin anew in every attempt.
 
@@ -258,7 +258,7 @@ def resumed_snapshots(
 
 
 def progress_curve(
-    rows: DataFrame, key: str, order: Sequence[str], bucket: F.Column, hit: str = "hit", hot: bool | None = None
+    rows: DataFrame, key: str, order: Sequence[str], bucket: F.Column | None, hit: str = "hit", hot: bool | None = None
 ) -> DataFrame:
     """Progress of every row: min(1, position / total), 0 when total is 0."""
     p = _positions(rows, key, order, bucket, hit, hot)

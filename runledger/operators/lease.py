@@ -8,8 +8,8 @@ Coverage questions ("how many holds cover this instant?") are answered with a
 sweep line instead of a range join: hold starts count +1, hold ends -1, and a
 running sum along time gives the number of holds active at each probe.  That
 is linear in holds + probes and never emits interval pairs.  Running sums and
-lag/lead use the helpers of ``ordered``: one window per lease key, and time
-buckets where a key is too large for one task (``hot``).
+lag/lead use the helpers of ``ordered``: one window per lease key, and ranges of
+its order where a key is too large for one task (``hot``).
 """
 
 from __future__ import annotations
@@ -23,10 +23,6 @@ from runledger.functions.scalar import seconds_between
 from runledger.operators import ordered
 from runledger.operators.lock import lock_holds
 
-DAY = 86400
-# Hour buckets of a hot key: its border window holds one row per hour (~9k a year).
-HOUR = 3600
-
 
 def _secs(a, b) -> F.Column:
     return seconds_between(a, b)
@@ -38,7 +34,6 @@ def lease_holds(
     key: str = "lease_key",
     holder: str = "holder",
     ts: str = "ts",
-    bucket_seconds: int = HOUR,
     seq: str | None = None,
     hot: bool | None = None,
 ) -> DataFrame:
@@ -55,11 +50,10 @@ def lease_holds(
     keys, order = [key, holder], [ts, *([seq] if seq else [])]
     if hot is None:
         hot = ordered.has_hot_key(touches, keys)
-    b = ordered.time_bucket(ts, bucket_seconds)
-    lagged = ordered.shifted(touches.select(*keys, *order), keys, order, b, [ts], "prev_", levels=0, hot=hot)
+    lagged = ordered.shifted(touches.select(*keys, *order), keys, order, None, [ts], "prev_", levels=0, hot=hot)
     new = F.col("prev_" + ts).isNull() | (_secs("prev_" + ts, ts) > ttl_seconds)
     chains = ordered.running_sums(
-        lagged, keys, order, b, {"_chain": F.when(new, 1).otherwise(0).cast("bigint")}, levels=0, hot=hot
+        lagged, keys, order, None, {"_chain": F.when(new, 1).otherwise(0).cast("bigint")}, levels=0, hot=hot
     )
     holds = chains.groupBy(*keys, "_chain").agg(
         F.min(ts).alias("from_ts"), F.max(ts).alias("last_touch"), F.count(F.lit(1)).alias("touches")
@@ -75,7 +69,6 @@ def failover_gap(
     poll_seconds: float,
     key: str = "lease_key",
     holder: str = "holder",
-    bucket_seconds: int = HOUR,
     hot: bool | None = None,
 ) -> DataFrame:
     """From each hold to the next hold of the key by another holder.
@@ -84,8 +77,7 @@ def failover_gap(
     ttl + poll.  Rows where the next hold is by the same holder or there is
     none are dropped.
     """
-    b = ordered.time_bucket("from_ts", bucket_seconds)
-    nxt = ordered.shifted(holds, [key], ["from_ts", holder], b, [holder, "from_ts"], "next_", direction="lead", levels=0, hot=hot)
+    nxt = ordered.shifted(holds, [key], ["from_ts", holder], None, [holder, "from_ts"], "next_", direction="lead", levels=0, hot=hot)
     sla = float(ttl_seconds) + float(poll_seconds)
     out = nxt.filter(F.col("next_" + holder).isNotNull() & (F.col("next_" + holder) != F.col(holder)))
     return out.select(
@@ -113,13 +105,12 @@ def _edges(start: str, end: str, released: str | None = None) -> list[F.Column]:
     ]
 
 
-def _swept(events: DataFrame, keys: Sequence[str], own: str | None, bucket_seconds: int, hot: bool | None) -> DataFrame:
+def _swept(events: DataFrame, keys: Sequence[str], own: str | None, hot: bool | None) -> DataFrame:
     """Probes (``_o`` = 1) with the number of open intervals per key and, with ``own``, per (key, own)."""
     order = ["_t", "_o", F.col("_p._probe_id")]
-    b = ordered.time_bucket("_t", bucket_seconds)
-    run = ordered.running_sums(events, list(keys), order, b, {"n_cover": F.col("_d")}, levels=0, hot=hot)
+    run = ordered.running_sums(events, list(keys), order, None, {"n_cover": F.col("_d")}, levels=0, hot=hot)
     if own:
-        run = ordered.running_sums(run, [*keys, own], order, b, {"n_own": F.col("_d")}, levels=0, hot=hot)
+        run = ordered.running_sums(run, [*keys, own], order, None, {"n_own": F.col("_d")}, levels=0, hot=hot)
     return run.filter(F.col("_o") == 1).select("_p.*", "n_cover", *(["n_own"] if own else []))
 
 
@@ -131,7 +122,6 @@ def coverage(
     end: str,
     at: str,
     own: str | None = None,
-    bucket_seconds: int = HOUR,
     hot: bool | None = None,
 ) -> DataFrame:
     """Number of closed intervals [start, end] of the same keys covering each probe.
@@ -151,7 +141,7 @@ def coverage(
         *by, F.col(at).alias("_t"), F.lit(1).alias("_o"), F.lit(0).cast("bigint").alias("_d"),
         F.struct(*[F.col(c) for c in probes.columns]).alias("_p"),
     )
-    return _swept(marks.unionByName(pts), keys, own, bucket_seconds, hot)
+    return _swept(marks.unionByName(pts), keys, own, hot)
 
 
 def start_by_holder(
@@ -176,7 +166,7 @@ def start_by_holder(
 
 
 def lease_overlap(
-    holds: DataFrame, key: str = "lease_key", holder: str = "holder", bucket_seconds: int = HOUR, hot: bool | None = None
+    holds: DataFrame, key: str = "lease_key", holder: str = "holder", hot: bool | None = None
 ) -> DataFrame:
     """Holds that start while another holder's hold of the key is active.
 
@@ -193,5 +183,5 @@ def lease_overlap(
     events = holds.select(
         F.col(key), F.explode(F.array(*parts, F.struct(probe.alias("_e"), row.alias("_p")))).alias("_x")
     ).select(key, "_x._e.*", "_x._p")
-    cov = _swept(events, [key], None, bucket_seconds, hot)
+    cov = _swept(events, [key], None, hot)
     return cov.filter(F.col("n_cover") >= 2).withColumnRenamed("n_cover", "n_active").drop("_probe_id")

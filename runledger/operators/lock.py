@@ -50,14 +50,13 @@ def _opening_acquires(touches: DataFrame, ttl_seconds: int, key: str, holder: st
     one more for an expiry, which comes after all requests of its instant.
     """
     keys, order = [key, holder], [ts, seq]
-    b = ordered.time_bucket(ts, 3600)
     seen = touches.select(*keys, *order, "op")
-    lagged = ordered.shifted(seen, keys, order, b, [ts, "op"], "prev_", levels=0, hot=hot)
+    lagged = ordered.shifted(seen, keys, order, None, [ts, "op"], "prev_", levels=0, hot=hot)
     late = F.col("prev_" + ts).isNull() | (seconds_between("prev_" + ts, ts) > ttl_seconds)
     new = late | F.coalesce(F.col("prev_op") == "release", F.lit(False))
     one = F.lit(1).cast("bigint")
     rows = ordered.running_sums(
-        lagged, keys, order, b, {"_chain": F.when(new, 1).otherwise(0).cast("bigint"), "_rn": one}, levels=0, hot=hot
+        lagged, keys, order, None, {"_chain": F.when(new, 1).otherwise(0).cast("bigint"), "_rn": one}, levels=0, hot=hot
     )
     chains = rows.groupBy(*keys, "_chain").agg(
         F.max("_rn").alias("_last_rn"),
@@ -270,7 +269,7 @@ def lock_holds(
         F.col("last_touch") + F.make_dt_interval(secs=F.lit(ttl_seconds))
     )
     numbered = ordered.running_sums(
-        opened, [key, holder], ["_at", "_at_seq"], ordered.time_bucket(ts, 3600), {"hold_no": F.lit(1).cast("bigint")},
+        opened, [key, holder], ["_at", "_at_seq"], None, {"hold_no": F.lit(1).cast("bigint")},
         levels=0, hot=hot_holder,
     )
     return numbered.select(

@@ -4,7 +4,9 @@ Two plans, one result.  Where no key has more than ``HOT_ROWS`` rows (one
 pre-aggregated count over the key columns decides), a plain window per key is
 used: one scan, one exchange, one sort for any number of values and lags.
 Where some key is larger, only the rows of such keys are cut into buckets of
-the ordering (``bucket`` must be non-decreasing along the order).  The window
+the ordering.  Without ``bucket`` the cut is by rows: one range exchange along key and order
+makes ranges of about ``RANGE_ROWS`` rows, wherever in time a key's rows lie.  For dense sequence numbers
+``bucket`` may give the cut (non-decreasing along the order), which saves that pass.  The window
 then runs inside ``(key, bucket)``, and bucket borders are stitched with a second,
 much smaller window over one row per bucket of a hot key.  A cold key is one
 bucket and needs no border row.
@@ -25,6 +27,7 @@ from runledger.functions.scalar import epoch_micros
 
 _B = "_bucket"
 HOT_ROWS = 2_000_000
+RANGE_ROWS = 500_000
 BORDER_FANOUT = 4096
 
 
@@ -38,8 +41,12 @@ def has_hot_key(df: DataFrame, keys: Sequence[str], rows: int | None = None) ->
 
 
 def _hot_keys(df: DataFrame, keys: Sequence[str], rows: int | None) -> DataFrame:
+    return _hot_counts(df, keys, rows).drop("_n")
+
+
+def _hot_counts(df: DataFrame, keys: Sequence[str], rows: int | None) -> DataFrame:
     most = HOT_ROWS if rows is None else rows
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most).drop("_n")
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most)
 
 
 def _same(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:
@@ -53,12 +60,23 @@ def _renamed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.withColumnsRenamed({k: k + "_r" for k in keys})
 
 
-def _bucketed(df: DataFrame, keys: Sequence[str], bucket: Column, rows: int | None) -> DataFrame:
+def _bucketed(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: Column | None, rows: int | None) -> DataFrame:
     """df + _bucket: the ordering bucket for rows of hot keys, null for the others."""
-    marked = df.withColumn(_B, bucket)
-    hot = _renamed(_hot_keys(df, keys, rows), keys).withColumn("_hot", F.lit(True))
-    out = marked.join(F.broadcast(hot), _same(marked, hot, keys), "left")
-    return out.withColumn(_B, F.when(F.col("_hot"), F.col(_B))).drop("_hot", *[k + "_r" for k in keys])
+    counts = _hot_counts(df, keys, rows)
+    hot = _renamed(counts.drop("_n"), keys).withColumn("_hot", F.lit(True))
+    names = [k + "_r" for k in keys]
+    if bucket is not None:
+        marked = df.withColumn(_B, bucket)
+        out = marked.join(F.broadcast(hot), _same(marked, hot, keys), "left")
+        return out.withColumn(_B, F.when(F.col("_hot"), F.col(_B))).drop("_hot", *names)
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    marked = df.join(F.broadcast(hot), _same(df, hot, keys), "left").drop(*names)
+    ranges = max(2, -(-total // RANGE_ROWS))
+    # Range bounds are sampled, so the rows are written once: every pass sees the same ranges.
+    cut = marked.filter("_hot").repartitionByRange(ranges, *keys, *_cols(order))
+    cut = pinned(cut.withColumn(_B, F.spark_partition_id().cast("bigint")))
+    cold = marked.filter("_hot is null").withColumn(_B, F.lit(None).cast("bigint"))
+    return cut.unionByName(cold).drop("_hot")
 
 
 def _stitched(local: DataFrame, border: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -72,7 +90,7 @@ def running_sums(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence,
-    bucket: Column,
+    bucket: Column | None,
     values: dict[str, Column],
     inclusive: bool = True,
     levels: int = 1,
@@ -90,7 +108,7 @@ def running_sums(
         end = Window.currentRow if inclusive else -1
         frame = Window.partitionBy(*keys).orderBy(*_cols(order)).rowsBetween(Window.unboundedPreceding, end)
         return df.select("*", *[F.coalesce(F.sum(v).over(frame), F.lit(0)).alias(n) for n, v in values.items()])
-    df = _bucketed(df, keys, bucket, hot_rows)
+    df = _bucketed(df, keys, order, bucket, hot_rows)
     w = Window.partitionBy(*keys, _B).orderBy(*_cols(order))
     frame = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = df.select(
@@ -132,7 +150,7 @@ def shifted(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence,
-    bucket: Column,
+    bucket: Column | None,
     cols: Sequence[str],
     prefix: str,
     direction: str = "lag",
@@ -154,7 +172,7 @@ def shifted(
     if not hot:
         w = Window.partitionBy(*keys).orderBy(*_cols(order))
         return df.select("*", *[shift(c).over(w).alias(prefix + c) for c in cols])
-    df = _bucketed(df, keys, bucket, hot_rows)
+    df = _bucketed(df, keys, order, bucket, hot_rows)
     w = Window.partitionBy(*keys, _B).orderBy(*_cols(order))
     local = df.select(
         "*", *[shift(c).over(w).alias(f"_s_{c}") for c in cols], shift(F.lit(1)).over(w).isNull().alias("_edge")

@@ -18,7 +18,6 @@ _WC = "select word, count(*) as n from tokens where word <> '' group by word"
 _WORD_FP = _FP.format(x="word || ':' || cast(n as varchar)")
 _ORDER = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")
 _ORDER_SQL = "l_shipdate, l_orderkey, l_linenumber, l_partkey"
-_DAY_BUCKET_SECONDS = 86400
 
 
 def _tokens(spark, sf_dir):
@@ -102,10 +101,6 @@ _POS = (
 )
 
 
-def _bucket():
-    return ordered.time_bucket("l_shipdate", _DAY_BUCKET_SECONDS)
-
-
 @register(
     "cadence_snapshots",
     with_ctes(
@@ -117,7 +112,7 @@ def _bucket():
     ),
 )
 def cadence_snapshots(spark, sf_dir):
-    return A.cadence_snapshots(fx.ordered_hits(spark, sf_dir), "l_suppkey", _ORDER, _bucket(), CADENCE_K)
+    return A.cadence_snapshots(fx.ordered_hits(spark, sf_dir), "l_suppkey", _ORDER, None, CADENCE_K)
 
 
 _RESUMED = (
@@ -158,7 +153,7 @@ def resumed_snapshots(spark, sf_dir):
     ),
 )
 def progress_curve(spark, sf_dir):
-    return A.progress_curve(fx.ordered_hits(spark, sf_dir), "l_suppkey", _ORDER, _bucket())
+    return A.progress_curve(fx.ordered_hits(spark, sf_dir), "l_suppkey", _ORDER, None)
 
 
 @register(

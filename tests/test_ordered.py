@@ -69,7 +69,7 @@ def test_null_keys_and_only_hot_keys_are_cut(spark):
     df = spark.createDataFrame(rows, "k string, s long, v long")
     got = ordered.running_sums(df, ["k"], ["s"], ordered.bucket_of("s", 4), {"x": F.col("v")}, hot_rows=10).collect()
     assert sorted((str(r.k), r.s, r.x) for r in got) == sorted((str(k), s, s + 1) for k, s, _ in rows)
-    cut = ordered._bucketed(df, ["k"], ordered.bucket_of("s", 4), 10).collect()
+    cut = ordered._bucketed(df, ["k"], ["s"], ordered.bucket_of("s", 4), 10).collect()
     assert all((r["_bucket"] is None) == (r["k"] == "a") for r in cut)
 
 
@@ -77,3 +77,20 @@ def test_cold_keys_cost_one_exchange(spark, data):
     df = ordered.running_sums(data, ["k"], ["s"], ordered.bucket_of("s", 4), {"x": F.col("v"), "y": F.lit(1)})
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_a_key_is_cut_by_rows_not_by_the_clock(spark, monkeypatch):
+    """All rows of the hot key lie within one hour, most of them in one second."""
+    monkeypatch.setattr(ordered, "RANGE_ROWS", 100)
+    rows = [("hot", 1_700_000_000 + (i if i < 100 else 100), i, 1) for i in range(900)] + [("b", i, i, 1) for i in range(9)] + [(None, 5, 1, 7)]
+    df = spark.createDataFrame(rows, "k string, t long, s long, v long").repartition(5)
+    cut = ordered._bucketed(df, ["k"], ["t", "s"], None, 50).groupBy("k", "_bucket").count().collect()
+    sizes = [r["count"] for r in cut if r.k == "hot"]
+    assert sum(sizes) == 900 and len(sizes) >= 8 and max(sizes) < 300
+    assert all(r._bucket is None for r in cut if r.k != "hot")
+    w = Window.partitionBy("k").orderBy("t", "s")
+    want = df.select("k", "s", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("x"), F.lag("s").over(w).alias("p"))
+    want = sorted(map(str, want.collect()))
+    got = ordered.running_sums(df, ["k"], ["t", "s"], None, {"x": F.col("v")}, levels=0, hot_rows=50)
+    got = ordered.shifted(got, ["k"], ["t", "s"], None, ["s"], "p_", levels=0, hot_rows=50)
+    assert sorted(map(str, got.select("k", "s", "x", F.col("p_s").alias("p")).collect())) == want
