@@ -7,7 +7,7 @@ rule.  Three methods:
   (group, value) with map-side combine, cumulative counts come from the
   running sums of ``ordered``, and the rows whose count interval holds a
   target rank are picked by a filter.  A group with very many distinct values
-  is cut at approximate quantiles of its own, so no task holds it whole.
+  is cut into ranges of equally many, so no task holds it whole.
 * ``"map"``: Spark's ``percentile`` (a value->count map per group, merged in
   one task per group); fine when distinct values per group are few.
 * ``"approx"``: ``percentile_approx`` (bounded sketch, approximate).
@@ -44,9 +44,6 @@ def _pcts(x: Column, qs: Sequence[float], approx: bool) -> Column:
     return F.percentile_approx(x, arr, 10000) if approx else F.percentile(x, arr)
 
 
-CUT_POINTS = 256
-
-
 def rank_percentiles(
     df: DataFrame, by: Sequence[str], value: str, qs: Sequence[float], hot: bool | None = None, hot_rows: int | None = None
 ) -> DataFrame:
@@ -54,9 +51,8 @@ def rank_percentiles(
 
     Returns ``by`` + one column ``_q{i}`` per quantile (null for an empty
     group).  Values are counted per (group, value) first.  Where a group has
-    more distinct values than fit one task, it is cut at ``CUT_POINTS``
-    approximate quantiles of its own values, so its buckets hold about the same
-    number of them whatever their distribution.
+    more distinct values than fit one task, it is cut into ranges that hold about the same
+    number of them whatever their distribution, as many as its values ask for.
     """
     by = list(by) or ["_all"]
     if by == ["_all"]:
@@ -66,11 +62,12 @@ def rank_percentiles(
     if hot is None:
         hot = ordered.has_hot_key(counts, by, hot_rows)
     if hot:
-        marks = F.array(*[F.lit(i / CUT_POINTS) for i in range(1, CUT_POINTS)])
-        cuts = counts.groupBy(*by).agg(F.percentile_approx("_v", marks, 10_000).alias("_cuts"), F.sum("_c").alias("_n"))
-        counts = counts.join(cuts, by)
-        bucket = F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).cast("bigint")
-        run = ordered.running_sums(counts, by, ["_v"], bucket, {"_cum": F.col("_c")}, levels=0, hot=True, hot_rows=hot_rows)
+        run = ordered.running_sums(counts, by, ["_v"], None, {"_cum": F.col("_c")}, levels=0, hot=True, hot_rows=hot_rows)
+        totals = counts.groupBy(*by).agg(F.sum("_c").alias("_n")).withColumnsRenamed({k: k + "_r" for k in by})
+        same = F.lit(True)
+        for k in by:
+            same = same & run[k].eqNullSafe(totals[k + "_r"])
+        run = run.join(totals, same).drop(*[k + "_r" for k in by])
     else:
         run = ordered.running_sums(counts, by, ["_v"], F.lit(0), {"_cum": F.col("_c")}, levels=0, hot=False)
         run = run.withColumn("_n", F.sum("_c").over(Window.partitionBy(*by)))

@@ -52,7 +52,7 @@ def test_last_found(spark):
 
 
 def test_one_huge_latency_does_not_fill_a_bucket(spark):
-    rows = [("w", float(i % 5000) + i / 1e6) for i in range(20_000)] + [("w", 1e9), ("x", 3.0)]
+    rows = [("w", float(i % 5000) + i / 1e6) for i in range(20_000)] + [("w", 1e9), ("x", 3.0), (None, 2.0), (None, 4.0)]
     df = spark.createDataFrame(rows, "w string, v double").repartition(4)
     want = {r.w: r.p for r in df.groupBy("w").agg(F.percentile("v", F.array(F.lit(0.5), F.lit(0.99), F.lit(1.0))).alias("p")).collect()}
     for hot in (False, True):
