@@ -37,7 +37,8 @@ the classes concerned are within the checked bound, their 16-byte keys are
 broadcast first and only the texts concerned travel.
 
 Defined cases: null and empty texts and texts shorter than ``LENGTH`` keep all
-bytes; repeated rows are copies of each other; an empty table gives an empty
+bytes; repeated rows are copies of each other; a text longer than ``BUFFER`` is worked on alone, memory follows
+it; an empty table gives an empty
 result.  Only ``doc_id`` and ``text`` are read.  Removing bytes may cut inside a
 character, so what is kept is binary.
 """

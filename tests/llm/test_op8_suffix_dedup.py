@@ -84,3 +84,14 @@ def test_repeats_inside_one_document_and_empty_table(documents):
     got = {r["doc_id"]: tuple(r)[1:] for r in S.digest(S.remove_repeated(documents(texts))).collect()}
     assert [got[0], got[1]] == brute(texts, 400) and got[0][1] == 900
     assert S.remove_repeated(documents(["x"]).limit(0)).count() == 0
+
+
+def test_texts_beyond_the_buffers(documents):
+    rng = random.Random(14)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    long = " ".join(rng.choice(words) for _ in range(80_000))
+    assert len(long) > max(S.BUFFER, 400_000)
+    other = "x" + long[S.BUFFER - 500 : S.BUFFER + 700] + "y" + long[:450] + "é" + " ".join(rng.choice(words) for _ in range(70_000))
+    texts = [long, other, long[5000:5390], "zz" + long[-401:] + "z"]
+    got = {r["doc_id"]: tuple(r)[1:] for r in S.digest(S.remove_repeated(documents(texts))).collect()}
+    assert [got[i] for i in range(4)] == brute(texts, 400) and got[0][1] > 2000
