@@ -213,12 +213,14 @@ def stream_failover(spark, sf_dir):
     return _touch_stream(spark, sf_dir, "st8", lambda t: S.stream_failover(t, LEASE_TTL_SECONDS, POLL_SECONDS))
 
 
-@register(
-    "stream_cadence_counts",
+_DAILY = (
     "select date_trunc('day', ts) as window_start, date_trunc('day', ts) + interval 1 day as window_end, event_type, "
     "count(*) as n, sum(cast(value as decimal(18,2))) as total_value from events "
-    "group by 1, 2, 3",
+    "group by 1, 2, 3"
 )
+
+
+@register("stream_cadence_counts", _DAILY)
 def stream_cadence_counts(spark, sf_dir):
     src, out, ck = C.paths(spark, "st9")
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value")
@@ -227,3 +229,33 @@ def stream_cadence_counts(spark, sf_dir):
     q = S.stream_cadence_counts(_stream_parquet(C.stream_session(spark), src, ev.schema, files))
     C.run_available_now(q, out, ck)
     return spark.read.parquet(out)
+
+
+def cadence_with_late_rows(spark, sf_dir):
+    """(window totals, rows that came too late for them): every 50th event is held back by half the table."""
+    src, out, ck = C.paths(spark, "st9l")
+    ev = table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value")
+    span = ev.agg(F.max("event_id") - F.min("event_id")).first()[0] or 0
+    held = F.when(F.col("event_id") % 50 == 0, F.lit(span // 2)).otherwise(F.lit(0))
+    files = C.stage_chunks(ev.withColumn("arrival", F.col("event_id") + held), src, "arrival", 2 * CHUNKS)
+    _close(ev.withColumn("arrival", F.col("event_id")), src, 2 * 86400, event_type="")
+    schema = spark.read.parquet(src).schema
+    stream = lambda: _stream_parquet(C.stream_session(spark), src, schema, files)
+    C.run_available_now(S.stream_cadence_counts(stream()), out, ck)
+    late, marks = out + "-late", out + "-marks"
+    timed = S.with_event_time(stream())
+    C.run_available_now(timed, out, ck + "-late", foreach_batch=C.late_batches(late, marks, "1 day"))
+    return spark.read.parquet(out), spark.read.schema(timed.schema.add("batch_id", "long")).parquet(late)
+
+
+@register("stream_cadence_late", _DAILY)
+def stream_cadence_late(spark, sf_dir):
+    """ST9 with rows sent late: what the windows hold and what the watermark dropped add up to the input."""
+    windows, late = cadence_with_late_rows(spark, sf_dir)
+    day = F.date_trunc("day", "ts").cast("timestamp_ntz")
+    dropped = late.select(
+        day.alias("window_start"), (day + F.expr("interval 1 day")).alias("window_end"), "event_type",
+        F.lit(1).cast("bigint").alias("n"), F.col("value").cast("decimal(18,2)").alias("total_value"),
+    )
+    both = windows.unionByName(dropped).groupBy("window_start", "window_end", "event_type")
+    return both.agg(F.sum("n").alias("n"), F.sum("total_value").cast("decimal(28,2)").alias("total_value"))

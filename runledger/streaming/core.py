@@ -131,6 +131,30 @@ def read_latest(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFram
     return _newest(_since_full(spark.read.parquet(path)), keys)
 
 
+def late_batches(late: str, marks: str, every: str) -> Callable:
+    """foreachBatch writer of the rows that a window stream over the same input drops: those whose window
+    (tumbling, of length ``every`` over ``event_time``) ends at or below the watermark that Spark holds late rows
+    against: the one of the batch before, which is the latest event time of all batches before that.  Rows go to ``late``, each batch's latest event time to ``marks``, both into
+    the batch's own partition, so a retried batch replaces its own output."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        mine = F.lit(batch_id).cast("bigint").alias("batch_id")
+        seen = batch.agg(F.max(F.unix_millis("event_time")).alias("ms")).select("ms", mine)
+        _replace(seen, marks)
+        before = spark.read.schema(seen.schema).parquet(marks).filter(F.col("batch_id") < batch_id - 1)
+        watermark = before.agg(F.max("ms")).first()[0]
+        end = F.unix_millis(F.window("event_time", every)["end"])
+        rows = batch.withColumn("_end", end).filter(F.col("_end") <= F.lit(watermark)).drop("_end")
+        _replace(rows.select("*", mine), late)
+
+    return write
+
+
+def _replace(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+
+
 class Killed(RuntimeError):
     """Stands for a worker that dies: raised behind a sink's write, before the batch is committed."""
 

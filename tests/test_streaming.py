@@ -248,3 +248,13 @@ def test_upserts_are_compacted(spark):
         assert {r.k: r.v for r in C.read_latest(spark, out, ["k"]).collect()} == want
     read = C._since_full(spark.read.parquet(out))
     assert sorted({r.batch_id for r in read.select("batch_id").distinct().collect()}) == [5, 6, 7]
+
+
+def test_late_rows_and_windows_add_up(spark):
+    from runledger.plans.q_stream import cadence_with_late_rows
+
+    windows, late = cadence_with_late_rows(spark, SF_SMALL)
+    total = spark.read.parquet(f"{SF_SMALL}/events.parquet").count()
+    n_late = late.count()
+    assert n_late > 0 and late.filter("event_id % 50 <> 0").count() == 0
+    assert windows.agg(F.sum("n")).first()[0] + n_late == total
