@@ -17,6 +17,7 @@ same bound.  Only finds are grouped, per document, so no key is hot.
 Defined cases: null texts have no words; an item without words has no
 windows; equal items are all reported; a null item_id is not reported as an
 item but its words count as hits; repeated document rows give one row each;
+the work on a very long text is in proportion to its words;
 empty tables work on either side.  Only ``doc_id``, ``text`` and ``item_id``
 are read.
 """

@@ -10,7 +10,7 @@ texts, so a text of any length costs the same per byte, and an endless word
 falls apart into short fragments.
 
 Work is per row: no shuffle.  Defined cases: null and empty texts have no ids
-and decode to ''; a special token's string inside a text gets the special id,
+and decode to ''; repeated rows are encoded each; a special token's string inside a text gets the special id,
 as the library does by default; code points that this Python does not know
 yet take the class that the tokenizer itself gives them.  Only the text
 column is read; other columns are passed through unchanged.

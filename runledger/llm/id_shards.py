@@ -20,7 +20,8 @@ ranges) plus its place in the range.
 
 Defined cases: null and empty texts hold the end id only; rows with a null
 doc_id come first; repeated rows are all written, in the order of their
-texts' hashes; an empty table writes no shard and reads back as no rows.
+texts' hashes; a very long text is encoded and compressed alone; only ``doc_id`` and ``text`` are read; an empty
+table writes no shard and reads back as no rows.
 """
 
 from __future__ import annotations

@@ -14,7 +14,7 @@ byte-level vocabulary the first kind begins with the space before the word.
 
 Defined cases: null and empty texts and texts of white space have no words
 and no tokens; a word that the vocabulary cannot spell counts as one unknown
-token; a word may have any length.  Only the text column is read; other
+token; a word may have any length; repeated rows are counted each.  Only the text column is read; other
 columns pass through.
 """
 

@@ -18,7 +18,7 @@ computed as arrays over batches of whole texts.
 
 Work is per row: no shuffle.  Defined cases: null and empty texts have no
 spans; a sample without hits trains a model that tags everything O; a token
-of any length is one token; decoded spans that touch a pattern span are not
+of any length is one token; repeated rows are scanned each, with equal spans; decoded spans that touch a pattern span are not
 added.  Only ``doc_id`` and ``text`` are read; other columns pass through.
 """
 

@@ -92,3 +92,9 @@ def test_redaction_keeps_rows_and_columns(documents):
 def test_no_hits_and_empty_table(documents):
     assert all(not r["secrets"] for r in S.scan(documents(["just words here", "and there"])).collect())
     assert S.scan(documents(["x"]).limit(0)).count() == 0
+
+
+def test_repeated_rows_are_scanned_each(documents):
+    docs = documents([TEXTS[0], TEXTS[0], TEXTS[0]], ids=[7, 7, 8])
+    rows = sorted(tuple(r) for r in S.digest(S.scan(docs)).collect())
+    assert [r[0] for r in rows] == [7, 7, 8] and len({r[1:] for r in rows}) == 1
