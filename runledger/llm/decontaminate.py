@@ -9,10 +9,14 @@ carries the item-sized stretch of words around it; the join with the windows
 checks position and length bounds and then compares the words themselves.
 
 Documents are never exploded into all their shingles and their texts are never
-shuffled: the shingle test runs inside the row, against a literal set of at
-most ``chunk`` hashes.  A benchmark with more shingles than that is taken in
-several passes, so whatever is embedded in a plan or broadcast stays below the
-same bound.  Only finds are grouped, per document, so no key is hot.
+shuffled: a shingle is first tested inside the row, against a bitmap of the
+benchmark's hashes.  The bitmap is built by Spark in blocks of 4 kB and is a
+literal of the plan, 128 kB to 8 MB long (``BITS``) whatever the benchmark; it
+only ever lets too much through.  What passes is joined with the windows by its
+hash, so there is one scan to count and one to find for a benchmark of any
+size.  A benchmark side is broadcast where it has been counted: at most
+``chunk`` rows and ``BROADCAST_BYTES``; beyond that the join shuffles finds.
+A window's items are joined last, once per document and window.
 
 Defined cases: null texts have no words; an item without words has no
 windows; equal items are all reported; a null item_id is not reported as an
@@ -32,24 +36,32 @@ from runledger.llm.text import alnum_words, bind, free_name, sha256_hex, text_or
 WINDOW = 13
 SHINGLE = 5
 CHUNK = 40_000
+BROADCAST_BYTES = 64 << 20
+#: least and greatest size of the bitmap, as powers of two (bits); about 32 bits a hash between them
+BITS = (20, 26)
+BLOCK = 15
 
 
 def _shingle(w: Column, at: Column, size: int) -> Column:
     return F.xxhash64(F.lit(size), *[F.get(w, at + k) for k in range(size)])
 
 
-def item_windows(benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """(words, size, s, items): the distinct windows and the items that hold them."""
-    w = benchmark.select(F.col("item_id"), alnum_words(text_or_empty(F.col("text"))).alias("w")).filter(
-        F.size("w") > 0
-    )
+def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(item_id, words): each item's windows, as strings and distinct."""
+    w = benchmark.select(
+        F.col("item_id").cast("string").alias("item_id"), alnum_words(text_or_empty(F.col("text"))).alias("w")
+    ).filter(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - window + 1, F.lit(1)))
-    return (
-        w.select("item_id", F.explode(F.transform(starts, lambda i: F.slice(F.col("w"), i, window))).alias("words"))
-        .groupBy("words")
-        .agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
-        .withColumn("size", F.size("words"))
-        .withColumn("s", F.least(F.lit(shingle), F.col("size")))
+    each = F.transform(starts, lambda i: F.slice(F.col("w"), i, window))
+    return w.select("item_id", F.explode(each).alias("words")).distinct()
+
+
+def numbered_windows(windows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(wid, words, size, s): the distinct windows, written once so that their numbers stay."""
+    numbered = windows.select("words").distinct().withColumn("wid", F.monotonically_increasing_id())
+    return _written(
+        windows.sparkSession,
+        numbered.withColumn("size", F.size("words")).withColumn("s", F.least(F.lit(shingle), F.col("size"))),
     )
 
 
@@ -62,15 +74,59 @@ def _shingles(w: Column, s: int) -> Column:
 
 
 def window_shingles(windows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """windows + (h, off): each window once per shingle."""
+    """(wid, h, off): each window once per shingle."""
     at = F.lit(None).cast("array<struct<h:bigint,i:int>>")
     for s in range(1, shingle + 1):
         at = F.when(F.col("s") == s, _shingles(F.col("words"), s)).otherwise(at)
-    return windows.select("*", F.inline(at)).withColumnRenamed("i", "off")
+    return windows.select("wid", F.inline(at)).withColumnRenamed("i", "off")
+
+
+def bitmap(hashes: DataFrame) -> bytes:
+    """The column ``h`` as a bitmap of bounded size: bit ``h mod 2^k`` is set.
+
+    Spark builds blocks of 2^15 bits; at most 2^(26 - 15) blocks come to the driver.
+    """
+    least, greatest = BITS
+    bits = min(greatest, max(least, (32 * hashes.count()).bit_length()))
+    at = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
+    blocks = (
+        hashes.select(F.shiftright(at, BLOCK).alias("block"), at.bitwiseAND(F.lit((1 << BLOCK) - 1)).alias("bit"))
+        .groupBy("block")
+        .agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+    )
+    size = 1 << (BLOCK - 3)
+    out = bytearray(1 << (bits - 3))
+    for block, part in blocks.collect():
+        out[block * size : (block + 1) * size] = part
+    return bytes(out)
+
+
+def _in_bitmap(bits: bytes):
+    """A test of a struct's ``h`` against the bitmap; most bytes are zero and need no second look."""
+    literal, mask = F.lit(bits), F.lit(8 * len(bits) - 1)
+
+    def test(e: Column) -> Column:
+        at = e["h"].bitwiseAND(mask)
+        byte = F.substring(literal, (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))
+        number = F.conv(F.hex(byte), 16, 10).cast("long")
+        return (byte != F.lit(b"\x00")) & (F.getbit(number, at.bitwiseAND(F.lit(7)).cast("int")) == 1)
+
+    return test
 
 
-def _finds(text: Column, hashes: dict[int, list[int]], window: int) -> Column:
-    """Array of (h, i, lo, ctx): shingles of the text that are in ``hashes`` (size -> set),
+def _sizes(windows: DataFrame) -> list[int]:
+    """The shingle sizes in use: at most ``shingle`` numbers."""
+    return sorted(r["s"] for r in windows.select("s").distinct().collect())
+
+
+def _passing(w: Column, sizes: list[int], test) -> Column:
+    """(h, i) of the words' shingles that pass the test."""
+    none = F.array().cast("array<struct<h:bigint,i:int>>")
+    return F.concat(none, *[F.filter(_shingles(w, s), test) for s in sizes])
+
+
+def _finds(text: Column, sizes: list[int], test, window: int) -> Column:
+    """(n_words, finds): array of (h, i, lo, ctx): shingles of the text that pass the test,
     their word position, and the words from position ``lo`` that any window around them needs."""
 
     def around(w: Column):
@@ -82,47 +138,34 @@ def _finds(text: Column, hashes: dict[int, list[int]], window: int) -> Column:
 
         return one
 
-    def listed(values: list[int]):
-        return lambda e: e["h"].isin(values)
-
     def body(w: Column) -> Column:
-        none = F.array().cast("array<struct<h:bigint,i:int,lo:int,ctx:array<string>>>")
-        parts = [F.transform(F.filter(_shingles(w, s), listed(v)), around(w)) for s, v in sorted(hashes.items())]
-        return F.struct(F.size(w).cast("long").alias("n_words"), F.concat(none, *parts).alias("finds"))
+        return F.struct(
+            F.size(w).cast("long").alias("n_words"), F.transform(_passing(w, sizes, test), around(w)).alias("finds")
+        )
 
     return bind(alnum_words(text_or_empty(text)), body)
 
 
-def _passes(shingles: DataFrame, chunk: int):
-    """The (s, h) pairs of a bounded pass: yields {size: hashes}, at most ``chunk`` hashes each."""
-    pairs = shingles.select("s", "h").distinct()
-    n = max(1, -(-pairs.count() // max(1, chunk // 2)))
-    for k in range(n):
-        got = pairs.filter(F.pmod(F.xxhash64("h"), F.lit(n)) == k).collect()
-        by_size: dict[int, list[int]] = {}
-        for s, h in got:
-            by_size.setdefault(s, []).append(h)
-        yield by_size
-
-
-def prefixes(docs: DataFrame, shingles: DataFrame, window: int = WINDOW, chunk: int = CHUNK) -> DataFrame:
-    """Of each window's shingles the rarest in the documents: windows + (h, off, n)."""
-    counts = None
-    for hashes in _passes(shingles, chunk):
-        if not hashes:
-            continue
-        found = docs.select(F.explode(F.transform(_finds(F.col("text"), hashes, 1)["finds"], lambda e: e["h"])).alias("h"))
-        counted = found.groupBy("h").agg(F.count("*").alias("n"))
-        counts = counted if counts is None else counts.unionByName(counted)
-    with_n = (
-        shingles.withColumn("n", F.lit(0).cast("long"))
-        if counts is None
-        else shingles.join(counts, "h", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+def prefixes(docs: DataFrame, windows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """Of each window's shingles the rarest in the documents: windows + (h, off)."""
+    shingles = window_shingles(windows, shingle)
+    test, sizes = _in_bitmap(bitmap(shingles.select("h").distinct())), _sizes(windows)
+    passing = bind(
+        alnum_words(text_or_empty(F.col("text"))), lambda w: F.transform(_passing(w, sizes, test), lambda e: e["h"])
     )
-    best = F.min(F.struct("n", "h", "off")).alias("best")
-    return (
-        with_n.groupBy("words", "size", "s", "items").agg(best).select("words", "size", "s", "items", "best.h", "best.off")
+    counts = docs.select(F.explode(passing).alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    best = (
+        shingles.join(counts, "h", "left")
+        .groupBy("wid")
+        .agg(F.min(F.struct(F.coalesce("n", F.lit(0).cast("long")).alias("n"), "h", "off")).alias("best"))
     )
+    return windows.join(best, "wid").select("wid", "words", "size", "best.h", "best.off")
+
+
+def _sized_side(df: DataFrame, width: Column, rows: int) -> DataFrame:
+    """``df``, to be broadcast if it has been found to be small."""
+    n, size = df.agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and size <= BROADCAST_BYTES else df
 
 
 def contamination(
@@ -131,36 +174,41 @@ def contamination(
     """One row per document: n_words, n_hit, n_items, items (sorted strings), row_key (hash of doc_id
     and text), contaminated."""
     spark = docs.sparkSession
-    shingles = window_shingles(item_windows(benchmark, window, shingle), shingle)
-    chosen = prefixes(docs, shingles, window, chunk)
-    # The chosen prefixes are the result of a pass over the documents: written once, read per pass.
-    chosen = _written(spark, chosen)
+    pairs = item_windows(benchmark, window)
+    windows = numbered_windows(pairs, shingle)
+    # The chosen prefixes are the result of a pass over the documents: written once.
+    chosen = _written(spark, prefixes(docs, windows, shingle))
+    members = pairs.filter("item_id is not null").join(windows, "words").select(F.col("wid").alias("of"), "item_id")
     key = F.xxhash64("doc_id", "text").alias("row_key")
     row = docs.select("doc_id", "text", key, F.monotonically_increasing_id().alias("rid"))
-    out = None
-    for hashes in _passes(chosen, chunk):
-        found = row.select("doc_id", "row_key", "rid", _finds(F.col("text"), hashes, window).alias("f")).select(
-            "doc_id", "row_key", "rid", F.col("f.n_words").alias("n_words"), F.explode_outer("f.finds").alias("e")
-        )
-        mine = chosen.filter(F.col("h").isin([h for hs in hashes.values() for h in hs])) if hashes else chosen.limit(0)
-        start = F.col("e.i") - F.col("off")
-        fits = (start >= 0) & (start + F.col("size") <= F.col("n_words"))
-        same = F.slice("e.ctx", F.greatest(start - F.col("e.lo") + 1, F.lit(1)), F.col("size")) == F.col("words")
-        hit = found.join(F.broadcast(mine), (F.col("e.h") == F.col("h")) & fits & same, "left").select(
-            "rid",
-            "doc_id",
-            "row_key",
-            "n_words",
-            F.when(F.col("h").isNotNull(), F.struct(start.alias("a"), (start + F.col("size")).alias("b"))).alias("span"),
-            "items",
+    test = _in_bitmap(bitmap(chosen.select("h").distinct()))
+    found = row.select("doc_id", "row_key", "rid", _finds(F.col("text"), _sizes(windows), test, window).alias("f")).select(
+        "doc_id", "row_key", "rid", F.col("f.n_words").alias("n_words"), F.explode_outer("f.finds").alias("e")
+    )
+    # Rows without a find or a window match nothing; keys of their own spread them where a join shuffles.
+    probe = F.coalesce(F.col("e.h"), F.col("rid"))
+    start = F.col("e.i") - F.col("off")
+    fits = (start >= 0) & (start + F.col("size") <= F.col("n_words"))
+    same = F.slice("e.ctx", F.greatest(start - F.col("e.lo") + 1, F.lit(1)), F.col("size")) == F.col("words")
+    prefix = _sized_side(chosen, 64 + F.length(F.concat_ws(" ", "words")), chunk)
+    hits = (
+        found.join(prefix, (probe == F.col("h")) & fits & same, "left")
+        .select("rid", "doc_id", "row_key", "n_words", "wid", F.struct(start.alias("a"), (start + F.col("size")).alias("b")).alias("x"))
+        .repartition("rid")
+        .groupBy("rid", "wid")
+        .agg(
+            *[F.first(c).alias(c) for c in ("doc_id", "row_key", "n_words")],
+            F.collect_set(F.when(F.col("wid").isNotNull(), F.col("x"))).alias("at"),
         )
-        out = hit if out is None else out.unionByName(hit)
+    )
+    names = _sized_side(members, 32 + F.length("item_id"), chunk)
+    out = hits.join(names, F.coalesce(F.col("wid"), -1 - F.col("rid")) == F.col("of"), "left")
     spans = out.groupBy("rid").agg(
         F.first("doc_id").alias("doc_id"),
         F.first("row_key").alias("row_key"),
         F.first("n_words").alias("n_words"),
-        F.sort_array(F.collect_set("span")).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_set("at")))).alias("spans"),
+        F.sort_array(F.collect_set("item_id")).alias("items"),
     )
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end"))
     covered = F.aggregate(

@@ -82,3 +82,29 @@ def test_no_python_on_the_main_path(spark, documents):
     bench = spark.createDataFrame([(1, "a b c")], "item_id bigint, text string")
     plan = contamination(documents(["x a b c"]), bench)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_plan_does_not_grow_with_the_benchmark(spark, documents):
+    def lines(n):
+        bench = spark.range(n).selectExpr("id as item_id", "concat_ws(' ', transform(sequence(1, 20), x -> 'w' || (id * 31 + x))) as text")
+        plan = contamination(documents(["x a b c"]), bench, chunk=10)._jdf.queryExecution().optimizedPlan()
+        return plan.treeString().count("\n"), plan.treeString().count("Join")
+
+    assert lines(3) == lines(3000)
+
+
+def test_a_full_bitmap_and_a_window_of_many_items(spark, documents, monkeypatch):
+    from runledger.llm import decontaminate as D
+
+    monkeypatch.setattr(D, "BITS", (15, 15))  # 2^15 bits for more hashes than that: most shingles pass, the join decides
+    shared = " ".join(f"s{i}" for i in range(13))
+    items = [(i, shared) for i in range(300)] + [(1000 + i, " ".join(f"v{i * 40 + k}" for k in range(40))) for i in range(1200)]
+    texts = [shared, "a " + shared + " b " + shared, items[700][1] + " and", "nothing of it", ""] + [
+        " ".join(f"u{k * i}" for k in range(200)) for i in range(20)
+    ]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    want = brute(texts, items)
+    assert want[0][2] == 300
+    for chunk in (100, 1_000_000):
+        got = {r["doc_id"]: tuple(r)[1:] for r in digest(contamination(documents(texts), bench, chunk=chunk)).collect()}
+        assert [got[i] for i in range(len(texts))] == want
