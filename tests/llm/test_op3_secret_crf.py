@@ -98,3 +98,34 @@ def test_repeated_rows_are_scanned_each(documents):
     docs = documents([TEXTS[0], TEXTS[0], TEXTS[0]], ids=[7, 7, 8])
     rows = sorted(tuple(r) for r in S.digest(S.scan(docs)).collect())
     assert [r[0] for r in rows] == [7, 7, 8] and len({r[1:] for r in rows}) == 1
+
+
+def plain_text(rng, n):
+    some = lambda: "".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 10)))
+    extra = lambda: str(rng.choice([f"{some()}.{some()}@{some()}.org", f"https://{some()}.net/{some()}", f"{rng.integers(1e9)}", f"{some()}-{some()}"]))
+    return " ".join(extra() if rng.random() < 0.03 else some() for _ in range(n))
+
+
+def test_secrets_outside_the_patterns_are_found_and_plain_texts_left_alone():
+    rng = np.random.default_rng(8)
+    train = [f'{plain_text(rng, 40)} token = "{hashlib.sha1(bytes([i])).hexdigest()}" {plain_text(rng, 40)}' for i in range(60)]
+    crf = S.Crf(*S.fit(train + [plain_text(rng, 120) for _ in range(100)]))
+    low, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    some = lambda alphabet, n: "".join(rng.choice(list(alphabet), n))
+    planted = {
+        "phrase": lambda: ("password is ", some(low, 7).capitalize() + some(digits, 3)),
+        "upper": lambda: ("", some(digits + "ABCDEF", 40)),
+        "vendor": lambda: ("", "ghp_" + some(low + low.upper() + digits, 36)),
+        "parts": lambda: ("the key ", "sk_live_" + some(low + low.upper() + digits, 24)),
+    }
+    for name, make in planted.items():
+        found = 0
+        for _ in range(50):
+            cue, value = make()
+            text = f'{plain_text(rng, 60)} {cue}"{value}". {plain_text(rng, 60)}'
+            assert not S.base_spans(text)
+            at = text.index(value)
+            found += (at, at + len(value), "crf") in S.spans_of([text], crf)[0]
+        assert found >= 35, (name, found)
+    plain = [plain_text(rng, 300) for _ in range(200)]
+    assert sum(map(len, S.spans_of(plain, crf))) <= 3  # of 60,000 tokens
