@@ -11,8 +11,8 @@ checks position and length bounds and then compares the words themselves.
 Documents are never exploded into all their shingles and their texts are never
 shuffled: a shingle is first tested inside the row, against a bitmap of the
 benchmark's hashes.  The bitmap is built by Spark in blocks of 4 kB and is a
-literal of the plan, 128 kB to 8 MB long (``BITS``) whatever the benchmark; it
-only ever lets too much through.  What passes is joined with the windows by its
+literal of the plan (named once or twice in it), 4 kB to 2 MB long (``BITS``)
+whatever the benchmark; it only ever lets too much through.  What passes is joined with the windows by its
 hash, so there is one scan to count and one to find for a benchmark of any
 size.  A benchmark side is broadcast where it has been counted: at most
 ``chunk`` rows and ``BROADCAST_BYTES``; beyond that the join shuffles finds.
@@ -38,7 +38,7 @@ SHINGLE = 5
 CHUNK = 40_000
 BROADCAST_BYTES = 64 << 20
 #: least and greatest size of the bitmap, as powers of two (bits); about 32 bits a hash between them
-BITS = (20, 26)
+BITS = (15, 24)
 BLOCK = 15
 
 
@@ -84,7 +84,7 @@ def window_shingles(windows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 def bitmap(hashes: DataFrame) -> bytes:
     """The column ``h`` as a bitmap of bounded size: bit ``h mod 2^k`` is set.
 
-    Spark builds blocks of 2^15 bits; at most 2^(26 - 15) blocks come to the driver.
+    Spark builds blocks of 2^15 bits; at most 2^(24 - 15) blocks come to the driver.
     """
     least, greatest = BITS
     bits = min(greatest, max(least, (32 * hashes.count()).bit_length()))
@@ -122,7 +122,7 @@ def _sizes(windows: DataFrame) -> list[int]:
 def _passing(w: Column, sizes: list[int], test) -> Column:
     """(h, i) of the words' shingles that pass the test."""
     none = F.array().cast("array<struct<h:bigint,i:int>>")
-    return F.concat(none, *[F.filter(_shingles(w, s), test) for s in sizes])
+    return F.filter(F.concat(none, *[_shingles(w, s) for s in sizes]), test)
 
 
 def _finds(text: Column, sizes: list[int], test, window: int) -> Column:
