@@ -57,3 +57,30 @@ def test_clashing_columns_and_no_leak(spark, documents):
     assert out.columns == [*docs.columns, "score"]
     same = Q.score(documents(["some words", "some words"], ids=[3, 9], hosts=["p", "q"]), Q.GatedAttention()).collect()
     assert same[0]["score"] == same[1]["score"]
+
+
+def slow_score(net, passages):
+    """One bag, passage by passage and number by number."""
+    import math
+
+    p, encoded, energies = net.p, [], []
+    for row in passages:
+        x = [(v - m) / s for v, m, s in zip(row, net.mean, net.std, strict=True)]
+        dense = lambda values, weights, j: sum(v * weights[i][j] for i, v in enumerate(values))
+        h = [math.tanh(dense(x, p["W"], j) + p["b"][j]) for j in range(len(p["b"]))]
+        gate = [math.tanh(dense(h, p["V"], j)) / (1 + math.exp(-dense(h, p["U"], j))) for j in range(len(p["w"]))]
+        encoded.append(h)
+        energies.append(sum(g * w for g, w in zip(gate, p["w"], strict=True)))
+    weights = [math.exp(e - max(energies)) for e in energies]
+    z = [sum(w * h[j] for w, h in zip(weights, encoded, strict=True)) / sum(weights) for j in range(len(p["c"]))]
+    return 1 / (1 + math.exp(-(sum(a * c for a, c in zip(z, p["c"], strict=True)) + p["c0"][0])))
+
+
+def test_scores_equal_a_slow_forward_pass(spark, documents):
+    docs = spark.read.parquet(f"{SF_CHECK}/documents.parquet").select("doc_id", "text")
+    net = Q.train(docs, spark.read.parquet(f"{SF_CHECK}/labels.parquet"))
+    assert net.constant is None
+    texts = [r["text"] for r in docs.orderBy("doc_id").collect()][::40] + [None, "", "one", "w " * 3000]
+    got = {r["doc_id"]: r["score"] for r in Q.score(documents(texts), net).collect()}
+    for i, t in enumerate(texts):
+        assert abs(got[i] - slow_score(net, Q.passages([t or ""])[0])) < 1e-9
