@@ -20,7 +20,10 @@ Defined cases: null or malformed URLs and captures without a time match
 nothing and are kept; an interval includes its first day and excludes its last;
 several changes on one day: the removal wins; adds without a removal in
 between continue one interval; a removal without an add does nothing; repeated
-captures give one row each; either table may be empty.
+captures give one row each; either table may be empty.  A very long URL has as many
+candidates as the longest listed pattern has host labels and path segments,
+not as many as the URL has: longer candidates could match nothing.  Only the
+columns named here are read, further ones do not matter.
 """
 
 from __future__ import annotations
@@ -48,13 +51,15 @@ def intervals(entries: DataFrame) -> DataFrame:
     )
 
 
-def candidates(url: Column) -> Column:
-    """The patterns that could list a URL: its host, the host's parents, host + path prefixes."""
+def candidates(url: Column, most_labels: int, most_segments: int) -> Column:
+    """The patterns that could list a URL: its host, the host's parents, host + path prefixes;
+    none with more host labels (for a host alone) or path segments than any listed pattern has."""
     host = F.lower(F.regexp_extract(url, URL, 1))
     path = F.regexp_extract(url, URL, 2)
     labels = F.split(host, r"\.", -1)
-    hosts = F.transform(labels, lambda _, i: F.array_join(F.slice(labels, i + 1, F.size(labels)), "."))
-    parts = F.array_remove(F.split(F.lower(path), "/", -1), "")
+    last = F.slice(labels, F.greatest(F.size(labels) - most_labels + 1, F.lit(1)), F.lit(most_labels))
+    hosts = F.transform(last, lambda _, i: F.array_join(F.slice(last, i + 1, F.lit(most_labels)), "."))
+    parts = F.slice(F.array_remove(F.split(F.lower(path), "/", -1), ""), F.lit(1), F.lit(most_segments))
     paths = F.transform(parts, lambda _, i: F.concat(host, F.lit("/"), F.array_join(F.slice(parts, 1, i + 1), "/")))
     return F.when(host != "", F.array_distinct(F.concat(hosts, paths))).otherwise(F.array().cast("array<string>"))
 
@@ -66,14 +71,16 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
         .groupBy("pattern")
         .agg(F.array_sort(F.collect_list(F.struct("list_name", "valid_from", "valid_to"))).alias("spans"))
     )
-    if lists.count() <= BROADCAST_PATTERNS:
+    labels, segments = F.size(F.split(F.split("pattern", "/", -1)[0], r"\.", -1)), F.size(F.split("pattern", "/", -1)) - 1
+    n, most_labels, most_segments = lists.agg(F.count("*"), F.max(labels), F.max(segments)).first()
+    if n <= BROADCAST_PATTERNS:
         lists = F.broadcast(lists)
     numbered = captures.select(F.monotonically_increasing_id().alias("rid"), "capture_id", "url", "fetched")
     rows = numbered.select(
         "rid",
         "capture_id",
         F.to_date("fetched").alias("day"),
-        F.explode_outer(candidates(F.col("url"))).alias("pattern"),
+        F.explode_outer(candidates(F.col("url"), most_labels or 0, most_segments or 0)).alias("pattern"),
     )
     active = F.filter(
         "spans",

@@ -1,6 +1,8 @@
 import datetime as dt
 import random
 
+from pyspark.sql import functions as F
+
 from runledger.llm.url_intervals import intervals, judge
 
 DAY = lambda k: dt.date(2024, 1, 1) + dt.timedelta(days=k)
@@ -58,3 +60,20 @@ def test_empty_tables(spark):
     captures = spark.createDataFrame([(1, "http://a.com/", DAY(0))], "capture_id bigint, url string, fetched date")
     assert [tuple(r) for r in judge(captures, entries).collect()] == [(1, 0, "", False)]
     assert judge(captures.limit(0), entries).count() == 0
+
+
+def test_very_long_urls_and_clashing_columns(spark):
+    deep, wide = "/".join(f"d{i}" for i in range(20_000)), ".".join(f"h{i}" for i in range(20_000))
+    log = [("l", "a.com/d0/d1", "add", DAY(0)), ("l", "h19998.h19999", "add", DAY(0)), ("l", "h0.h1", "add", DAY(0)), ("m", "A.com/d0/d1/d2", "add", DAY(1))]
+    urls = [f"http://a.com/{deep}", f"http://{wide}/x", f"http://a.com//d0/?{deep}", "http://x.a.com/d0/d1/d2"]
+    entries = spark.createDataFrame(log, "list_name string, pattern string, action string, day date")
+    captures = spark.createDataFrame([(i, u, DAY(2)) for i, u in enumerate(urls)], "capture_id bigint, url string, fetched date")
+    clashing = ["rid", "pattern", "spans", "found", "active", "day", "blocked", "n_active"]
+    captures = captures.withColumns({c: F.lit(c) for c in clashing})
+    entries = entries.withColumns({c: F.lit(c) for c in ("on", "was", "spans", "valid_to", "valid_from", "url", "rid")})
+    assert sorted(tuple(r) for r in judge(captures, entries).collect()) == [
+        (0, 2, "l:a.com/d0/d1,m:a.com/d0/d1/d2", True),
+        (1, 1, "l:h19998.h19999", True),
+        (2, 0, "", False),
+        (3, 0, "", False),
+    ]
