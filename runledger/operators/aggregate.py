@@ -81,7 +81,9 @@ def matrix_product(a: DataFrame, b: DataFrame, hot_rows: int = 1_000_000) -> Dat
 
 
 TILE = 128
-_HELD_TILES = 64
+_BAND = 512  # tiles of one band: packed together they still are one window partition of bounded size
+_HELD_CELLS = 4_000_000
+_PAIRS = 1_000_000
 
 
 def _tiles(m: DataFrame, row: str, col: str, tile: int) -> DataFrame:
@@ -95,83 +97,152 @@ def _tiles(m: DataFrame, row: str, col: str, tile: int) -> DataFrame:
     return placed.groupBy("tr", "tc").agg(F.collect_list("cell").alias("cells"))
 
 
+def _packed(tiles: DataFrame, shared: str, along: str, tile: int) -> DataFrame:
+    """Neighbouring tiles of one ``shared`` tile, packed until they hold tile^2 cells: (k, band, tiles).
+
+    A full tile stays alone; of a sparse matrix a pack holds as many cells as a full tile, so the number of
+    packs follows the cells, not the area.  A pack has less than 2 * tile^2 cells.
+    """
+    band = F.floor(F.col(along) / _BAND).alias("band")
+    before = Window.partitionBy("k", "band").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
+    filled = F.coalesce(F.sum(F.size("cells")).over(before), F.lit(0))
+    placed = tiles.select(F.col(shared).alias("k"), band, F.col(along).alias("t"), "cells")
+    packs = placed.select("*", F.floor(filled / (tile * tile)).alias("pack"))
+    return packs.groupBy("k", "band", "pack").agg(F.collect_list(F.struct("t", "cells")).alias("tiles"))
+
+
+def _products(x: tuple, y: tuple, tile: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, product) cells of two packs, given as arrays (outer coordinate, k within the tile, value).
+
+    Full packs are multiplied as arrays; sparse ones by the cells that share k, so the work follows the
+    multiplications.  A step holds a bounded number of cells.
+    """
+    (i, ki, a), (j, kj, b) = x, y
+    order = np.argsort(kj, kind="stable")
+    j, kj, b = j[order], kj[order], b[order]
+    first = np.searchsorted(kj, np.arange(tile + 1))
+    each = np.diff(first)[ki]
+    rows, ri = np.unique(i, return_inverse=True)
+    cols, cj = np.unique(j, return_inverse=True)
+    area = len(rows) * len(cols)
+    if area <= 4 * tile * tile and len(rows) <= 4 * tile and len(cols) <= 4 * tile and area * tile < 8 * each.sum():
+        left, right = np.zeros((len(rows), tile), np.uint64), np.zeros((tile, len(cols)), np.uint64)
+        np.add.at(left, (ri, ki), a)
+        np.add.at(right, (kj, cj), b)
+        has_left, has_right = np.zeros(left.shape, np.float32), np.zeros(right.shape, np.float32)
+        has_left[ri, ki], has_right[kj, cj] = 1, 1
+        r, c = np.nonzero((has_left @ has_right) > 0)
+        yield rows[r], cols[c], (left @ right)[r, c]  # unsigned, so products and sums wrap
+        return
+    ends = np.cumsum(each)
+    lo, done = 0, 0
+    while lo < len(i):
+        hi = max(lo + 1, int(np.searchsorted(ends, done + _PAIRS, side="right")))
+        n = each[lo:hi]
+        mine = np.repeat(np.arange(lo, hi), n)
+        other = np.arange(len(mine)) - np.repeat(np.cumsum(n) - n, n) + first[ki[mine]]
+        yield i[mine], j[other], a[mine] * b[other]
+        lo, done = hi, int(ends[hi - 1])
+
+
+def _summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Cells (place ..., value) with equal places added up, in the order of their places."""
+    *places, value = (np.concatenate(c) for c in zip(*parts, strict=True))
+    order = np.lexsort(places[::-1])
+    places, value = [p[order] for p in places], value[order]
+    new = np.ones(len(value), bool)
+    new[1:] = np.any([p[1:] != p[:-1] for p in places], axis=0)
+    heads = np.flatnonzero(new)
+    return (*(p[heads] for p in places), np.add.reduceat(value, heads) if len(heads) else value)
+
+
+def _slices(values: np.ndarray, heads: np.ndarray) -> pa.Array:
+    """One binary value per slice of ``values``."""
+    ends = (np.append(heads, len(values)) * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _joined(column: pa.Array, dtype: type) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all slices, and how many each has."""
+    column = column.cast(pa.large_binary())
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    size = np.dtype(dtype).itemsize
+    raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    return raw.view(dtype) if len(raw) else np.zeros(0, dtype), np.diff(ends) // size
+
+
 def matrix_product_tiles(a: DataFrame, b: DataFrame, tile: int = TILE) -> DataFrame:
-    """J11 by blocks, for dense matrices: C = A . B, cells wrap modulo 2^64.
-
-    ``a``: (i, k, v), ``b``: (k, j, v), one row per cell, no null coordinates.  Both become blocks of ``tile`` x ``tile`` cells;
-    blocks that share k meet, are multiplied as arrays, and the block products of one
-    place are added up: in the task first, then after one shuffle.  That moves tile^2 cells per block
-    product instead of one row per multiplication (tile^3).  A block, and what a task
-    holds, is bounded by ``tile``.  A cell is in the result if some k has both factors, as in
-    ``matrix_product``.
+    """J11 by blocks: C = A . B, cells wrap modulo 2^64.
+
+    ``a``: (i, k, v), ``b``: (k, j, v), one row per cell, no null coordinates.  Both become blocks of ``tile`` x ``tile`` cells,
+    and neighbouring sparse blocks one pack of as many cells as a full block; packs that share k meet and are multiplied,
+    full ones as arrays, sparse ones by their cells.  The products of one place are added up: in the task first, then after
+    one shuffle of the cells of each place.  That moves tile^2 cells per product of full blocks instead of one
+    row per multiplication (tile^3), and never a cell that no multiplication gives.  A pack, and what a task holds,
+    is bounded.  A cell is in the result if some k has both factors, as in ``matrix_product``.
     """
-    n = tile * tile
-
-    def dense(cells: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        flat = cells.flatten()
-        value, there = np.zeros(n, np.uint64), np.zeros(n, np.float32)
-        at = flat.field("at").to_numpy()
-        np.add.at(value, at, flat.field("v").to_numpy().view(np.uint64))
-        there[at] = 1
-        return value.reshape(tile, tile), there.reshape(tile, tile)
-
-    def emit(held: dict) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([k[0] for k in held], pa.int64()),
-                pa.array([k[1] for k in held], pa.int64()),
-                pa.array([c.tobytes() for c, _ in held.values()], pa.binary()),
-                pa.array([np.packbits(t).tobytes() for _, t in held.values()], pa.binary()),
-            ],
-            ["tr", "tc", "cells", "there"],
-        )
+
+    def pack(tiles: pa.Array, k_first: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        flat = tiles.flatten()
+        cells = flat.field("cells")
+        flat_cells = cells.flatten()
+        at = flat_cells.field("at").to_numpy().astype(np.int64)
+        base = np.repeat(flat.field("t").to_numpy() * tile, cells.value_lengths().to_numpy())
+        k, outer = (at // tile, at % tile) if k_first else (at % tile, at // tile)
+        return base + outer, k, flat_cells.field("v").to_numpy().view(np.uint64)
+
+    def emit(held: list) -> pa.RecordBatch:
+        i, j, v = held[0]
+        tr, tc = i // tile, j // tile
+        tr, tc, at, v = _summed([(tr, tc, (i - tr * tile) * tile + (j - tc * tile), v)])
+        new = np.ones(len(v), bool)
+        new[1:] = (tr[1:] != tr[:-1]) | (tc[1:] != tc[:-1])
+        heads = np.flatnonzero(new)
+        columns = [pa.array(tr[heads]), pa.array(tc[heads]), _slices(at.astype(np.int32), heads), _slices(v, heads)]
+        return pa.RecordBatch.from_arrays(columns, ["tr", "tc", "at", "cells"])
 
     def multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        held, n = [], 0
         for batch in batches:
             for r in range(batch.num_rows):
-                place = (batch.column(0)[r].as_py(), batch.column(2)[r].as_py())
-                (x, there_x), (y, there_y) = (dense(batch.column(c).slice(r, 1)) for c in (1, 3))
-                cells, there = x @ y, (there_x @ there_y) > 0  # unsigned, so products and sums wrap
-                if place in held:
-                    cells, there = cells + held[place][0], there | held[place][1]
-                held[place] = (cells, there)
-                if len(held) >= _HELD_TILES:
-                    yield emit(held)
-                    held = {}
-        if held:
-            yield emit(held)
+                x, y = (pack(batch.column(c).slice(r, 1), c == 1) for c in (0, 1))
+                for cells in _products(x, y, tile):
+                    held.append(cells)
+                    n += len(cells[0])
+                    if n >= _HELD_CELLS:
+                        held = [_summed(held)]
+                        n = len(held[0][0])
+                        if n > _HELD_CELLS // 2:
+                            yield emit(held)
+                            held, n = [], 0
+        if n:
+            yield emit([_summed(held)])
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, cells, there = None, None, None
-
-        def cell_rows() -> pa.RecordBatch:
-            at = np.flatnonzero(there)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(place[0] * tile + at // tile, pa.int64()),
-                    pa.array(place[1] * tile + at % tile, pa.int64()),
-                    pa.array(cells[at].view(np.int64), pa.int64()),
-                ],
-                ["i", "j", "c"],
-            )
+        def cell_rows(cells: tuple) -> pa.RecordBatch:
+            tr, tc, at, v = cells
+            columns = [pa.array(tr * tile + at // tile), pa.array(tc * tile + at % tile), pa.array(v.view(np.int64))]
+            return pa.RecordBatch.from_arrays(columns, ["i", "j", "c"])
 
+        held = None  # the last place, which may go on in the next batch
         for batch in batches:
-            for tr, tc, raw, bits in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                x, t = np.frombuffer(raw, np.uint64), np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
-                if place == (tr, tc):
-                    cells, there = cells + x, there | t
-                    continue
-                if place is not None:
-                    yield cell_rows()
-                place, cells, there = (tr, tc), x, t
-        if place is not None:
-            yield cell_rows()
-
-    left = _tiles(a, "i", "k", tile).select("tr", F.col("tc").alias("k"), F.col("cells").alias("x"))
-    right = _tiles(b, "k", "j", tile).select(F.col("tr").alias("k"), "tc", F.col("cells").alias("y"))
-    pairs = left.join(right, "k").select("tr", "x", "tc", "y")
-    blocks = pairs.mapInArrow(multiplied, "tr bigint, tc bigint, cells binary, there binary")
+            at, sizes = _joined(batch.column(2), np.int32)
+            v, _ = _joined(batch.column(3), np.uint64)
+            part = (*(np.repeat(batch.column(c).to_numpy(), sizes) for c in (0, 1)), at.astype(np.int64), v)
+            cells = _summed([part] if held is None else [held, part])
+            if not len(cells[0]):
+                continue
+            last = (cells[0] == cells[0][-1]) & (cells[1] == cells[1][-1])
+            held = tuple(c[last] for c in cells)
+            if not last.all():
+                yield cell_rows(tuple(c[~last] for c in cells))
+        if held is not None:
+            yield cell_rows(held)
+
+    left = _packed(_tiles(a, "i", "k", tile), "tc", "tr", tile).select("k", F.col("tiles").alias("x"))
+    right = _packed(_tiles(b, "k", "j", tile), "tr", "tc", tile).select("k", F.col("tiles").alias("y"))
+    pairs = left.join(right, "k").select("x", "y")
+    blocks = pairs.mapInArrow(multiplied, "tr bigint, tc bigint, at binary, cells binary")
     dealt = blocks.repartition("tr", "tc").sortWithinPartitions("tr", "tc")
     signed = dealt.mapInArrow(added, "i bigint, j bigint, c bigint")
     wide = F.col("c").cast("decimal(20,0)")

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,6 +34,36 @@ def test_blocks_move_fewer_cells(spark):
     assert A.matrix_product_tiles(a, b, 32).count() == 64 * 64
 
 
+def test_sparse_blocks_are_packed(spark):
+    # 4,000 cells far apart: nearly each in a tile of its own, but the packs follow the cells
+    a = spark.range(4000).selectExpr("id * 7919 % 40000 as i", "id * 104729 % 3000 as k", "id - 2000 as v").repartition(5)
+    b = spark.range(9000).selectExpr("id % 3000 as k", "id div 3000 * 50 as j", "id * id as v")
+    tiles = A._tiles(a, "i", "k", 16)
+    packs = A._packed(tiles, "tc", "tr", 16)
+    assert tiles.count() > 3900 and packs.count() <= 3000 // 16 * 6
+    spread = packs.selectExpr("aggregate(tiles, 0, (n, t) -> n + size(t.cells)) as n").agg(F.sum("n"), F.max("n")).first()
+    assert spread[0] == 4000 and spread[1] < 2 * 16 * 16
+    want = sorted((r.i, r.j, int(r.c)) for r in A.matrix_product(a, b).collect())
+    assert sorted((r.i, r.j, int(r.c)) for r in A.matrix_product_tiles(a, b, 16).collect()) == want and len(want) > 11000
+
+
+@pytest.mark.parametrize(("cells", "spread"), [(900, 16), (900, 5000)])
+def test_products_of_packs(cells, spread, monkeypatch):
+    monkeypatch.setattr(A, "_PAIRS", 50)
+    rnd = np.random.default_rng(cells + spread)
+    x = (rnd.integers(-spread, spread, cells), rnd.integers(0, 16, cells), rnd.integers(0, 2**64, cells, np.uint64))
+    y = (rnd.integers(-spread, spread, cells), rnd.integers(0, 16, cells), rnd.integers(0, 2**64, cells, np.uint64))
+    parts = list(A._products(x, y, 16))
+    assert (len(parts) > 1) == (spread == 5000)  # full packs as arrays, sparse ones cell by cell in steps
+    want = {}
+    for i, ki, v in zip(*x):
+        for j, kj, w in zip(*y):
+            if ki == kj:
+                want[i, j] = (want.get((i, j), 0) + int(v) * int(w)) % 2**64
+    i, j, c = A._summed(parts)
+    assert dict(zip(zip(i, j), c.tolist())) == want and len(i) == len(want)
+
+
 @pytest.mark.parametrize("hot", [False, True])
 def test_cadence_restarts_in_every_attempt(spark, hot, monkeypatch):
     if hot:
