@@ -169,6 +169,16 @@ def run_diff(spark, sf_dir):
     return AU.run_diff(full, cut, ["word"], ["n"])
 
 
+# Text of one task of the per-document count: what it holds are the distinct (document, word) pairs of that text.
+_TASK_TEXT = 8 << 20
+
+
+def _by_document(docs, task_text: int = _TASK_TEXT):
+    """The documents dealt by doc_id, seven parts or more: as many as the text needs."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return docs.repartition(max(7, -(-size // task_text)), "doc_id")
+
+
 @register(
     "run_identity",
     with_ctes(
@@ -188,7 +198,7 @@ def run_identity(spark, sf_dir):
     """A run against one that counted per document first and was partitioned otherwise."""
     docs = table(spark, sf_dir, "documents")
     a = A.word_count(A.tokenize(docs))
-    per_doc = A.tokenize(docs.repartition(7, "doc_id")).groupBy("doc_id", "word").count()
+    per_doc = A.tokenize(_by_document(docs)).groupBy("doc_id", "word").count()
     return AU.run_identity(a, per_doc.groupBy("word").agg(F.sum("count").alias("n")))
 
 

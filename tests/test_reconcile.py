@@ -84,6 +84,16 @@ def test_exit_outcome(spark):
     assert got == {("j", 1): (137, "completed"), ("k", 1): (0, "completed"), ("k", 2): (2, "failed"), ("l", 1): (None, "failed")}
 
 
+def test_run_identity_deals_documents_by_their_text(spark):
+    from runledger.plans.q_audit import _by_document
+
+    docs = spark.range(300).selectExpr("id as doc_id", "repeat('word ', 100) as text")
+    parts = _by_document(docs, 5_000)
+    assert parts.rdd.getNumPartitions() == 30  # 150,000 bytes
+    assert max(parts.rdd.glom().map(len).collect()) < 30
+    assert _by_document(docs).rdd.getNumPartitions() == 7 and _by_document(docs.limit(0)).rdd.getNumPartitions() == 7
+
+
 def test_run_identity_is_a_multiset_difference(spark):
     from runledger.operators.audit import run_diff, run_identity, run_identity_diff
 
