@@ -105,12 +105,21 @@ def _edges(start: str, end: str, released: str | None = None) -> list[F.Column]:
     ]
 
 
-def _swept(events: DataFrame, keys: Sequence[str], own: str | None, hot: bool | None) -> DataFrame:
-    """Probes (``_o`` = 1) with the number of open intervals per key and, with ``own``, per (key, own)."""
+def _swept(events: DataFrame, keys: Sequence[str], own: str | None, hot: bool | None, hot_own: bool | None = None) -> DataFrame:
+    """Probes (``_o`` = 1) with the number of open intervals per key and, with ``own``, per (key, own).
+
+    A key may be hot where none of its (key, own) is (``hot_own``; None: as ``hot``).
+    """
     order = ["_t", "_o", F.col("_p._probe_id")]
-    run = ordered.running_sums(events, list(keys), order, None, {"n_cover": F.col("_d")}, levels=0, hot=hot)
+    run = events
     if own:
-        run = ordered.running_sums(run, [*keys, own], order, None, {"n_own": F.col("_d")}, levels=0, hot=hot)
+        hot_own = hot if hot_own is None else hot_own
+        run = ordered.running_sums(run, [*keys, own], order, None, {"n_own": F.col("_d")}, levels=0, hot=hot_own)
+    if hot is None:
+        hot = ordered.has_hot_key(events, keys)
+    if hot:
+        run = ordered.pinned(run)  # a hot key's rows are counted, sampled and cut
+    run = ordered.running_sums(run, list(keys), order, None, {"n_cover": F.col("_d")}, levels=0, hot=hot)
     return run.filter(F.col("_o") == 1).select("_p.*", "n_cover", *(["n_own"] if own else []))
 
 
@@ -123,6 +132,7 @@ def coverage(
     at: str,
     own: str | None = None,
     hot: bool | None = None,
+    hot_own: bool | None = None,
 ) -> DataFrame:
     """Number of closed intervals [start, end] of the same keys covering each probe.
 
@@ -141,7 +151,7 @@ def coverage(
         *by, F.col(at).alias("_t"), F.lit(1).alias("_o"), F.lit(0).cast("bigint").alias("_d"),
         F.struct(*[F.col(c) for c in probes.columns]).alias("_p"),
     )
-    return _swept(marks.unionByName(pts), keys, own, hot)
+    return _swept(marks.unionByName(pts), keys, own, hot, hot_own)
 
 
 def start_by_holder(
@@ -153,12 +163,14 @@ def start_by_holder(
     ts: str = "ts",
     probe_id: str = "seq",
     hot: bool | None = None,
+    hot_own: bool | None = None,
 ) -> DataFrame:
     """Per start, how many holds of its key cover it and whether the
     starter itself held the lease; a start without its own hold is a violation.
     Both counts come from one sweep."""
     p = starts.withColumn("_probe_id", F.col(probe_id))
-    found = coverage(holds.withColumnRenamed(holder, starter), p, [key], "from_ts", "until_ts", ts, own=starter, hot=hot)
+    renamed = holds.withColumnRenamed(holder, starter)
+    found = coverage(renamed, p, [key], "from_ts", "until_ts", ts, own=starter, hot=hot, hot_own=hot_own)
     own_hold = F.col("n_own") > 0
     return found.select(
         *starts.columns, F.col("n_cover").alias("n_covering"), own_hold.alias("own_hold"), (~own_hold).alias("violation")

@@ -89,11 +89,13 @@ HOLDS_SQL = (
 
 
 def _holds(spark, sf_dir):
-    """(holds, hot): the holds, and whether some key is too large for one task
+    """(holds, hot, hot_own): the holds, and whether some key, or some holder of a key, is too large for one task
     (a key has at most two marks per touch and one probe per start)."""
     touches = fx.lease_touches(spark, sf_dir)
-    hot = ordered.has_hot_key(touches, ["lease_key"], ordered.HOT_ROWS // 3)
-    return LE.lease_holds(touches, LEASE_TTL_SECONDS, hot=hot), hot
+    most = ordered.HOT_ROWS // 3
+    hot = ordered.has_hot_key(touches, ["lease_key"], most)
+    hot_own = hot and ordered.has_hot_key(touches, ["lease_key", "holder"], most)
+    return LE.lease_holds(touches, LEASE_TTL_SECONDS, hot=hot_own), hot, hot_own
 
 
 @register("lease_holds", with_ctes("select * from holds", "lease_touches", extra={"holds": HOLDS_SQL}))
@@ -154,7 +156,7 @@ def lease_holds_ops(spark, sf_dir):
     ),
 )
 def failover_gap(spark, sf_dir):
-    holds, hot = _holds(spark, sf_dir)
+    holds, hot, _ = _holds(spark, sf_dir)
     return LE.failover_gap(holds, LEASE_TTL_SECONDS, POLL_SECONDS, hot=hot)
 
 
@@ -172,8 +174,8 @@ def failover_gap(spark, sf_dir):
     ),
 )
 def start_by_holder(spark, sf_dir):
-    holds, hot = _holds(spark, sf_dir)
-    return LE.start_by_holder(fx.lease_starts(spark, sf_dir), holds, hot=hot)
+    holds, hot, hot_own = _holds(spark, sf_dir)
+    return LE.start_by_holder(fx.lease_starts(spark, sf_dir), holds, hot=hot, hot_own=hot_own)
 
 
 @register(
@@ -187,5 +189,5 @@ def start_by_holder(spark, sf_dir):
     ),
 )
 def lease_overlap(spark, sf_dir):
-    holds, hot = _holds(spark, sf_dir)
+    holds, hot, _ = _holds(spark, sf_dir)
     return LE.lease_overlap(holds, hot=hot)

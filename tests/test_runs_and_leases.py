@@ -110,6 +110,21 @@ def test_overlap_and_starts(spark):
     assert got == {1: (1, True, False), 2: (0, False, True), 3: (1, True, False)}
 
 
+def test_starts_of_a_hot_key_with_small_holders(spark, monkeypatch):
+    from conftest import SF_CHECK
+    from runledger.plans import q_runs
+
+    want = sorted(map(tuple, q_runs.start_by_holder(spark, SF_CHECK).collect()))
+    monkeypatch.setattr(ordered, "HOT_ROWS", 1500)  # 2,000 touches a key, at most a few dozen a holder
+    monkeypatch.setattr(ordered, "RANGE_ROWS", 700)
+    written, pinned = [], ordered.pinned
+    monkeypatch.setattr(ordered, "pinned", lambda df: written.append(df) or pinned(df))
+    holds, hot, hot_own = q_runs._holds(spark, SF_CHECK)
+    assert hot and not hot_own and not written  # no holder of a key is cut
+    assert sorted(map(tuple, q_runs.start_by_holder(spark, SF_CHECK).collect())) == want
+    assert len(written) == 2  # the sweep's rows and their ranges
+
+
 def _held(ops, ttl):
     """The lock itself, step by step: (holder, from, last, until, touches) of every hold of one key."""
     holds, who, until = [], None, None
