@@ -4,7 +4,7 @@ A stateful key is a *group* of keys (a hash of the key), so that one call works
 many jobs or leases as arrays.  What a group still waits for (rows above the
 watermark, open holds, running clocks) is one value, written as a small Arrow
 table; it is bounded by what is open.  State that is kept for every job for ever
-is a map entry per job, and a batch reads and writes only the jobs it touches.
+is a map: an entry per job, or in the replay per slot of jobs, and a batch reads and writes only the entries it touches.
 Event-time timers wake a group when the watermark reaches what it waits for; a
 group that waits for nothing holds no value and no timer.
 """
@@ -26,12 +26,19 @@ from runledger.schemas import STATES, transition_matrix
 
 #: Groups of keys: fixed when a stream first runs; several per state partition on any cluster of this size.
 GROUPS = 64
+#: Map entries that hold the jobs of a group in the replay.
+SLOTS = 256
 
 
 def key_group(*keys: str, groups: int = GROUPS) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(groups)).alias("_group")
 
 
+def key_slot(*keys: str, slots: int = SLOTS) -> Column:
+    """A part of the key's group (by other bits of the hash)."""
+    return F.pmod(F.shiftright(F.xxhash64(*keys), 32), F.lit(slots)).cast("int").alias("slot")
+
+
 def _packed(df: pd.DataFrame) -> bytes:
     batch = pa.RecordBatch.from_pandas(df, preserve_index=False)
     sink = pa.BufferOutputStream()
@@ -110,16 +117,44 @@ def _map_key(job) -> tuple[str]:
     return ("-",) if job is None or job != job else ("=" + str(job),)
 
 
+_JOBS = pa.schema([("job", pa.string()), ("cur", pa.int8()), ("applied", pa.int64()), ("rejected", pa.int64())])
+
+
 class Replay(GroupProcessor):
-    """ST3: requests at or below the watermark are applied in ``seq`` order by prefix composition."""
+    """ST3: requests at or below the watermark are applied in ``seq`` order by prefix composition.
+
+    The states of a group's jobs lie in ``SLOTS`` map entries by a hash of the job, each a small Arrow table, so
+    the state calls of a batch follow the slots that it touches and not its jobs.
+    """
 
     def prepare(self, handle: StatefulProcessorHandle) -> None:
-        self.jobs = handle.getMapState("jobs", "job string", "cur int, applied long, rejected long")
+        self.jobs = handle.getMapState("jobs", "slot int", "data binary")
         self.index = {s: i for i, s in enumerate(STATES)}
         self.legal = np.array(transition_matrix(), dtype=bool)
 
+    def _known(self, slots: np.ndarray) -> tuple[pd.Index, np.ndarray, np.ndarray]:
+        """Names, slots and (state, applied, rejected) of all jobs in these slots."""
+        found = [(s, self.jobs.getValue((s,))) for s in slots.tolist()]
+        parts = [(s, pa.ipc.open_stream(bytes(v[0])).read_all()) for s, v in found if v is not None]
+        table = pa.concat_tables([t for _, t in parts]) if parts else _JOBS.empty_table()
+        at = np.repeat([s for s, _ in parts], [len(t) for _, t in parts]).astype(np.int64)
+        values = np.stack([table[c].to_numpy().astype(np.int64) for c in ("cur", "applied", "rejected")])
+        return pd.Index(table["job"].to_numpy(), dtype=object), at, values
+
+    def _keep(self, names: np.ndarray, slots: np.ndarray, values: np.ndarray) -> None:
+        order = np.argsort(slots, kind="stable")
+        slots, values = slots[order], values[:, order]
+        columns = [pa.array(names[order], pa.string()), pa.array(values[0].astype(np.int8)), *map(pa.array, values[1:])]
+        table = pa.RecordBatch.from_arrays(columns, schema=_JOBS)
+        heads = np.flatnonzero(np.diff(slots, prepend=-1))
+        for a, b in zip(heads.tolist(), np.append(heads[1:], len(slots)).tolist(), strict=True):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, _JOBS) as out:
+                out.write_batch(table.slice(a, b - a))
+            self.jobs.updateValue((int(slots[a]),), (sink.getvalue().to_pybytes(),))
+
     def advance(self, held, rows, watermark_ms):
-        every = _both(held, rows[["job_id", "seq", "to_state", "ms"]] if rows is not None else None)
+        every = _both(held, rows[["job_id", "slot", "seq", "to_state", "ms"]] if rows is not None else None)
         ready = (every["ms"] <= watermark_ms).to_numpy()
         kept = every[~ready]
         wake = None if kept.empty else int(kept["ms"].min())
@@ -132,16 +167,25 @@ class Replay(GroupProcessor):
         first = np.ones(len(now), bool)
         first[1:] = job[1:] != job[:-1]
         heads = np.flatnonzero(first)
-        keys = [_map_key(j) for j in now["job_id"].iloc[heads]]
-        old = [self.jobs.getValue(k) or (0, 0, 0) for k in keys]
-        start = np.repeat([v[0] for v in old], np.diff(np.append(heads, len(now))))
+        ends = np.append(heads[1:], len(now)) - 1
+        size = ends - heads + 1
+        ids = now["job_id"].iloc[heads]
+        names = ("=" + ids.astype(object).fillna("")).where(ids.notna(), "-").to_numpy(object)  # null jobs are a job of their own
+        slots = now["slot"].to_numpy(np.int64)[heads]
+        known, at, values = self._known(np.unique(slots))
+        fresh = known.get_indexer(names) < 0
+        known = known.append(pd.Index(names[fresh], dtype=object))
+        at = np.append(at, slots[fresh])
+        values = np.hstack([values, np.zeros((3, int(fresh.sum())), np.int64)])
+        place = known.get_indexer(names)
+        start = np.repeat(values[0, place], size)
         target = now["to_state"].map(self.index).fillna(-1).to_numpy(np.int64)
         before, accepted, after = step_states(target, first, start, self.legal)
-        ends = np.append(heads[1:], len(now)) - 1
         applied = np.add.reduceat(accepted.astype(np.int64), heads)
-        size = np.diff(np.append(heads, len(now)))
-        for k, v, cur, good, n in zip(keys, old, after[ends].tolist(), applied.tolist(), size.tolist(), strict=True):
-            self.jobs.updateValue(k, (int(cur), v[1] + good, v[2] + n - good))
+        values[0, place] = after[ends]
+        values[1, place] += applied
+        values[2, place] += size - applied
+        self._keep(known.to_numpy(object), at, values)
         out = now[["job_id", "seq", "to_state"]].copy()
         out["from_state"] = np.array(STATES, dtype=object)[before]
         out["accepted"] = accepted
@@ -281,7 +325,7 @@ def _timed(df: DataFrame, ts: str, delay: str) -> DataFrame:
 
 def replayed(requests: DataFrame, key: str, seq: str, to: str, ts: str, delay: str, groups: int = GROUPS) -> DataFrame:
     rows = _timed(requests, ts, delay).select(
-        key_group(key, groups=groups), F.col(key).cast("string").alias("job_id"), F.col(seq).cast("bigint").alias("seq"),
+        key_group(key, groups=groups), key_slot(key), F.col(key).cast("string").alias("job_id"), F.col(seq).cast("bigint").alias("seq"),
         F.col(to).alias("to_state"), F.floor(epoch_micros(ts) / 1000).cast("bigint").alias("ms"), "event_time",
     )
     return rows.groupBy("_group").transformWithStateInPandas(

@@ -3,6 +3,8 @@
 import datetime as dt
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -258,3 +260,44 @@ def test_late_rows_and_windows_add_up(spark):
     n_late = late.count()
     assert n_late > 0 and late.filter("event_id % 50 <> 0").count() == 0
     assert windows.agg(F.sum("n")).first()[0] + n_late == total
+
+
+def test_replay_state_calls_follow_slots_not_jobs():
+    from runledger.schemas import STATES
+    from runledger.streaming.state import Replay
+
+    class Entries(dict):
+        calls = 0
+
+        def getValue(self, key):  # noqa: N802 - Spark's name
+            self.calls += 1
+            return self.get(key)
+
+        def updateValue(self, key, value):  # noqa: N802 - Spark's name
+            self.calls += 1
+            self[key] = value
+
+    class Handle:
+        def getMapState(self, *_):  # noqa: N802 - Spark's name
+            return Entries()
+
+    rnd = np.random.default_rng(5)
+    names = np.array([None, "-", "=", "=-", "", *[f"job-{i}" for i in range(995)]], dtype=object)
+    job = rnd.integers(0, len(names), 6000)
+    rows = pd.DataFrame({"job_id": names[job], "slot": job % 8, "seq": np.arange(6000), "ms": np.arange(6000) // 10,
+                         "to_state": rnd.choice([*STATES, "nonsense"], 6000)})
+    whole, cut = Replay(), Replay()
+    for p in (whole, cut):
+        p.prepare(Handle())
+    want, kept, wake = whole.advance(None, rows, 10_000)
+    assert kept.empty and wake is None and len(want) == 6000 and whole.jobs.calls == 16
+    parts, held = [], None
+    for lo, mark in ((0, 150), (2000, 390), (4000, 10_000)):
+        out, held, _ = cut.advance(held, rows.iloc[lo : lo + 2000], mark)
+        parts.append(out)
+    got = pd.concat(parts).sort_values("seq", ignore_index=True)
+    pd.testing.assert_frame_equal(got, want.sort_values("seq", ignore_index=True))
+    assert cut.jobs.calls == 48
+    for a, b in zip(whole._known(np.arange(8)), cut._known(np.arange(8)), strict=True):
+        assert len(a) == len(b)
+    assert sum(whole._known(np.arange(8))[2][1:].sum(axis=0)) == 6000
