@@ -95,3 +95,44 @@ def test_texts_beyond_the_buffers(documents):
     texts = [long, other, long[5000:5390], "zz" + long[-401:] + "z"]
     got = {r["doc_id"]: tuple(r)[1:] for r in S.digest(S.remove_repeated(documents(texts))).collect()}
     assert [got[i] for i in range(4)] == brute(texts, 400) and got[0][1] > 2000
+
+
+def test_texts_reach_python_in_small_batches(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 150).alias("text"))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+
+    def sizes(texts):
+        def run(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                yield pa.RecordBatch.from_pydict({"bytes": [b.nbytes], "n": [b.num_rows]})
+
+        return texts.mapInArrow(run, "bytes bigint, n bigint")
+
+    rows = S._written(sizes(docs.select("text")), "sizes").collect()  # 28,800,000 bytes in one task
+    assert sum(r["n"] for r in rows) == 3000
+    assert max(r["bytes"] for r in rows) < 2 * S.BATCH_BYTES
+    assert spark.conf.get(name) == before
+
+
+@pytest.mark.parametrize("few", [500_000, -1])
+def test_only_single_texts_go_to_python_to_be_cut(documents, monkeypatch, few):
+    texts = fixture()
+    given, real = [], S._cut
+
+    def seen(cut):
+        given.extend(r["doc_id"] for r in cut.select("doc_id").collect())
+        return real(cut)
+
+    monkeypatch.setattr(S, "_cut", seen)
+    monkeypatch.setattr(S, "BROADCAST_ROWS", few)
+    got = {r["doc_id"]: tuple(r)[1:] for r in S.digest(S.remove_repeated(documents(texts), 100)).collect()}
+    want = brute(texts, 100)
+    assert [got[i] for i in range(len(texts))] == want
+    once = {i for i, t in enumerate(texts) if texts.count(t) == 1}
+    cut = {i for i in once if want[i][1]}
+    assert sorted(given) == sorted(cut if few > 0 else once - {i for i in once if texts[i] in ("", None)})
